@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codestrata.llm import doc_queries, leak_queries, name_queries, quality_queries, record_queries
+from codestrata.llm import doc_queries, leak_queries, name_queries, packing_queries, quality_queries, record_queries
 
-MODULES = (record_queries, doc_queries, quality_queries, leak_queries, name_queries)
+MODULES = (record_queries, doc_queries, name_queries, packing_queries, leak_queries, quality_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
