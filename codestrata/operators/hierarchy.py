@@ -29,19 +29,21 @@ def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def cycle_nodes(links: DataFrame, peel_rounds: int = 12) -> DataFrame:
+def cycle_nodes(links: DataFrame, peel_rounds: int = 6) -> DataFrame:
     """Nodes that are their own ancestor, of links(node, parent) with one row per node.
 
     A node that is left when no leaf can be peeled any more lies on a cycle, since a node has one parent.
     """
     rest = links.where(F.col("parent").isNotNull()).select("node", "parent")
-    # A parent without parent can't be on a cycle: drop links to it first, which also ends plain two-level trees at once.
-    for k in range(peel_rounds):
-        inner = rest.select(F.col("parent").alias("node")).distinct()
-        before = rest
-        rest = cut(before.join(inner, "node", "left_semi").join(before.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"))
+    # Trees are peeled from both ends: nodes without children, and nodes whose parent is a root.
+    last = -1
+    for _ in range(peel_rounds):
+        for _ in range(2):
+            inner = rest.select(F.col("parent").alias("node")).distinct()
+            rest = rest.join(inner, "node", "left_semi").join(rest.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
+        rest = cut(rest)
         n = rest.count()
-        if n == 0 or (k and n == last):
+        if n == 0 or n == last:
             return rest.select("node")
         last = n
     # Deep chains: pointer doubling. After as many steps as there are nodes, exactly the cycles are pointed at.
@@ -55,6 +57,7 @@ def cycle_nodes(links: DataFrame, peel_rounds: int = 12) -> DataFrame:
 
 def _rank_list(elements: DataFrame) -> DataFrame:
     """elements(id, next, w, d) -> (id, last, w, d): sums of w and d from each element on to the end of its list, and the end."""
+    # Written once, in the order of the key that every round joins on.
     ranked = cut(elements.withColumn("last", F.coalesce("next", "id")))
     while not _empty(ranked.where(F.col("next").isNotNull())):
         open_ = ranked
@@ -72,33 +75,29 @@ def _rank_list(elements: DataFrame) -> DataFrame:
     return ranked.select("id", "last", "w", "d")
 
 
-def _ordered_children(children: DataFrame) -> DataFrame:
-    """children(parent, node) -> with `chunk` and `place` (1-based within the chunk); chunks hold about CHUNK rows at most."""
-    counts = children.groupBy("parent").agg(F.count("*").alias("_n"))
-    big = cut(counts.where(F.col("_n") > CHUNK))
-    salted = children.withColumn("chunk", F.lit(0)) if _empty(big) else (
-        children.join(big, "parent", "left")
-        .withColumn("chunk", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / CHUNK)).cast("int")))
-        .drop("_n")
-    )
+def _ordered_children(children: DataFrame, chunks: int) -> DataFrame:
+    """children(parent, node) -> with `chunk` (below `chunks`), `place` (1-based within the chunk) and the next in it."""
+    chunk = F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
     w = Window.partitionBy("parent", "chunk").orderBy("node")
-    return salted.withColumn("place", F.row_number().over(w)).withColumn("_next", F.lead("node").over(w))
+    return children.withColumn("chunk", chunk).withColumn("place", F.row_number().over(w)).withColumn("_next", F.lead("node").over(w))
 
 
-def euler_intervals(forest: DataFrame) -> DataFrame:
+def euler_intervals(forest: DataFrame, rows: int) -> DataFrame:
     """forest(node, parent), acyclic, parents among the nodes -> (node, root, entry, exit, depth).
 
-    Positions count from 0 in each tree's own tour, in which every node has an entry and an exit.
+    Positions count from 0 in each tree's own tour, in which every node has an entry and an exit. `rows` is the number
+    of nodes: the children of any one parent are put in order in chunks of about CHUNK.
     """
-    inner = cut(forest.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct())
+    chunks_of = -(-rows // CHUNK)
+    inner = forest.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
     marked = cut(forest.join(inner.withColumn("_inner", F.lit(True)), "node", "left").withColumn("_inner", F.coalesce("_inner", F.lit(False))))
-    leaves = cut(_ordered_children(marked.where(~F.col("_inner") & F.col("parent").isNotNull()).select("parent", "node")).drop("_next"))
+    leaves = cut(_ordered_children(marked.where(~F.col("_inner") & F.col("parent").isNotNull()).select("parent", "node"), chunks_of).drop("_next"))
     # Leaf children come first in their parent's tour; a chunk starts after the chunks before it.
     chunks = leaves.groupBy("parent", "chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("parent").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     leaf_counts = chunks.groupBy("parent").agg(F.sum("_n").alias("_leaves"))
-    kids = cut(_ordered_children(marked.where(F.col("_inner") & F.col("parent").isNotNull()).select("parent", "node")))
+    kids = cut(_ordered_children(marked.where(F.col("_inner") & F.col("parent").isNotNull()).select("parent", "node"), chunks_of))
     heads = kids.where(F.col("place") == 1).select("parent", "chunk", F.col("node").alias("_head"))
     over = Window.partitionBy("parent").orderBy("chunk")
     heads = heads.withColumn("_next_head", F.lead("_head").over(over)).withColumn("_rank", F.row_number().over(over))
@@ -189,26 +188,29 @@ def hierarchy(nodes: DataFrame, separator: str = "/") -> DataFrame:
     links = base.select("node", "parent")
     cycles = cycle_nodes(links).withColumn("_cycle", F.lit(True))
     forest = cut(base.join(cycles, "node", "left").select("node", F.when(F.col("_cycle").isNull(), F.col("parent")).alias("parent"), F.col("parent").alias("_cut"), "name", F.coalesce("_cycle", F.lit(False)).alias("_cycle")))
-    at = cut(euler_intervals(forest.select("node", "parent")))
+    at = euler_intervals(forest.select("node", "parent"), base.count())
     full = cut(at.join(forest.select("node", "name", "_cycle", "_cut"), "node"))
     rings = cycles.select(F.col("node").alias("root"), F.lit(True).alias("_ring"))
     placed = full.join(rings, "root", "left").withColumn("_ring", F.coalesce("_ring", F.lit(False)))
     trees = placed.where(~F.col("_ring"))
     # Sizes of the components with a cycle: the trees that hang on its nodes, summed along the ring by label doubling.
-    ring_sizes = _ring_totals(full.where("_cycle").select("node", F.col("_cut").alias("next"), ((F.col("exit") + 1) / 2).cast("bigint").alias("size")))
-    below = placed.where("_ring").join(ring_sizes, "node", "left").select(
-        "node",
-        F.lit("").alias("root"),
-        F.lit(-1).alias("depth"),
-        F.lit("").alias("path"),
-        F.when(F.col("_cycle"), F.col("total") - 1).otherwise((F.col("exit") - F.col("entry") - 1) / 2).cast("int").alias("n_descendants"),
-        F.when(F.col("_cycle"), F.lit("cycle")).otherwise(F.lit("below_cycle")).alias("state"),
-    )
+    if _empty(cycles):
+        below = None
+    else:
+        ring_sizes = _ring_totals(full.where("_cycle").select("node", F.col("_cut").alias("next"), ((F.col("exit") + 1) / 2).cast("bigint").alias("size")))
+        below = placed.where("_ring").join(ring_sizes, "node", "left").select(
+            "node",
+            F.lit("").alias("root"),
+            F.lit(-1).alias("depth"),
+            F.lit("").alias("path"),
+            F.when(F.col("_cycle"), F.col("total") - 1).otherwise((F.col("exit") - F.col("entry") - 1) / 2).cast("int").alias("n_descendants"),
+            F.when(F.col("_cycle"), F.lit("cycle")).otherwise(F.lit("below_cycle")).alias("state"),
+        )
     paths = paths_by_interval(trees.select("node", "root", "entry", "exit", "name"), separator)
     tree = trees.join(paths, "node").select(
         "node", "root", F.col("depth").cast("int").alias("depth"), "path", ((F.col("exit") - F.col("entry") - 1) / 2).cast("int").alias("n_descendants"), F.lit("tree").alias("state")
     )
-    return tree.unionByName(below)
+    return tree if below is None else tree.unionByName(below)
 
 
 def _ring_totals(ring: DataFrame) -> DataFrame:
@@ -218,7 +220,10 @@ def _ring_totals(ring: DataFrame) -> DataFrame:
     label = ring.select("node", "next", F.col("node").alias("least"))
     while steps < n:
         to = label.select(F.col("node").alias("next"), F.col("next").alias("_n"), F.col("least").alias("_l"))
-        stepped = label.join(to, "next").select("node", F.col("_n").alias("next"), F.least("least", "_l").alias("least"), (F.col("_l") < F.col("least")).alias("_moved"))
+        # Grouped, though nodes are unique: a checkpoint keeps what the optimiser knows of its columns, which a chain of
+        # projections would multiply every round.
+        both = label.join(to, "next").groupBy("node")
+        stepped = both.agg(F.min("_n").alias("next"), F.min(F.least("least", "_l")).alias("least"), F.max(F.col("_l") < F.col("least")).alias("_moved"))
         stepped = cut(stepped)
         moved = stepped.where("_moved").take(1)
         label, steps = stepped.drop("_moved"), steps * 2

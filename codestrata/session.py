@@ -36,9 +36,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df with a reliable checkpoint in the shared folder: lineage ends, lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df with a reliable checkpoint in the shared folder: lineage ends, lost executors cost nothing.
+
+    A checkpoint also keeps the constraints the optimiser inferred for its columns; in a loop they multiply until planning
+    takes longer than running. The rows are therefore taken up again as a plain relation.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    try:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+    except Exception:  # no such method in this version: the checkpoint itself will do
+        return done
 
 
 def parallelism(spark: SparkSession) -> int:
