@@ -86,7 +86,7 @@ def rerank(candidates: DataFrame, alpha: float = 0.58) -> DataFrame:
     q = F.array_distinct(tokens(F.col("query")))
     overlap = F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(F.col("document")))) / F.size(q)).otherwise(0.0)
     inside = F.size(F.filter(q, lambda t: F.contains(F.lower(F.coalesce("name", F.lit(""))), t)))
-    return candidates.withColumn("score", F.round(alpha * F.col("fused") + (1 - alpha) * overlap + 0.06 * inside, 6))
+    return candidates.withColumn("score", F.round(alpha * F.col("fused") + (1 - alpha) * overlap + 0.06 * inside + 1e-9, 6))
 
 
 def dynamic_k(intent: Column, confidence: Column) -> Column:
