@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.words import reader_words
 from codestrata.session import cut
 
-WINDOW, STRIDE = 28, 14
+WINDOW, STRIDE = 20, 6
 ITEM_WINDOW, ITEM_STRIDE = 14, 6
 #: A run of min_words words with one change in six keeps this many of them within so many words of the document.
 MIN_WORDS, CHANGES = 12, 6
@@ -142,7 +142,7 @@ def leaked_items(
     text_col: str = "text",
     item_col: str = "id",
     rank: int = 256,
-    least_cosine: float = 0.6,
+    least_cosine: float = 0.5,
     block: int = 2000,
 ) -> DataFrame:
     """Every (document, item) with a leaked passage, with the part it comes from, its length, changes and cosine.
@@ -237,7 +237,15 @@ def _searcher(
 
     def verify(docs: list[np.ndarray], where: list[tuple[int, int, int, float]], ids: list[int]) -> list[tuple]:
         out = []
-        reach = WINDOW
+        # Windows close to one that is aligned anyway add nothing: its neighbourhood holds all that they might.
+        where = sorted(where, key=lambda x: (x[0], x[2], x[1]))
+        kept: list[tuple[int, int, int, float]] = []
+        for x in where:
+            if kept and kept[-1][0] == x[0] and kept[-1][2] == x[2] and x[1] - kept[-1][1] <= 2 * STRIDE:
+                kept[-1] = (*kept[-1][:3], max(kept[-1][3], x[3]))
+            else:
+                kept.append(x)
+        where, reach = kept, 28
         for lo in range(0, len(where), 400):
             part = where[lo : lo + 400]
             segment = np.full((len(part), WINDOW + 2 * reach), -2, np.int32)
