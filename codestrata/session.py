@@ -26,6 +26,15 @@ def get_session(app: str = "codestrata", master: str | None = None, shuffle_part
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, however the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) make one."""
     sc = spark.sparkContext
