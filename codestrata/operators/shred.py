@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
+
 #: One row per routed record. `variant` tells the subtype; columns that a variant lacks are null.
 NODE_SCHEMA = (
     "dump_id bigint, node int, parent_node int, variant string, entity_id string, owner_id string, pos int, "
@@ -224,7 +226,8 @@ def shred_nodes(df: DataFrame, id_col: str = "dump_id", payload_col: str = "payl
     give no row but keep their place; a lone name or number is place 0. Repeated payloads give their rows again under
     their own id.
     """
-    return df.select(F.col(id_col).cast("bigint").alias("dump_id"), F.col(payload_col).cast("string").alias("payload")).mapInPandas(_shred_batches, NODE_SCHEMA)
+    payloads = df.select(F.col(id_col).cast("bigint").alias("dump_id"), F.col(payload_col).cast("string").alias("payload"))
+    return spread(payloads).mapInPandas(_shred_batches, NODE_SCHEMA)
 
 
 def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:

@@ -27,12 +27,17 @@ def get_session(app: str = "codestrata", master: str | None = None, shuffle_part
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it, however the driver was started."""
+    """Let Python workers find this package where the driver found it, however the driver was started.
+
+    A worker's matrix products keep to one thread: the tasks of an executor already use all its cores.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        environment.setdefault(name, "1")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -59,5 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
         return done
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a few large files would leave most of them idle.
+
+    Inputs with enough splits, which large ones have, are left as they are and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
