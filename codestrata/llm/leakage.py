@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.words import reader_words
-from codestrata.session import cut
+from codestrata.session import cut, spread
 
 WINDOW, STRIDE = 20, 6
 ITEM_WINDOW, ITEM_STRIDE = 14, 6
@@ -188,7 +188,7 @@ def _leaks(texts: DataFrame, listed: list[tuple[str, str, list[str]]], rank: int
                     terms.append(a.tobytes())
             yield pd.DataFrame({"doc_id": ids, "terms": terms})
 
-    tokens = cut(texts.mapInPandas(tokenise, "doc_id bigint, terms binary"))
+    tokens = cut(spread(texts).mapInPandas(tokenise, "doc_id bigint, terms binary"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(v + 1, np.int64)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.boosting import BoostedTrees
 from codestrata.llm.holdout import HAND_CHECKED
 from codestrata.llm.text_stats import FEATURES, statistics
+from codestrata.session import spread
 
 FORMS = ("prose", "list", "table", "junk")
 STATS_SCHEMA = "doc_id bigint, stats array<double>"
@@ -45,7 +46,7 @@ def document_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "d
             found = [(i, s) for i, t in zip(pdf["doc_id"], pdf["text"]) if (s := statistics(t, common)) is not None]
             yield pd.DataFrame({"doc_id": [i for i, _ in found], "stats": [s for _, s in found]})
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, STATS_SCHEMA)
+    return spread(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(run, STATS_SCHEMA)
 
 
 def train(stats: DataFrame, common_words: DataFrame, sample: int = 4000) -> BoostedTrees:
