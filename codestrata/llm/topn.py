@@ -55,15 +55,15 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, ties: list[str]
     kind = df.schema[score].dataType
     negative = -F.col(score).cast("double") if isinstance(kind, (T.FloatType, T.DoubleType)) else -F.col(score).cast("decimal(38,10)" if isinstance(kind, T.DecimalType) else "decimal(20,0)")
     g = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
-    keyed = df.where(F.col(score).isNotNull()).select(*keep, g.alias("_g"), F.struct(negative.alias("s"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)]).alias("_k"))
-    schema = T.StructType([keyed.schema["_g"], keyed.schema["_k"]])
-    local = keyed.select("_g", "_k").sortWithinPartitions("_g", "_k").mapInArrow(_nth_of_runs(n), schema)
-    bounds = cut(local.groupBy("_g").agg(F.min("_k").alias("_bound")))
+    keyed = df.where(F.col(score).isNotNull()).select(*keep, g.alias("__topn_group"), F.struct(negative.alias("s"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)]).alias("__topn_key"))
+    schema = T.StructType([keyed.schema["__topn_group"], keyed.schema["__topn_key"]])
+    local = keyed.select("__topn_group", "__topn_key").sortWithinPartitions("__topn_group", "__topn_key").mapInArrow(_nth_of_runs(n), schema)
+    bounds = cut(local.groupBy("__topn_group").agg(F.min("__topn_key").alias("__topn_bound")))
     if bounds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        bounded = keyed.join(F.broadcast(bounds), "_g", "left")
+        bounded = keyed.join(F.broadcast(bounds), "__topn_group", "left")
     else:
-        salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        bounded = keyed.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")).join(salted, ["_g", "_salt"], "left").drop("_salt")
-    survivors = bounded.where(F.col("_bound").isNull() | (F.col("_k") <= F.col("_bound")))
-    w = Window.partitionBy("_g").orderBy("_k", F.xxhash64(*keep))
+        salted = bounds.withColumn("__topn_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        bounded = keyed.withColumn("__topn_salt", F.pmod(F.xxhash64("__topn_key"), F.lit(SALTS)).cast("int")).join(salted, ["__topn_group", "__topn_salt"], "left").drop("__topn_salt")
+    survivors = bounded.where(F.col("__topn_bound").isNull() | (F.col("__topn_key") <= F.col("__topn_bound")))
+    w = Window.partitionBy("__topn_group").orderBy("__topn_key", F.xxhash64(*keep))
     return survivors.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).select(*keep, place)
