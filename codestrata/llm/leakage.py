@@ -3,8 +3,9 @@
 The evaluation set is stated and of bounded size, so it is the query side: its words make the vocabulary, its passages
 are held by every task, and all documents stream by in blocks. Passages of the corpus (overlapping windows of words)
 are TF-IDF vectors over that vocabulary; a distributed randomised SVD (all passages, one power iteration) gives the
-latent space, in which every passage is compared with every item passage by cosine. Candidates are then aligned word
-by word over the whole neighbourhood in the document: a leak is a run of at least `min_words` successive words of an
+latent space, in which every passage is compared with every item passage by cosine. Passages that share GRAM successive
+words with an item are candidates whatever their cosine; every leak has such words. Candidates are aligned word by
+word over the whole neighbourhood in the document: a leak is a run of at least `min_words` successive words of an
 item that begins and ends with words in place, of which at most one in six is changed, left out or joined by an added one.
 """
 
@@ -24,6 +25,9 @@ WINDOW, STRIDE = 20, 6
 ITEM_WINDOW, ITEM_STRIDE = 14, 6
 #: A run of min_words words with one change in six keeps this many of them within so many words of the document.
 MIN_WORDS, CHANGES = 12, 6
+#: A leak of least extent (no part of it is a leak) has this many successive words of the item in place somewhere: 12 words
+#: with 2 changes are 3 stretches with 10 words in place, 18 with 3 are 4 with 15, 24 with 4 are at most 4 with 20.
+GRAM = 4
 SCHEMA = "doc_id bigint, item_id string, part string, matched_words int, changes int, similarity double"
 
 
@@ -45,6 +49,16 @@ def _may_hold(w: np.ndarray, filler: int) -> np.ndarray:
     return (known[:, span:] - known[:, :-span]).max(1) >= need
 
 
+def _grams(w: np.ndarray, filler: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every GRAM successive known words in the rows; equal words have equal keys."""
+    parts = np.lib.stride_tricks.sliding_window_view(w, GRAM, axis=1).astype(np.int64)
+    row, at = np.nonzero((parts < filler).all(2))
+    key = np.zeros(len(row), np.int64)
+    for k in range(GRAM):
+        key = key * (filler + 1) + parts[row, at, k]  # beyond 64 bits it wraps: a few candidates more
+    return row, key
+
+
 def _vectors(w: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows (a word counts once in a passage)."""
     v = len(weight)
@@ -215,7 +229,9 @@ def _leaks(texts: DataFrame, listed: list[tuple[str, str, list[str]]], rank: int
     for k, s in enumerate(sequences):
         padded[k, : len(s)] = s
     names = [(i, p) for i, p, _ in listed]
-    search = _searcher(v, weight, projection, item_vectors, of_window, padded, names, least_cosine)
+    gram_of, gram = _grams(np.where(padded < 0, v, padded), v)
+    grams = np.unique(np.stack([gram, gram_of], 1), axis=0)
+    search = _searcher(v, weight, projection, item_vectors, of_window, padded, names, grams, least_cosine)
     return tokens.mapInPandas(search, SCHEMA)
 
 
@@ -224,7 +240,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _searcher(
-    v: int, weight: np.ndarray, projection: np.ndarray, item_vectors: np.ndarray, of_window: np.ndarray, padded: np.ndarray, names: list[tuple[str, str]], least_cosine: float
+    v: int, weight: np.ndarray, projection: np.ndarray, item_vectors: np.ndarray, of_window: np.ndarray, padded: np.ndarray, names: list[tuple[str, str]], grams: np.ndarray, least_cosine: float
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     rows = max(64, min(2_000_000 // (v + 1), 8_000_000 // len(of_window)))
     starts = np.flatnonzero(np.append(True, of_window[1:] != of_window[:-1]))
@@ -232,12 +248,19 @@ def _searcher(
     def candidates(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cosine = _unit(_vectors(w, weight) @ projection) @ item_vectors.T
         best = np.maximum.reduceat(cosine, starts, axis=1)
-        r, c = np.nonzero(best >= least_cosine)
+        taken = best >= least_cosine
+        row, key = _grams(w, v)
+        lo, hi = np.searchsorted(grams[:, 0], key), np.searchsorted(grams[:, 0], key, "right")
+        n = hi - lo
+        of = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        taken[np.repeat(row, n), grams[of, 1]] = True
+        r, c = np.nonzero(taken)
         return r, c, best[r, c]
 
     def verify(docs: list[np.ndarray], where: list[tuple[int, int, int, float]], ids: list[int]) -> list[tuple]:
         out = []
-        # Windows close to one that is aligned anyway add nothing: its neighbourhood holds all that they might.
+        # Windows close to one that is aligned anyway add nothing: its neighbourhood holds all that they might, namely
+        # the at most 26 words of a leak of least extent that has a gram in either window.
         where = sorted(where, key=lambda x: (x[0], x[2], x[1]))
         kept: list[tuple[int, int, int, float]] = []
         for x in where:
@@ -245,7 +268,7 @@ def _searcher(
                 kept[-1] = (*kept[-1][:3], max(kept[-1][3], x[3]))
             else:
                 kept.append(x)
-        where, reach = kept, 28
+        where, reach = kept, 34
         for lo in range(0, len(where), 400):
             part = where[lo : lo + 400]
             segment = np.full((len(part), WINDOW + 2 * reach), -2, np.int32)

@@ -81,6 +81,23 @@ def test_leaks_are_found_whole_and_only_they(spark, block):
     assert leaked_items(docs.limit(0), items, ["query"]).count() == 0 and leaked_items(docs, items.limit(0), ["query"]).count() == 0
 
 
+def test_least_leaks_among_item_words_are_found(spark):
+    r = random.Random(8)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    items = [(f"q{i}", " ".join(r.choice(vocabulary) for _ in range(60))) for i in range(20)]
+    docs = []
+    for d in range(600):
+        # 12 words with 2 changes, from the fifth word of an item's window on, among other words of the items.
+        words, body = items[d % 20][1].split(), [r.choice(vocabulary) for _ in range(60)]
+        at = 6 * (d % 7) + 4
+        passage = words[at : at + 12]
+        for k in (3, 8):
+            passage[k] = r.choice(vocabulary) if d % 2 else "unknown"
+        docs.append((d, " ".join(body[:d % 60] + passage + body[d % 60 :])))
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "id string, query string"), ["query"]).collect()
+    assert {(d, f"q{d % 20}") for d in range(600)} == {(r["doc_id"], r["item_id"]) for r in got}
+
+
 def test_hand_checked_forms_and_boosting():
     x = np.array([statistics(t, COMMON) for t, _ in HAND_CHECKED])
     y = np.array([FORMS.index(f) for _, f in HAND_CHECKED])
