@@ -142,6 +142,14 @@ def test_containers(spark):
     assert np.bincount(out).tolist() == [2, 2, 2, 1]
 
 
+@pytest.mark.parametrize("item, per_segment, share, most", [((10, 5), 1, 1.0, 10), ((10, 5), 25, 1.0, 4), ((10, 5), 1, 0.3, 6)])
+def test_each_limit_of_containers_acts(spark, item, per_segment, share, most):
+    # 10 tokens, 5 of them with loss: by tokens 10 fit into 100, by segments 100 // 25, by loss 30 // 5.
+    placed = pack(spark.createDataFrame([(i, *item) for i in range(60)], "item_id bigint, tokens int, loss_tokens int"), [100], tokens_per_segment=per_segment, loss_share=share)
+    row = fill_report(placed).first()
+    assert (row["containers"], row["most_segments"], row["fullest"], row["most_loss"]) == (60 // most, most, 10 * most, 5 * most)
+
+
 def test_token_sizes_round_trip(spark):
     from codestrata.llm.packing import _encoder, default_tokenizer
 
