@@ -28,6 +28,10 @@ MIN_WORDS, CHANGES = 12, 6
 #: A leak of least extent (no part of it is a leak) has this many successive words of the item in place somewhere: 12 words
 #: with 2 changes are 3 stretches with 10 words in place, 18 with 3 are 4 with 15, 24 with 4 are at most 4 with 20.
 GRAM = 4
+#: A leak of least extent has at most 4 changes, so one more than that is looked for. Its stretches in place are below 12
+#: words, else one alone would do. Cut at an inner stretch (counted in both halves), one half has changes to spare, so it is
+#: below 12 words and has a single change: the leak has at most three gaps, 22 words in place and 22 // 5 changes.
+MOST_CHANGES = 5
 SCHEMA = "doc_id bigint, item_id string, part string, matched_words int, changes int, similarity double"
 
 
@@ -72,7 +76,7 @@ def longest_runs(doc: np.ndarray, item: np.ndarray, max_changes: int = 3) -> np.
     """Longest run of item words found in doc with exactly e changes, of pairs in rows: (pairs, e).
 
     doc (pairs, n) and item (pairs, m) hold word numbers, below 0 for no word (item) and for words that no item has (doc);
-    they never match. Any longer run that a share of one change in six allows contains one with at most 3 changes.
+    they never match. Whether a run of MIN_WORDS with one change in six exists is known from at most MOST_CHANGES changes.
     """
     pairs, m = item.shape
     none = np.int16(-10_000)
@@ -275,7 +279,7 @@ def _searcher(
             for k, (d, at, _, _) in enumerate(part):
                 a = docs[d][max(0, at - reach) : at + WINDOW + reach]
                 segment[k, : len(a)] = np.where(a < v, a, -2)
-            runs = longest_runs(segment, padded[[c for _, _, c, _ in part]])
+            runs = longest_runs(segment, padded[[c for _, _, c, _ in part]], MOST_CHANGES)
             least = np.maximum(MIN_WORDS, CHANGES * np.arange(runs.shape[1]))
             for (d, _, c, cosine), run in zip(part, runs):
                 ok = np.flatnonzero(run >= least)

@@ -5,7 +5,7 @@ import pytest
 
 from codestrata.llm.boosting import BoostedTrees
 from codestrata.llm.holdout import HAND_CHECKED
-from codestrata.llm.leakage import leaked_items, longest_runs
+from codestrata.llm.leakage import GRAM, MOST_CHANGES, leaked_items, longest_runs
 from codestrata.llm.packing import fill_report, pack, place_block, token_sizes
 from codestrata.llm.quality import FORMS, classify, document_statistics, train, weak_label
 from codestrata.llm.text_stats import FEATURES, statistics
@@ -98,6 +98,38 @@ def test_least_leaks_among_item_words_are_found(spark):
     assert {(d, f"q{d % 20}") for d in range(600)} == {(r["doc_id"], r["item_id"]) for r in got}
 
 
+def test_leaks_contain_one_of_few_changes_and_a_gram():
+    # All stretches in place below 12 words with up to three gaps of up to 6 changed or added words each. A gap's kind
+    # is whether its changes count as words of the item (changed, left out) or not (added).
+    for gaps in (1, 2, 3):
+        place = np.arange(1, 12) if gaps < 3 else np.array([1, 2, 3, 4, 5, 6, 9, 10, 11])
+        gap = np.array([*range(1, 7), *range(-6, 0)]) if gaps < 3 else np.array([1, 2, 3, 4, -1, -2, -3])
+        axes = np.meshgrid(*[place] * (gaps + 1), *[gap] * gaps, indexing="ij")
+        m, g = np.stack([x.ravel() for x in axes[: gaps + 1]]), np.stack([x.ravel() for x in axes[gaps + 1 :]])
+        valid = lambda a, b: ((n := m[a : b + 1].sum(0) + np.maximum(g[a:b], 0).sum(0)) >= 12) & (6 * np.abs(g[a:b]).sum(0) <= n)
+        good = np.zeros(m.shape[1], bool)
+        for a in range(gaps + 1):
+            for b in range(a, gaps + 1):
+                good |= valid(a, b) & (np.abs(g[a:b]).sum(0) <= MOST_CHANGES - 1) & (m[a : b + 1].max(0) >= GRAM)
+        assert good[valid(0, gaps)].all() and valid(0, gaps).any()
+
+
+def test_leaks_with_changes_in_one_place_are_found(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    # (where, how many) words of the 24 are replaced or left out: 10, 4, 10 and 6, 1, 4, 3, 10 have no leak of 3 changes in them.
+    cases = [[(10, 4)], [(6, 1), (11, 3)]]
+    docs = []
+    for k, gaps in enumerate(cases):
+        for left_out in (False, True):
+            passage = [w for i, w in enumerate(words[4:28]) if not left_out or not any(a <= i < a + n for a, n in gaps)]
+            if not left_out:
+                passage = ["other" if any(a <= i < a + n for a, n in gaps) else w for i, w in enumerate(passage)]
+            docs.append((2 * k + left_out, " ".join(["before"] * 9 + passage + ["after"] * 9)))
+    docs.append((9, " ".join(["before"] * 9 + words[4:14] + ["other"] * 5 + words[19:29])))
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("q", " ".join(words))], "id string, query string"), ["query"]).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
+
+
 def test_hand_checked_forms_and_boosting():
     x = np.array([statistics(t, COMMON) for t, _ in HAND_CHECKED])
     y = np.array([FORMS.index(f) for _, f in HAND_CHECKED])
