@@ -208,10 +208,11 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     return ends.join(sums, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
-    """(cycle, length): every simple cycle of up to max_length nodes, written from its least node on.
+def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(cycle, length): every simple cycle (of up to max_length nodes, if given), written from its least node on.
 
     Nodes off all cycles are trimmed first; paths only grow over nodes greater than their start, so each cycle is found once.
+    They grow until none is open or max_length is reached.
     """
     rest = cut(edges.select("source", "target").distinct())
     while True:
@@ -221,8 +222,10 @@ def simple_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
         if rest.count() == n:
             break
     paths = rest.where(F.col("target") >= F.col("source")).select(F.col("source").alias("start"), F.col("target").alias("end"), F.array("source").alias("path"))
-    out = None
-    for length in range(1, max_length + 1):
+    paths = cut(paths)
+    out, length = None, 0
+    while out is None or (length != max_length and paths.take(1)):
+        length += 1
         closed = paths.where(F.col("start") == F.col("end")).select(F.array_join("path", " > ").alias("cycle"), F.lit(length).alias("length"))
         out = closed if out is None else out.unionByName(closed)
         grown = paths.where(F.col("start") != F.col("end")).join(rest.select(F.col("source").alias("end"), F.col("target").alias("_t")), "end")

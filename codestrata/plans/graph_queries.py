@@ -89,7 +89,7 @@ def g_centrality_inheritance(spark, sf_dir):
 
 
 def g_cycles_inheritance(spark, sf_dir):
-    return G.simple_cycles(_graph(spark, sf_dir)[1].where(F.col("type") == "INHERITS"), 4)
+    return G.simple_cycles(_graph(spark, sf_dir)[1].where(F.col("type") == "INHERITS"))
 
 
 def _rolled(spark, sf_dir):

@@ -22,6 +22,14 @@ def test_reach_equals_breadth_first_search(spark):
     assert got == {(n, h) for n, h in seen.items() if n != "v1"}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [f"n{i}" for i in range(7)]
+    edges = edges_of(spark, [*zip(ring, ring[1:] + ring[:1]), ("n4", "n0"), ("n6", "out")])
+    got = {(r["cycle"], r["length"]) for r in graph.simple_cycles(edges).collect()}
+    assert got == {(" > ".join(ring), 7), (" > ".join(ring[:5]), 5)}
+    assert {r["length"] for r in graph.simple_cycles(edges, 5).collect()} == {5} and graph.simple_cycles(edges.limit(0)).count() == 0
+
+
 def test_betweenness_and_cycles(spark):
     b = {r["node"]: r["betweenness"] for r in graph.betweenness(edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "c")])).collect()}
     assert b == {"a": 0, "b": 1, "x": 1, "c": 3, "d": 0}
