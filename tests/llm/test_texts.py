@@ -99,7 +99,8 @@ def test_least_leaks_among_item_words_are_found(spark):
 
 
 def test_leaks_contain_one_of_few_changes_and_a_gram():
-    # All stretches in place below 12 words with up to three gaps of up to 6 changed or added words each. A gap's kind
+    # All stretches in place below 12 words with one or two gaps of up to 6 changed or added words each; with three gaps
+    # only some lengths (without 7 and 8, gaps up to 4 and 3), and no gap of both kinds. A gap's kind
     # is whether its changes count as words of the item (changed, left out) or not (added).
     for gaps in (1, 2, 3):
         place = np.arange(1, 12) if gaps < 3 else np.array([1, 2, 3, 4, 5, 6, 9, 10, 11])
