@@ -31,7 +31,7 @@ def p2_found(spark, sf_dir):
 def p5_found(spark, sf_dir):
     r = current_records(table(spark, sf_dir, "repo_graph"), ["entity_type", "complexity"])
     f = r.where(F.col("entity_type") == "function").select("uid", "file_path", F.col("complexity.cyclomatic").alias("cyclomatic"))
-    top = top_n_per_group(cut(f.where(F.col("cyclomatic").isNotNull())), ["file_path"], "cyclomatic", ["uid"], 3)
+    top = top_n_per_group(f, ["file_path"], "cyclomatic", ["uid"], 3)
     return top.select(F.col("file_path").alias("file"), "place", F.col("uid").alias("unique_id"))
 
 

@@ -3,9 +3,9 @@ from collections import Counter
 
 import pytest
 
-from codestrata.llm import topn
 from codestrata.llm.record_queries import call_term
 from codestrata.llm.terms import term_frequencies
+from codestrata.llm.topn import top_n_per_group
 from pyspark.sql import functions as F
 
 
@@ -24,16 +24,15 @@ def test_call_terms(spark):
     assert [r[0] for r in spark.createDataFrame(calls, "c string").select(call_term(F.col("c"))).collect()] == ["a.b", "f", "g()", "h", "", None, "x( )"]
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_top_n_against_sorting(spark, broadcast, monkeypatch):
-    monkeypatch.setattr(topn, "BROADCAST_GROUPS", broadcast)
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_top_n_against_sorting(spark, partitions):
     r = random.Random(2)
     rows = [(r.choice(["hot", "hot", "a", "b", None, f"g{r.randrange(50)}"]), r.choice([None, 1, 1, 2, 3]), f"id{r.randrange(3000)}", "place") for _ in range(4000)]
-    df = spark.createDataFrame(rows, "g string, score int, id string, place string").withColumn("_g", F.lit("kept")).repartition(7)
-    got = sorted(((x["g"] or "", x["place"], x["score"], x["id"]) for x in topn.top_n_per_group(df, ["g"], "score", ["id"], 3).collect()))
+    df = spark.createDataFrame(rows, "g string, score int, id string, place string").withColumn("_g", F.lit("kept")).repartition(partitions)
+    got = sorted(((x["g"] or "", x["place"], x["score"], x["id"]) for x in top_n_per_group(df, ["g"], "score", ["id"], 3).collect()))
     want = []
     for g in {x[0] for x in rows}:
         best = sorted((-s, i) for h, s, i, _ in rows if h == g and s is not None)[:3]
         want += [(g or "", k + 1, -s, i) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
-    assert topn.top_n_per_group(df.limit(0), ["g"], "score", ["id"], 3).count() == 0
+    assert top_n_per_group(df.limit(0), ["g"], "score", ["id"], 3).count() == 0
