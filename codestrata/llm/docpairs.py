@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codestrata.session import cut
+
 #: Words that carry no information about a function on their own (en, de, fr, es).
 FILLER = frozenset(
     """a an the this that these those it its is are be was of for to from in on at by with and or as not no do does which what
@@ -97,28 +99,40 @@ def normalised_signature(signature: Column) -> Column:
     """A signature without blanks, defaults, modifiers and return annotation, in lower case: equal for equal overloads."""
     s = F.regexp_replace(F.lower(signature), r"\s+", " ")
     s = F.regexp_replace(s, r"^(?:async |def |public |private |protected |static |final |virtual |inline |override )+", "")
-    s = F.regexp_replace(s, r"\s*=\s*(?:'[^']*'|\"[^\"]*\"|[^,()]*(?:\([^()]*\))?)(?=[,)])", "")
+    s = F.regexp_replace(s, r"\s*=\s*(?:'[^']*'|\"[^\"]*\"|[^,()]*(?:\([^()]*\))?)([,)])", "$1")
     return F.regexp_replace(F.regexp_replace(s, r"\)\s*(?:->.*|:.*|const.*|throws.*)$", ")"), r"\s+", "")
 
 
-def documented_functions(functions: DataFrame) -> DataFrame:
-    """(unique_id, symbol, signature, description, doc_source) of functions with documentation that says something.
+def symbol_table(functions: DataFrame) -> DataFrame:
+    """(uid, symbol, overload, signature, own, declaration, and what the filter reads) of functions with a signature.
 
-    functions(uid, repo, name, parent_class, signature, docstring, parameters, return_type), one row per uid. A symbol is
-    the repository, the class and the name; overloads of a symbol are told apart by their normalised signature. A
-    function without docstring takes that of the documented declaration of the same overload in another file (the
-    least id of several): doc_source is then 'declaration', else 'own'. Rows without a signature or with a blank one,
-    null or blank documentation and repeated rows give nothing more; null names and parameters are read as empty.
+    A symbol is the repository, the class and the name; overloads of a symbol are told apart by their normalised
+    signature. `own` is the docstring, null where blank.
     """
     symbol = F.concat_ws(".", F.coalesce("repo", F.lit("")), F.nullif("parent_class", F.lit("")), F.coalesce("name", F.lit("")))
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.regexp_replace(c, r"\s+", " ")) == "")
-    table = functions.where(~blank("signature")).select(
+    blank = lambda c: F.col(c).isNull() | (F.regexp_replace(c, r"(?U)\s+", "") == "")
+    listed = F.coalesce("parameters", F.array().cast("array<struct<name:string,type_hint:string>>"))
+    return functions.where(~blank("signature")).select(
         "uid", "signature", "name", F.when(~blank("docstring"), F.col("docstring")).alias("own"), symbol.alias("symbol"), normalised_signature(F.col("signature")).alias("overload"),
-        F.transform(F.coalesce("parameters", F.array().cast("array<struct<name:string,type_hint:string>>")), lambda p: p["name"]).alias("_names"),
-        F.concat(F.transform(F.coalesce("parameters", F.array().cast("array<struct<name:string,type_hint:string>>")), lambda p: p["type_hint"]), F.array("return_type")).alias("_types"),
+        F.transform(listed, lambda p: p["name"]).alias("_names"), F.concat(F.transform(listed, lambda p: p["type_hint"]), F.array("return_type")).alias("_types"),
     )
-    declared = table.where(F.col("own").isNotNull()).groupBy("symbol", "overload").agg(F.min(F.struct("uid", "own")).alias("_d")).select("symbol", "overload", F.col("_d.own").alias("_declared"))
-    joined = table.join(declared, ["symbol", "overload"], "left").withColumn("description", F.coalesce("own", "_declared"))
-    described = joined.where(F.col("description").isNotNull())
-    source = F.when(F.col("own").isNotNull(), "own").otherwise("declaration")
-    return described.where(_informative("description", "name", "_names", "_types")).select(F.col("uid").alias("unique_id"), "symbol", "signature", "description", source.alias("doc_source"))
+
+
+def documented_functions(functions: DataFrame) -> DataFrame:
+    """(unique_id, symbol, signature, description, doc_source) of functions with documentation that says something.
+
+    functions(uid, repo, name, parent_class, signature, docstring, parameters, return_type), one row per uid. Documentation
+    is judged where it is declared, before any is chosen: a trivial one never hides another. A function whose own says
+    nothing takes that of a declaration of the same overload elsewhere in the repository (the least id of several):
+    doc_source is then 'declaration', else 'own'. Only one declaration of an overload goes into the join, so an overload
+    that a third of all functions share is no pair of all its functions. Rows without a signature or with a blank one and
+    repeated rows give nothing more; null names and parameters are read as empty.
+    """
+    table = symbol_table(functions)
+    # Evaluated once: the built-in tests settle blank documentation and repetitions of the name, Python sees the rest.
+    says = F.when(F.col("own").isNull() | (F.lower(F.trim("own")) == F.lower(F.coalesce("name", F.lit("")))), F.lit(None)).otherwise(F.col("own"))
+    judged = cut(table.withColumn("_doc", says).withColumn("own", F.when(F.col("_doc").isNotNull() & _informative("_doc", "name", "_names", "_types"), F.col("_doc"))).select("uid", "symbol", "overload", "signature", "own"))
+    declared = judged.where(F.col("own").isNotNull()).groupBy("symbol", "overload").agg(F.min(F.struct("uid", "own")).alias("_d")).select("symbol", "overload", F.col("_d.own").alias("_declared"))
+    bare = judged.where(F.col("own").isNull()).join(declared, ["symbol", "overload"]).select("uid", "symbol", "signature", F.col("_declared").alias("description"), F.lit("declaration").alias("doc_source"))
+    own = judged.where(F.col("own").isNotNull()).select("uid", "symbol", "signature", F.col("own").alias("description"), F.lit("own").alias("doc_source"))
+    return own.unionByName(bare).withColumnRenamed("uid", "unique_id")

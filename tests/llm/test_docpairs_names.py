@@ -27,9 +27,13 @@ def test_pairs_and_declarations(spark):
         ("q/a.cpp:f", "q", "f", "C", "int f(int a)", " ", None, None, None),
         ("r/a.py:g", "r", "g", None, " ", "Counts open rows.", None, None, None),
         ("r/a.py:h", "r", None, None, "def h()", "h", None, None, None),
+        # The least id's docstring is trivial and hides nothing; a trivial own one is replaced.
+        ("s/a.h:k", "s", "k", "C", "void k()", "TODO", None, None, None),
+        ("s/b.h:k", "s", "k", "C", "void k() const", "Closes the oldest shard.", None, None, None),
+        ("s/c.h:k", "s", "k", "C", "virtual void k()", "\u00a0", None, None, None),
     ]
     got = {(r["unique_id"], r["doc_source"]) for r in documented_functions(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {("r/a.h:f", "own"), ("r/a.cpp:f", "declaration")}
+    assert got == {("r/a.h:f", "own"), ("r/a.cpp:f", "declaration"), ("s/a.h:k", "declaration"), ("s/b.h:k", "own"), ("s/c.h:k", "declaration")}
     assert documented_functions(spark.createDataFrame([], schema)).count() == 0
 
 
