@@ -45,9 +45,7 @@ def token_sizes(docs: DataFrame, tokenizer: str | None = None, prompt_line: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
-        # Long runs without a break cost the merge loop more than linear time: they are cut at fixed places.
-        long_run = re.compile(r"\S{2000,}|\s{2000,}")
-        size = lambda t: sum(len(encoder.encode_ordinary(t[i : i + 1000])) for i in range(0, len(t), 1000)) if long_run.search(t) else len(encoder.encode_ordinary(t))
+        size = lambda t: len(encoder.encode_ordinary(t))
         for pdf in batches:
             ids, tokens, loss = [], [], []
             for i, t in zip(pdf["item_id"], pdf["text"]):
@@ -101,7 +99,8 @@ def pack(sizes: DataFrame, capacities: list[int], tokens_per_segment: int = 32,
 
     An item that alone exceeds a capacity is split into full pieces and a rest, in order; no other is split. A container
     holds at most the capacity in tokens, one piece for each `tokens_per_segment` of the capacity and `loss_share` of the capacity in
-    loss-bearing tokens; a piece's loss is its share of the item's, cut to that limit. Items are spread over blocks of
+    loss-bearing tokens; a piece's loss is its share of the item's. A piece whose own loss is above that limit isn't split
+    for it: it is the only one with loss in its container, which pieces without loss may fill. Items are spread over blocks of
     about BLOCK_ITEMS pieces by hash, so a task holds a bounded number however many items or equal items there are;
     repeated rows are items of their own. Items of no tokens are left out. Empty in, empty out.
     """
@@ -110,8 +109,9 @@ def pack(sizes: DataFrame, capacities: list[int], tokens_per_segment: int = 32,
     pieces = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
     cut_up = each.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("start_token", F.col("piece") * F.col("capacity"))
     size = F.least(F.col("capacity"), F.col("tokens") - F.col("start_token"))
-    limit = F.floor(F.col("capacity") * F.lit(loss_share)).cast("int")
-    loss = F.least(limit, F.round(F.col("loss_tokens") * size / F.col("tokens")).cast("int"))
+    # Loss up to the piece's end less that up to its start: the pieces' losses add up to the item's.
+    upto = lambda t: F.round(F.col("loss_tokens").cast("double") * t / F.col("tokens")).cast("int")
+    loss = upto(F.col("start_token") + size) - upto(F.col("start_token"))
     items = cut_up.select("item_id", "piece", "start_token", size.cast("int").alias("tokens"), F.lit(1).alias("segments"), loss.alias("loss_tokens"), "capacity")
     counts = items.groupBy("capacity").agg(F.count("*").alias("_n"))  # one row a capacity
     blocked = items.join(F.broadcast(counts), "capacity").withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.ceil(F.col("_n") / BLOCK_ITEMS))).drop("_n")
@@ -120,7 +120,9 @@ def pack(sizes: DataFrame, capacities: list[int], tokens_per_segment: int = 32,
         pdf = pdf.sort_values(["tokens", "item_id", "piece"], ascending=[False, True, True], kind="stable")
         capacity = int(pdf["capacity"].iloc[0])
         limits = np.array([capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share))])
-        pdf["container"] = place_block(pdf[["tokens", "segments", "loss_tokens"]].to_numpy(np.int64), limits)
+        demand = pdf[["tokens", "segments", "loss_tokens"]].to_numpy(np.int64)
+        demand[:, 2] = np.minimum(demand[:, 2], limits[2])  # above the limit it takes the whole of it
+        pdf["container"] = place_block(demand, limits)
         return pdf[[c.split()[0] for c in PLACED_SCHEMA.split(", ")]]
 
     return blocked.groupBy("capacity", "block").applyInPandas(place, PLACED_SCHEMA)

@@ -183,11 +183,24 @@ def test_each_limit_of_containers_acts(spark, item, per_segment, share, most):
     assert (row["containers"], row["most_segments"], row["fullest"], row["most_loss"]) == (60 // most, most, 10 * most, 5 * most)
 
 
+def test_pieces_above_the_loss_limit_stay_whole_and_alone_with_loss(spark):
+    rows = [(i, 90, 90) for i in range(5)] + [(10 + i, 10, 0) for i in range(5)] + [(20, 150, 150), (21, 2_000_000, 1_900_000)]
+    placed = pack(spark.createDataFrame(rows, "item_id bigint, tokens int, loss_tokens int"), [100], tokens_per_segment=10, loss_share=0.8).toPandas()
+    whole = placed[placed.item_id < 20].sort_values("item_id")
+    assert whole.tokens.tolist() == [90] * 5 + [10] * 5 and whole.loss_tokens.tolist() == [90] * 5 + [0] * 5
+    assert placed[placed.item_id == 20].sort_values("piece")[["tokens", "loss_tokens"]].values.tolist() == [[100, 100], [50, 50]]
+    assert placed[placed.item_id == 21].loss_tokens.sum() == 1_900_000
+    boxes = placed.groupby(["block", "container"]).agg(tokens=("tokens", "sum"), loss=("loss_tokens", "sum"), bearing=("loss_tokens", lambda v: (v > 0).sum()))
+    assert boxes.tokens.max() <= 100 and (boxes[boxes.loss > 80].bearing == 1).all()
+
+
 def test_token_sizes_round_trip(spark):
     from codestrata.llm.packing import _encoder, default_tokenizer
 
-    texts = ["Hello there.", "> quoted line\nanswer", "ünïcode — 漢字 🎈", "x" * 5000, None, ""]
+    letters = random.Random(9)
+    texts = ["Hello there.", "> quoted line\nanswer", "ünïcode — 漢字 🎈", "x" * 5000, None, "", "prose and " + "".join(letters.choice("abcdefgh") for _ in range(6000)) + " more prose"]
     got = {r["item_id"]: r for r in token_sizes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert set(got) == {0, 1, 2, 3} and got[1]["loss_tokens"] < got[1]["tokens"] and got[0]["loss_tokens"] == got[0]["tokens"]
+    assert set(got) == {0, 1, 2, 3, 6} and got[1]["loss_tokens"] < got[1]["tokens"] and got[0]["loss_tokens"] == got[0]["tokens"]
     encoder = _encoder(default_tokenizer())
+    assert all(got[i]["tokens"] == len(encoder.encode_ordinary(texts[i])) for i in got)
     assert all(encoder.decode(encoder.encode_ordinary(t)) == t for t in texts[:3])
