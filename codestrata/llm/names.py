@@ -9,9 +9,12 @@ from dataclasses import dataclass
 _TITLE = re.compile(r"\b(?:dr|prof|mr|mrs|ms|miss|sir|ing|dipl|msc|bsc|phd|mba|md|jr|sr|ii|iii|esq|herr|frau)\b\.?", re.I)
 _ASIDE = re.compile(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}")
 _MOJIBAKE = re.compile("[ÃÂÄÅ][\u0080-¿Œ-Ÿ–-™]|Ã")
-_ORG = frozenset("systems systms system sys ltd inc gmbh llc corp group team tm dept department sec security release rel tooling tools infra infrastructure plat platform quality qa ops docs".split())
+_ORG = frozenset("systems system sys ltd inc gmbh llc corp group team tm dept department sec security release rel tooling tools infra infrastructure plat platform quality qa ops docs".split())
 #: How roles of teams are written.
 _ROLES = {"sec": "security", "security": "security", "rel": "release", "release": "release", "releases": "release", "tooling": "tooling", "tools": "tooling", "tool": "tooling", "infra": "infrastructure", "infrastructure": "infrastructure", "plat": "platform", "platform": "platform", "quality": "quality", "qa": "quality", "ops": "operations", "operations": "operations", "docs": "documentation", "documentation": "documentation", "support": "support", "data": "data", "build": "build", "design": "design", "mobile": "mobile", "web": "web"}
+#: Words of automatic accounts, in the local part or the host of a mail; endings of names of single machines.
+_AUTOMATIC = frozenset("bot bots robot ci cron runner daemon automation".split())
+_MACHINES = frozenset("invalid local localdomain localhost lan home internal".split())
 _NOBODY = frozenset("unknown root user admin nobody none null author anonymous me test dev developer git github ubuntu na".split())
 
 
@@ -70,10 +73,13 @@ def shortens(a: str, x: str) -> bool:
 
 @dataclass
 class Mail:
+    """What a mail says: `key` the mailbox, `pair` two name parts, `token` one word; team mailboxes, `role` one that may be a team's or a machine's."""
+
     key: str = ""
     pair: tuple[str, str] | None = None
     token: str = ""
     team: str = ""
+    role: str = ""
     bot: bool = False
 
 
@@ -88,20 +94,23 @@ def read_mail(email: str) -> Mail:
         return Mail(key=e, bot=True)
     local = local.split("+")[0]
     mail = Mail(key=f"{local}@{domain}")
-    host = domain.split(".")[0]
+    labels = domain.split(".")
     parts = [fold(x) for x in re.split(r"[._-]+", re.sub(r"\d+$", "", local)) if x]
-    if domain.startswith("ci."):
+    if _AUTOMATIC & {*parts, *labels}:
         mail.bot = True
         return mail
     roles = [x for x in parts if x in _ROLES]
     if roles and "noreply" not in domain:
         rest = [x for x in parts if x not in _ROLES and x != "team"]
-        if rest or "-" in local or "team" in parts or parts[0] != "build":
-            mail.team = f"{rest[0] if rest else fold(host)}:{_ROLES[roles[0]]}"
-            return mail
-        return Mail()  # a build machine's shared mailbox says nothing
-    if m := re.match(r"^(.+)-(?:laptop|desktop|pc|macbook|mbp)\.", domain):
-        mail.pair = (parts[0], fold(m[1])) if parts else None
+        team = f"{rest[0] if rest else fold(labels[0])}:{_ROLES[roles[0]]}"
+        if rest or "team" in parts:
+            mail.team = team
+        else:
+            mail.role = team
+        return mail
+    if parts and (len(labels) == 1 or labels[-1] in _MACHINES):
+        owner = fold(labels[0].split("-")[0])
+        mail.pair = (parts[0], owner) if len(parts[0]) >= 2 and len(owner) >= 2 else None
     elif len(parts) == 2 and all(len(x) >= 2 for x in parts):
         mail.pair = (parts[0], parts[1])
     elif len(parts) == 2:
@@ -113,7 +122,7 @@ def read_mail(email: str) -> Mail:
 
 @dataclass
 class Reading:
-    """kind: full (a, b are a full name's parts, spelt as the mail confirms; with support 1 `sure` is the part it holds), hint, team or bot."""
+    """kind: full (a, b are a full name's parts; with support 2 the mail spells both alike, with 1 `sure` is the part it spells alike), hint, team or bot."""
 
     kind: str
     a: str = ""
@@ -141,28 +150,27 @@ def _words(name: str) -> tuple[list[str], list[str]]:
 
 
 def confirmed(a: str, b: str, mail: Mail, formal: dict[str, tuple[str, ...]]) -> tuple[str, str, int]:
-    """A full name's parts spelt as in the mail where that holds the same name (support 2), its initial and family (1), or neither (0)."""
+    """A full name's parts, short forms written out where the mail holds the same name (support 2), its initial and family (1), or neither (0).
+
+    A mail only confirms: a name that it spells otherwise is left as typed, for the segment join to link.
+    """
     forms = lambda w: (w, *formal.get(w, ()))
     if mail.pair:
         for x, y in (mail.pair, mail.pair[::-1]):
-            for fa in forms(a):
-                for fb in forms(b):
-                    if near(fa, x) and near(fb, y) or (fb == y and shortens(a, x)) or (fa == x and shortens(b, y)):
-                        return x, y, 2
+            if (x in forms(a) or shortens(a, x)) and y == b or (y in forms(b) or shortens(b, y)) and x == a:
+                return x, y, 2
     t = mail.token
     if t:
         for given, family in ((a, b), (b, a)):
             for g in forms(given):
                 if t == g + family or t == family + g:
                     return g, family, 2
-                if t.endswith(family) and len(t) - len(family) > 1 and (near(t[: -len(family)], g) or shortens(g, t[: -len(family)])):
+                if t.endswith(family) and len(t) - len(family) > 1 and shortens(g, t[: -len(family)]):
                     return t[: -len(family)], family, 2
-                if t.startswith(g) and len(t) > len(g) + 1 and near(t[len(g) :], family):
-                    return g, t[len(g) :], 2
         for given, family in ((a, b), (b, a)):
             for g in forms(given):
-                if t[0] == g[0] and near(t[1:], family):
-                    return g, t[1:], 1
+                if t == g[0] + family:
+                    return g, family, 1
     return a, b, 0
 
 
@@ -173,7 +181,7 @@ def within(short: str, full: str) -> bool:
 
 
 def unlisted_form(name: str, email: str, formal: dict[str, tuple[str, ...]]) -> tuple[str, str, str] | None:
-    """(short, full, family) where a mail holds the name's one part as it is and, for the other, a longer name that no table relates to it."""
+    """(short, full, family) where a mail holds the name's one part as it is and, for the other, a longer name, no misspelling, that no table relates to it."""
     words, _ = _words(name)
     mail = read_mail(email)
     if len(words) < 2 or mail.team or mail.bot or confirmed(words[0], words[-1], mail, formal)[2]:
@@ -184,28 +192,32 @@ def unlisted_form(name: str, email: str, formal: dict[str, tuple[str, ...]]) ->
             full = mail.pair[0] if mail.pair[1] == family else mail.pair[1]
         elif mail.token.endswith(family):
             full = mail.token[: -len(family)]
-        if len(full) > len(short) >= 2 and full not in formal.get(short, ()):
+        if len(full) > len(short) >= 2 and full not in formal.get(short, ()) and not near(short, full):
             return short, full, family
     return None
 
 
+def _organisational(w: str) -> bool:
+    return w in _ORG or len(w) >= 6 and any(len(o) >= 6 and near(w, o) for o in _ORG)
+
+
 def read_identity(name: str, email: str, formal: dict[str, tuple[str, ...]]) -> Reading:
     mail = read_mail(email)
     words, initials = _words(name)
     role = next((_ROLES[w] for w in words if w in _ROLES), "")
     if mail.bot or "[bot]" in name.lower():
         return Reading("bot", team="bot:" + (re.sub(r"\W", "", fold(_ASIDE.sub("", name))) or mail.key.split("@")[0]))
-    organised = [w for w in words if w in _ORG]
+    organised = [w for w in words if _organisational(w)]
     if (mail.team and organised) or (role and len(organised) >= 1 and len(words) >= 2 and (not mail.pair)):
-        org = next((w for w in words if w not in _ORG and w not in _ROLES), "")
-        return Reading("team", team=mail.team or f"{org}:{role}")
+        org = next((w for w in words if not _organisational(w) and w not in _ROLES), "")
+        return Reading("team", team=mail.team or mail.role or f"{org}:{role}", support=2 * bool(mail.team or mail.role))
     if not words and mail.team:
-        return Reading("team", team=mail.team)
+        return Reading("team", team=mail.team, support=2)
     if len(words) >= 2 and not ("." in name and " " not in name.strip() and not name.strip()):
         # The first and the last long word; "Family, Given" has the same two.
         a, b, support = confirmed(words[0], words[-1], mail, formal)
         return Reading("full", a, b, support, b if support == 1 else "")
-    hint = Reading("hint")
+    hint = Reading("hint", team=mail.role if not words else "")
     word = words[0] if words and words[0] not in _NOBODY else ""
     if word and initials:
         hint.initial, hint.family, hint.given = initials[0], word, word  # "E. Family" or "Given F."

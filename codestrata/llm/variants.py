@@ -1,65 +1,108 @@
 """Variant spellings of names typed by people, linked by a pigeonhole segment join.
 
-Every identity is read by itself first: its name's parts, spelt as its own mail address confirms, are a key. Keys that
-no mail confirms may be misspelt: a name within k edits of another leaves one of k + 1 segments of it as it is, at a
-place shifted by k at most. Segments of all keys make an inverted index; substrings of the other keys are looked up in
-it, always together with the name's other part, so that a common given name joins nobody. Hits are verified by a banded
-edit distance. Names that are only hinted at are looked up by their mail, then by initial and family name.
+Every identity is read by itself first: its name's parts as typed are a key, its mail says whether it spells them alike.
+All links between keys that are spelt differently come from one join: a name within k edits of another leaves one of
+k + 1 segments of it as it is, at a place shifted by k at most. The segments of all keys (and of the names that mails
+hold) make an inverted index, position-shifted substrings are looked up in it, hits are verified by a banded edit
+distance of both parts. A segment that many names share is looked up together with a segment of what remains of the
+name. Mails only confirm: they say which of two spellings is the person's, and which of several similar names is meant.
+Names that are only hinted at are looked up by their mail, then by initial and family name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.names import distance, fold, near, read_identity, read_mail, unlisted_form, within
-from codestrata.session import cut
+from codestrata.llm.names import _thin, distance, fold, near, read_identity, read_mail, unlisted_form, within
+from codestrata.session import cut, spread
 
-_READ = "name string, email string, n bigint, identity string, kind string, key string, p string, q string, support int, sure string, mail string, token string, given string, initial string, family string"
+_READ = (
+    "name string, email string, n bigint, identity string, kind string, key string, p string, q string, support int, sure string, mail string, mail_key string, "
+    "mail_p string, mail_q string, token string, role string, given string, initial string, family string"
+)
+#: A segment in the index of more names than this is looked up together with a second one.
+HEAVY = 32
+#: Most given names of the table (checked).
+MOST_FORMS = 20_000
+
+
+def edits_of(length: int) -> int:
+    """Edits (a swap of neighbours is two) within which a name of so many letters is looked for."""
+    return 2 if length < 14 else 3
+
+
+def _ends(length: int, k: int) -> list[int]:
+    return [length * i // (k + 1) for i in range(k + 2)]
 
 
 def segments(s: str, k: int) -> list[tuple[int, str]]:
     """k + 1 even segments of s with their starts."""
-    m = k + 1
-    ends = [len(s) * i // m for i in range(m + 1)]
-    return [(ends[i], s[ends[i] : ends[i + 1]]) for i in range(m)]
+    ends = _ends(len(s), k)
+    return [(ends[i], s[ends[i] : ends[i + 1]]) for i in range(k + 1)]
+
+
+def probes(s: str, length: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, start, end) of the substrings of s that are looked up among names of `length`, not longer than s.
+
+    The i-th segment is shifted by the difference of edits before it, of which some alignment has at most i, and at most
+    k - i after it: of all shifted places only these have to be looked at.
+    """
+    ends, more = _ends(length, k), len(s) - length
+    for i in range(k + 1):
+        at, size = ends[i], ends[i + 1] - ends[i]
+        for start in range(max(0, at - i, at + more - (k - i)), min(len(s) - size, at + i, at + more + (k - i)) + 1):
+            yield i, start, start + size
 
 
-def probes(s: str, k: int) -> set[tuple[int, int, str]]:
-    """(length, segment, text) under which a string within k edits of s may be found in the index of segments."""
-    out = set()
-    for length in range(max(1, len(s) - k), len(s) + k + 1):
-        m = k + 1
-        ends = [length * i // m for i in range(m + 1)]
-        for i in range(m):
-            size = ends[i + 1] - ends[i]
-            for at in range(max(0, ends[i] - k), min(len(s) - size, ends[i] + k) + 1):
-                if size:
-                    out.add((length, i, s[at : at + size]))
-    return out
+def spellings(p: str, q: str) -> set[str]:
+    """What a key is indexed as: its parts in order, and so with umlauts written with an e read as without."""
+    return {f"{p} {q}", " ".join(sorted((_thin(p), _thin(q))))}
+
+
+def same_name(p: str, q: str, x: str, y: str) -> tuple[int, list[str]] | None:
+    """Edits between two names and the parts of the first that they change; None for different names.
+
+    Each part may have one misspelling, both only where they are long; parts of one or two letters must be the same.
+    """
+    best = None
+    for a, b in ((x, y), (y, x)):
+        changed = [(u, v) for u, v in ((p, a), (q, b)) if u != v]
+        if all(min(len(u), len(v)) >= (3 if len(changed) == 1 else 5) and near(u, v) for u, v in changed):
+            edits = sum(max(1, distance(u, v, 2)) for u, v in changed)
+            if best is None or edits < best[0]:
+                best = (edits, [u for u, _ in changed])
+    return best
 
 
 def _reader(formal: dict[str, tuple[str, ...]]):
     def key_of(a: str, b: str) -> tuple[str, str]:
         # Which of the two is the given name isn't known: short forms are written out where there is one full form only.
-        full = [formal[w][0] if len(formal.get(w, ())) == 1 else w for w in (a, b)]
-        return (full[0], full[1]) if full[0] <= full[1] else (full[1], full[0])
+        full = sorted(formal[w][0] if len(formal.get(w, ())) == 1 else w for w in (a, b))
+        return full[0], full[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, email, n in zip(pdf["name"], pdf["email"], pdf["n"]):
                 r, mail = read_identity(name, email, formal), read_mail(email)
-                p = q = key = None
+                p = q = key = mail_key = x = y = None
                 if r.kind == "full":
                     p, q = key_of(r.a, r.b)
                     key = f"{p} {q}"
-                elif r.kind in ("team", "bot"):
-                    key = f"{r.kind}:{r.team}"
-                rows.append((name, email, n, f"{name} <{email}>", r.kind, key, p, q, r.support, r.sure or None, mail.key or None, mail.token or None, r.given or None, r.initial or None, r.family or None))
+                elif r.kind == "team":
+                    p, _, q = r.team.partition(":")
+                    key = f"team:{r.team}"
+                elif r.kind == "bot":
+                    key = f"bot:{r.team}"
+                if mail.pair:
+                    x, y = key_of(*mail.pair)
+                    mail_key = f"{x} {y}"
+                rows.append((name, email, n, f"{name} <{email}>", r.kind, key, p, q, r.support, r.sure or None, mail.key or None, mail_key, x, y, mail.token or None, r.team if r.kind == "hint" and r.team else None, r.given or None, r.initial or None, r.family or None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
 
     return run
@@ -68,59 +111,107 @@ def _reader(formal: dict[str, tuple[str, ...]]):
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for key, p, q in zip(pdf["key"], pdf["p"], pdf["q"]):
-            for same, other in ((p, q), (q, p)):
-                rows += [(f"{same}|{len(other)}|{i}|{text}", key, same, other) for i, (_, text) in enumerate(segments(other, 2)) if text]
-        yield pd.DataFrame(rows, columns=["probe", "to", "same", "to_part"])
+        for kind, key, p, q in zip(pdf["kind"], pdf["key"], pdf["p"], pdf["q"]):
+            for s in spellings(p, q):
+                rows += [(f"{kind}|{len(s)}|{i}|{text}", key, p, q, s[:at] + s[at + len(text) :]) for i, (at, text) in enumerate(segments(s, edits_of(len(s))))]
+        yield pd.DataFrame(rows, columns=["segment", "to", "to_p", "to_q", "to_rest"])
 
 
 def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for key, p, q in zip(pdf["key"], pdf["p"], pdf["q"]):
-            for same, other in ((p, q), (q, p)):
-                rows += [(f"{same}|{length}|{i}|{text}", key, other) for length, i, text in probes(other, 2)]
-        yield pd.DataFrame(rows, columns=["probe", "key", "part"])
+        for kind, key, p, q in zip(pdf["kind"], pdf["key"], pdf["p"], pdf["q"]):
+            # A misspelt first letter may change the order of the parts.
+            for s in {t for a, b in ((p, q), (q, p)) for t in (f"{a} {b}", f"{_thin(a)} {_thin(b)}")}:
+                for length in range(max(3, len(s) - 3), len(s) + 1):
+                    k = edits_of(length)
+                    if len(s) - length <= k:
+                        rows += [(f"{kind}|{length}|{i}|{s[lo:hi]}", key, p, q, s[:lo] + s[hi:], length) for i, lo, hi in probes(s, length, k)]
+        yield pd.DataFrame(rows, columns=["segment", "key", "p", "q", "rest", "length"])
+
+
+def _index_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for segment, to, p, q, rest in zip(pdf["segment"], pdf["to"], pdf["to_p"], pdf["to_q"], pdf["to_rest"]):
+            k = edits_of(int(segment.split("|", 2)[1]))
+            rows += [(f"{segment}|{len(rest)}|{j}|{text}", to, p, q) for j, (_, text) in enumerate(segments(rest, k))]
+        yield pd.DataFrame(rows, columns=["segment", "to", "to_p", "to_q"])
+
+
+def _lookup_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for segment, key, p, q, rest, length in zip(pdf["segment"], pdf["key"], pdf["p"], pdf["q"], pdf["rest"], pdf["length"]):
+            # Without the segment both are shorter by it.
+            short, k = len(rest) - (len(p) + len(q) + 1 - length), edits_of(length)
+            for there in {short, len(rest) - max(0, len(_thin(p)) + len(_thin(q)) + 1 - length)}:
+                rows += [(f"{segment}|{there}|{j}|{rest[lo:hi]}", key, p, q) for j, lo, hi in probes(rest, there, k)] if 0 <= len(rest) - there <= k else []
+        yield pd.DataFrame(rows, columns=["segment", "key", "p", "q"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        d = [distance(a, b, 2) for a, b in zip(pdf["part"], pdf["to_part"])]
-        ok = [near(a, b) for a, b in zip(pdf["part"], pdf["to_part"])]
-        yield pdf.assign(edits=pd.Series(d, index=pdf.index, dtype="int32"))[ok][["key", "to", "part", "edits"]]
+        rows = [(k, t, s[0], s[1]) for k, t, p, q, x, y in zip(pdf["key"], pdf["to"], pdf["p"], pdf["q"], pdf["to_p"], pdf["to_q"]) if (s := same_name(p, q, x, y))]
+        yield pd.DataFrame(rows, columns=["key", "to", "edits", "changed"])
+
+
+def similar_names(keys: DataFrame) -> DataFrame:
+    """keys(kind, key, p, q) -> (key, to, edits, changed), both ways, of all different keys of a kind that are the same name misspelt.
+
+    No pair of names is formed but of those that share a segment; a segment in the index of more than HEAVY names is
+    split by the segments of the names' rests, by the same argument, so that a common given name joins nobody.
+    """
+    names = cut(spread(keys.select("kind", "key", "p", "q")))
+    index = cut(names.mapInPandas(_index, "segment string, to string, to_p string, to_q string, to_rest string").distinct())
+    heavy = cut(index.groupBy("segment").agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY).select("segment"))
+    used = index.select("segment").distinct()
+    wanted = cut(names.mapInPandas(_lookups, "segment string, key string, p string, q string, rest string, length int").join(used, "segment", "left_semi"))
+    light = wanted.join(heavy, "segment", "left_anti").drop("rest", "length").join(index.drop("to_rest"), "segment")
+    index2 = index.join(heavy, "segment", "left_semi").mapInPandas(_index_rest, "segment string, to string, to_p string, to_q string")
+    wanted2 = wanted.join(heavy, "segment", "left_semi").mapInPandas(_lookup_rest, "segment string, key string, p string, q string")
+    hits = light.unionByName(wanted2.join(index2, "segment")).where(F.col("key") != F.col("to")).drop("segment").distinct()
+    one_way = cut(hits.mapInPandas(_verify, "key string, to string, edits int, changed array<string>").groupBy("key", "to").agg(F.min("edits").alias("edits"), F.first("changed").alias("changed")))
+    # Names are looked up among shorter ones: the other way round the other name's parts are the changed ones.
+    parts = keys.select(F.col("key").alias("to"), F.array("p", "q").alias("_to"))
+    mine = keys.select("key", F.array("p", "q").alias("_own"))
+    back = one_way.join(parts, "to").join(mine, "key").select(F.col("to").alias("key"), F.col("key").alias("to"), "edits", F.array_except("_to", "_own").alias("changed"))
+    return one_way.unionByName(back).dropDuplicates(["key", "to"])
 
 
 def link_variants(commits: DataFrame, given_names: DataFrame, name_col: str = "author_name", email_col: str = "author_email") -> DataFrame:
     """(identity, name, email, person) of every distinct identity; those of one person or team share `person`.
 
     Null names and mails are read as empty, the wholly empty identity is none; repeated rows count once; other columns
-    are left out. A part of one or two letters must be the same. Names with typos in both parts aren't linked unless a mail confirms them. A hint that fits several
-    persons is a person of its own. given_names (given, short_form) is a small fixed table whose size is checked.
+    are left out. A hint that fits several persons is a person of its own. given_names (given, short_form) is a small
+    fixed table whose size is checked; short forms that it lacks are learnt, any number of them.
     """
-    listed = given_names.select(F.lower("given"), F.lower("short_form")).where(F.col("given").isNotNull() & F.col("short_form").isNotNull()).distinct().limit(20_001).collect()
-    if len(listed) > 20_000:
-        raise ValueError("more than 20,000 short forms")
+    listed = given_names.select(F.lower("given"), F.lower("short_form")).where(F.col("given").isNotNull() & F.col("short_form").isNotNull()).distinct().limit(MOST_FORMS + 1).collect()
+    if len(listed) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} short forms")
     formal: dict[str, tuple[str, ...]] = {}
     for given, short in sorted({(fold(r[0]), fold(r[1])) for r in listed}):
         formal[short] = (*formal.get(short, ()), given)
+    spark = commits.sparkSession
+    table = spark.createDataFrame([(s, g) for s, full in formal.items() for g in full], "short string, formal string")
     typed = commits.groupBy(F.coalesce(name_col, F.lit("")).alias("name"), F.coalesce(email_col, F.lit("")).alias("email")).agg(F.count("*").alias("n"))
-    typed = cut(typed.where((F.col("name") != "") | (F.col("email") != "")))
-    read = cut(typed.mapInPandas(_reader(formal), _READ))
-    if learned := _learned_forms(typed, read, formal):
-        for short, given in learned:
-            formal[short] = (*formal.get(short, ()), given)
-        read = cut(typed.mapInPandas(_reader(formal), _READ))
-    full = read.where(F.col("kind") == "full")
-    keys = cut(full.groupBy("key", "p", "q").agg(F.max("support").alias("support"), F.max("sure").alias("sure"), F.sum("n").alias("n")))
-    canonical = _canonical(keys, full)
-    persons = cut(full.join(canonical, "key").select("identity", "name", "email", "mail", F.col("person")))
-    named = read.where(F.col("kind").isin("team", "bot")).select("identity", "name", "email", F.col("key").alias("person"))
-    hints = _resolve_hints(read.where(F.col("kind") == "hint"), persons, formal)
-    return persons.select("identity", "name", "email", "person").unionByName(named).unionByName(hints)
-
-
-def _learned_forms(typed: DataFrame, read: DataFrame, formal: dict[str, tuple[str, ...]], most: int = 5000) -> list[tuple[str, str]]:
-    """Short forms that the table lacks, as names and mails use them: (short, full), at most `most`, the best attested first.
+    read = cut(spread(typed.where((F.col("name") != "") | (F.col("email") != ""))).mapInPandas(_reader(formal), _READ))
+    full = read.where(F.col("kind").isin("full", "team"))
+    learned = cut(_learned_forms(read, formal))
+    forms = table.withColumn("known", F.lit(True)).unionByName(learned.withColumn("known", F.lit(False)))
+    spelt_by_mails = full.where(F.col("mail_key").isNotNull()).select(F.lit("full").alias("kind"), F.col("mail_key").alias("key"), F.col("mail_p").alias("p"), F.col("mail_q").alias("q"), F.lit(2).alias("support"), F.lit(None).cast("string").alias("sure"), F.lit(0).cast("bigint").alias("n"))
+    own = full.select("kind", "key", "p", "q", "support", "sure", "n")
+    keys = cut(own.unionByName(spelt_by_mails).groupBy("kind", "key", "p", "q").agg(F.max("support").alias("support"), F.max("sure").alias("sure"), F.sum("n").alias("n")))
+    links = cut(similar_names(keys).unionByName(_short_links(keys, full, forms)))
+    persons = cut(_persons(full, keys, links))
+    people = persons.where(F.col("kind") == "full").drop("kind")
+    bots = read.where(F.col("kind") == "bot").select("identity", "name", "email", F.col("key").alias("person"))
+    hints = read.where(F.col("kind") == "hint")
+    return persons.select("identity", "name", "email", "person").unionByName(bots).unionByName(_resolve_hints(hints, people, forms.select("short", "formal").distinct()))
+
+
+def _learned_forms(read: DataFrame, formal: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(short, formal): short forms that the table lacks, as names and mails use them.
 
     A short form is typed by people of several families whose mails hold the full one (or has its letters in order), and
     is never found in a mail itself; a word that some mail confirms as a name of its own is another name, even with one
@@ -129,88 +220,116 @@ def _learned_forms(typed: DataFrame, read: DataFrame, formal: dict[str, tuple[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x for n, e in zip(pdf["name"], pdf["email"]) if (x := unlisted_form(n, e, formal))]
-            yield pd.DataFrame(rows, columns=["short", "given", "family"])
+            rows = [(*x, within(x[0], x[1])) for n, e in zip(pdf["name"], pdf["email"]) if (x := unlisted_form(n, e, formal))]
+            yield pd.DataFrame(rows, columns=["short", "formal", "family", "inside"])
 
-    own = read.where(F.col("support") == 2)
+    own = read.where((F.col("kind") == "full") & (F.col("support") == 2))
     names = own.select(F.col("p").alias("short")).union(own.select("q")).distinct()
-    found = typed.select("name", "email").mapInPandas(run, "short string, given string, family string").groupBy("short", "given").agg(F.count_distinct("family").alias("n")).join(names, "short", "left_anti")
-    return [(r["short"], r["given"]) for r in found.orderBy(F.col("n").desc(), "short", "given").limit(most).collect() if r["n"] >= 2 or within(r["short"], r["given"])]
-
-
-def _canonical(keys: DataFrame, full: DataFrame) -> DataFrame:
-    """(key, person): the key itself, or the better confirmed key that it misspells or shortens."""
-    hits = keys.mapInPandas(_lookups, "probe string, key string, part string").join(keys.mapInPandas(_index, "probe string, to string, same string, to_part string"), "probe").where(F.col("key") != F.col("to"))
-    close = hits.select("key", "to", "part", "to_part").distinct().mapInPandas(_verify, "key string, to string, part string, edits int")
-    # A part that the key's own mail spells the same isn't misspelt (`sure`).
+    found = read.select("name", "email").mapInPandas(run, "short string, formal string, family string, inside boolean").groupBy("short", "formal").agg(F.count_distinct("family").alias("_n"), F.max("inside").alias("_inside"))
+    return found.where((F.col("_n") >= 2) | F.col("_inside")).join(names, "short", "left_anti").select("short", "formal")
+
+
+def _short_links(keys: DataFrame, full: DataFrame, forms: DataFrame) -> DataFrame:
+    """Links (key, to, edits 0, changed) from a name with a short form to the same name with the full one."""
+    sorted_key = lambda a, b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
+    people = keys.where(F.col("kind") == "full")
+    sides = F.explode(F.array(F.struct(F.col("p").alias("part"), F.col("q").alias("other")), F.struct(F.col("q").alias("part"), F.col("p").alias("other"))))
+    each = people.select("key", sides.alias("s")).select("key", F.col("s.part").alias("part"), F.col("s.other").alias("other"))
+    there = people.select(F.col("key").alias("to"))
+    by_form = each.join(forms, F.col("part") == F.col("short")).select("key", "part", "known", sorted_key(F.col("formal"), F.col("other")).alias("to")).join(there, "to").where(F.col("key") != F.col("to"))
+    # A short form of several full ones stands for one only where a single one of them is somebody's name.
+    alone = by_form.groupBy("key").agg(F.min("to").alias("to"), F.max("to").alias("_last"), F.min("part").alias("part")).where(F.col("to") == F.col("_last")).select("key", "to", "part")
     # Short forms that no table lists: one mailbox, one part the same, the other a short form by its letters.
-    boxes = full.where(F.col("mail").isNotNull()).select("mail", "key", "p", "q").distinct()
-    sides = lambda d, suffix: d.select("mail", F.col("key").alias("key" + suffix), F.explode(F.array(F.struct(F.col("p").alias("same"), F.col("q").alias("part")), F.struct(F.col("q").alias("same"), F.col("p").alias("part")))).alias("s")).select("mail", "key" + suffix, F.col("s.same").alias("same"), F.col("s.part").alias("part" + suffix))
     stem = F.regexp_replace("part", r"(?:ie|y|i|a|o|s)$", "")
-    short = (
-        sides(boxes, "").join(sides(boxes, "_to"), ["mail", "same"]).where((F.col("key") != F.col("key_to")) & (F.length("part") <= 6) & (F.length("part") + 2 <= F.length("part_to")))
-        .where((F.length(stem) >= 2) & F.col("part_to").startswith(F.substr(stem, F.lit(1), F.least(F.length(stem), F.lit(3)))))
-        .select("key", F.col("key_to").alias("to"), "part", F.lit(0).alias("edits"))
-    )
+    boxes = full.where((F.col("kind") == "full") & F.col("mail").isNotNull()).select("mail", "key", "p", "q").distinct()
+    in_box = boxes.select("mail", "key", sides.alias("s")).select("mail", "key", F.col("s.other").alias("same"), F.col("s.part").alias("part"))
+    # The first two letters are the same, so a shared mailbox joins only names that begin alike.
+    a = in_box.where(F.length("part") <= 6).withColumn("_start", F.left(stem, F.lit(2)))
+    b = in_box.select("mail", "same", F.left("part", F.lit(2)).alias("_start"), F.col("key").alias("to"), F.col("part").alias("to_part"))
+    by_box = a.join(b, ["mail", "same", "_start"]).where((F.col("key") != F.col("to")) & (F.length("part") + 2 <= F.length("to_part")) & (F.length(stem) >= 2) & F.col("to_part").startswith(F.left(stem, F.lit(3))))
+    found = alone.unionByName(by_box.select("key", "to", "part"))
+    return found.groupBy("key", "to").agg(F.min("part").alias("part")).select("key", "to", F.lit(0).alias("edits"), F.array("part").alias("changed"))
+
+
+def _persons(full: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
+    """(identity, name, email, kind, mail, person): the name that an identity's own mail confirms or its key, followed to the best spelling."""
     of = keys.select("key", "support", "sure", "n")
-    to = of.select(F.col("key").alias("to"), F.col("support").alias("to_support"), F.col("n").alias("to_n"))
-    better = (F.col("edits") == 0) | ((F.col("support") < 2) & ~F.coalesce(F.col("part") == F.col("sure"), F.lit(False)) & ((F.col("to_support") > F.col("support")) | ((F.col("to_support") == F.col("support")) & ((F.col("to_n") > F.col("n")) | ((F.col("to_n") == F.col("n")) & (F.col("to") < F.col("key")))))))
-    chosen = close.unionByName(short).join(of, "key").join(to, "to").where(better).groupBy("key").agg(F.min(F.struct("edits", (-F.col("to_support")).alias("s"), (-F.col("to_n")).alias("c"), "to")).alias("b")).select("key", F.col("b.to").alias("to"))
-    chosen = cut(chosen)
-    # Targets are better than what they stand for, so chains end; two steps follow nearly all, the loop the rest.
-    link = keys.select("key").join(chosen, "key", "left").select("key", F.coalesce("to", "key").alias("person"))
-    for _ in range(8):
-        step = chosen.select(F.col("key").alias("person"), F.col("to").alias("_next"))
-        moved = cut(link.join(step, "person", "left").select("key", F.coalesce("_next", "person").alias("person"), F.col("_next").isNotNull().alias("_moved")))
-        link = moved.select("key", "person")
-        if not moved.where("_moved").take(1):
+    to = keys.select(F.col("key").alias("to"), F.col("support").alias("to_support"), F.col("n").alias("to_n"), F.col("p").alias("to_p"), F.col("q").alias("to_q"))
+    rated = cut(links.join(of, "key").join(to, "to"))
+    # The own mail says which of the similar names is meant.
+    first = lambda c: F.left(c, F.lit(1))
+    token = F.col("token").isin(F.concat("to_p", "to_q"), F.concat("to_q", "to_p"), F.concat(first("to_p"), "to_q"), F.concat(first("to_q"), "to_p"))
+    meant = full.where(F.col("support") < 2).select("identity", "key", "mail_key", "token").join(rated, "key").where(F.coalesce(F.col("mail_key") == F.col("to"), F.lit(False)) | F.coalesce(token, F.lit(False)))
+    meant = meant.groupBy("identity").agg(F.min(F.struct("edits", (-F.col("to_support")).alias("s"), (-F.col("to_n")).alias("c"), "to")).alias("b")).select("identity", F.col("b.to").alias("_meant"))
+    # Otherwise a spelling that no mail confirms stands for the best similar one; a part that its mail spells alike isn't misspelt.
+    misspelt = (F.col("support") < 2) & ~F.coalesce(F.array_contains("changed", F.col("sure")), F.lit(False))
+    more = (F.col("to_support") > F.col("support")) | ((F.col("to_support") == F.col("support")) & ((F.col("to_n") > F.col("n")) | ((F.col("to_n") == F.col("n")) & (F.col("to") < F.col("key")))))
+    better = rated.where((F.col("edits") == 0) | (misspelt & more))
+    chosen = cut(better.groupBy("key").agg(F.min(F.struct("edits", (-F.col("to_support")).alias("s"), (-F.col("to_n")).alias("c"), "to")).alias("b")).select("key", F.col("b.to").alias("to")))
+    ends = _follow(chosen)
+    named = full.join(meant, "identity", "left").withColumn("_at", F.coalesce("_meant", "key"))
+    return named.join(ends.select(F.col("key").alias("_at"), "person"), "_at", "left").select("identity", "name", "email", "kind", "mail", F.coalesce("person", "_at").alias("person"))
+
+
+def _follow(chosen: DataFrame) -> DataFrame:
+    """chosen(key, to), one row a key -> (key, person): the end of the chain from each key, or the least key of the ring it leads into.
+
+    Pointer doubling: as many rounds as the longest chain has binary digits.
+    """
+    n = chosen.count()
+    jump = chosen.select("key", F.col("to").alias("at"), F.col("to").alias("least"))
+    for _ in range(max(1, math.ceil(math.log2(n + 1)) + 1)):
+        step = jump.select(F.col("key").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        jump = cut(jump.join(step, "at", "left").select("key", F.coalesce("_at", "at").alias("at"), F.least("least", "_least").alias("least"), F.col("_at").isNotNull().alias("_moved")))
+        if not jump.where("_moved").take(1):
             break
-    return link
+        jump = jump.drop("_moved")
+    # After so many steps only rings still lead on; from one of their keys the least met is the ring's.
+    ring = jump.select(F.col("key").alias("at"), F.col("least").alias("_ring"))
+    return jump.join(ring, "at", "left").select("key", F.coalesce("_ring", "at").alias("person"))
 
 
-def _resolve_hints(hints: DataFrame, persons: DataFrame, formal: dict[str, tuple[str, ...]]) -> DataFrame:
+def _resolve_hints(hints: DataFrame, persons: DataFrame, forms: DataFrame) -> DataFrame:
     """Hints by mailbox, then by the mail's initial and family name or whole name; else by the mail alone."""
     parts = F.split("person", " ")
     people = persons.select("person").distinct().select("person", parts[0].alias("p"), parts[1].alias("q"))
-    first = lambda c: F.substr(c, F.lit(1), F.lit(1))
-    spelt = people.select("person", F.explode(F.array_distinct(F.array(F.concat(first("p"), "q"), F.concat(first("q"), "p"), F.concat("p", "q"), F.concat("q", "p")))).alias("spelt")).distinct()
-    # A mailbox's own person: the one whose name the mail spells, else its only one.
-    tagged = persons.join(hints.select("mail").where(F.col("mail").isNotNull()).distinct(), "mail", "left_semi").select("mail", "person").distinct()
-
-    def fits(given, initial, family, person):
-        p, q = F.split(person, " ")[0], F.split(person, " ")[1]
-        word = F.coalesce(given, F.lit(""))
-        letter = F.coalesce(initial, F.lit(""))
-        forms = [F.lit(False)]
-        for short, fulls in formal.items():
-            forms += [(word == short) & (p.isin(*fulls) | q.isin(*fulls))]
-        known = (word == "") | (word == p) | (word == q) | _any(forms) | (word == F.concat(first(p), q)) | (word == F.concat(first(q), p)) | (word == F.concat(p, q)) | (word == F.concat(q, p)) | (F.levenshtein(word, p) <= 2) & (F.length(word) >= 5) | (F.levenshtein(word, q) <= 2) & (F.length(word) >= 5)
-        initialled = (letter == "") | (first(p) == letter) | (first(q) == letter)
-        return known & initialled
-
-    by_box = hints.join(tagged, "mail").where(fits(F.col("given"), F.col("initial"), F.col("family"), F.col("person"))).select("identity", "person", F.lit(1).alias("rank"))
-    by_token = hints.where(F.col("token").isNotNull()).join(spelt, F.col("token") == F.col("spelt")).where(fits(F.col("given"), F.col("initial"), F.col("family"), F.col("person"))).select("identity", "person", F.lit(2).alias("rank"))
+    first = lambda c: F.left(c, F.lit(1))
+    logins = F.array_distinct(F.array(F.concat(first("p"), "q"), F.concat(first("q"), "p"), F.concat("p", "q"), F.concat("q", "p")))
+    spelt = cut(people.select("person", "p", "q", F.explode(logins).alias("spelt")).distinct())
+    # The persons of a mailbox.
+    boxes = persons.join(hints.select("mail").where(F.col("mail").isNotNull()).distinct(), "mail", "left_semi").select("mail", "person").distinct().select("mail", "person", parts[0].alias("p"), parts[1].alias("q"))
+
+    def fits(candidates: DataFrame) -> DataFrame:
+        """Candidates (identity, given, initial, person, p, q, rank) that the typed word and initial don't contradict."""
+        word, letter = F.coalesce("given", F.lit("")), F.coalesce("initial", F.lit(""))
+        flag = lambda part: forms.select(F.col("short").alias("given"), F.col("formal").alias(part), F.lit(True).alias(f"_{part}"))
+        c = candidates.join(flag("p"), ["given", "p"], "left").join(flag("q"), ["given", "q"], "left")
+        near_part = lambda part: (F.levenshtein(word, F.col(part)) <= 2) & (F.length(word) >= 5)
+        known: Column = (word == "") | word.isin(F.col("p"), F.col("q"), F.concat(first("p"), "q"), F.concat(first("q"), "p"), F.concat("p", "q"), F.concat("q", "p")) | F.coalesce("_p", F.lit(False)) | F.coalesce("_q", F.lit(False)) | near_part("p") | near_part("q")
+        return c.where(known & ((letter == "") | (first("p") == letter) | (first("q") == letter))).select("identity", "person", "rank")
+
+    asked = hints.select("identity", "mail", "token", "given", "initial", "family")
+    row = lambda d, rank: d.select("identity", "given", "initial", "person", "p", "q", F.lit(rank).alias("rank"))
+    by_box = row(asked.join(boxes, "mail"), 1)
+    by_token = row(asked.join(spelt, F.col("token") == F.col("spelt")), 2)
     # A word without mail that is a login: initial and family name, or the whole name.
-    by_word = hints.where(F.col("mail").isNull() & F.col("given").isNotNull() & F.col("initial").isNull()).join(spelt, F.col("given") == F.col("spelt")).select("identity", "person", F.lit(3).alias("rank"))
-    by_both = hints.where(F.col("initial").isNotNull() & F.col("family").isNotNull()).join(spelt, F.concat("initial", "family") == F.col("spelt")).select("identity", "person", F.lit(4).alias("rank"))
-    candidates = by_box.unionByName(by_token).unionByName(by_word).unionByName(by_both).distinct()
+    by_word = row(asked.where(F.col("mail").isNull() & F.col("given").isNotNull() & F.col("initial").isNull()).join(spelt, F.col("given") == F.col("spelt")), 3)
+    by_both = row(asked.where(F.col("initial").isNotNull() & F.col("family").isNotNull()).join(spelt, F.concat("initial", "family") == F.col("spelt")), 4)
+    candidates = fits(by_box.unionByName(by_token)).unionByName(by_word.unionByName(by_both).select("identity", "person", "rank"))
     unique = candidates.groupBy("identity", "rank").agg(F.min("person").alias("person"), F.max("person").alias("_last")).where(F.col("person") == F.col("_last"))
     best = unique.groupBy("identity").agg(F.min(F.struct("rank", "person")).alias("b")).select("identity", F.col("b.person").alias("_found"))
-    alone = F.coalesce(F.concat(F.lit("token:"), "token"), F.concat(F.lit("mail:"), "mail"), F.concat(F.lit("identity:"), "identity"))
+    # A nameless role mailbox is a team's, unless persons write from it: then it is a machine's and says nothing.
+    used = persons.select("mail").where(F.col("mail").isNotNull()).distinct().withColumn("_used", F.lit(True))
     # Unplaced hints in shared mailboxes (no token) aren't one person.
-    alone = F.when(F.col("token").isNull() | (F.length("token") < 4), F.concat(F.lit("identity:"), "identity")).otherwise(alone)
-    return hints.join(best, "identity", "left").select("identity", "name", "email", F.coalesce("_found", alone).alias("person"))
-
-
-def _any(conditions: list):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    alone = F.when(F.col("role").isNotNull() & F.col("_used").isNull(), F.concat(F.lit("team:"), "role")).when(F.length("token") >= 4, F.concat(F.lit("token:"), "token")).otherwise(F.concat(F.lit("identity:"), "identity"))
+    return hints.join(best, "identity", "left").join(used, "mail", "left").select("identity", "name", "email", F.coalesce("_found", alone).alias("person"))
 
 
 def identity_pairs(linked: DataFrame) -> DataFrame:
-    """(identity_a, identity_b), a before b, of all identities of one person: a person has few spellings, so its pairs are few."""
+    """(identity_a, identity_b), a before b, of all identities of one person: the pairs that the problem asks for.
+
+    As many as the square of a person's spellings; `link_variants` is the result with one row an identity.
+    """
     a = linked.select("person", F.col("identity").alias("identity_a"))
     b = linked.select("person", F.col("identity").alias("identity_b"))
     return a.join(b, "person").where(F.col("identity_a") < F.col("identity_b")).select("identity_a", "identity_b").distinct()

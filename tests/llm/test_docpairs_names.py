@@ -2,7 +2,8 @@ import pytest
 
 from codestrata.llm.docpairs import documented_functions, informative
 from codestrata.llm.names import distance, fold, near, read_identity
-from codestrata.llm.variants import identity_pairs, link_variants, probes, segments
+from codestrata.llm import variants
+from codestrata.llm.variants import edits_of, identity_pairs, link_variants, probes, same_name, segments
 
 SAYS = ["Reads all rows and keeps the last.", "/** Never blocks. */", "TODO: tidy.\nReads all rows from disk.", ":param path: where the rows are kept on disk", "# Returns early when the disk is full."]
 SAYS_NOTHING = [None, "", "  ", "***", "TODO: document", "N/A", "Load rows.", "load_rows()", "The load rows function.", "Args:\n    path:\n\nReturns:", "@param path\n@return", "See base class.", "{@inheritDoc}", "Siehe oben.", "/// Add description here.", "Parameters\n----------\npath : str", "à compléter", "Auto-generated method stub"]
@@ -55,9 +56,10 @@ def test_distance_and_segments():
         for b in words[:40]:
             d = levenshtein(a, b)
             assert distance(a, b, 2) <= min(d, 3) and (d > 4 or distance(a, b, 2) >= min((d + 1) // 2, 3))
-            if d <= 2 and len(b) >= 3:  # shorter ones have an empty segment
-                index = {(len(b), i, t) for i, (_, t) in enumerate(segments(b, 2)) if t}
-                assert probes(a, 2) & index, (a, b)
+            for k in (2, 3):
+                if d <= k and k < len(b) <= len(a):
+                    index = {(i, t) for i, (_, t) in enumerate(segments(b, k))}
+                    assert {(i, a[lo:hi]) for i, lo, hi in probes(a, len(b), k)} & index, (a, b)
     assert distance("deepa", "deeap", 2) == 1 and near("klitidesh", "kltiidesh") and not near("jonas", "petra")
     assert fold("PitÃ¶rane") == "pitorane" == fold("Pitörane")
 
@@ -86,7 +88,52 @@ def test_variants(spark):
 
 def test_readings():
     assert read_identity("Dr. Edward F. Kaposulf", "e.kaposulf@x.example", FORMAL).kind == "full"
-    r = read_identity("Edward Kaopsulf", "ekaposulf@x.example", FORMAL)
-    assert (r.a, r.b, r.support) == ("edward", "kaposulf", 1)
+    r = read_identity("Edward Kaposulf", "ekaposulf@x.example", FORMAL)
+    assert (r.a, r.b, r.support, r.sure) == ("edward", "kaposulf", 1, "kaposulf")
+    r = read_identity("Edward Kaopsulf", "edward.kaposulf@x.example", FORMAL)  # a mail only confirms
+    assert (r.a, r.b, r.support) == ("edward", "kaopsulf", 0)
     assert read_identity("release-bot", "release-bot@ci.example", FORMAL).kind == "bot"
     assert read_identity("unknown", "ekaposulf@x.example", FORMAL).kind == "hint"
+
+
+@pytest.mark.parametrize("heavy", [32, 0])
+def test_similar_names_against_all_pairs(spark, heavy, monkeypatch):
+    import random
+
+    monkeypatch.setattr(variants, "HEAVY", heavy)
+    r = random.Random(11)
+    given, family = ["abigail", "petra", "li", "mueller", "oskar"], ["grosemard", "tolovung", "kim", "stabiwen"]
+
+    def typo(w):
+        i = r.randrange(len(w))
+        return r.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w.replace("ue", "u")])
+
+    names = {tuple(sorted((typo(g) if r.random() < 0.5 else g, typo(f) if r.random() < 0.5 else f))) for _ in range(160) for g, f in [(r.choice(given), r.choice(family))]}
+    names = [(p, q) for p, q in names if p and q]
+    df = spark.createDataFrame([("full", f"{p} {q}", p, q) for p, q in names], "kind string, key string, p string, q string")
+    got = {(x["key"], x["to"]): (x["edits"], sorted(x["changed"])) for x in variants.similar_names(df).collect()}
+    want = {}
+    for p, q in names:
+        for x, y in names:
+            swapped = " ".join((q, p))
+            if (p, q) != (x, y) and (m := same_name(p, q, x, y)) and min(levenshtein(t, f"{x} {y}") for t in (f"{p} {q}", swapped)) <= min(edits_of(len(f"{p} {q}")), edits_of(len(f"{x} {y}"))):
+                want[f"{p} {q}", f"{x} {y}"] = m[0]
+    assert want.keys() <= got.keys() and all(same_name(*a.split(" "), *b.split(" ")) for a, b in got)
+    assert all(got[k][0] == e for k, e in want.items()) and ("abigail grosemard", "grosemard petra") not in got
+
+
+def test_links_are_followed_to_the_end_and_rings_closed(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)] + [("a", "b"), ("b", "c"), ("c", "b"), ("x", "y")]
+    got = dict(map(tuple, variants._follow(spark.createDataFrame(chain, "key string, to string")).collect()))
+    assert all(got[f"n{i:03d}"] == "n100" for i in range(100)) and got["a"] == got["b"] == got["c"] and got["x"] == "y"
+
+
+def test_many_short_forms_and_typos_in_both_parts(spark):
+    people = [("Zarobim Tolovung", "zarobim.tolovung@a.example"), ("Zarbim Tolovnug", "x@shared.example"), ("Sh7 Tolovung", "y@shared.example"), ("Short19999 Tolovung", None), ("unknown", "tolovung@b.example")]
+    commits = spark.createDataFrame(people, "author_name string, author_email string")
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    given = spark.createDataFrame([(f"full{word(i)}", f"zz{word(i)}") for i in range(19_998)] + [("Zarobim", "Zaro")], "given string, short_form string")
+    person = {r["identity"]: r["person"] for r in link_variants(commits.union(spark.createDataFrame([("Zaro Tolovung", "z@shared.example")], commits.schema)), given).collect()}
+    assert len({person[f"{n} <{m}>"] for n, m in people[:2]} | {person["Zaro Tolovung <z@shared.example>"]}) == 1
+    with pytest.raises(ValueError):
+        link_variants(commits, given.union(spark.createDataFrame([("a", "b"), ("c", "d")], given.schema)))
