@@ -22,6 +22,9 @@ class BoostedTrees:
     rate: float = 0.25
     bins: int = 32
     ridge: float = 1.0
+    #: Share of the columns that a tree may split on, drawn anew for every tree: no single one decides.
+    columns: float = 1.0
+    seed: int = 7
     edges: list[np.ndarray] = field(default_factory=list)
     trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=list)
     start: np.ndarray | None = None
@@ -42,18 +45,20 @@ class BoostedTrees:
         share = np.maximum((onehot * weight[:, None]).sum(0) / weight.sum(), 1e-4)
         self.start = np.log(share)
         z = np.tile(self.start, (n, 1))
+        draw = np.random.default_rng(self.seed)
+        some = max(1, round(self.columns * f))
         for _ in range(self.rounds):
             p = _softmax(z)
             round_trees = []
             for c in range(k):
                 g, h = weight * (p[:, c] - onehot[:, c]), weight * np.maximum(p[:, c] * (1 - p[:, c]), 1e-6)
-                tree, leaf = self._grow(b, flat, g, h, f)
+                tree, leaf = self._grow(b, flat, g, h, f, np.sort(draw.choice(f, some, replace=False)))
                 round_trees.append(tree)
                 z[:, c] += self.rate * tree[2][leaf]
             self.trees.append(round_trees)
         return self
 
-    def _grow(self, b: np.ndarray, flat: np.ndarray, g: np.ndarray, h: np.ndarray, f: int) -> tuple[tuple, np.ndarray]:
+    def _grow(self, b: np.ndarray, flat: np.ndarray, g: np.ndarray, h: np.ndarray, f: int, use: np.ndarray) -> tuple[tuple, np.ndarray]:
         size = 2**self.depth
         split_on, split_at = np.zeros(size, np.int32), np.full(size, self.bins, np.int32)
         node = np.ones(len(g), np.int32)
@@ -62,15 +67,15 @@ class BoostedTrees:
                 rows = np.flatnonzero(node == m)
                 if len(rows) < 10:
                     continue
-                cells = flat[rows].ravel()
-                hg = np.bincount(cells, np.repeat(g[rows], f), f * self.bins).reshape(f, self.bins).cumsum(1)
-                hh = np.bincount(cells, np.repeat(h[rows], f), f * self.bins).reshape(f, self.bins).cumsum(1)
+                cells = flat[np.ix_(rows, use)].ravel()
+                hg = np.bincount(cells, np.repeat(g[rows], len(use)), f * self.bins).reshape(f, self.bins)[use].cumsum(1)
+                hh = np.bincount(cells, np.repeat(h[rows], len(use)), f * self.bins).reshape(f, self.bins)[use].cumsum(1)
                 tg, th = hg[:, -1:], hh[:, -1:]
                 gain = hg**2 / (hh + self.ridge) + (tg - hg) ** 2 / (th - hh + self.ridge) - tg**2 / (th + self.ridge)
                 gain[(hh < 1e-3) | (th - hh < 1e-3)] = -1
                 best = int(gain.argmax())
                 if gain.flat[best] > 1e-6:
-                    split_on[m], split_at[m] = best // self.bins, best % self.bins
+                    split_on[m], split_at[m] = use[best // self.bins], best % self.bins
             node = 2 * node + (b[np.arange(len(g)), split_on[node]] > split_at[node])
         leaf = node - size
         value = -np.bincount(leaf, g, size) / (np.bincount(leaf, h, size) + self.ridge)

@@ -3,134 +3,104 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
-_LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\w{3} +\d+ \d\d:\d\d:\d\d|(?:DEBUG|INFO|WARN|ERROR|TRACE|FATAL)\b)")
-_TRACE = re.compile(r"^\s*(?:at \S+\(.*\)|File \".*\", line \d+|Traceback \(|\.\.\. \d+ more|Caused by:)")
-_HEX = re.compile(r"^\s*(?:[0-9a-fA-F]{6,}:?\s+)?(?:[0-9a-fA-F]{2,4}\s+){6,}")
-_DAMAGED = re.compile("[\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x80-\x9f]|Ã.|Â.|â‚¬|â€|ï¿½")
-_CODE = re.compile(r"[{}\[\]();=<>^~$%#@\\!*+|`]")
-_PAGE = re.compile(
-    r"skip to content|back to top|cookies?\b|all rights reserved|©|sign ?in|log ?in|sign up|subscribe|toggle menu|copy link|tweet|\blikes?\b|loading\.\.\.|previous \| next|home \||read more|privacy policy|terms of (?:use|service)|newsletter|menu\b",
-    re.I,
-)
-_BULLET = re.compile(r"^\s*(?:[-*•·–—+o▪‣]|\[[ xX]\]|\(?\d{1,4}[.):]|\(?[A-Za-z][.)]|v?\d+(?:\.\d+)+\s*$|#+ )(?:\s|$)")
-_LEADERS = re.compile(r"(?:\.{4,}|(?:\. ){4,}|_{4,})\s*\d*\s*$")
-_RULE = re.compile(r"^[\s|+:=_-]{4,}$")
-_CELLS = re.compile(r"</?t[dhr]\b|</?table\b", re.I)
-_GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
+_GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)")
+_TIGHT = re.compile(r"[,;](?=\S)")
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 _END = tuple(".!?:;…\"'»”)")
+#: Most common words of the fixed table (checked).
+MOST_COMMON = 10_000
+BUCKETS = 256
+#: Signs by which a text read in a wrong encoding shows.
+_MISREAD = "ÃÂâ€¬"
 
-LINE_KINDS = ("prose", "list", "table", "junk", "other")
-#: Columns of `statistics`, in order.
+#: Columns of `statistics`, in order. Shares of lines are shares of their characters without blanks.
 FEATURES = (
-    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "space_ratio", "letter_ratio",
-    "punctuated_lines", "common_words", "mean_line_length", "line_length_spread", "single_letter_share", "distinct_words", "distinct_lines",
-    "top_line_share", "compression", "damaged_ratio", "longest_token_share", "bullet_share", "delimiter_share", "short_line_share",
-    "prose_share", "list_share", "table_share", "junk_share", "other_share", "words_per_sentence", "consecutive_repeats",
+    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "space_ratio", "letter_ratio", "control_ratio", "misread_ratio",
+    "common_words", "near_common_words", "single_letters", "distinct_words", "repeated_words", "words_per_sentence", "commas_per_word", "identifier_share", "longest_token_share", "mean_token_length",
+    "mean_line_length", "line_length_spread", "distinct_lines", "top_line_share", "compression",
+    "ended_lines", "worded_lines", "half_worded_lines", "bare_lines", "short_lines", "marked_lines", "numbered_lines", "delimited_lines", "gapped_lines", "symbol_lines", "digit_lines", "tagged_lines", "regular_lines", "same_start_lines", "capital_lines",
 )
 
 
-def line_kind(line: str, words: list[str], common: int) -> int:
-    """Index into LINE_KINDS of a line that isn't blank."""
-    s = line.strip()
-    n, w = len(s), len(words)
-    damaged = sum(len(m) for m in _DAMAGED.findall(s))
-    if damaged > 0.06 * n:
-        return 3
-    tokens = s.split()
-    if len(tokens) >= 8 and sum(len(t) == 1 for t in tokens) > 0.7 * len(tokens) and "|" not in s:
-        return 3
-    if _LOG.match(s) or _TRACE.match(s) or _HEX.match(s + " "):
-        return 3
-    share = common / w if w else 0.0
-    if max(map(len, tokens)) >= 40 and not _RULE.match(s) and not _LEADERS.search(s) and share < 0.15 and "," not in s and ";" not in s and "\t" not in s and "|" not in s and not _CELLS.search(s) and "](" not in s:
-        return 3
-    if w <= 7 and n < 60 and _PAGE.search(s) and (share < 0.2 or not s.endswith((".", "?", "!", ",")) or s.endswith("...")):
-        return 3
-    if _CELLS.search(s):
-        return 2
-    if _RULE.match(s):
-        return 2 if "|" in s or "+" in s else 3 if n >= 20 else 4
-    cells = max(s.count("|"), s.count("\t"), s.count(";") if "; " not in s else 0, len(re.findall(r",(?=\S)", s)), s.count(" & ") if s.endswith("\\\\") else 0)
-    gaps = len(_GAPS.findall(s))
-    pair = cells == 1 and " " not in s and (s.count(",") == 1 or s.count(";") == 1) and not s.endswith((",", ";"))
-    if share < 0.2 and (cells >= 2 or pair or s.endswith("\\\\") and cells or s.count("\t")) and len(_CODE.findall(s)) - s.count("|") - s.count(";") - 2 * s.endswith("\\\\") < 0.15 * n:
-        return 2
-    chunks = s.split(", ")
-    if len(chunks) >= 6 and w <= 2.6 * len(chunks) and common <= 0.35 * w:
-        return 1
-    if share < 0.2 and gaps >= 1 and not _BULLET.match(s) and not _LEADERS.search(s):
-        return 2
-    if _LEADERS.search(s) and share < 0.3:
-        return 1
-    symbols = len(_CODE.findall(s))
-    if symbols > 0.14 * n and share < 0.2 and not _BULLET.match(s) and "](" not in s and n > 12:
-        return 3
-    if w >= 12 and common == 0 and len(set(words)) < 0.5 * w and "," not in s:
-        return 3
-    if share >= 0.2 and w >= 5 or share >= 0.12 and w >= 9 or (w >= 3 and common >= 1 and s.endswith(_END) and not _BULLET.match(s)):
-        return 0
-    if _BULLET.match(s) or s.count(", ") >= 5 and share < 0.12 or (w <= 8 and share < 0.34) or "](" in s:
-        return 1
-    return 4
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every character of the basic plane: 0 symbol, 1 lower letter, 2 upper, 3 digit, 4 blank, 5 control or replacement, 6 sign of a wrong encoding."""
+    out = np.zeros(65536, np.int64)
+    for i in range(65536):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        out[i] = 6 if c in _MISREAD else 4 if c.isspace() else 5 if kind in ("Cc", "Cs", "Co", "Cn") or i == 0xFFFD else 3 if c.isdigit() else 2 if kind in ("Lu", "Lt") else 1 if kind[0] == "L" else 0
+    return out
 
 
 def statistics(text: str, common_words: frozenset[str]) -> list[float] | None:
     """FEATURES of a whole text, or None for one that is null or blank."""
     if text is None or not text.strip():
         return None
-    n = len(text)
-    lines = [x for x in text.splitlines() if x.strip()]
-    chars = dict.fromkeys(LINE_KINDS, 0)
-    n_words = letters = n_common = singles = bullets = delimited = short = punctuated = 0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    symbols, lower, upper, digits, space, control, misread = np.bincount(_classes()[np.minimum(codes, 65535)], minlength=7)[:7].tolist()
+    n = len(codes)
+    words_of_text: list[str] = []
     seen: Counter[str] = Counter()
-    vocabulary: Counter[str] = Counter()
-    total = consecutive = 0
-    before = None
-    lengths = np.array([len(x.strip()) for x in lines])
-    kinds = []
-    for line in lines:
+    lengths: list[int] = []
+    shares = dict.fromkeys(FEATURES[FEATURES.index("ended_lines") :], 0)
+    total = n_common = near = singles = repeats = commas = 0
+    before_cells, before_start = -1, ""
+    for line in text.splitlines():
         s = line.strip()
+        if not s:
+            continue
+        seen[s] += 1
+        lengths.append(len(s))
         words = WORD.findall(s.lower())
-        common = sum(x in common_words for x in words)
-        kind = line_kind(line, words, common)
-        kinds.append(kind)
-        weight = sum(len(t) for t in s.split())
-        total += weight
-        chars[LINE_KINDS[kind]] += weight
-        n_words += len(words)
-        letters += sum(map(len, words))
+        flags = [x in common_words for x in words]
+        common, w = sum(flags), len(words)
         n_common += common
+        words_of_text += words
+        weight = len(s) - s.count(" ")
+        total += weight
+        if common:
+            last = -9
+            for i, f in enumerate(flags):
+                last = i if f else last
+                near += i - last <= 3
         singles += sum(len(x) == 1 for x in words)
-        bullets += weight * bool(_BULLET.match(s))
-        delimited += weight * (kind == 2)
-        short += weight * (len(s) < 40)
-        punctuated += s.endswith(_END)
-        seen[s] += 1
-        vocabulary.update(words)
-        for x in words:
-            consecutive += x == before
-            before = x
+        repeats += sum(map(str.__eq__, words, words[1:]))
+        commas += s.count(", ")
+        cells = s.count("|") + s.count("\t") + s.count("&") + len(_TIGHT.findall(s))
+        start = s[0]
+        n_digits = sum(map(s.count, "0123456789")) if any(c in s for c in "0123456789") else 0
+        marks = len(s) - sum(map(len, words)) - n_digits - s.count(" ")
+        for name, holds in (
+            ("ended_lines", s.endswith(_END)), ("worded_lines", w >= 5 and common >= 0.2 * w), ("half_worded_lines", w >= 3 and common >= 1 and common >= 0.12 * w), ("bare_lines", not common), ("short_lines", w <= 7),
+            ("marked_lines", not start.isalnum()), ("numbered_lines", start.isdigit()), ("delimited_lines", cells >= 2), ("gapped_lines", "  " in s and bool(_GAP.search(s)) or "\t" in s), ("symbol_lines", marks > 0.15 * len(s)), ("digit_lines", n_digits > 0.25 * weight),
+            ("tagged_lines", start == "<" or "</" in s), ("regular_lines", cells > 0 and cells == before_cells), ("same_start_lines", start == before_start and not start.isalpha()), ("capital_lines", start.isupper() and w <= 7),
+        ):
+            if holds:
+                shares[name] += weight
+        before_cells, before_start = cells, start
+    tokens = text.split()
     raw = text.encode("utf-8", "surrogatepass")
+    n_words, n_lines = len(words_of_text), len(lengths)
+    line_chars = sum(lengths)
+    spread = float(np.std(lengths)) / max(1.0, line_chars / n_lines)
     repeated = sum(v * len(k) for k, v in seen.items() if v >= 3)
-    top = max(v * len(k) for k, v in seen.items()) if len(lines) > 1 else 0
-    sentences = max(1, len(re.findall(r"[.!?…](?:\s|$)", text)))
-    digits = sum(c.isdigit() for c in text)
-    upper = sum(c.isupper() for c in text)
-    space = sum(c.isspace() for c in text)
-    alpha = sum(c.isalpha() for c in text)
+    words = max(1, n_words)
     values = [
-        n, n_words, len(lines), letters / max(1, n_words), (n - alpha - digits - space) / n, digits / n, upper / n, space / n, alpha / n,
-        punctuated / len(lines), n_common / max(1, n_words), float(lengths.mean()), float(lengths.std() / max(1.0, lengths.mean())), singles / max(1, n_words), len(vocabulary) / max(1, n_words), len(seen) / len(lines),
-        repeated / max(1, int(lengths.sum())) if len(lines) > 1 else 0.0, len(zlib.compress(raw, 1)) / len(raw), sum(len(m) for m in _DAMAGED.findall(text)) / n, max(map(len, text.split())) / n, bullets / total, delimited / total, short / total,
-        chars["prose"] / total, chars["list"] / total, chars["table"] / total, chars["junk"] / total, chars["other"] / total, n_words / sentences, max(top / max(1, int(lengths.sum())) if len(lines) > 3 else 0.0, consecutive / max(1, n_words)),
+        np.log1p(n), np.log1p(n_words), np.log1p(n_lines), sum(map(len, words_of_text)) / words, symbols / n, digits / n, upper / n, space / n, (lower + upper) / n, control / n, misread / n,
+        n_common / words, near / words, singles / words, len(set(words_of_text)) / words, repeats / words, n_words / max(1, len(_SENTENCE.findall(text))), commas / words, sum("_" in t or "/" in t or "." in t[1:-1] for t in tokens) / len(tokens), max(map(len, tokens)) / n, sum(map(len, tokens)) / len(tokens),
+        line_chars / n_lines, spread, len(seen) / n_lines, repeated / max(1, line_chars) if n_lines > 1 else 0.0, len(zlib.compress(raw, 1)) / len(raw),
+        *[v / total for v in shares.values()],
     ]
     return [float(x) for x in values]
 
@@ -138,23 +108,25 @@ def statistics(text: str, common_words: frozenset[str]) -> list[float] | None:
 def basic_statistics(df: DataFrame, text: str, common_words: DataFrame, keep: list[str]) -> DataFrame:
     """The plain statistics of every text with built-in expressions only: no Python, no shuffle.
 
-    Words are runs of ASCII letters, lower-cased; the common words are a fixed table (its size is checked) kept in one
-    array literal. Null texts give no row, blank ones statistics of 0.
+    Words are runs of letters of any script, lower-cased; the common words are a fixed table (its size is checked) kept in
+    one literal of BUCKETS lists by hash, so that a word is compared with a few others, however many there are. Null texts
+    give no row, blank ones statistics of 0.
     """
-    listed = [r[0] for r in common_words.select(F.lower("word")).where(F.col("word").rlike("^[A-Za-z]+$")).distinct().limit(10_001).collect()]
-    if len(listed) > 10_000:
-        raise ValueError("more than 10,000 common words")
+    bucket = lambda c: F.pmod(F.hash(c), F.lit(BUCKETS))
+    listed = [(r[0], r[1]) for r in common_words.where(F.col("word").isNotNull()).select(F.lower("word").alias("w")).distinct().select("w", bucket(F.col("w"))).limit(MOST_COMMON + 1).collect()]
+    if len(listed) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     t = F.col(text)
-    words: Column = F.regexp_extract_all(F.lower(t), F.lit("([a-z]+)"), F.lit(1))
+    words: Column = F.regexp_extract_all(F.lower(t), F.lit("(\\p{L}+)"), F.lit(1))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
-    table = F.array(*[F.lit(x) for x in sorted(listed)])
+    table = F.array(*[F.array(*[F.lit(w) for w, b in sorted(listed) if b == k]).cast("array<string>") for k in range(BUCKETS)])
     packed = df.where(t.isNotNull()).select(*keep, t.alias("_t"), words.alias("_w"), lines.alias("_l"))
     n_chars, n_words, n_lines = F.length("_t").cast("bigint"), F.size("_w").cast("bigint"), F.size("_l").cast("bigint")
     letters = F.length(F.array_join("_w", ""))
-    symbols = F.length(F.regexp_replace("_t", r"[A-Za-z0-9\s]", ""))
+    symbols = F.length(F.regexp_replace("_t", r"[\p{L}\p{N}\s]", ""))
     ends = F.size(F.filter("_l", lambda x: F.trim(x).rlike(r"[.!?:;]$")))
-    common = F.size(F.filter("_w", lambda x: F.array_contains(table, x)))
+    common = F.size(F.filter("_w", lambda x: F.array_contains(F.get(table, bucket(x)), x)))
     return packed.select(
         *keep,
         n_chars.alias("n_chars_real"),
