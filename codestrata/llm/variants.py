@@ -113,8 +113,8 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for kind, key, p, q in zip(pdf["kind"], pdf["key"], pdf["p"], pdf["q"]):
             for s in spellings(p, q):
-                rows += [(f"{kind}|{len(s)}|{i}|{text}", key, p, q, s[:at] + s[at + len(text) :]) for i, (at, text) in enumerate(segments(s, edits_of(len(s))))]
-        yield pd.DataFrame(rows, columns=["segment", "to", "to_p", "to_q", "to_rest"])
+                rows += [(f"{kind}|{len(s)}|{i}|{text}", key, s, at) for i, (at, text) in enumerate(segments(s, edits_of(len(s))))]
+        yield pd.DataFrame(rows, columns=["segment", "to", "to_s", "at"])
 
 
 def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,28 +126,32 @@ def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for length in range(max(3, len(s) - 3), len(s) + 1):
                     k = edits_of(length)
                     if len(s) - length <= k:
-                        rows += [(f"{kind}|{length}|{i}|{s[lo:hi]}", key, p, q, s[:lo] + s[hi:], length) for i, lo, hi in probes(s, length, k)]
-        yield pd.DataFrame(rows, columns=["segment", "key", "p", "q", "rest", "length"])
+                        rows += [(f"{kind}|{length}|{i}|{s[lo:hi]}", key, s, lo) for i, lo, hi in probes(s, length, k)]
+        yield pd.DataFrame(rows, columns=["segment", "key", "s", "at"])
+
+
+def _rest(segment: str, s: str, at: int) -> tuple[str, int, int]:
+    """What remains of s without the segment at its place, how long the indexed name's remainder is, and the edits."""
+    _, length, _, text = segment.split("|", 3)
+    return s[:at] + s[at + len(text) :], int(length) - len(text), edits_of(int(length))
 
 
 def _index_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for segment, to, p, q, rest in zip(pdf["segment"], pdf["to"], pdf["to_p"], pdf["to_q"], pdf["to_rest"]):
-            k = edits_of(int(segment.split("|", 2)[1]))
-            rows += [(f"{segment}|{len(rest)}|{j}|{text}", to, p, q) for j, (_, text) in enumerate(segments(rest, k))]
-        yield pd.DataFrame(rows, columns=["segment", "to", "to_p", "to_q"])
+        for segment, to, s, at in zip(pdf["segment"], pdf["to"], pdf["to_s"], pdf["at"]):
+            rest, _, k = _rest(segment, s, at)
+            rows += [(f"{segment}|{j}|{text}", to, s) for j, (_, text) in enumerate(segments(rest, k))]
+        yield pd.DataFrame(rows, columns=["segment", "to", "to_s"])
 
 
 def _lookup_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for segment, key, p, q, rest, length in zip(pdf["segment"], pdf["key"], pdf["p"], pdf["q"], pdf["rest"], pdf["length"]):
-            # Without the segment both are shorter by it.
-            short, k = len(rest) - (len(p) + len(q) + 1 - length), edits_of(length)
-            for there in {short, len(rest) - max(0, len(_thin(p)) + len(_thin(q)) + 1 - length)}:
-                rows += [(f"{segment}|{there}|{j}|{rest[lo:hi]}", key, p, q) for j, lo, hi in probes(rest, there, k)] if 0 <= len(rest) - there <= k else []
-        yield pd.DataFrame(rows, columns=["segment", "key", "p", "q"])
+        for segment, key, s, at in zip(pdf["segment"], pdf["key"], pdf["s"], pdf["at"]):
+            rest, length, k = _rest(segment, s, at)
+            rows += [(f"{segment}|{j}|{rest[lo:hi]}", key, s) for j, lo, hi in probes(rest, length, k)]
+        yield pd.DataFrame(rows, columns=["segment", "key", "s"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,23 +164,24 @@ def similar_names(keys: DataFrame) -> DataFrame:
     """keys(kind, key, p, q) -> (key, to, edits, changed), both ways, of all different keys of a kind that are the same name misspelt.
 
     No pair of names is formed but of those that share a segment; a segment in the index of more than HEAVY names is
-    split by the segments of the names' rests, by the same argument, so that a common given name joins nobody.
+    split by the segments of the names' rests, by the same argument, so that a common given name joins nobody. Hits are
+    verified by the edit distance of the whole names in a band of the most edits, then part by part.
     """
     names = cut(spread(keys.select("kind", "key", "p", "q")))
-    index = cut(names.mapInPandas(_index, "segment string, to string, to_p string, to_q string, to_rest string").distinct())
+    index = cut(names.mapInPandas(_index, "segment string, to string, to_s string, at int"))
     heavy = cut(index.groupBy("segment").agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY).select("segment"))
-    used = index.select("segment").distinct()
-    wanted = cut(names.mapInPandas(_lookups, "segment string, key string, p string, q string, rest string, length int").join(used, "segment", "left_semi"))
-    light = wanted.join(heavy, "segment", "left_anti").drop("rest", "length").join(index.drop("to_rest"), "segment")
-    index2 = index.join(heavy, "segment", "left_semi").mapInPandas(_index_rest, "segment string, to string, to_p string, to_q string")
-    wanted2 = wanted.join(heavy, "segment", "left_semi").mapInPandas(_lookup_rest, "segment string, key string, p string, q string")
-    hits = light.unionByName(wanted2.join(index2, "segment")).where(F.col("key") != F.col("to")).drop("segment").distinct()
-    one_way = cut(hits.mapInPandas(_verify, "key string, to string, edits int, changed array<string>").groupBy("key", "to").agg(F.min("edits").alias("edits"), F.first("changed").alias("changed")))
-    # Names are looked up among shorter ones: the other way round the other name's parts are the changed ones.
-    parts = keys.select(F.col("key").alias("to"), F.array("p", "q").alias("_to"))
-    mine = keys.select("key", F.array("p", "q").alias("_own"))
-    back = one_way.join(parts, "to").join(mine, "key").select(F.col("to").alias("key"), F.col("key").alias("to"), "edits", F.array_except("_to", "_own").alias("changed"))
-    return one_way.unionByName(back).dropDuplicates(["key", "to"])
+    wanted = cut(names.mapInPandas(_lookups, "segment string, key string, s string, at int"))
+    banded = (F.col("key") != F.col("to")) & (F.levenshtein("s", "to_s", 3) >= 0)
+    light = wanted.join(index.join(heavy, "segment", "left_anti").drop("at"), "segment").where(banded).select("key", "to")
+    index2 = index.join(heavy, "segment", "left_semi").mapInPandas(_index_rest, "segment string, to string, to_s string")
+    wanted2 = wanted.join(heavy, "segment", "left_semi").mapInPandas(_lookup_rest, "segment string, key string, s string")
+    split = wanted2.join(index2, "segment").where(banded).select("key", "to")
+    hits = cut(light.unionByName(split).distinct())
+    parts = keys.select(F.col("key").alias("to"), F.col("p").alias("to_p"), F.col("q").alias("to_q"))
+    one_way = hits.join(keys.select("key", "p", "q"), "key").join(parts, "to")
+    # Names are looked up among shorter ones: the same pairs the other way round.
+    back = one_way.select(F.col("to").alias("key"), F.col("key").alias("to"), F.col("to_p").alias("p"), F.col("to_q").alias("q"), F.col("p").alias("to_p"), F.col("q").alias("to_q"))
+    return one_way.unionByName(back).dropDuplicates(["key", "to"]).mapInPandas(_verify, "key string, to string, edits int, changed array<string>")
 
 
 def link_variants(commits: DataFrame, given_names: DataFrame, name_col: str = "author_name", email_col: str = "author_email") -> DataFrame:
