@@ -1,17 +1,20 @@
-"""Evaluation texts that leak into training text: latent semantic retrieval, then word alignment.
-
-The evaluation set is stated and of bounded size, so it is the query side: its words make the vocabulary, its passages
-are held by every task, and all documents stream by in blocks. Passages of the corpus (overlapping windows of words)
-are TF-IDF vectors over that vocabulary; a distributed randomised SVD (all passages, one power iteration) gives the
-latent space, in which every passage is compared with every item passage by cosine. Passages that share GRAM successive
-words with an item are candidates whatever their cosine; every leak has such words. Candidates are aligned word by
-word over the whole neighbourhood in the document: a leak is a run of at least `min_words` successive words of an
-item that begins and ends with words in place, of which at most one in six is changed, left out or joined by an added one.
+"""Evaluation texts that leak into training text: latent semantic retrieval, then checks of the words themselves.
+
+The evaluation set is stated and of bounded size, so it is the query side: its words make the vocabulary, and all
+documents are read into word numbers once. Passages of the corpus are TF-IDF vectors over that vocabulary; a distributed
+randomised decomposition of all passages (one pass, summed up in a tree) gives the latent space. The items' passages are
+indexed there in buckets around centres; every passage of every document is looked up in the buckets nearest to it by
+cosine. Passages that share GRAM successive words with an item, along which enough others are in place, are candidates
+whatever their cosine; every leak has such words. Candidates are checked by the longest common subsequence, then aligned
+word by word: a leak is a run of at least MIN_WORDS successive words of an item that begins and ends with words in place,
+of which at most one in six is changed, left out or joined by an added one. What is no such run but near in the latent
+space, has most of an item's words in order and the words of its answer about it is a paraphrase.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,13 @@ from pyspark.sql import functions as F
 from codestrata.llm.words import reader_words
 from codestrata.session import cut, spread
 
-WINDOW, STRIDE = 20, 6
-ITEM_WINDOW, ITEM_STRIDE = 14, 6
-#: A run of min_words words with one change in six keeps this many of them within so many words of the document.
+#: Passages are three blocks of eight words, one from every block on: 14 successive words are within one of them.
+STEP, BLOCKS = 8, 3
+WINDOW = STEP * BLOCKS
+ITEM_WINDOW, ITEM_STRIDE = 16, 8
+#: A run of MIN_WORDS words with one change in six keeps this many of them within so many words of the document.
 MIN_WORDS, CHANGES = 12, 6
+NEED, SPAN = MIN_WORDS - MIN_WORDS // CHANGES, MIN_WORDS + MIN_WORDS // CHANGES
 #: A leak of least extent (no part of it is a leak) has this many successive words of the item in place somewhere: 12 words
 #: with 2 changes are 3 stretches with 10 words in place, 18 with 3 are 4 with 15, 24 with 4 are at most 4 with 20.
 GRAM = 4
@@ -32,44 +38,14 @@ GRAM = 4
 #: words, else one alone would do. Cut at an inner stretch (counted in both halves), one half has changes to spare, so it is
 #: below 12 words and has a single change: the leak has at most three gaps, 22 words in place and 22 // 5 changes.
 MOST_CHANGES = 5
-SCHEMA = "doc_id bigint, item_id string, part string, matched_words int, changes int, similarity double"
-
-
-def _windows(a: np.ndarray, width: int, stride: int, filler: int) -> np.ndarray:
-    """Rows of `width` successive entries from every `stride`-th place on; the last is filled up."""
-    n = len(a)
-    if not n:
-        return np.zeros((0, width), np.int32)
-    k = -(-(n - width) // stride) + 1 if n > width else 1
-    padded = np.full((k - 1) * stride + width, filler, np.int32)
-    padded[:n] = a
-    return np.lib.stride_tricks.sliding_window_view(padded, width)[::stride]
-
-
-def _may_hold(w: np.ndarray, filler: int) -> np.ndarray:
-    """Windows in which some span has the least number of known words that a leak has."""
-    span, need = MIN_WORDS + MIN_WORDS // CHANGES, MIN_WORDS - MIN_WORDS // CHANGES
-    known = np.concatenate([np.zeros((len(w), 1), np.int16), np.cumsum(w < filler, 1, dtype=np.int16)], 1)
-    return (known[:, span:] - known[:, :-span]).max(1) >= need
-
-
-def _grams(w: np.ndarray, filler: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every GRAM successive known words in the rows; equal words have equal keys."""
-    parts = np.lib.stride_tricks.sliding_window_view(w, GRAM, axis=1).astype(np.int64)
-    row, at = np.nonzero((parts < filler).all(2))
-    key = np.zeros(len(row), np.int64)
-    for k in range(GRAM):
-        key = key * (filler + 1) + parts[row, at, k]  # beyond 64 bits it wraps: a few candidates more
-    return row, key
-
-
-def _vectors(w: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows (a word counts once in a passage)."""
-    v = len(weight)
-    m = np.zeros((len(w), v + 1), np.float32)
-    m[np.arange(len(w))[:, None], w] = 1
-    m = m[:, :v] * weight
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+#: Words of the document that a leak of least extent has at most; words that are aligned before and after a gram.
+LEAST_EXTENT = 26
+BEFORE, AFTER = 32, 48
+#: Bounds of the stated side, which every task holds (checked): distinct words of all items.
+MOST_WORDS = 200_000
+#: A paraphrase has, beside the least cosine, this share of the words of an item's passage in order, and this share of the rarest words of the answer within so many words.
+PARAPHRASE_SHARE, ANSWER_SHARE, ANSWER_WORDS, ANSWER_REACH = 0.6, 0.5, 6, 120
+SCHEMA = "doc_id bigint, item_id string, part string, kind string, matched_words int, changes int, similarity double"
 
 
 def longest_runs(doc: np.ndarray, item: np.ndarray, max_changes: int = 3) -> np.ndarray:
@@ -102,54 +78,168 @@ def longest_runs(doc: np.ndarray, item: np.ndarray, max_changes: int = 3) -> np.
     return np.maximum(best, 0)
 
 
+def common_subsequence(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of pairs in rows; numbers below 0 never match."""
+    length = np.zeros((len(item), item.shape[1] + 1), np.int16)
+    shift = np.where(item >= 0, item, -9)
+    for j in range(doc.shape[1]):
+        step = np.where(shift == doc[:, j : j + 1], length[:, :-1] + 1, 0)
+        length[:, 1:] = np.maximum.accumulate(np.maximum(length[:, 1:], step), axis=1)
+    return length[:, -1]
+
+
+def _laid_out(pdf: pd.DataFrame, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all documents in one array, each begun at a block and apart from the next; starts and lengths."""
+    docs = [np.frombuffer(t, np.int32) for t in pdf["terms"]]
+    n = np.array([len(d) for d in docs], np.int64)
+    room = -(-(n + WINDOW + BEFORE + AFTER) // STEP) * STEP
+    starts = np.concatenate([[0], np.cumsum(room)])[: len(docs)] + BEFORE // STEP * STEP
+    out = np.full(int(room.sum()) + BEFORE + AFTER, v, np.int32)
+    for d, at in zip(docs, starts):
+        out[at : at + len(d)] = d
+    return out[: len(out) // STEP * STEP], starts, n
+
+
+def _passages(pdf: pd.DataFrame, v: int) -> np.ndarray:
+    """Disjoint passages of all documents of a batch, without those that hold no known word."""
+    a, _, _ = _laid_out(pdf, v)
+    w = a[: len(a) // WINDOW * WINDOW].reshape(-1, WINDOW)
+    return w[(w < v).any(1)]
+
+
+def _sum_tree(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the matrices of all partitions, sixteen at a time until eight are left to collect."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.float64)
+        for pdf in batches:
+            for m in pdf["m"]:
+                total += np.frombuffer(m, np.float32)
+        yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
+
+    n = parts.rdd.getNumPartitions()
+    while n > 8:
+        n = max(8, -(-n // 16))
+        parts = parts.repartition(n).mapInPandas(add, "m binary")
+    return sum((np.frombuffer(r["m"], np.float32).astype(np.float64) for r in parts.collect()), np.zeros(size))
+
+
 def _latent(tokens: DataFrame, weight: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
-    """Projection (words, rank) onto the leading right singular vectors of the TF-IDF matrix of all passages."""
+    """Projection (words, rank) onto the leading right singular vectors of the TF-IDF matrix A of all passages.
+
+    One pass: A'A times a random orthonormal matrix, from which the range's own part of A'A is solved (Nyström).
+    """
     v = len(weight)
-    width = min(v, rank + 16)
-
-    def product(q: np.ndarray) -> np.ndarray:
-        """A'A q, summed over all passages: one matrix a partition, added up in two levels."""
-        q32 = q.astype(np.float32)
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((v, width), np.float64)
-            for w in _batches(batches, v, stride=WINDOW):
-                a = _vectors(w, weight)
-                total += a.T @ (a @ q32)
-            yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(v * width, np.float64)
-            for pdf in batches:
-                for m in pdf["m"]:
-                    total += np.frombuffer(m, np.float32)
-            yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
-
-        parts = tokens.mapInPandas(part, "m binary").repartition(8).mapInPandas(add, "m binary").collect()  # 8 matrices
-        return sum(np.frombuffer(r["m"], np.float32).astype(np.float64) for r in parts).reshape(v, width)
-
-    q, _ = np.linalg.qr(product(np.random.default_rng(seed).standard_normal((v, width))))
-    values, u = np.linalg.eigh(q.T @ product(q))
-    return (q @ u[:, ::-1][:, :rank]).astype(np.float32)
-
-
-def _batches(batches: Iterator[pd.DataFrame], v: int, stride: int, rows: int | None = None) -> Iterator[np.ndarray]:
-    """Windows that may hold a leak, of rows (doc_id, terms), in blocks of a bounded size."""
-    rows = rows or max(64, 4_000_000 // (v + 1))
-    held: list[np.ndarray] = []
-    n = 0
-    for pdf in batches:
-        for terms in pdf["terms"]:
-            w = _windows(np.frombuffer(terms, np.int32), WINDOW, stride, v)
-            w = w[_may_hold(w, v)]
-            for lo in range(0, len(w), rows):
-                held.append(w[lo : lo + rows])
-                n += len(held[-1])
-                if n >= rows:
-                    yield np.concatenate(held)
-                    held, n = [], 0
-    if n:
-        yield np.concatenate(held)
+    width = min(v, rank + 8)
+    probe, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))
+    weighted = np.vstack([probe * weight[:, None], np.zeros((1, width))]).astype(np.float32)
+    square = np.append(weight.astype(np.float32) ** 2, 0)
+    of_word = np.append(weight, 0).astype(np.float32)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((v + 1, width), np.float32)
+        for pdf in batches:
+            passages = _passages(pdf, v)
+            for lo in range(0, len(passages), 2000):
+                w = passages[lo : lo + 2000]
+                y = weighted[w.ravel()].reshape(len(w), WINDOW, width).sum(1) / np.maximum(square[w].sum(1), 1e-9)[:, None]
+                order = np.argsort(w, axis=None, kind="stable")
+                ids = w.ravel()[order]
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                total[ids[first]] += np.add.reduceat(y[order // WINDOW], first, axis=0) * of_word[ids[first], None]
+        yield pd.DataFrame({"m": [total[:v].tobytes()]})
+
+    product = _sum_tree(tokens.mapInPandas(part, "m binary"), v * width).reshape(v, width)
+    product += (shift := 1e-7 * max(np.linalg.norm(product), 1e-9)) * probe
+    values, vectors = np.linalg.eigh((inner := probe.T @ product) / 2 + inner.T / 2)
+    root = vectors / np.sqrt(np.maximum(values, shift * 1e-3))
+    u, _, _ = np.linalg.svd(product @ root, full_matrices=False)
+    return u[:, :rank].astype(np.float32)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
+@dataclass
+class Buckets:
+    """Vectors in buckets around centres; a look-up visits the `probe` nearest buckets."""
+
+    centres: np.ndarray
+    members: list[np.ndarray]
+    vectors: np.ndarray
+    probe: int = 8
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, rounds: int = 6, probe: int = 8) -> Buckets:
+        m = max(1, round(len(vectors) ** 0.5))
+        centres = vectors[np.linspace(0, len(vectors) - 1, m).astype(int)]
+        for _ in range(rounds):
+            near = (vectors @ centres.T).argmax(1)
+            total = np.zeros_like(centres)
+            np.add.at(total, near, vectors)
+            centres = _unit(np.where(np.bincount(near, minlength=m)[:, None] > 0, total, centres))
+        near = (vectors @ centres.T).argmax(1)
+        return cls(centres, [np.flatnonzero(near == k) for k in range(m)], vectors, probe)
+
+    def search(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, cosine) of at least `least` in the visited buckets."""
+        to = queries @ self.centres.T
+        k = min(self.probe, len(self.centres))
+        visited = np.argpartition(-to, k - 1, axis=1)[:, :k] if k < to.shape[1] else np.tile(np.arange(to.shape[1]), (len(to), 1))
+        bucket, row = visited.ravel(), np.repeat(np.arange(len(queries)), visited.shape[1])
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(len(self.centres) + 1))
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
+        for b, member in enumerate(self.members):
+            rows = row[order[edges[b] : edges[b + 1]]]
+            if len(rows) and len(member):
+                cosine = queries[rows] @ self.vectors[member].T
+                r, c = np.nonzero(cosine >= least)
+                out.append((rows[r], member[c], cosine[r, c]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+@dataclass
+class Items:
+    """The items of a block as every task holds them."""
+
+    names: list[tuple[str, str]]
+    words: np.ndarray
+    buckets: Buckets
+    of_window: np.ndarray
+    window_at: np.ndarray
+    grams: np.ndarray
+    gram_of: np.ndarray
+    gram_at: np.ndarray
+    answers: list[np.ndarray]
+
+    @classmethod
+    def of(cls, listed: list[tuple[str, str, np.ndarray, np.ndarray]], weight: np.ndarray, projection: np.ndarray) -> Items:
+        v = len(weight)
+        longest = max(len(w) for _, _, w, _ in listed)
+        words = np.full((len(listed), longest + ITEM_WINDOW), -1, np.int32)
+        for k, (_, _, w, _) in enumerate(listed):
+            words[k, : len(w)] = w
+        at = [np.arange(0, max(1, len(w) - ITEM_WINDOW + ITEM_STRIDE), ITEM_STRIDE) for _, _, w, _ in listed]
+        of_window, window_at = np.repeat(np.arange(len(listed)), [len(x) for x in at]), np.concatenate(at)
+        spots = words[of_window[:, None], window_at[:, None] + np.arange(ITEM_WINDOW)]
+        scaled = np.vstack([projection * weight[:, None], np.zeros((1, projection.shape[1]), np.float32)])
+        vectors = _unit(scaled[np.where(spots < 0, v, spots)].sum(1)).astype(np.float32)
+        parts = np.lib.stride_tricks.sliding_window_view(words, GRAM, axis=1)
+        gram_of, gram_at = np.nonzero((parts >= 0).all(2))
+        key = _key(parts[gram_of, gram_at].T, v)
+        order = np.argsort(key, kind="stable")
+        rare = [a[np.argsort(-weight[a], kind="stable")[:ANSWER_WORDS]] for _, _, _, a in listed]
+        return cls([(i, p) for i, p, _, _ in listed], words, Buckets.of(vectors), of_window, window_at, key[order], gram_of[order], gram_at[order], rare)
+
+
+def _key(parts: np.ndarray, v: int) -> np.ndarray:
+    """One number for GRAM successive words; equal words have equal numbers (beyond 64 bits it wraps: a few candidates more)."""
+    key = np.zeros(parts.shape[1], np.int64)
+    for row in parts:
+        key = key * (v + 1) + row
+    return key
 
 
 def leaked_items(
@@ -159,166 +249,195 @@ def leaked_items(
     doc_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "id",
-    rank: int = 256,
-    least_cosine: float = 0.5,
+    answer: str | None = None,
+    rank: int = 64,
+    least_cosine: float = 0.8,
     block: int = 2000,
 ) -> DataFrame:
     """Every (document, item) with a leaked passage, with the part it comes from, its length, changes and cosine.
 
-    items hold the texts named in `parts`; they are read `block` items at a time, each block against all documents.
-    Null and empty texts and items below 12 words give no row; whole texts are read; repeated documents count once
-    per id (their best passage); other columns are left out.
+    `kind` is 'run' for a run of words in the sense above, else 'paraphrase'. items hold the texts named in `parts` and
+    perhaps the `answer` whose words a paraphrase needs about it. Documents are read into words once; items are looked up
+    `block` at a time. Null and empty texts and items below MIN_WORDS words give no row; whole texts are read; repeated
+    documents count once per id (their best passage); other columns are left out.
     """
     texts = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    stated = items.select(F.col(item_col).cast("string").alias("id"), *[F.col(p).cast("string").alias(p) for p in parts]).where(F.col("id").isNotNull()).orderBy("id")
-    found, last = None, None
+    columns = list(dict.fromkeys([*parts, *([answer] if answer else [])]))
+    stated = items.select(F.col(item_col).cast("string").alias("id"), *[F.col(p).cast("string").alias(p) for p in columns]).where(F.col("id").isNotNull()).orderBy("id")
+    vocabulary: dict[str, int] = {}
+    pages, last = [], None
     while True:
         rows = (stated if last is None else stated.where(F.col("id") > F.lit(last))).limit(block).collect()
-        listed = [(r["id"], p, w) for r in rows for p in parts if len(w := reader_words(r[p])) >= MIN_WORDS]
-        if listed:
-            part = _leaks(texts, listed, rank, least_cosine)
-            found = part if found is None else found.unionByName(part)
+        read = [(r["id"], {p: [vocabulary.setdefault(x, len(vocabulary)) for x in reader_words(r[p])] for p in columns}) for r in rows]
+        if len(vocabulary) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} distinct words in the items")
+        answers = {i: np.unique(np.array(w[answer] if answer else [], np.int32)) for i, w in read}
+        if listed := [(i, p, np.array(w[p], np.int32), answers[i]) for i, w in read for p in parts if len(w[p]) >= MIN_WORDS]:
+            pages.append(listed)
         if len(rows) < block:
             break
         last = rows[-1]["id"]
-    if found is None:
-        return texts.sparkSession.createDataFrame([], SCHEMA)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", (-F.col("changes")).alias("c"), "similarity", "part")).alias("b")).select(
-        "doc_id", "item_id", "b.part", "b.matched_words", (-F.col("b.c")).alias("changes"), "b.similarity"
-    )
+    spark = texts.sparkSession
+    if not pages:
+        return spark.createDataFrame([], SCHEMA)
+    tokens, v = cut(_tokens(texts, vocabulary)), len(vocabulary)
+    counted = {r["term"]: r["n"] for r in _counts(tokens, v).collect()}  # one row a word of the vocabulary and one for all passages
+    passages = counted.pop(-1, 0)
+    if not passages:
+        return spark.createDataFrame([], SCHEMA)
+    df = np.array([counted.get(t, 0) for t in range(v)], float)
+    weight = np.log((1 + passages) / (1 + df) + 1e-9).clip(1e-3).astype(np.float32)
+    projection = _latent(tokens, weight, min(rank, v))
+    found = None
+    for listed in pages:
+        held = spark.sparkContext.broadcast((weight, projection, Items.of(listed, weight, projection)))  # bounded by the block and MOST_WORDS
+        part = tokens.mapInPandas(_searcher(held, least_cosine), SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    is_run = (F.col("kind") == "run").cast("int")
+    best = F.max(F.struct(is_run.alias("r"), "matched_words", (-F.col("changes")).alias("c"), "similarity", "part", "kind")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.part", "b.kind", "b.matched_words", (-F.col("b.c")).alias("changes"), "b.similarity")
 
 
-def _leaks(texts: DataFrame, listed: list[tuple[str, str, list[str]]], rank: int, least_cosine: float) -> DataFrame:
-    vocabulary: dict[str, int] = {}
-    for _, _, words in listed:
-        for x in words:
-            vocabulary.setdefault(x, len(vocabulary))
-    v = len(vocabulary)
-    sequences = [np.array([vocabulary[x] for x in words], np.int32) for _, _, words in listed]
+class _Numbers(dict):
+    """Word numbers; the first free one for words that no item has."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self)
+
+
+def _tokens(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, terms): the word numbers of every document, those of unknown words beyond all others."""
+    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = _Numbers(held.value).__getitem__
         for pdf in batches:
-            ids, terms = [], []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                a = np.array([vocabulary.get(x, v) for x in reader_words(text)], np.int32)
-                if len(a) and _may_hold(_windows(a, WINDOW, STRIDE, v), v).any():
-                    ids.append(i)
-                    terms.append(a.tobytes())
-            yield pd.DataFrame({"doc_id": ids, "terms": terms})
+            terms = [np.fromiter(map(number, reader_words(t)), np.int32) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "terms": [t.tobytes() for t in terms]})
+
+    return spread(texts).mapInPandas(tokenise, "doc_id bigint, terms binary")
 
-    tokens = cut(spread(texts).mapInPandas(tokenise, "doc_id bigint, terms binary"))
+
+def _counts(tokens: DataFrame, v: int) -> DataFrame:
+    """(term, n): passages that hold each word, over all passages; term -1 for their number."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(v + 1, np.int64)
-        for w in _batches(batches, v, stride=WINDOW, rows=20_000):
+        for pdf in batches:
+            w = np.sort(_passages(pdf, v), 1)
             n += len(w)
-            ordered = np.sort(w, 1)
-            first = np.concatenate([np.ones((len(w), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
-            df += np.bincount(ordered[first], minlength=v + 1)
+            first = np.concatenate([np.ones((len(w), 1), bool), w[:, 1:] != w[:, :-1]], 1)
+            df += np.bincount(w[first], minlength=v + 1)
         yield pd.DataFrame({"term": np.append(np.flatnonzero(df[:v]), -1), "n": np.append(df[:v][df[:v] > 0], n)})
 
-    # One row a word of the vocabulary and one for the number of passages.
-    counted = {r["term"]: r["n"] for r in tokens.mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    passages = counted.pop(-1, 0)
-    if not passages:
-        return texts.sparkSession.createDataFrame([], SCHEMA)
-    df = np.array([counted.get(t, 0) for t in range(v)], float)
-    weight = np.log((1 + passages) / (1 + df) + 1e-9).clip(1e-3).astype(np.float32)
-    projection = _latent(tokens, weight, min(rank, v))
-    windows = [_windows(s, ITEM_WINDOW, ITEM_STRIDE, v) for s in sequences]
-    of_window = np.repeat(np.arange(len(listed)), [len(w) for w in windows])
-    item_vectors = _unit(_vectors(np.concatenate(windows), weight) @ projection)
-    longest = max(map(len, sequences))
-    padded = np.full((len(sequences), longest), -1, np.int32)
-    for k, s in enumerate(sequences):
-        padded[k, : len(s)] = s
-    names = [(i, p) for i, p, _ in listed]
-    gram_of, gram = _grams(np.where(padded < 0, v, padded), v)
-    grams = np.unique(np.stack([gram, gram_of], 1), axis=0)
-    search = _searcher(v, weight, projection, item_vectors, of_window, padded, names, grams, least_cosine)
-    return tokens.mapInPandas(search, SCHEMA)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-
-
-def _searcher(
-    v: int, weight: np.ndarray, projection: np.ndarray, item_vectors: np.ndarray, of_window: np.ndarray, padded: np.ndarray, names: list[tuple[str, str]], grams: np.ndarray, least_cosine: float
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    rows = max(64, min(2_000_000 // (v + 1), 8_000_000 // len(of_window)))
-    starts = np.flatnonzero(np.append(True, of_window[1:] != of_window[:-1]))
-
-    def candidates(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cosine = _unit(_vectors(w, weight) @ projection) @ item_vectors.T
-        best = np.maximum.reduceat(cosine, starts, axis=1)
-        taken = best >= least_cosine
-        row, key = _grams(w, v)
-        lo, hi = np.searchsorted(grams[:, 0], key), np.searchsorted(grams[:, 0], key, "right")
-        n = hi - lo
-        of = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        taken[np.repeat(row, n), grams[of, 1]] = True
-        r, c = np.nonzero(taken)
-        return r, c, best[r, c]
-
-    def verify(docs: list[np.ndarray], where: list[tuple[int, int, int, float]], ids: list[int]) -> list[tuple]:
-        out = []
-        # Windows close to one that is aligned anyway add nothing: its neighbourhood holds all that they might, namely
-        # the at most 26 words of a leak of least extent that has a gram in either window.
-        where = sorted(where, key=lambda x: (x[0], x[2], x[1]))
-        kept: list[tuple[int, int, int, float]] = []
-        for x in where:
-            if kept and kept[-1][0] == x[0] and kept[-1][2] == x[2] and x[1] - kept[-1][1] <= 2 * STRIDE:
-                kept[-1] = (*kept[-1][:3], max(kept[-1][3], x[3]))
-            else:
-                kept.append(x)
-        where, reach = kept, 34
-        for lo in range(0, len(where), 400):
-            part = where[lo : lo + 400]
-            segment = np.full((len(part), WINDOW + 2 * reach), -2, np.int32)
-            for k, (d, at, _, _) in enumerate(part):
-                a = docs[d][max(0, at - reach) : at + WINDOW + reach]
-                segment[k, : len(a)] = np.where(a < v, a, -2)
-            runs = longest_runs(segment, padded[[c for _, _, c, _ in part]], MOST_CHANGES)
-            least = np.maximum(MIN_WORDS, CHANGES * np.arange(runs.shape[1]))
-            for (d, _, c, cosine), run in zip(part, runs):
-                ok = np.flatnonzero(run >= least)
-                if len(ok):
-                    e = int(ok[run[ok].argmax()])
-                    out.append((ids[d], names[c][0], names[c][1], int(run[e]), e, float(cosine)))
-        return out
-
+    return tokens.mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _gram_hits(a: np.ndarray, v: int, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, item, place in the item) of shared grams along which NEED of SPAN words are in place."""
+    known = a < v
+    run = known[: len(a) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        run &= known[k : len(a) - GRAM + 1 + k]
+    at = np.flatnonzero(run)
+    key = _key(np.stack([a[at + k] for k in range(GRAM)]), v) if len(at) else np.zeros(0, np.int64)
+    lo = np.searchsorted(items.grams, key)
+    hit = lo < len(items.grams)
+    hit[hit] = items.grams[lo[hit]] == key[hit]
+    at, key, lo = at[hit], key[hit], lo[hit]
+    n = np.searchsorted(items.grams, key, "right") - lo
+    place = np.repeat(at, n)
+    of = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    item, inside = items.gram_of[of], items.gram_at[of]
+    keep = np.zeros(len(place), bool)
+    reach = np.arange(GRAM - SPAN, SPAN)
+    for lo in range(0, len(place), 20_000):
+        p, c, j = place[lo : lo + 20_000], item[lo : lo + 20_000], inside[lo : lo + 20_000]
+        words = a[np.clip(p[:, None] + reach, 0, len(a) - 1)]
+        matched = np.zeros(words.shape, bool)
+        for shift in range(1 - MOST_CHANGES, MOST_CHANGES):
+            spot = j[:, None] + reach + shift
+            inside_item = (spot >= 0) & (spot < items.words.shape[1])
+            matched |= inside_item & (items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)] == words)
+        total = np.concatenate([np.zeros((len(p), 1), np.int16), np.cumsum(matched, 1, dtype=np.int16)], 1)
+        keep[lo : lo + 20_000] = (total[:, SPAN:] - total[:, :-SPAN]).max(1) >= NEED
+    return place[keep], item[keep], inside[keep]
+
+
+def _searcher(held, least_cosine: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "item_id", "part", "matched_words", "changes", "similarity"]
+        weight, projection, items = held.value
+        v = len(weight)
+        scaled = np.vstack([projection * weight[:, None], np.zeros((1, projection.shape[1]), np.float32)]).astype(np.float32)
         for pdf in batches:
-            docs = [np.frombuffer(t, np.int32) for t in pdf["terms"]]
-            ids = [int(i) for i in pdf["doc_id"]]
+            a, starts, lengths = _laid_out(pdf, v)
+            ids = pdf["doc_id"].to_numpy()
+            doc_of = lambda at: np.searchsorted(starts, at, "right") - 1
+            # Passages in the latent space: sums of blocks.
+            blocks = np.concatenate([scaled[a[lo : lo + 8000 * STEP]].reshape(-1, STEP, scaled.shape[1]).sum(1) for lo in range(0, len(a), 8000 * STEP)]) if len(a) else np.zeros((0, scaled.shape[1]), np.float32)
+            known = (a < v).reshape(-1, STEP).sum(1)
+            last = len(blocks) - BLOCKS + 1
+            vectors = sum(blocks[k : last + k] for k in range(BLOCKS))
+            asked = np.flatnonzero(sum(known[k : last + k] for k in range(BLOCKS)) >= NEED)
+            vectors = _unit(vectors[asked])
             out: list[tuple] = []
-            held, at, n = [], [], 0
-
-            def flush() -> None:
-                nonlocal held, at, n
-                if not n:
-                    return
-                places = np.concatenate(at)
-                r, c, cosine = candidates(np.concatenate(held))
-                where = [(int(places[k, 0]), int(places[k, 1]), int(x), float(y)) for k, x, y in zip(r, c, cosine)]
-                out.extend(verify(docs, where, ids))
-                held, at, n = [], [], 0
-
-            for d, a in enumerate(docs):
-                w = _windows(a, WINDOW, STRIDE, v)
-                keep = np.flatnonzero(_may_hold(w, v))
-                for lo in range(0, len(keep), rows):
-                    k = keep[lo : lo + rows]
-                    held.append(w[k])
-                    at.append(np.stack([np.full(len(k), d), k * STRIDE], 1))
-                    n += len(k)
-                    if n >= rows:
-                        flush()
-            flush()
+            near = [np.zeros((3, 0))]
+            for lo in range(0, len(asked), 20_000):
+                r, c, cosine = items.buckets.search(vectors[lo : lo + 20_000], least_cosine)
+                # Of the windows of an item that a passage is near to, the nearest one.
+                order = np.lexsort((-cosine, items.of_window[c], r))
+                r, c, cosine = r[order], c[order], cosine[order]
+                first = np.ones(len(r), bool)
+                first[1:] = (r[1:] != r[:-1]) | (items.of_window[c[1:]] != items.of_window[c[:-1]])
+                near.append(np.stack([asked[lo + r[first]] * STEP, c[first], cosine[first]]))
+            near_at, near_window, near_cosine = np.concatenate(near, axis=1)
+            near_at, near_window = near_at.astype(np.int64), near_window.astype(np.int64)
+            place, item, _ = _gram_hits(a, v, items)
+            order = np.lexsort((place, item))
+            kept: list[tuple[int, int]] = []
+            for at, c in zip(place[order].tolist(), item[order].tolist()):
+                # The words about one that is aligned anyway hold all that a near one might.
+                if not kept or kept[-1][1] != c or at - kept[-1][0] > AFTER - LEAST_EXTENT:
+                    kept.append((at, c))
+            leaked = set()
+            window = {int(x): i for i, x in enumerate(asked)} if kept else {}
+            by_item = {c: np.flatnonzero(items.of_window == c) for c in {c for _, c in kept}}
+            for lo in range(0, len(kept), 400):
+                at, c = (np.array(x) for x in zip(*kept[lo : lo + 400]))
+                segment = a[np.clip(at[:, None] + np.arange(-BEFORE, AFTER), 0, len(a) - 1)]
+                segment = np.where(segment < v, segment, -2)
+                some = np.flatnonzero(common_subsequence(segment, items.words[c]) >= NEED)
+                if not len(some):
+                    continue
+                found = longest_runs(segment[some], items.words[c[some]], MOST_CHANGES)
+                fine = found >= np.maximum(MIN_WORDS, CHANGES * np.arange(found.shape[1]))
+                for k, run, ok in zip(some.tolist(), found, fine):
+                    if ok.any():
+                        e, doc = int(np.flatnonzero(ok)[run[ok].argmax()]), int(doc_of(at[k]))
+                        # The cosine of the passage that the gram begins in.
+                        i = window.get(int(at[k]) // STEP)
+                        cosine = float((items.buckets.vectors[by_item[int(c[k])]] @ vectors[i]).max()) if i is not None else 0.0
+                        leaked.add((doc, int(c[k])))
+                        out.append((int(ids[doc]), *items.names[c[k]], "run", int(run[e]), e, cosine))
+            margin = STEP
+            for lo in range(0, len(near_at), 4000):
+                at, w, cosine = near_at[lo : lo + 4000], near_window[lo : lo + 4000], near_cosine[lo : lo + 4000]
+                c = items.of_window[w]
+                segment = a[np.clip(at[:, None] + np.arange(-margin, WINDOW + margin), 0, len(a) - 1)]
+                spot = items.window_at[w][:, None] + np.arange(-margin, ITEM_WINDOW + margin)
+                words = np.where((spot >= 0) & (spot < items.words.shape[1]), items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)], -1)
+                size = np.minimum((items.words[c] >= 0).sum(1), ITEM_WINDOW)
+                subsequence = common_subsequence(np.where(segment < v, segment, -2), words)
+                for k in np.flatnonzero(subsequence >= PARAPHRASE_SHARE * size).tolist():
+                    doc = int(doc_of(at[k]))
+                    if (doc, int(c[k])) in leaked:
+                        continue
+                    rare, start = items.answers[c[k]], starts[doc]
+                    about = a[max(start, at[k] - ANSWER_REACH) : min(start + lengths[doc], at[k] + WINDOW + ANSWER_REACH)]
+                    if not len(rare) or np.isin(rare, about).mean() >= ANSWER_SHARE:
+                        matched = int(min(size[k], subsequence[k]))
+                        out.append((int(ids[doc]), *items.names[c[k]], "paraphrase", matched, int(size[k]) - matched, float(cosine[k])))
             if out:
-                # The best passage of each document and item of the batch.
-                yield pd.DataFrame(out, columns=columns).sort_values(["matched_words", "changes"], ascending=[False, True]).drop_duplicates(["doc_id", "item_id"])
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return search

@@ -18,6 +18,18 @@ _HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t]*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Visible(dict):
+    """Characters that a reader sees; the others are deleted. Filled as characters come up."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = None if unicodedata.category(c) in ("Mn", "Cf", "Me", "Cc") and c not in "\n\t\r" else code
+        return self[code]
+
+
+_VISIBLE = _Visible()
+
+
 def reader_words(text: str | None) -> list[str]:
     """Lower-cased words without letter case, character forms, invisible characters, punctuation, markup, line breaks and line marks."""
     if not text:
@@ -26,7 +38,7 @@ def reader_words(text: str | None) -> list[str]:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me", "Cc") or c in "\n\t\r")
+        text = text.translate(_VISIBLE)
     text = text.lower()
     if not text.isascii():
         text = text.translate(LOOKALIKES)

@@ -5,7 +5,7 @@ import pytest
 
 from codestrata.llm.boosting import BoostedTrees
 from codestrata.llm.holdout import HAND_CHECKED, PARTS, hand_checked
-from codestrata.llm.leakage import GRAM, MOST_CHANGES, leaked_items, longest_runs
+from codestrata.llm.leakage import BEFORE, GRAM, MOST_CHANGES, STEP, Buckets, common_subsequence, leaked_items, longest_runs
 from codestrata.llm.packing import fill_report, pack, place_block, token_sizes
 from codestrata.llm.quality import classify, common_set, piece, quality_of, train
 from codestrata.llm.text_stats import FEATURES, statistics
@@ -49,6 +49,40 @@ def test_alignment_against_search():
         assert longest_runs(np.array([doc]), np.array([item])).tolist() == [brute_runs(doc, item)]
 
 
+def test_common_subsequence_and_buckets():
+    r = random.Random(3)
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b, 1):
+                row.append(max(row[-1], old[j], old[j - 1] + 1 if x == y and x >= 0 else 0))
+        return row[-1]
+
+    a, b = ([[r.randrange(-1, 5) for _ in range(n)] for _ in range(40)] for n in (11, 7))
+    assert common_subsequence(np.array(a), np.array(b)).tolist() == [brute(x, y) for x, y in zip(a, b)]
+    g = np.random.default_rng(1)
+    unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    vectors = unit(g.normal(size=(60, 32))[g.integers(0, 60, 3000)] + 0.4 * g.normal(size=(3000, 32)))
+    queries = unit(vectors[:300] + 0.05 * g.normal(size=(300, 32)))
+    found = set(zip(*(x.tolist() for x in Buckets.of(vectors).search(queries, 0.8)[:2])))
+    full = set(zip(*(x.tolist() for x in np.nonzero(queries @ vectors.T >= 0.8))))
+    assert found <= full and len(found) >= 0.9 * len(full) > 0 and BEFORE % STEP == 0
+    assert all(len(x) == 0 for x in Buckets.of(vectors[:1]).search(queries[:0], 0.8))
+
+
+def test_paraphrases_need_the_words_in_order_and_the_answer(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    query, answer = words[:16], words[40:48]
+    changed = [w if i % 4 else "other" for i, w in enumerate(query)]  # 12 of 16 in order, no run
+    far = ["between"] * 24
+    docs = [(1, " ".join(changed + far + answer)), (2, " ".join(changed)), (3, " ".join(changed[::-1] + far + answer)), (4, " ".join(query)), (5, "")]
+    items = spark.createDataFrame([("q", " ".join(query), " ".join(answer)), ("r", " ".join(words[20:36]), None)], "id string, query string, answer string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items, ["query"], answer="answer").collect()}
+    assert got == {(1, "q", "paraphrase"), (4, "q", "run")}
+
+
 def leak_tables(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
@@ -77,7 +111,7 @@ def leak_tables(spark):
 @pytest.mark.parametrize("block", [2000, 7])
 def test_leaks_are_found_whole_and_only_they(spark, block):
     docs, items, leaks = leak_tables(spark)
-    got = leaked_items(docs.union(docs.limit(3)), items, ["query", "answer"], block=block).collect()
+    got = leaked_items(docs.union(docs.limit(3)), items, ["query", "answer"], block=block).where("kind = 'run'").collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == leaks and len(got) == len(leaks)
     assert leaked_items(docs.limit(0), items, ["query"]).count() == 0 and leaked_items(docs, items.limit(0), ["query"]).count() == 0
 
@@ -95,7 +129,7 @@ def test_least_leaks_among_item_words_are_found(spark):
         for k in (3, 8):
             passage[k] = r.choice(vocabulary) if d % 2 else "unknown"
         docs.append((d, " ".join(body[:d % 60] + passage + body[d % 60 :])))
-    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "id string, query string"), ["query"]).collect()
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "id string, query string"), ["query"]).where("kind = 'run'").collect()
     assert {(d, f"q{d % 20}") for d in range(600)} == {(r["doc_id"], r["item_id"]) for r in got}
 
 
@@ -128,7 +162,7 @@ def test_leaks_with_changes_in_one_place_are_found(spark):
                 passage = ["other" if any(a <= i < a + n for a, n in gaps) else w for i, w in enumerate(passage)]
             docs.append((2 * k + left_out, " ".join(["before"] * 9 + passage + ["after"] * 9)))
     docs.append((9, " ".join(["before"] * 9 + words[4:14] + ["other"] * 5 + words[19:29])))
-    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("q", " ".join(words))], "id string, query string"), ["query"]).collect()
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("q", " ".join(words))], "id string, query string"), ["query"]).where("kind = 'run'").collect()
     assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
 
 
