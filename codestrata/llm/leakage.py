@@ -429,7 +429,7 @@ def _searcher(held, least_cosine: float) -> Callable[[Iterator[pd.DataFrame]], I
                 size = np.minimum((items.words[c] >= 0).sum(1), ITEM_WINDOW)
                 subsequence = common_subsequence(np.where(segment < v, segment, -2), words)
                 for k in np.flatnonzero(subsequence >= PARAPHRASE_SHARE * size).tolist():
-                    doc = int(doc_of(at[k]))
+                    doc = int(doc_of(at[k] + WINDOW - 1))  # a passage may begin before its document
                     if (doc, int(c[k])) in leaked:
                         continue
                     rare, start = items.answers[c[k]], starts[doc]
