@@ -81,7 +81,7 @@ def test_paraphrases_need_the_words_in_order_and_the_answer(spark):
     r = random.Random(2)
     docs += [(100 + k, " ".join(r.sample(words, 10))) for k in range(60)]  # all words are about equally common
     items = spark.createDataFrame([("q", " ".join(query), " ".join(answer)), ("r", " ".join(words[20:36]), None)], "id string, query string, answer string")
-    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items, ["query"], answer="answer").collect()}
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items, ["query"], answer="answer", least_cosine=0.7).collect()}
     assert got == {(1, "q", "paraphrase"), (4, "q", "run")}
 
 
