@@ -25,8 +25,6 @@ from codestrata.session import spread
 
 #: Texts labelled for training, about, and what a hand-checked one weighs against a clear one of them.
 SAMPLE, SEED_WEIGHT = 3000, 8.0
-#: Sizes say little of the form and differ most between collections: the trees don't see them.
-SEEN = tuple(i for i, f in enumerate(FEATURES) if f not in ("n_chars", "n_words", "n_lines", "compression", "longest_token_share", "distinct_words", "mean_line_length", "words_per_sentence"))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +55,7 @@ class FormModel:
     def rows(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
         """Places of the texts that aren't blank, and what the trees see of them."""
         found = [(i, s) for i, t in enumerate(texts) if (s := statistics(t, self.common)) is not None]
-        return [i for i, _ in found], np.array([s for _, s in found]).reshape(len(found), len(FEATURES))[:, SEEN]
+        return [i for i, _ in found], np.array([s for _, s in found]).reshape(len(found), len(FEATURES))
 
 
 def train(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> FormModel:
@@ -79,7 +77,7 @@ def train(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text
     rows = spread(chosen).mapInPandas(label, "doc_id bigint, piece int, label int, weight double, stats array<double>").collect()
     rows = sorted(((r["doc_id"] or 0, r["piece"], r["label"], r["weight"], r["stats"]) for r in rows), key=lambda r: r[:2])
     seed, seed_y = hand_checked("seed")
-    x = np.array([*(r[4] for r in rows), *(statistics(t, common) for t in seed)])[:, SEEN]
+    x = np.array([*(r[4] for r in rows), *(statistics(t, common) for t in seed)])
     y = np.array([*(r[2] for r in rows), *seed_y])
     weights = np.array([*(r[3] for r in rows), *[SEED_WEIGHT] * len(seed)])
     model = FormModel(common, BoostedTrees(FORMS, rounds=100, rate=0.15, columns=0.1).fit(x, y, weights))
