@@ -140,8 +140,8 @@ def _latent(tokens: DataFrame, weight: np.ndarray, rank: int, seed: int = 7) ->
         total = np.zeros((v + 1, width), np.float32)
         for pdf in batches:
             passages = _passages(pdf, v)
-            for lo in range(0, len(passages), 2000):
-                w = passages[lo : lo + 2000]
+            for lo in range(0, len(passages), 500):
+                w = passages[lo : lo + 500]
                 y = weighted[w.ravel()].reshape(len(w), WINDOW, width).sum(1) / np.maximum(square[w].sum(1), 1e-9)[:, None]
                 order = np.argsort(w, axis=None, kind="stable")
                 ids = w.ravel()[order]
@@ -256,10 +256,10 @@ def leaked_items(
 ) -> DataFrame:
     """Every (document, item) with a leaked passage, with the part it comes from, its length, changes and cosine.
 
-    `kind` is 'run' for a run of words in the sense above, else 'paraphrase'. items hold the texts named in `parts` and
+    `kind` is 'run' for a run of words in the sense above (the first of the document is measured), else 'paraphrase'. items hold the texts named in `parts` and
     perhaps the `answer` whose words a paraphrase needs about it. Documents are read into words once; items are looked up
     `block` at a time. Null and empty texts and items below MIN_WORDS words give no row; whole texts are read; repeated
-    documents count once per id (their best passage); other columns are left out.
+    documents count once per id; other columns are left out.
     """
     texts = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     columns = list(dict.fromkeys([*parts, *([answer] if answer else [])]))
@@ -364,80 +364,108 @@ def _gram_hits(a: np.ndarray, v: int, items: Items) -> tuple[np.ndarray, np.ndar
     return place[keep], item[keep], inside[keep]
 
 
+class _Batch:
+    """The documents of a batch against the items of a block."""
+
+    def __init__(self, pdf: pd.DataFrame, v: int, items: Items, scaled: np.ndarray):
+        self.items, self.v = items, v
+        self.a, self.starts, self.lengths = _laid_out(pdf, v)
+        self.ids = pdf["doc_id"].to_numpy()
+        # Passages in the latent space: sums of blocks.
+        step = 500 * STEP
+        blocks = np.concatenate([scaled[self.a[lo : lo + step]].reshape(-1, STEP, scaled.shape[1]).sum(1) for lo in range(0, len(self.a), step)])
+        known = (self.a < v).reshape(-1, STEP).sum(1)
+        last = len(blocks) - BLOCKS + 1
+        self.asked = np.flatnonzero(sum(known[k : last + k] for k in range(BLOCKS)) >= NEED)
+        self.vectors = _unit(sum(blocks[k : last + k] for k in range(BLOCKS))[self.asked])
+        self.leaked: set[tuple[int, int]] = set()
+        self.out: list[tuple] = []
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def words_about(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
+        words = self.a[np.clip(at[:, None] + np.arange(-before, after), 0, len(self.a) - 1)]
+        return np.where(words < self.v, words, -2)
+
+    def near(self, least_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, window of an item, cosine): of an item's windows that a passage is near to, the nearest one."""
+        found = [np.zeros((3, 0))]
+        for lo in range(0, len(self.asked), 20_000):
+            r, c, cosine = self.items.buckets.search(self.vectors[lo : lo + 20_000], least_cosine)
+            order = np.lexsort((-cosine, self.items.of_window[c], r))
+            r, c, cosine = r[order], c[order], cosine[order]
+            first = np.ones(len(r), bool)
+            first[1:] = (r[1:] != r[:-1]) | (self.items.of_window[c[1:]] != self.items.of_window[c[:-1]])
+            found.append(np.stack([self.asked[lo + r[first]] * STEP, c[first], cosine[first]]))
+        at, window, cosine = np.concatenate(found, axis=1)
+        return at.astype(np.int64), window.astype(np.int64), cosine
+
+    def align(self, places: list[tuple[int, int, int]]) -> None:
+        """Runs about (document, item, place) by the longest common subsequence, then word by word."""
+        for lo in range(0, len(places), 400):
+            doc, c, at = (np.array(x) for x in zip(*places[lo : lo + 400]))
+            segment = self.words_about(at, BEFORE, AFTER)
+            some = np.flatnonzero(common_subsequence(segment, self.items.words[c]) >= NEED)
+            if not len(some):
+                continue
+            found = longest_runs(segment[some], self.items.words[c[some]], MOST_CHANGES)
+            fine = found >= np.maximum(MIN_WORDS, CHANGES * np.arange(found.shape[1]))
+            for k, run, ok in zip(some.tolist(), found, fine):
+                if ok.any():
+                    e = int(np.flatnonzero(ok)[run[ok].argmax()])
+                    # The cosine of the passage that the gram begins in.
+                    i = np.searchsorted(self.asked, at[k] // STEP)
+                    seen = i < len(self.asked) and self.asked[i] == at[k] // STEP
+                    cosine = float((self.items.buckets.vectors[self.items.of_window == c[k]] @ self.vectors[i]).max()) if seen else 0.0
+                    self.leaked.add((int(doc[k]), int(c[k])))
+                    self.out.append((int(self.ids[doc[k]]), *self.items.names[c[k]], "run", int(run[e]), e, cosine))
+
+    def runs(self) -> None:
+        place, item, _ = _gram_hits(self.a, self.v, self.items)
+        order = np.lexsort((place, item))
+        kept: list[tuple[int, int, int]] = []
+        for doc, c, at in zip(self.doc_of(place[order]).tolist(), item[order].tolist(), place[order].tolist()):
+            # The words about one that is aligned anyway hold all that a near one might.
+            if not kept or kept[-1][1] != c or at - kept[-1][2] > AFTER - LEAST_EXTENT:
+                kept.append((doc, c, at))
+        # The first place of every document and item is aligned first, the others only where that is no leak.
+        first = {x[:2]: x for x in reversed(kept)}
+        self.align(list(first.values()))
+        self.align([x for x in kept if x[:2] not in self.leaked and first[x[:2]] != x])
+
+    def paraphrases(self, least_cosine: float) -> None:
+        items = self.items
+        places, windows, cosines = self.near(least_cosine)
+        for lo in range(0, len(places), 4000):
+            at, w, cosine = places[lo : lo + 4000], windows[lo : lo + 4000], cosines[lo : lo + 4000]
+            c = items.of_window[w]
+            spot = items.window_at[w][:, None] + np.arange(-STEP, ITEM_WINDOW + STEP)
+            words = np.where((spot >= 0) & (spot < items.words.shape[1]), items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)], -1)
+            size = np.minimum((items.words[c] >= 0).sum(1), ITEM_WINDOW)
+            matched = np.minimum(common_subsequence(self.words_about(at, STEP, WINDOW + STEP), words), size)
+            docs = self.doc_of(at + WINDOW - 1)  # a passage may begin before its document
+            for k in np.flatnonzero(matched >= PARAPHRASE_SHARE * size).tolist():
+                doc = int(docs[k])
+                if (doc, int(c[k])) in self.leaked:
+                    continue
+                rare, start = items.answers[c[k]], self.starts[doc]
+                about = self.a[max(start, at[k] - ANSWER_REACH) : min(start + self.lengths[doc], at[k] + WINDOW + ANSWER_REACH)]
+                if not len(rare) or np.isin(rare, about).mean() >= ANSWER_SHARE:
+                    self.out.append((int(self.ids[doc]), *items.names[c[k]], "paraphrase", int(matched[k]), int(size[k] - matched[k]), float(cosine[k])))
+
+
 def _searcher(held, least_cosine: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, projection, items = held.value
         v = len(weight)
         scaled = np.vstack([projection * weight[:, None], np.zeros((1, projection.shape[1]), np.float32)]).astype(np.float32)
-        for pdf in batches:
-            a, starts, lengths = _laid_out(pdf, v)
-            ids = pdf["doc_id"].to_numpy()
-            doc_of = lambda at: np.searchsorted(starts, at, "right") - 1
-            # Passages in the latent space: sums of blocks.
-            blocks = np.concatenate([scaled[a[lo : lo + 8000 * STEP]].reshape(-1, STEP, scaled.shape[1]).sum(1) for lo in range(0, len(a), 8000 * STEP)]) if len(a) else np.zeros((0, scaled.shape[1]), np.float32)
-            known = (a < v).reshape(-1, STEP).sum(1)
-            last = len(blocks) - BLOCKS + 1
-            vectors = sum(blocks[k : last + k] for k in range(BLOCKS))
-            asked = np.flatnonzero(sum(known[k : last + k] for k in range(BLOCKS)) >= NEED)
-            vectors = _unit(vectors[asked])
-            out: list[tuple] = []
-            near = [np.zeros((3, 0))]
-            for lo in range(0, len(asked), 20_000):
-                r, c, cosine = items.buckets.search(vectors[lo : lo + 20_000], least_cosine)
-                # Of the windows of an item that a passage is near to, the nearest one.
-                order = np.lexsort((-cosine, items.of_window[c], r))
-                r, c, cosine = r[order], c[order], cosine[order]
-                first = np.ones(len(r), bool)
-                first[1:] = (r[1:] != r[:-1]) | (items.of_window[c[1:]] != items.of_window[c[:-1]])
-                near.append(np.stack([asked[lo + r[first]] * STEP, c[first], cosine[first]]))
-            near_at, near_window, near_cosine = np.concatenate(near, axis=1)
-            near_at, near_window = near_at.astype(np.int64), near_window.astype(np.int64)
-            place, item, _ = _gram_hits(a, v, items)
-            order = np.lexsort((place, item))
-            kept: list[tuple[int, int]] = []
-            for at, c in zip(place[order].tolist(), item[order].tolist()):
-                # The words about one that is aligned anyway hold all that a near one might.
-                if not kept or kept[-1][1] != c or at - kept[-1][0] > AFTER - LEAST_EXTENT:
-                    kept.append((at, c))
-            leaked = set()
-            window = {int(x): i for i, x in enumerate(asked)} if kept else {}
-            by_item = {c: np.flatnonzero(items.of_window == c) for c in {c for _, c in kept}}
-            for lo in range(0, len(kept), 400):
-                at, c = (np.array(x) for x in zip(*kept[lo : lo + 400]))
-                segment = a[np.clip(at[:, None] + np.arange(-BEFORE, AFTER), 0, len(a) - 1)]
-                segment = np.where(segment < v, segment, -2)
-                some = np.flatnonzero(common_subsequence(segment, items.words[c]) >= NEED)
-                if not len(some):
-                    continue
-                found = longest_runs(segment[some], items.words[c[some]], MOST_CHANGES)
-                fine = found >= np.maximum(MIN_WORDS, CHANGES * np.arange(found.shape[1]))
-                for k, run, ok in zip(some.tolist(), found, fine):
-                    if ok.any():
-                        e, doc = int(np.flatnonzero(ok)[run[ok].argmax()]), int(doc_of(at[k]))
-                        # The cosine of the passage that the gram begins in.
-                        i = window.get(int(at[k]) // STEP)
-                        cosine = float((items.buckets.vectors[by_item[int(c[k])]] @ vectors[i]).max()) if i is not None else 0.0
-                        leaked.add((doc, int(c[k])))
-                        out.append((int(ids[doc]), *items.names[c[k]], "run", int(run[e]), e, cosine))
-            margin = STEP
-            for lo in range(0, len(near_at), 4000):
-                at, w, cosine = near_at[lo : lo + 4000], near_window[lo : lo + 4000], near_cosine[lo : lo + 4000]
-                c = items.of_window[w]
-                segment = a[np.clip(at[:, None] + np.arange(-margin, WINDOW + margin), 0, len(a) - 1)]
-                spot = items.window_at[w][:, None] + np.arange(-margin, ITEM_WINDOW + margin)
-                words = np.where((spot >= 0) & (spot < items.words.shape[1]), items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)], -1)
-                size = np.minimum((items.words[c] >= 0).sum(1), ITEM_WINDOW)
-                subsequence = common_subsequence(np.where(segment < v, segment, -2), words)
-                for k in np.flatnonzero(subsequence >= PARAPHRASE_SHARE * size).tolist():
-                    doc = int(doc_of(at[k] + WINDOW - 1))  # a passage may begin before its document
-                    if (doc, int(c[k])) in leaked:
-                        continue
-                    rare, start = items.answers[c[k]], starts[doc]
-                    about = a[max(start, at[k] - ANSWER_REACH) : min(start + lengths[doc], at[k] + WINDOW + ANSWER_REACH)]
-                    if not len(rare) or np.isin(rare, about).mean() >= ANSWER_SHARE:
-                        matched = int(min(size[k], subsequence[k]))
-                        out.append((int(ids[doc]), *items.names[c[k]], "paraphrase", matched, int(size[k]) - matched, float(cosine[k])))
-            if out:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                batch = _Batch(whole.iloc[lo : lo + 2000], v, items, scaled)
+                batch.runs()
+                batch.paraphrases(least_cosine)
+                if batch.out:
+                    yield pd.DataFrame(batch.out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return search
