@@ -27,10 +27,12 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_forests_with_cycles(spark, seed, monkeypatch):
-    monkeypatch.setattr(H, "CHUNK", 3)
+@pytest.mark.parametrize("seed, chunk, core, stretch", [(1, 3, 2, 4), (2, 3, 2, 12), (3, 50_000, 500_000, 250_000)])
+def test_random_forests_with_cycles(spark, seed, chunk, core, stretch, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", chunk)
     monkeypatch.setattr(H, "BLOCK", 5)
+    monkeypatch.setattr(H, "CORE", core)
+    monkeypatch.setattr(H, "STRETCH", stretch)
     r = random.Random(seed)
     rows = [(f"n{i}", r.choice([None, f"n{r.randrange(60)}", f"n{r.randrange(max(1, i))}", "gone"]), r.choice(["a", "b", None])) for i in range(60)]
     got = {tuple(x) for x in H.hierarchy(spark.createDataFrame(rows, "node string, parent string, name string")).collect()}
