@@ -1,75 +1,92 @@
 """Deeply nested semi-structured records into related flat tables.
 
 Structural-variant tables: a bottom-up tree automaton gives every node of a document's JSON tree a state from its label
-and its children's states; the state of an object says which variant of record it is (function, class, parameter, call
-reference, complexity, container). A top-down pass then routes each variant to its typed subtype table; all tables share
-the supertype keys (document id, node number, number of the enclosing node) so that every child stays tied to its entity
-and every entity to what encloses it.
+and its children's states. The state of an object says which variant of record it is (function, class, parameter, call
+reference, complexity, container) and whether it holds entities; the state of a member (a key with its value's state) says
+what it is to its owner: parameters, calls, complexity, further entities or a plain field. A top-down pass follows these
+states and nothing else, whatever the keys are called on the way, and routes each variant to its typed subtype table; all
+tables share the supertype keys (document id, node number, number of the enclosing node) so that every child stays tied to
+its entity and every entity to what encloses it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import spread
+from codestrata.session import spread, written
 
 #: One row per routed record. `variant` tells the subtype; columns that a variant lacks are null.
 NODE_SCHEMA = (
     "dump_id bigint, node int, parent_node int, variant string, entity_id string, owner_id string, pos int, "
     "name string, file string, entity_type string, signature string, docstring string, type_hint string, number bigint, shape string"
 )
-ENTITY_LISTS = ("functions", "classes", "files", "entities", "methods", "nested_classes")
+VARIANTS = ("entity", "parameter", "call", "cyclomatic", "invalid")
 #: Keys that mark an object without a declared type.
 CLASS_KEYS = frozenset({"bases", "methods", "nested_classes", "metaclass"})
 FUNCTION_KEYS = frozenset({"parameters", "calls", "signature", "complexity"})
+#: Members of an entity that are its own children; their form tells the variant.
+CHILD_KEYS = {"parameters": "parameters", "calls": "calls", "complexity": "complexity"}
 
 
 class ShapeAutomaton:
-    """Deterministic bottom-up automaton over JSON trees; `states` keeps one number per distinct object shape met."""
+    """Deterministic bottom-up automaton over JSON trees; `rules` keeps the state of every distinct object shape met.
+
+    A state is (kind, holds): what a value is, and whether there is an entity in it.
+    """
 
     def __init__(self) -> None:
-        self.rules: dict[tuple, str] = {}
+        self.rules: dict[tuple, tuple[str, bool]] = {}
 
-    def leaf(self, v: object) -> str:
+    def leaf(self, v: object) -> tuple[str, bool]:
         if v is None:
-            return "nul"
+            return "null", False
         if isinstance(v, bool):
-            return "bool"
-        return "num" if isinstance(v, (int, float)) else "str"
+            return "truth", False
+        return ("number" if isinstance(v, (int, float)) else "text"), False
 
-    def object_state(self, o: dict, states: dict[str, str]) -> str:
+    def object_state(self, o: dict, states: dict[str, tuple[str, bool]]) -> tuple[str, bool]:
         declared = o.get("type")
         label = declared if isinstance(declared, str) and declared in ("function", "class") else ""
         shape = (label, *sorted(states.items())) if len(states) <= 40 else None
         if shape is not None and (hit := self.rules.get(shape)):
             return hit
         keys = states.keys()
-        if label:
-            state = label
-        elif isinstance(o.get("name"), str) and keys & CLASS_KEYS:
-            state = "class"
-        elif isinstance(o.get("name"), str) and keys & FUNCTION_KEYS:
-            state = "function"
-        elif "cyclomatic" in keys and not any(s in ("function", "class") for s in states.values()):
-            state = "complexity"
-        elif states.get("name") == "str":
-            state = "named"
-        elif keys and all(s in ("function", "class") for s in states.values()):
-            state = "entity_map"
+        below = any(holds for _, holds in states.values())
+        named = states.get("name", ("", False))[0] == "text"
+        if label or named and keys & CLASS_KEYS or named and keys & FUNCTION_KEYS:
+            state = label or ("class" if keys & CLASS_KEYS else "function"), True
+        elif "cyclomatic" in keys and not below:
+            state = "complexity", False
+        elif named:
+            state = "named", below
         else:
-            state = "container"
+            state = "container", below
         if shape is not None and len(self.rules) < 100_000:
             self.rules[shape] = state
         return state
 
-    def run(self, root: object) -> dict[int, str]:
+    def list_state(self, states: list[tuple[str, bool]]) -> tuple[str, bool]:
+        return "list", any(holds for _, holds in states)
+
+    @staticmethod
+    def member(key: str, state: tuple[str, bool]) -> str:
+        """What a member of an entity is: parameters, calls and complexity with their form, 'entities', or 'field'."""
+        kind, holds = state
+        if key in CHILD_KEYS:
+            form = {"list": "list", "named": "one", "container": "map", "complexity": "record", "function": "one", "class": "one"}.get(kind, kind)
+            return f"{CHILD_KEYS[key]}:{form}" if kind != "null" else "field"
+        return "entities" if holds else "field"
+
+    def run(self, root: object) -> dict[int, tuple[str, bool]]:
         """State of every object and list by id(); bottom-up with an own stack, so depth is bounded by memory only."""
-        states: dict[int, str] = {}
+        states: dict[int, tuple[str, bool]] = {}
         order, stack = [], [root]
         while stack:
             v = stack.pop()
@@ -78,14 +95,82 @@ class ShapeAutomaton:
                 stack.extend(v.values() if isinstance(v, dict) else v)
         of = lambda v: states[id(v)] if isinstance(v, (dict, list)) else self.leaf(v)
         for v in reversed(order):
-            if isinstance(v, dict):
-                states[id(v)] = self.object_state(v, {k: of(x) for k, x in v.items()})
-            else:
-                kinds = {of(x) for x in v}
-                states[id(v)] = "list:" + "|".join(sorted(kinds))
+            states[id(v)] = self.object_state(v, {k: of(x) for k, x in v.items()}) if isinstance(v, dict) else self.list_state([of(x) for x in v])
         return states
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def read_json(text: str) -> object:
+    """A JSON value of any depth, or ValueError; NaN and Infinity aren't JSON. The usual reader is tried first, which gives up on deep nesting."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return _read_deep(text)
+
+
+def _read_deep(text: str) -> object:
+    skip = lambda i: _BLANK.match(text, i).end()
+    open_: list[tuple[object, str | None]] = []  # containers being read, each with the key under which it will be put
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            box: object = {} if c == "{" else []
+            at = skip(at + 1)
+            key = None
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    key, at = _key(text, at, skip)
+                open_.append((box, key))
+                continue
+            value, at = box, at + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif (m := _NUMBER.match(text, at)) is not None:
+            value, at = (float(m[0]) if m[1] or m[2] else int(m[0])), m.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"no value at {at}")
+            value, at = _WORDS[word], at + len(word)
+        # Put the value where it belongs and close what ends after it.
+        while open_:
+            box, key = open_.pop()
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                if isinstance(box, dict):
+                    key, at = _key(text, at, skip)
+                open_.append((box, key))
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            value, at = box, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError(f"more at {at}")
+            return value
+
+
+def _key(text: str, at: int, skip) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, skip(at + 1)
+
+
 def _text(v: object) -> str | None:
     return v if isinstance(v, str) and v != "" else None
 
@@ -121,29 +206,32 @@ def shred_payload(payload: str | None, automaton: ShapeAutomaton) -> list[tuple]
     if payload is None:
         return None
     try:
-        root = json.loads(payload, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+        root = read_json(payload)
+    except ValueError:
         return None
     states = automaton.run(root)
-    state = lambda v: states.get(id(v), "leaf")
-    # Top-down: find the entities, each with its enclosing entity (by node number), file in force and the key it is stored under.
+    state = lambda v: states[id(v)] if isinstance(v, (dict, list)) else automaton.leaf(v)
+    # Top-down along the states that hold entities: each with its enclosing entity (by node number), file in force and the key it is stored under.
     entities: list[dict] = []
     stack: list[tuple] = [(root, None, None, None)]
     while stack:
         v, key, outer, file = stack.pop()
+        if not state(v)[1]:
+            continue
         if isinstance(v, list):
             stack.extend((x, None, outer, file) for x in reversed(v))
-        elif isinstance(v, dict):
-            kind = state(v)
-            if kind in ("function", "class"):
-                here = _path(v.get("file")) or file
-                entities.append({"o": v, "key": key, "outer": outer, "file": here, "kind": kind})
-                me = len(entities) - 1
-                inner = [(v[k], None, me, here) for k in ENTITY_LISTS if isinstance(v.get(k), (list, dict))]
-            else:
-                here = _path(v.get("file_path")) or _path(v.get("path")) or _path(v.get("file")) or file
-                inner = [(x, k, outer, here) for k, x in v.items() if isinstance(x, (list, dict))]
-            stack.extend(reversed(inner))
+            continue
+        kind = state(v)[0]
+        if kind in ("function", "class"):
+            here = _path(v.get("file")) or file
+            members = {k: automaton.member(k, state(x)) for k, x in v.items()}
+            entities.append({"o": v, "key": key, "outer": outer, "file": here, "kind": kind, "members": members})
+            me = len(entities) - 1
+            inner = [(v[k], None, me, here) for k, role in members.items() if role == "entities"]
+        else:
+            here = _path(v.get("file_path")) or _path(v.get("path")) or _path(v.get("file")) or file
+            inner = [(x, k, outer, here) for k, x in v.items()]
+        stack.extend(reversed(inner))
     for e in entities:
         o, outer = e["o"], e["outer"]
         e["name"] = _text(o.get("name"))
@@ -179,23 +267,23 @@ def shred_payload(payload: str | None, automaton: ShapeAutomaton) -> list[tuple]
         shape = e["kind"] + "(" + ",".join(sorted(o)) + ")"
         if e["id"] is not None:
             rows.append((i, parent, "entity", e["id"], owner, 0, e["name"], e["file"], e["kind"], _text(o.get("signature")), _text(o.get("docstring")), None, None, shape))
-        params, calls = o.get("parameters"), o.get("calls")
-        if isinstance(params, dict) and state(params) != "named":
-            listed: list = [{**x, "name": k} if isinstance(x, dict) else k for k, x in params.items()]
-        else:
-            listed = params if isinstance(params, list) else [params]
-        for variant, items in (("parameter", listed), ("call", calls if isinstance(calls, list) else [calls])):
-            for pos, x in enumerate(items):
-                name = _text(x.get("name")) if isinstance(x, dict) else _text(x)
-                if name is not None:
-                    hint = x.get("type_hint") if isinstance(x, dict) else None
-                    rows.append((node, i, variant, e["id"], e["id"], pos, name, e["file"], None, None, None, _text(hint), None, "object" if isinstance(x, dict) else "name"))
+        for key, role in e["members"].items():
+            child, _, form = role.partition(":")
+            if child in ("parameters", "calls"):
+                variant, v = child[:-1], o[key]
+                if form == "map" and child == "parameters":
+                    v = [{**x, "name": k} if isinstance(x, dict) else k for k, x in v.items()]
+                for pos, x in enumerate(v if isinstance(v, list) else [v]):
+                    name = _text(x.get("name")) if isinstance(x, dict) else _text(x)
+                    if name is not None:
+                        hint = x.get("type_hint") if isinstance(x, dict) else None
+                        rows.append((node, i, variant, e["id"], e["id"], pos, name, e["file"], None, None, None, _text(hint), None, form))
+                        node += 1
+            elif child == "complexity":
+                number = _integer(o[key].get("cyclomatic") if isinstance(o[key], dict) else o[key])
+                if number is not None:
+                    rows.append((node, i, "cyclomatic", e["id"], e["id"], 0, None, e["file"], None, None, None, None, number, form))
                     node += 1
-        complexity = o.get("complexity")
-        number = _integer(complexity.get("cyclomatic") if isinstance(complexity, dict) else complexity)
-        if number is not None:
-            rows.append((node, i, "cyclomatic", e["id"], e["id"], 0, None, e["file"], None, None, None, None, number, "object" if isinstance(complexity, dict) else "number"))
-            node += 1
     return rows
 
 
@@ -231,29 +319,30 @@ def shred_nodes(df: DataFrame, id_col: str = "dump_id", payload_col: str = "payl
 
 
 def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """Typed subtype tables over `shred_nodes`; cut() the nodes first if several of them are used."""
+    """Typed subtype tables of `shred_nodes`, each in a folder of its own: reading one reads neither the others' rows nor columns that it lacks."""
+    routed = written(nodes, "variant")
     keys = ["dump_id", "node", "parent_node", "entity_id", "owner_id"]
-    of = lambda v: nodes.where(F.col("variant") == v)
+    of = lambda v: routed.where(F.col("variant") == v)
     entity = of("entity")
     return {
         "functions": entity.where(F.col("entity_type") == "function").select(*keys, "name", "file", "signature", "docstring", "shape"),
         "classes": entity.where(F.col("entity_type") == "class").select(*keys, "name", "file", "docstring", "shape"),
-        "parameters": of("parameter").select(*keys, "pos", "name", "type_hint"),
-        "calls": of("call").select(*keys, "pos", "name"),
-        "complexity": of("cyclomatic").select(*keys, F.col("number").alias("cyclomatic")),
+        "parameters": of("parameter").select(*keys, "pos", "name", "type_hint", "shape"),
+        "calls": of("call").select(*keys, "pos", "name", "shape"),
+        "complexity": of("cyclomatic").select(*keys, F.col("number").alias("cyclomatic"), "shape"),
         "invalid": of("invalid").select("dump_id"),
     }
 
 
-def child_links(nodes: DataFrame) -> DataFrame:
-    """(dump_id, owner_id, kind, child_pos, child) of all variants, without repeated rows."""
-    child = (
-        F.when(F.col("variant") == "entity", F.col("entity_id"))
-        .when(F.col("variant") == "cyclomatic", F.col("number").cast("string"))
-        .otherwise(F.col("name"))
-    )
-    return (
-        nodes.where(F.col("variant") != "invalid")
-        .select("dump_id", "owner_id", F.col("variant").alias("kind"), F.coalesce("pos", F.lit(0)).cast("int").alias("child_pos"), child.alias("child"))
-        .distinct()
-    )
+def child_links(tables: dict[str, DataFrame]) -> DataFrame:
+    """(dump_id, owner_id, kind, child_pos, child) of all typed tables, without repeated rows."""
+    row = lambda t, kind, pos, child: tables[t].select("dump_id", "owner_id", F.lit(kind).alias("kind"), pos.alias("child_pos"), child.alias("child"))
+    zero = F.lit(0)
+    parts = [
+        row("functions", "entity", zero, F.col("entity_id")), row("classes", "entity", zero, F.col("entity_id")), row("parameters", "parameter", F.col("pos"), F.col("name")),
+        row("calls", "call", F.col("pos"), F.col("name")), row("complexity", "cyclomatic", zero, F.col("cyclomatic").cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

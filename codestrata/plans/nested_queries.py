@@ -10,17 +10,26 @@ from codestrata.operators.shred import child_links, shred_nodes, variant_tables
 from codestrata.plans.tables import CURRENT_SQL, table
 
 
+def _tables(spark, sf_dir):
+    return variant_tables(shred_nodes(table(spark, sf_dir, "graph_dumps")))
+
+
 def p1_found(spark, sf_dir):
-    return child_links(shred_nodes(table(spark, sf_dir, "graph_dumps")))
+    return child_links(_tables(spark, sf_dir))
 
 
 def p1_functions(spark, sf_dir):
-    return variant_tables(shred_nodes(table(spark, sf_dir, "graph_dumps")))["functions"].drop("shape")
+    return _tables(spark, sf_dir)["functions"].drop("shape")
 
 
 def p1_variants(spark, sf_dir):
-    nodes = shred_nodes(table(spark, sf_dir, "graph_dumps"))
-    return nodes.groupBy("variant", "shape").agg(F.count("*").alias("n"), F.count_distinct("dump_id").alias("dumps"))
+    """How many rows of each typed table have each structural variant, and in how many dumps."""
+    tables = _tables(spark, sf_dir)
+    parts = [tables[t].select(F.lit(t).alias("table"), "shape", "dump_id") for t in ("functions", "classes", "parameters", "calls", "complexity")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("table", "shape").agg(F.count("*").alias("n"), F.count_distinct("dump_id").alias("dumps"))
 
 
 def p3_found(spark, sf_dir):

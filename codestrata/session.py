@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,13 +43,25 @@ def share_package(spark: SparkSession) -> None:
         environment.setdefault(name, "1")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) make one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only on one machine, where it is unset (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codestrata-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, by: str) -> DataFrame:
+    """df as a table in the shared folder, a folder for each value of `by`: lineage ends, and a reader of one value reads only its rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,8 +74,9 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     done = df.checkpoint(eager=True)
     try:
-        return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
-    except Exception:  # no such method in this version: the checkpoint itself will do
+        plain = spark._jsparkSession.internalCreateDataFrame
+        return DataFrame(plain(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+    except (AttributeError, Py4JError):  # no such method in this version: the checkpoint itself will do
         return done
 
 

@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 from codestrata.operators.records import current_records
-from codestrata.operators.shred import child_links, shred_nodes, variant_tables
+from codestrata.operators.shred import _read_deep, child_links, read_json, shred_nodes, variant_tables
 
 RECORD = "unique_id string, file string, scanned_at timestamp, ordinal bigint, name string, uid string"
 
@@ -23,7 +23,7 @@ def test_current_record_is_the_latest_of_a_compared_id(spark):
 
 def links(spark, *payloads):
     df = spark.createDataFrame(list(enumerate(payloads)), "dump_id bigint, payload string").selectExpr("*", "'x' AS kind", "1 AS child")
-    return {tuple(r)[1:] if len(payloads) == 1 else tuple(r) for r in child_links(shred_nodes(df)).collect()}
+    return {tuple(r)[1:] if len(payloads) == 1 else tuple(r) for r in child_links(variant_tables(shred_nodes(df))).collect()}
 
 
 def test_nested_classes_and_methods(spark):
@@ -48,9 +48,37 @@ def test_maps_lists_and_several_files(spark):
 
 def test_invalid_empty_and_repeated_payloads(spark):
     one = json.dumps([{"type": "function", "name": "f", "file": "a.py"}] * 2)
-    got = links(spark, one, one, '{"a": ', None, "", "[]", "3", "[NaN]", "[" * 5000 + "]" * 5000)
+    got = links(spark, one, one, '{"a": ', None, "", "[]", "3", "[NaN]", "[" * 50_000 + "]" * 50_000)
     assert got == {(0, "a.py", "entity", 0, "a.py:f"), (1, "a.py", "entity", 0, "a.py:f")}
     nodes = shred_nodes(spark.createDataFrame([(1, one), (2, "{")], "dump_id bigint, payload string"))
     tables = variant_tables(nodes)
     assert tables["functions"].count() == 2 and [r[0] for r in tables["invalid"].collect()] == [2]
     assert links(spark, "{}") == set()
+
+
+def test_entities_under_any_key_and_children_by_state(spark):
+    # An entity is followed wherever it is; what a parameter is called doesn't make it one.
+    f = {"type": "function", "name": "f", "parameters": [{"name": "cb", "type": "function"}], "calls": {"name": "go", "signature": "go()"}, "complexity": {"cyclomatic": 2}}
+    a = {"type": "class", "name": "A", "members": [f], "body": {"late": {"deep": [{"type": "function", "name": "g"}]}}}
+    assert links(spark, json.dumps({"path": "r/a.py", "anything": {"goes": [a]}})) == {
+        ("r/a.py", "entity", 0, "r/a.py:A"), ("r/a.py:A", "entity", 0, "r/a.py:A.f"), ("r/a.py:A", "entity", 0, "r/a.py:A.g"),
+        ("r/a.py:A.f", "parameter", 0, "cb"), ("r/a.py:A.f", "call", 0, "go"), ("r/a.py:A.f", "cyclomatic", 0, "2"),
+    }
+
+
+def test_any_depth(spark):
+    depth = 20_000
+    payload = '{"a":' * depth + '[{"type": "function", "name": "f", "file": "r/a.py"}]' + "}" * depth
+    assert links(spark, payload, "[" * depth, "[" * depth + "]" * (depth - 1)) == {(0, "r/a.py", "entity", 0, "r/a.py:f")}
+
+
+def test_own_reader_reads_as_the_usual_one():
+    good = ['{"a": [1, -2.5e3, "x\\n\\u00e9", true, false, null, {}, []], "a": {"b": ""}}', " [ ] ", "3", '"s"', '[{"k":[[]]},0]']
+    assert all(_read_deep(t) == json.loads(t) == read_json(t) for t in good)
+    for bad in ("", "[", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "nul", "[NaN]", "01", '{"a":1,}', "[]]", '"a', "{1:2}", "-"):
+        for read in (_read_deep, read_json):
+            try:
+                read(bad)
+            except ValueError:
+                continue
+            raise AssertionError(bad)
