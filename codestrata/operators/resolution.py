@@ -6,66 +6,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import compared_path
+from codestrata.session import cut
 
 #: Type names that are no dependency.
 BUILTIN_TYPES = ["int", "str", "float", "bool", "none", "any", "list", "dict", "set", "tuple", "optional", "union", "callable"]
 
 
-def import_names(imports: DataFrame) -> DataFrame:
-    """(file, alias, target): what a name stands for in a file: aliases and first parts of plain imports, and imported names."""
-    i = imports.where(F.col("to_module").isNotNull()).select(compared_path("from_path").alias("file"), F.col("to_module").alias("module"), "imported_names", "alias")
-    plain = i.select("file", F.coalesce("alias", F.substring_index("module", ".", 1)).alias("alias"), F.when(F.col("alias").isNotNull(), F.col("module")).otherwise(F.substring_index("module", ".", 1)).alias("target"))
-    names = i.select("file", "module", F.explode("imported_names").alias("alias")).where(F.col("alias").isNotNull()).select("file", "alias", F.concat_ws(".", "module", "alias").alias("target"))
-    return plain.where(F.col("alias") != "").unionByName(names).groupBy("file", "alias").agg(F.max("target").alias("target"))
+def _imports(imports: DataFrame) -> DataFrame:
+    return imports.where(F.col("to_module").isNotNull() & (F.col("to_module") != "")).select(compared_path("from_path").alias("file"), F.col("to_module").alias("module"), F.filter(F.coalesce("imported_names", F.array().cast("array<string>")), lambda n: n.isNotNull() & (n != "")).alias("names"), F.nullif("alias", F.lit("")).alias("alias"), F.coalesce("is_star", F.lit(False)).alias("is_star"))
+
+
+def module_aliases(imports: DataFrame) -> DataFrame:
+    """(file, alias, module): an alias stands for its module; a plain import without one has its first part stand for itself."""
+    i = _imports(imports)
+    aliased = i.where(F.col("alias").isNotNull()).select("file", "alias", "module")
+    first = F.substring_index("module", ".", 1)
+    plain = i.where(F.col("alias").isNull() & (F.size("names") == 0) & ~F.col("is_star")).select("file", first.alias("alias"), first.alias("module"))
+    return aliased.unionByName(plain).where(F.col("alias") != "").groupBy("file", "alias").agg(F.max("module").alias("module"))
+
+
+def imported_names(imports: DataFrame) -> DataFrame:
+    """(file, name, target) of names imported from modules: the name stands for module.name."""
+    names = _imports(imports).where(F.col("alias").isNull()).select("file", "module", F.explode("names").alias("name")).where(F.col("name") != "*")
+    return names.groupBy("file", "name").agg(F.max(F.concat_ws(".", "module", "name")).alias("target"))
+
+
+def star_imports(imports: DataFrame) -> DataFrame:
+    """(file, module) of modules from which a file imports all names."""
+    i = _imports(imports)
+    return i.where(F.col("is_star") | F.array_contains("names", "*")).select("file", "module").distinct()
 
 
 def resolve_cascade(entities: DataFrame, imports: DataFrame) -> DataFrame:
     """(source, call, target, confidence, how) of every distinct call of a function; unresolved ones with a null target.
 
-    Tiers, first hit counts: a method of the own class through self, one of its bases (0.9); the first base through super
-    (0.95); a known class (1.0); a dotted call through an import (0.9, external 0.7), else by its last name (0.6); a direct
-    call through an import (0.9, external 0.7), of the same file (1.0), anywhere (0.8). Every look-up has one row per key
-    before it is joined, so no tier multiplies rows.
+    Tiers, first hit counts: through self a method of the own class (1.0), else of the first of its bases that has it (0.9);
+    through super the method of the first base (0.95); a known class (1.0); a dotted call whose head is an imported module:
+    an entity of that name whose file or id holds the module (0.9), else external (0.7); other dotted calls by what follows
+    the first dot (0.6); a direct call of an imported name (0.9, external 0.7), of the same file (1.0), anywhere (0.8). A
+    class is the last one loaded of its name, other look-ups take the first. Every look-up has one row per key before it
+    is joined, so no tier multiplies rows.
     """
     e = entities.where(F.col("name").isNotNull() & (F.col("name") != ""))
     first = lambda d, *keys: d.groupBy(*keys).agg(F.min(F.struct("ordinal", "uid")).alias("r"))
-    by_name = first(e, "name").select(F.col("name").alias("_last"), F.col("r.uid").alias("t_name"))
+    by_name = first(e, "name").select("name", F.col("r.uid").alias("target"))
     by_file = first(e, "file_path", "name").select(F.col("file_path").alias("_file"), F.col("name").alias("_call"), F.col("r.uid").alias("t_file"))
-    classes = e.where(F.col("entity_type") == "class").groupBy("name").agg(F.max(F.struct("ordinal", "uid")).alias("r")).select(F.col("name").alias("_cls"), F.col("r.uid").alias("t_class"))
-    methods = first(e.where(F.col("parent_class").isNotNull()), "parent_class", "name").select(F.col("parent_class").alias("_owner"), F.col("name").alias("_m"), F.col("r.uid").alias("t_method"))
-    own = e.where(F.col("entity_type") == "class").groupBy("file_path", "name").agg(F.max(F.struct("ordinal", "bases")).alias("r")).select(F.col("file_path").alias("_cf"), F.col("name").alias("_cn"), F.col("r.bases").alias("_bases"))
-    names = import_names(imports).select(F.col("file").alias("_if"), F.col("alias").alias("_ia"), F.col("target").alias("t_import"))
+    classes = e.where(F.col("entity_type") == "class").groupBy("name").agg(F.max(F.struct("ordinal", "uid", "bases")).alias("r"))
+    known = classes.select(F.col("name").alias("_cls"), F.col("r.uid").alias("t_class"))
+    own = classes.select(F.col("name").alias("_cn"), F.col("r.bases").alias("_bases"))
+    methods = first(e.where(F.col("parent_class").isNotNull()), "parent_class", "name").select(F.col("parent_class").alias("_owner"), F.col("name").alias("_m"), F.col("r.ordinal").alias("_at"), F.col("r.uid").alias("t_method"))
+    modules = module_aliases(imports).select(F.col("file").alias("_if"), F.col("alias").alias("_ia"), F.col("module").alias("t_module"))
+    names = imported_names(imports).select(F.col("file").alias("_nf"), F.col("name").alias("_nn"), F.col("target").alias("t_import"))
     calls = e.where(F.col("entity_type") == "function").select("uid", "file_path", "parent_class", F.explode("calls").alias("call")).where(F.col("call").isNotNull() & (F.col("call") != "")).distinct()
     text = F.substring_index("call", "(", 1)
     is_self, is_super = F.col("call").startswith("self."), F.col("call").startswith("super(")
-    c = calls.select("*", F.when(is_self, F.substr("call", F.lit(6))).when(is_super, F.element_at(F.split("call", r"\."), -1)).otherwise(text).alias("rest"), is_self.alias("is_self"), is_super.alias("is_super"))
-    c = c.select("*", F.substring_index("rest", "(", 1).alias("name_"), F.substring_index("rest", ".", 1).alias("head"), F.element_at(F.split(F.substring_index("rest", "(", 1), r"\."), -1).alias("last"))
-    c = c.join(own, (F.col("file_path") == F.col("_cf")) & (F.col("parent_class") == F.col("_cn")), "left").drop("_cf", "_cn")
+    after_super = F.when(F.contains("call", F.lit("().")), F.substring_index(F.split_part("call", F.lit("()."), F.lit(2)), "(", 1)).otherwise(F.lit("__init__"))
+    c = calls.select("*", is_self.alias("is_self"), is_super.alias("is_super"), F.when(is_self, F.substring_index(F.substr("call", F.lit(6)), "(", 1)).when(is_super, after_super).otherwise(text).alias("name_"))
+    c = c.select("*", F.substring_index("name_", ".", 1).alias("head"), F.contains("name_", F.lit(".")).alias("dotted")).withColumn("rest", F.when(F.col("dotted"), F.substr("name_", F.length("head") + 2)))
+    c = c.join(own, F.col("parent_class") == F.col("_cn"), "left").drop("_cn")
     self_id = F.concat(F.col("file_path"), F.lit(":"), F.col("parent_class"), F.lit("."), F.col("name_"))
     ids = e.select(F.col("uid").alias("t_self"))
-    c = c.withColumn("_id", F.when(F.col("is_self"), self_id)).join(ids, F.col("_id") == F.col("t_self"), "left")
-    # Inherited: the least of the bases' methods by name; one row a call again.
-    bases = c.where((F.col("is_self") & F.col("t_self").isNull()) | F.col("is_super")).select("uid", "call", "name_", "last", "is_super", F.explode("_bases").alias("_b")).where(F.col("_b").isNotNull())
-    inherited = bases.join(methods, (F.col("_b") == F.col("_owner")) & (F.when(F.col("is_super"), F.col("last")).otherwise(F.col("name_")) == F.col("_m"))).groupBy("uid", "call").agg(F.min("t_method").alias("t_base")).select(F.col("uid").alias("_u"), F.col("call").alias("_c"), "t_base")
-    c = c.join(inherited, (F.col("uid") == F.col("_u")) & (F.col("call") == F.col("_c")), "left")
-    c = c.join(classes, F.col("name_") == F.col("_cls"), "left").join(by_name, F.col("last") == F.col("_last"), "left")
-    c = c.join(by_file, (F.col("file_path") == F.col("_file")) & (F.col("name_") == F.col("_call")), "left").join(names, (F.col("file_path") == F.col("_if")) & (F.col("head") == F.col("_ia")), "left")
-    dotted = F.contains(F.col("name_"), F.lit("."))
+    c = cut(c.withColumn("_id", F.when(F.col("is_self"), self_id)).join(ids, F.col("_id") == F.col("t_self"), "left"))
+    asked = c.where((F.col("is_self") & F.col("t_self").isNull()) | F.col("is_super")).select("uid", "call", "name_", "is_super", F.posexplode("_bases").alias("_pos", "_b")).where(F.col("_b").isNotNull() & (~F.col("is_super") | (F.col("_pos") == 0)))
+    inherited = asked.join(methods, (F.col("_b") == F.col("_owner")) & (F.col("name_") == F.col("_m"))).groupBy("uid", "call").agg(F.min(F.struct("_pos", "_at", "t_method")).alias("_r")).select("uid", "call", F.col("_r.t_method").alias("t_base"))
+    c = c.drop("_bases", "_id").join(inherited, ["uid", "call"], "left").join(known, F.col("name_") == F.col("_cls"), "left").drop("_cls")
+    c = c.join(modules, F.col("dotted") & (F.col("file_path") == F.col("_if")) & (F.col("head") == F.col("_ia")), "left").drop("_if", "_ia")
+    # Of the entities that a module's call may mean, one for each distinct (module, rest).
+    wanted = c.where(F.col("t_module").isNotNull()).select("t_module", "rest").distinct()
+    within = wanted.join(e.select(F.col("name").alias("rest"), "uid", "file_path", "ordinal"), "rest").where(F.contains(F.coalesce("file_path", F.lit("")), F.col("t_module")) | F.contains("uid", F.col("t_module")))
+    aliased = within.groupBy("t_module", "rest").agg(F.min(F.struct("ordinal", "uid")).alias("_r")).select("t_module", "rest", F.col("_r.uid").alias("t_alias"))
+    c = c.join(aliased, ["t_module", "rest"], "left")
+    c = c.join(by_name.select(F.col("name").alias("rest"), F.col("target").alias("t_rest")), "rest", "left").join(by_name.select(F.col("name").alias("name_"), F.col("target").alias("t_name")), "name_", "left")
+    c = c.join(by_file, (F.col("file_path") == F.col("_file")) & (F.col("name_") == F.col("_call")), "left").join(names, (F.col("file_path") == F.col("_nf")) & (F.col("name_") == F.col("_nn")), "left")
+    dotted = F.col("dotted")
     hit = lambda target, confidence, how: F.struct(target.alias("target"), F.lit(confidence).alias("confidence"), F.lit(how).alias("how"))
-    external = F.when(dotted, F.concat(F.col("t_import"), F.substr(F.col("name_"), F.length("head") + 1))).otherwise(F.col("t_import"))
     r = (
         F.when(F.col("is_self"), F.when(F.col("t_self").isNotNull(), hit(F.col("t_self"), 1.0, "self")).when(F.col("t_base").isNotNull(), hit(F.col("t_base"), 0.9, "inherited")))
         .when(F.col("is_super"), F.when(F.col("t_base").isNotNull(), hit(F.col("t_base"), 0.95, "super")))
         .when(F.col("t_class").isNotNull(), hit(F.col("t_class"), 1.0, "instantiation"))
-        .when(dotted & F.col("t_import").isNotNull(), hit(external, 0.7, "external"))
-        .when(dotted & F.col("t_name").isNotNull(), hit(F.col("t_name"), 0.6, "object_method"))
-        .when(~dotted & F.col("t_import").isNotNull(), F.when(F.col("t_name").isNotNull(), hit(F.col("t_name"), 0.9, "import")).otherwise(hit(external, 0.7, "external")))
-        .when(~dotted & F.col("t_file").isNotNull(), hit(F.col("t_file"), 1.0, "direct"))
-        .when(~dotted & F.col("t_name").isNotNull(), hit(F.col("t_name"), 0.8, "global"))
+        .when(dotted & F.col("t_alias").isNotNull(), hit(F.col("t_alias"), 0.9, "import_alias"))
+        .when(dotted & F.col("t_module").isNotNull(), hit(F.concat_ws(".", "t_module", "rest"), 0.7, "external"))
+        .when(dotted, F.when(F.col("t_rest").isNotNull(), hit(F.col("t_rest"), 0.6, "object_method")))
+        .when(F.col("t_import").isNotNull(), F.when(F.col("t_name").isNotNull(), hit(F.col("t_name"), 0.9, "import")).otherwise(hit(F.col("t_import"), 0.7, "external")))
+        .when(F.col("t_file").isNotNull(), hit(F.col("t_file"), 1.0, "direct"))
+        .when(F.col("t_name").isNotNull(), hit(F.col("t_name"), 0.8, "global"))
     )
     return c.select(F.col("uid").alias("source"), "call", r.alias("r")).select("source", "call", "r.target", F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("r.how", F.lit("unresolved")).alias("how"))
 
 
+def call_relations(resolved: DataFrame) -> DataFrame:
+    """(source, target, type, weight) of resolved calls: CALLS, or INSTANTIATES of classes; unresolved calls keep their text with weight 0.5."""
+    kind = F.when(F.col("how") == "instantiation", "INSTANTIATES").otherwise("CALLS")
+    return resolved.groupBy("source", F.coalesce("target", "call").alias("target"), kind.alias("type")).agg(F.max("confidence").alias("weight"), F.count("*").alias("calls"))
+
+
 def type_names(annotation: Column) -> Column:
     parts = F.split(F.regexp_replace(annotation, r"[\[\],|]", " "), r"\s+")
     return F.filter(F.array_distinct(parts), lambda p: (p != "") & ~p.startswith("...") & ~F.lower(p).isin(*BUILTIN_TYPES))

@@ -29,6 +29,14 @@ def resolve_cascade(spark, sf_dir):
     return X.resolve_cascade(_entities(spark, sf_dir), table(spark, sf_dir, "imports"))
 
 
+def call_relations(spark, sf_dir):
+    return X.call_relations(resolve_cascade(spark, sf_dir))
+
+
+def star_imports(spark, sf_dir):
+    return X.star_imports(table(spark, sf_dir, "imports"))
+
+
 def relation_edges(spark, sf_dir):
     return X.relations(_entities(spark, sf_dir), table(spark, sf_dir, "imports"))
 
@@ -45,7 +53,7 @@ def parse_sources(spark, sf_dir):
     return parse_files(spark.createDataFrame(SOURCES, "path string, content string")).select("kind", "unique_id", "name", "file", "line", "signature", "cyclomatic", "cognitive", "parse_success")
 
 
-QUERIES = {f.__name__: f for f in (resolve_cascade, relation_edges, relation_counts, entity_lookup, parse_sources)}
+QUERIES = {f.__name__: f for f in (resolve_cascade, call_relations, star_imports, relation_edges, relation_counts, entity_lookup, parse_sources)}
 
 _TYPES = "list_filter(list_distinct(regexp_split_to_array(regexp_replace({0}, '[\\[\\],|]', ' ', 'g'), '\\s+')), lambda p: p <> '' AND NOT starts_with(p, '...') AND lower(p) NOT IN (" + ", ".join(f"'{t}'" for t in X.BUILTIN_TYPES) + "))"
 _REL = rf"""{CURRENT_SQL},
@@ -65,29 +73,37 @@ rel AS (
   UNION SELECT uid, x, 'READS_GLOBAL' FROM (SELECT uid, unnest(reads_globals) AS x FROM cur WHERE entity_type = 'function') WHERE x IS NOT NULL AND x <> ''
   UNION SELECT uid, x, 'WRITES_GLOBAL' FROM (SELECT uid, unnest(writes_globals) AS x FROM cur WHERE entity_type = 'function') WHERE x IS NOT NULL AND x <> '')"""
 
+_RESOLVED = rf"""{CURRENT_SQL}, e AS (SELECT * FROM cur WHERE name IS NOT NULL AND name <> ''),
+im AS (SELECT regexp_replace(replace(from_path, '\', '/'), '^(\./)+', '') AS f, to_module AS m, list_filter(coalesce(imported_names, []), lambda x: x IS NOT NULL AND x <> '') AS ns, nullif(alias, '') AS alias, coalesce(is_star, false) AS star FROM imports WHERE to_module IS NOT NULL AND to_module <> ''),
+mo AS (SELECT f, a, max(m) AS m FROM (SELECT f, coalesce(alias, split_part(m, '.', 1)) AS a, CASE WHEN alias IS NOT NULL THEN m ELSE split_part(m, '.', 1) END AS m FROM im WHERE alias IS NOT NULL OR (len(ns) = 0 AND NOT star)) WHERE a <> '' GROUP BY f, a),
+nm AS (SELECT f, n, max(m || '.' || n) AS t FROM (SELECT f, m, unnest(ns) AS n FROM im WHERE alias IS NULL) WHERE n <> '*' GROUP BY f, n),
+bn AS (SELECT name, arg_min(uid, ordinal) AS t FROM e GROUP BY name), bf AS (SELECT fpath, name, arg_min(uid, ordinal) AS t FROM e GROUP BY ALL),
+cl AS (SELECT name, arg_max(uid, ordinal) AS t, arg_max(coalesce(bases, []), ordinal) AS bases FROM e WHERE entity_type = 'class' GROUP BY name),
+me AS (SELECT parent_class, name, min(ordinal) AS at, arg_min(uid, ordinal) AS t FROM e WHERE parent_class IS NOT NULL GROUP BY ALL),
+c0 AS (SELECT DISTINCT uid, fpath, parent_class, call FROM (SELECT uid, fpath, parent_class, unnest(calls) AS call FROM e WHERE entity_type = 'function') WHERE call IS NOT NULL AND call <> ''),
+c1 AS (SELECT *, starts_with(call, 'self.') AS s, starts_with(call, 'super(') AS u, CASE WHEN starts_with(call, 'self.') THEN split_part(substr(call, 6), '(', 1) WHEN starts_with(call, 'super(') THEN CASE WHEN contains(call, '().') THEN split_part(split_part(call, '().', 2), '(', 1) ELSE '__init__' END
+  ELSE split_part(call, '(', 1) END AS n FROM c0),
+c2 AS (SELECT c1.*, split_part(n, '.', 1) AS head, contains(n, '.') AS d, CASE WHEN contains(n, '.') THEN substr(n, length(split_part(n, '.', 1)) + 2) END AS rest, cl.bases AS bs FROM c1 LEFT JOIN cl ON c1.parent_class = cl.name),
+c3 AS (SELECT c2.*, x.uid AS t_self, mo.m AS t_module FROM c2 LEFT JOIN e x ON c2.s AND x.uid = c2.fpath || ':' || c2.parent_class || '.' || c2.n LEFT JOIN mo ON c2.d AND mo.f = c2.fpath AND mo.a = c2.head),
+ba AS (SELECT uid, call, n, u, unnest(bs) AS b, unnest(range(len(bs))) AS pos FROM c3 WHERE (s AND t_self IS NULL) OR u),
+ih AS (SELECT uid, call, arg_min(me.t, (pos, me.at)) AS t FROM ba JOIN me ON ba.b = me.parent_class AND ba.n = me.name WHERE NOT u OR pos = 0 GROUP BY ALL),
+al AS (SELECT w.t_module, w.rest, arg_min(e.uid, e.ordinal) AS t FROM (SELECT DISTINCT t_module, rest FROM c3 WHERE t_module IS NOT NULL) w JOIN e ON e.name = w.rest WHERE contains(coalesce(e.fpath, ''), w.t_module) OR contains(e.uid, w.t_module) GROUP BY ALL),
+j AS (SELECT c3.*, ih.t AS t_base, cl.t AS t_class, b1.t AS t_name, b2.t AS t_rest, bf.t AS t_file, nm.t AS t_import, al.t AS t_alias FROM c3 LEFT JOIN ih ON ih.uid = c3.uid AND ih.call = c3.call LEFT JOIN cl ON cl.name = c3.n LEFT JOIN bn b1 ON b1.name = c3.n LEFT JOIN bn b2 ON b2.name = c3.rest
+  LEFT JOIN bf ON bf.fpath = c3.fpath AND bf.name = c3.n LEFT JOIN nm ON nm.f = c3.fpath AND nm.n = c3.n LEFT JOIN al ON al.t_module = c3.t_module AND al.rest = c3.rest),
+h AS (SELECT *, CASE WHEN s THEN CASE WHEN t_self IS NOT NULL THEN 'self' WHEN t_base IS NOT NULL THEN 'inherited' ELSE 'unresolved' END WHEN u THEN CASE WHEN t_base IS NOT NULL THEN 'super' ELSE 'unresolved' END WHEN t_class IS NOT NULL THEN 'instantiation'
+  WHEN d AND t_alias IS NOT NULL THEN 'import_alias' WHEN d AND t_module IS NOT NULL THEN 'external' WHEN d AND t_rest IS NOT NULL THEN 'object_method' WHEN d THEN 'unresolved'
+  WHEN t_import IS NOT NULL AND t_name IS NOT NULL THEN 'import' WHEN t_import IS NOT NULL THEN 'external' WHEN t_file IS NOT NULL THEN 'direct' WHEN t_name IS NOT NULL THEN 'global' ELSE 'unresolved' END AS how FROM j),
+resolved AS (SELECT uid AS source, call, how, CASE how WHEN 'self' THEN t_self WHEN 'inherited' THEN t_base WHEN 'super' THEN t_base WHEN 'instantiation' THEN t_class WHEN 'import_alias' THEN t_alias WHEN 'external' THEN CASE WHEN d THEN t_module || '.' || rest ELSE t_import END
+    WHEN 'object_method' THEN t_rest WHEN 'import' THEN t_name WHEN 'direct' THEN t_file WHEN 'global' THEN t_name END AS target,
+  CASE how WHEN 'self' THEN 1.0 WHEN 'inherited' THEN 0.9 WHEN 'super' THEN 0.95 WHEN 'instantiation' THEN 1.0 WHEN 'import_alias' THEN 0.9 WHEN 'external' THEN 0.7 WHEN 'object_method' THEN 0.6 WHEN 'import' THEN 0.9 WHEN 'direct' THEN 1.0 WHEN 'global' THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM h)"""
+
 SQL = {
+    "resolve_cascade": f"WITH {_RESOLVED} SELECT source, call, target, confidence, how FROM resolved",
+    "call_relations": f"WITH {_RESOLVED} SELECT source, coalesce(target, call) AS target, CASE WHEN how = 'instantiation' THEN 'INSTANTIATES' ELSE 'CALLS' END AS type, max(confidence) AS weight, count(*) AS calls FROM resolved GROUP BY ALL",
+    "star_imports": rf"SELECT DISTINCT regexp_replace(replace(from_path, '\', '/'), '^(\./)+', '') AS file, to_module AS module FROM imports WHERE to_module <> '' AND (coalesce(is_star, false) OR list_contains(imported_names, '*'))",
     "relation_edges": f"WITH {_REL} SELECT * FROM rel",
     "relation_counts": f"WITH {_REL} SELECT type, count(*) AS n FROM rel GROUP BY type",
     "entity_lookup": rf"""WITH {CURRENT_SQL}, t AS (SELECT uid, CASE WHEN uid = '__INIT__' THEN 1 WHEN name = '__INIT__' THEN 2 WHEN split_part(uid, ':', -1) = '__INIT__' THEN 3 WHEN lower(uid) = '__init__' THEN 4 WHEN lower(name) = '__init__' THEN 5
   WHEN ends_with(lower(uid), ':__init__') OR ends_with(lower(uid), '.__init__') OR ends_with(lower(uid), '/__init__') THEN 6 END AS tier FROM cur)
 SELECT uid, tier FROM t WHERE tier = (SELECT min(tier) FROM t)""",
-    "resolve_cascade": rf"""WITH {CURRENT_SQL}, e AS (SELECT * FROM cur WHERE name IS NOT NULL AND name <> ''),
-im AS (SELECT regexp_replace(replace(from_path, '\', '/'), '^(\./)+', '') AS f, to_module AS m, imported_names, alias FROM imports WHERE to_module IS NOT NULL),
-nm AS (SELECT f, a, max(t) AS t FROM (SELECT f, coalesce(alias, split_part(m, '.', 1)) AS a, CASE WHEN alias IS NOT NULL THEN m ELSE split_part(m, '.', 1) END AS t FROM im UNION ALL SELECT f, n, concat_ws('.', m, n) FROM (SELECT f, m, unnest(imported_names) AS n FROM im) WHERE n IS NOT NULL) WHERE a <> '' OR t LIKE '%.%' GROUP BY f, a),
-bn AS (SELECT name, arg_min(uid, ordinal) AS t FROM e GROUP BY name), bf AS (SELECT fpath, name, arg_min(uid, ordinal) AS t FROM e GROUP BY ALL),
-cl AS (SELECT name, arg_max(uid, ordinal) AS t FROM e WHERE entity_type = 'class' GROUP BY name),
-me AS (SELECT parent_class, name, arg_min(uid, ordinal) AS t FROM e WHERE parent_class IS NOT NULL GROUP BY ALL),
-ow AS (SELECT fpath, name, arg_max(bases, ordinal) AS bases FROM e WHERE entity_type = 'class' GROUP BY ALL),
-c0 AS (SELECT DISTINCT uid, fpath, parent_class, call FROM (SELECT uid, fpath, parent_class, unnest(calls) AS call FROM e WHERE entity_type = 'function') WHERE call IS NOT NULL AND call <> ''),
-c1 AS (SELECT *, starts_with(call, 'self.') AS s, starts_with(call, 'super(') AS u, CASE WHEN starts_with(call, 'self.') THEN substr(call, 6) WHEN starts_with(call, 'super(') THEN split_part(call, '.', -1) ELSE split_part(call, '(', 1) END AS rest FROM c0),
-c2 AS (SELECT c1.*, split_part(rest, '(', 1) AS n, split_part(rest, '.', 1) AS head, split_part(split_part(rest, '(', 1), '.', -1) AS l, ow.bases AS bs FROM c1 LEFT JOIN ow ON c1.fpath = ow.fpath AND c1.parent_class = ow.name),
-c3 AS (SELECT c2.*, x.uid AS t_self FROM c2 LEFT JOIN e x ON c2.s AND x.uid = c2.fpath || ':' || c2.parent_class || '.' || c2.n),
-ih AS (SELECT q.uid, q.call, min(me.t) AS t FROM (SELECT uid, call, CASE WHEN u THEN l ELSE n END AS k, unnest(bs) AS b FROM c3 WHERE (s AND t_self IS NULL) OR u) q JOIN me ON q.b = me.parent_class AND q.k = me.name GROUP BY ALL),
-j AS (SELECT c3.*, ih.t AS t_base, cl.t AS t_class, bn.t AS t_name, bf.t AS t_file, nm.t AS t_import, contains(c3.n, '.') AS d FROM c3 LEFT JOIN ih ON ih.uid = c3.uid AND ih.call = c3.call LEFT JOIN cl ON cl.name = c3.n LEFT JOIN bn ON bn.name = c3.l
-  LEFT JOIN bf ON bf.fpath = c3.fpath AND bf.name = c3.n LEFT JOIN nm ON nm.f = c3.fpath AND nm.a = c3.head),
-k AS (SELECT uid AS source, call, CASE WHEN s THEN coalesce(t_self, t_base) WHEN u THEN t_base WHEN t_class IS NOT NULL THEN t_class WHEN d AND t_import IS NOT NULL THEN t_import || substr(n, length(head) + 1) WHEN d THEN t_name
-    WHEN t_import IS NOT NULL THEN coalesce(t_name, t_import) ELSE coalesce(t_file, t_name) END AS target,
-  CASE WHEN s AND t_self IS NOT NULL THEN 'self' WHEN s AND t_base IS NOT NULL THEN 'inherited' WHEN s THEN 'unresolved' WHEN u AND t_base IS NOT NULL THEN 'super' WHEN u THEN 'unresolved' WHEN t_class IS NOT NULL THEN 'instantiation' WHEN d AND t_import IS NOT NULL THEN 'external'
-    WHEN d AND t_name IS NOT NULL THEN 'object_method' WHEN d THEN 'unresolved' WHEN t_import IS NOT NULL AND t_name IS NOT NULL THEN 'import' WHEN t_import IS NOT NULL THEN 'external' WHEN t_file IS NOT NULL THEN 'direct' WHEN t_name IS NOT NULL THEN 'global' ELSE 'unresolved' END AS how FROM j)
-SELECT source, call, target, CASE how WHEN 'self' THEN 1.0 WHEN 'inherited' THEN 0.9 WHEN 'super' THEN 0.95 WHEN 'instantiation' THEN 1.0 WHEN 'external' THEN 0.7 WHEN 'object_method' THEN 0.6 WHEN 'import' THEN 0.9 WHEN 'direct' THEN 1.0 WHEN 'global' THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, how FROM k""",
 }
