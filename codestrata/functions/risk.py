@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Weights of complexity, centrality, test, dependency, change and bus risk.
 RISK_WEIGHTS = (0.25, 0.20, 0.20, 0.15, 0.10, 0.10)
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+#: Risks of a file without history.
+UNKNOWN_CHANGE, UNKNOWN_BUS = 0.3, 0.5
 
 
 def complexity_risk(cyclomatic: Column, cognitive: Column) -> Column:
@@ -45,6 +47,20 @@ def level_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level).cast("int")
 
 
+def level_weight(level: Column) -> Column:
+    """LOW 0.25, MEDIUM 0.5, HIGH 0.75, CRITICAL 1."""
+    return level_rank(level) / F.lit(4)
+
+
+def closure_band(affected: Column) -> Column:
+    return F.when(affected > 10, "HIGH").when(affected > 5, "MODERATE").otherwise("LOW")
+
+
+def top_risks(risks: dict[str, Column], least: float = 0.5) -> Column:
+    """'name (n %)' of every risk of at least `least`, in the order given."""
+    return F.array_compact(F.array(*[F.when(r >= least, F.concat(F.lit(name.removesuffix("_risk").replace("_", " ") + " ("), F.round(r * 100, 0).cast("int").cast("string"), F.lit(" %)"))) for name, r in risks.items()]))
+
+
 def reference_level(refs: Column) -> Column:
     return F.when(refs >= 8, "high").when(refs >= 3, "medium").otherwise("low")
 

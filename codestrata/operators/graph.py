@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import risk
 from codestrata.session import cut
 
 DEPENDENCY_TYPES = ("CALLS", "INHERITS", "IMPORTS", "USES_TYPE")
@@ -80,48 +76,32 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
     return edges.rollup("type").agg(F.count("*").alias("n")).select(F.coalesce("type", F.lit("total")).alias("type"), "n")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = True, max_rounds: int = 1000) -> DataFrame:
+def dependents(edges: DataFrame, upstream: bool = True) -> DataFrame:
+    """(node, other, type): what has an edge of a dependency type to a node (or, downstream, what it has one to), each once."""
+    node, other = ("target", "source") if upstream else ("source", "target")
+    return edges.where(F.col("type").isin(*DEPENDENCY_TYPES)).select(F.col(node).alias("node"), F.col(other).alias("other"), "type").distinct()
+
+
+def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = True, max_hops: int | None = None) -> DataFrame:
     """(seed, node, hops): every node from which a seed is reached (or that it reaches), without the seed itself.
 
-    Semi-naive: only nodes found in the last round are extended, each (seed, node) once; cycles end it.
+    Semi-naive: only nodes found in the last round are extended, each (seed, node) once; it goes on until a round finds
+    nothing (or max_hops are made, if given). A round writes its own front only; what was found is the fronts' union.
     """
     here, there = ("target", "source") if upstream else ("source", "target")
-    step = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("_next")).distinct())
-    front = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
-    found = front
-    for k in range(1, max_rounds + 1):
+    step = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("_next")).where(F.col(here) != F.col(there)).distinct())
+    found = front = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
+    k = 0
+    while k != max_hops:
+        k += 1
         new = front.join(step, "node").select("seed", F.col("_next").alias("node")).distinct().join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k))
         front = cut(new)
         if not front.take(1):
             break
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)
     return found.where(F.col("node") != F.col("seed"))
 
 
-def impact(edges: DataFrame, entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Blast radius of every seed with its risk factors.
-
-    Affected are all upstream nodes; direct ones have an edge of a dependency type to the seed; tests are affected ids
-    that contain 'test'. Centrality isn't part of it: it enters as 0.
-    """
-    up = cut(reach(edges, seeds))
-    dependents = edges.where(F.col("type").isin(*DEPENDENCY_TYPES)).join(seeds.select(F.col("node").alias("target")), "target").select(F.col("target").alias("seed"), F.col("source").alias("node")).where(F.col("seed") != F.col("node")).distinct()
-    affected = up.groupBy("seed").agg(F.count("*").alias("blast_radius"), F.sum(F.lower("node").contains("test").cast("int")).alias("tests"), F.max("hops").alias("depth"))
-    direct = dependents.groupBy("seed").agg(F.count("*").alias("direct"))
-    degree = degrees(seeds, simple_edges(edges)).select(F.col("node").alias("seed"), (F.col("in_degree") + F.col("out_degree")).alias("degree"))
-    own = entities.select(F.col("uid").alias("seed"), F.col("complexity.cyclomatic").alias("cyclomatic"), F.col("complexity.cognitive").alias("cognitive"))
-    rows = seeds.select(F.col("node").alias("seed")).distinct().join(affected, "seed", "left").join(direct, "seed", "left").join(degree, "seed", "left").join(own, "seed", "left").na.fill(0, ["blast_radius", "tests", "depth", "direct", "degree"])
-    parts = [
-        risk.complexity_risk(F.col("cyclomatic"), F.col("cognitive")), F.lit(0.0), risk.test_risk(F.col("tests")), risk.dependency_risk(F.col("direct")), risk.degree_change_risk(F.col("degree")), F.lit(0.5),
-    ]
-    score = risk.total_risk(parts)
-    return rows.select(
-        F.col("seed").alias("node"), "blast_radius", "direct", (F.col("blast_radius") - F.col("direct")).alias("indirect"), F.col("tests").cast("bigint").alias("tests"),
-        F.round(parts[0], 6).alias("complexity_risk"), F.round(parts[2], 6).alias("test_risk"), F.round(parts[3], 6).alias("dependency_risk"), F.round(parts[4], 6).alias("change_risk"), F.round(score, 6).alias("risk"), risk.risk_level(F.round(score, 9)).alias("level"),
-        F.array_join(risk.recommendations(parts[0], parts[2], F.col("tests"), F.lit(0.0), parts[3], F.lit(0.5)), "; ").alias("advice"),
-    )
-
-
 def affected_by_type(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, callers, inheritors, type_users): distinct affected nodes by the type of their edges into the seed or other affected nodes."""
     up = reach(edges, seeds).select("seed", "node")
@@ -146,66 +126,63 @@ def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, per
     return found.where(F.col("hop") > 0).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).select("seed", "node", "hop")
 
 
-def inheritance_chain(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(seed, ancestor, step): all parents of the seed, then of its first parent, and so on; a cycle ends it."""
+def inheritance_chain(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, ancestor, step): all parents of the seed, then of its first parent, and so on until there is none or a cycle ends it."""
     parents = cut(edges.where(F.col("type") == "INHERITS").groupBy("source").agg(F.min(F.struct("ordinal", "target")).alias("f"), F.collect_set("target").alias("all")).select(F.col("source").alias("at"), F.col("f.target").alias("first"), "all"))
     front = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at"), F.array("node").alias("seen"))
-    out = None
-    for k in range(1, max_rounds + 1):
+    out, k = None, 0
+    while True:
+        k += 1
         moved = cut(front.join(parents, "at"))
         rows = moved.select("seed", F.explode("all").alias("ancestor"), F.lit(k).alias("step"))
         out = rows if out is None else out.unionByName(rows)
         front = moved.where(~F.array_contains("seen", F.col("first"))).select("seed", F.col("first").alias("at"), F.concat("seen", F.array("first")).alias("seen"))
         if not moved.take(1):
-            break
-    return out
+            return out
 
 
-#: Graphs of up to so many edges are handed to every task for exact path counting.
-CENTRALITY_EDGES = 1_000_000
+def shortest_path_counts(edges: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
+    """For each number of hops the (source, node, paths) first reached in so many: breadth-first from all sources at once.
+
+    `paths` counts the shortest paths. A round is a join of the last front with the edges; no edge is collected. Its cost
+    is the number of (source, node) pairs that reach each other; `sources` restricts it to a sample.
+    """
+    step = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).where(F.col("source") != F.col("target")).distinct())
+    starts = sources.select("node") if sources is not None else step.select("node").distinct()
+    fronts = [cut(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")).distinct())]
+    seen = fronts[0]
+    while True:
+        new = fronts[-1].join(step, "node").groupBy("source", F.col("_next").alias("node")).agg(F.sum("paths").alias("paths")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        front = cut(new)
+        if not front.take(1):
+            return fronts
+        fronts.append(front)
+        seen = seen.unionByName(front)
 
 
 def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(node, betweenness), unnormalised, on the directed simple graph: one single-source accumulation per source, sources in parallel.
+    """(node, betweenness), unnormalised, on the directed simple graph; with `sources` (a sample) the sum over these only.
 
-    The edges are held by every task, so their number is checked against CENTRALITY_EDGES; beyond it an error asks for a
-    subgraph. With `sources` (a sample) the sum over these sources only.
+    Shortest paths are counted outwards from all sources at once, then the shares are handed back hop by hop: each step is a
+    join on (source, node) and a sum, so neither edges nor paths are ever held by one task.
     """
-    pairs = edges.select("source", "target").where(F.col("source") != F.col("target")).distinct().limit(CENTRALITY_EDGES + 1).collect()
-    if len(pairs) > CENTRALITY_EDGES:
-        raise ValueError(f"more than {CENTRALITY_EDGES} edges: take a subgraph")
-    adjacent: dict[str, list[str]] = {}
-    for s, t in sorted((r[0], r[1]) for r in pairs):
-        adjacent.setdefault(s, []).append(t)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for pdf in batches:
-            for s in pdf["node"]:
-                order, before, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adjacent.get(v, ()):
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                            before[w], paths[w] = [], 0.0
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node": list(total), "b": list(total.values())})
-
+    fronts = shortest_path_counts(edges, sources)
+    back = cut(edges.select(F.col("source").alias("_before"), F.col("target").alias("node")).where(F.col("source") != F.col("target")).distinct())
+    sums, share = [], None
+    for k in range(len(fronts) - 1, 0, -1):
+        here = fronts[k] if share is None else fronts[k].join(share, ["source", "node"], "left")
+        here = here.withColumn("share", F.coalesce("share", F.lit(0.0)) if share is not None else F.lit(0.0))
+        sums.append(here.groupBy("node").agg(F.sum("share").alias("b")))
+        before = fronts[k - 1].select("source", F.col("node").alias("_before"), F.col("paths").alias("_paths"))
+        given = here.join(back, "node").join(before, ["source", "_before"]).groupBy("source", F.col("_before").alias("node")).agg(F.sum(F.col("_paths") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+        share = cut(given)
     ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    found = (sources or ends).select("node").repartition(max(2, edges.sparkSession.sparkContext.defaultParallelism), "node").mapInPandas(run, "node string, b double")
-    sums = found.groupBy("node").agg(F.sum("b").alias("b"))
-    return ends.join(sums, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
+    if not sums:
+        return ends.select("node", F.lit(0.0).alias("betweenness"))
+    total = sums[0]
+    for x in sums[1:]:
+        total = total.unionByName(x)
+    return ends.join(total.groupBy("node").agg(F.sum("b").alias("b")), "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
 
 
 def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:

@@ -64,11 +64,6 @@ def g_ancestors_one(spark, sf_dir):
     return G.reach(edges, _hub(edges)).select("seed", "node", "hops")
 
 
-def g_impact_one(spark, sf_dir):
-    entities, edges = _graph(spark, sf_dir)
-    return G.impact(edges, entities, cut(_hub(edges))).drop("advice", "level")
-
-
 def g_affected_by_type(spark, sf_dir):
     edges = _graph(spark, sf_dir)[1]
     return G.affected_by_type(edges, cut(_hub(edges)))
@@ -84,10 +79,6 @@ def g_inheritance_chain(spark, sf_dir):
     return G.inheritance_chain(edges, entities.where(F.col("entity_type") == "class").select(F.col("uid").alias("node")))
 
 
-def g_centrality_inheritance(spark, sf_dir):
-    return G.betweenness(_graph(spark, sf_dir)[1].where(F.col("type") == "INHERITS"))
-
-
 def g_cycles_inheritance(spark, sf_dir):
     return G.simple_cycles(_graph(spark, sf_dir)[1].where(F.col("type") == "INHERITS"))
 
@@ -117,7 +108,7 @@ def rollup_directory_edges(spark, sf_dir):
     return R.rollup_edges(*_rolled(spark, sf_dir), "directory")
 
 
-QUERIES = {f.__name__: f for f in (g_edges, g_edge_type_counts, g_degree, g_stats, g_top_in_degree, g_callers, g_subclasses, g_ancestors_one, g_impact_one, g_affected_by_type, g_neighbourhood, g_inheritance_chain, g_centrality_inheritance, g_cycles_inheritance, rollup_entities, rollup_files, rollup_directories, rollup_file_edges, rollup_directory_edges)}
+QUERIES = {f.__name__: f for f in (g_edges, g_edge_type_counts, g_degree, g_stats, g_top_in_degree, g_callers, g_subclasses, g_ancestors_one, g_affected_by_type, g_neighbourhood, g_inheritance_chain, g_cycles_inheritance, rollup_entities, rollup_files, rollup_directories, rollup_file_edges, rollup_directory_edges)}
 
 _EDGES = CURRENT_SQL + r""",
 names AS (SELECT name, min(ordinal) AS at, arg_min(uid, ordinal) AS target FROM cur WHERE name IS NOT NULL AND name <> '' GROUP BY name),
@@ -152,13 +143,6 @@ SQL = {
     "g_subclasses": f"WITH {_EDGES} SELECT target AS base, count(DISTINCT source) AS subclasses FROM edges WHERE type = 'INHERITS' GROUP BY target",
     "g_ancestors_one": f"""WITH RECURSIVE {_EDGES}, bfs AS (SELECT node AS seed, node, 0 AS hops FROM hub UNION SELECT b.seed, e.source, b.hops + 1 FROM bfs b JOIN (SELECT DISTINCT source, target FROM edges) e ON e.target = b.node WHERE b.hops < 12)
 SELECT seed, node, min(hops)::INT AS hops FROM bfs WHERE node <> seed GROUP BY seed, node""",
-    "g_impact_one": f"""WITH RECURSIVE {_EDGES}, {_UP}, u AS (SELECT * FROM up WHERE node <> seed), x AS (
-SELECT h.node, (SELECT count(*) FROM u) AS blast_radius, (SELECT count(DISTINCT source) FROM edges WHERE target = h.node AND source <> h.node) AS direct,
-  (SELECT count(*) FROM u WHERE contains(lower(node), 'test')) AS tests, (SELECT count(*) FROM se WHERE source = h.node) + (SELECT count(*) FROM se WHERE target = h.node) AS degree,
-  (SELECT complexity.cyclomatic FROM cur WHERE uid = h.node) AS cyc, (SELECT complexity.cognitive FROM cur WHERE uid = h.node) AS cog FROM hub h),
-y AS (SELECT *, least((coalesce(cyc, 0) + coalesce(cog, 0) / 2) / 15, 1.0) AS c, CASE WHEN tests = 0 THEN 1.0 ELSE greatest(0.0, 1 - 0.3 * tests) END::DOUBLE AS t, least(direct / 10, 1.0) AS dep, least(degree / 20, 1.0) AS ch FROM x)
-SELECT node, blast_radius, direct, blast_radius - direct AS indirect, tests, round(c, 6) AS complexity_risk, round(t, 6) AS test_risk, round(dep, 6) AS dependency_risk, round(ch, 6) AS change_risk,
-  round(least(c * 0.25 + t * 0.2 + dep * 0.15 + ch * 0.1 + 0.5 * 0.1, 1.0), 6) AS risk FROM y""",
     "g_affected_by_type": f"""WITH RECURSIVE {_EDGES}, {_UP}, u AS (SELECT seed, node FROM up WHERE node <> seed), inside AS (SELECT * FROM u UNION SELECT node, node FROM hub)
 SELECT i.seed, count(DISTINCT CASE WHEN e.type = 'CALLS' THEN e.source END) AS callers, count(DISTINCT CASE WHEN e.type = 'INHERITS' THEN e.source END) AS inheritors, count(DISTINCT CASE WHEN e.type = 'USES_TYPE' THEN e.source END) AS type_users
 FROM edges e JOIN inside i ON e.target = i.node JOIN u ON u.seed = i.seed AND u.node = e.source GROUP BY i.seed""",
