@@ -48,21 +48,29 @@ def distinct_commits(commits: DataFrame, columns: list[str]) -> DataFrame:
 
 def commit_files(commits: DataFrame) -> DataFrame:
     """One row per commit and (compared) file it changed; commits without author are left out."""
-    columns = ["author_email", "author_name", "ts", "lines_added", "lines_deleted", "is_refactor", "is_bug_fix", "is_architectural", "reviewers", "files_changed"]
+    columns = ["author_email", "author_name", "ts", "lines_added", "lines_deleted", "is_refactor", "is_bug_fix", "is_architectural", "is_test", "reviewers", "files_changed"]
     files = F.explode(F.array_distinct(F.transform("files_changed", lambda f: compared_path(f))))
     c = distinct_commits(commits, columns).where(F.col("author_email").isNotNull())
     return c.select("commit_hash", F.col("author_email").alias("email"), F.col("author_name").alias("name"), "ts", (F.coalesce("lines_added", F.lit(0)) + F.coalesce("lines_deleted", F.lit(0))).alias("lines"),
-                    *[F.coalesce(x, F.lit(False)).alias(x) for x in ("is_refactor", "is_bug_fix", "is_architectural")], F.greatest(F.size("reviewers"), F.lit(0)).alias("reviews"), files.alias("file")).where(F.col("file").isNotNull())
+                    *[F.coalesce(x, F.lit(False)).alias(x) for x in ("is_refactor", "is_bug_fix", "is_architectural", "is_test")], F.greatest(F.size("reviewers"), F.lit(0)).alias("reviews"), files.alias("file")).where(F.col("file").isNotNull())
 
 
 def whole_days(a: Column, b: Column) -> Column:
     return F.floor((F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(86_400_000_000))
 
 
-def expertise_factors(changes: DataFrame, as_of: DataFrame | None = None) -> DataFrame:
+def checked_weights(weights: dict[str, float] | None) -> dict[str, float]:
+    """Weights of the factors, those not named as by default; ValueError for unknown or negative ones and a sum other than 1."""
+    w = {**FACTORS, **(weights or {})}
+    if w.keys() != FACTORS.keys() or min(w.values()) < 0 or abs(sum(w.values()) - 1) > 1e-6:
+        raise ValueError(f"weights of {sorted(FACTORS)} must not be negative and add up to 1")
+    return w
+
+
+def expertise_factors(changes: DataFrame, as_of: DataFrame | None = None, weights: dict[str, float] | None = None, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
     """(file, email, commits, the seven factors, total, confidence): one pass over the changes, file totals from the pairs.
 
-    as_of has one row and column (default: the latest change). The table is aggregated to (file, email) map-side first; file
+    `weights` changes the weight of factors by name, half_life the days after which a commit counts half. as_of has one row and column (default: the latest change). The table is aggregated to (file, email) map-side first; file
     totals are joined back, so a file with a third of all changes is never one task's.
     """
     flag = lambda c: F.sum(F.col(c).cast("int"))
@@ -83,12 +91,12 @@ def expertise_factors(changes: DataFrame, as_of: DataFrame | None = None) -> Dat
         "refactor_depth": F.when(F.col("r") == 0, 0.0).otherwise(F.least(one, 0.4 * ratio("r", "R_") + 0.6 * ratio("rl", "RL_"))),
         "architectural_changes": F.least(one, 1.5 * ratio("a", "A_")),
         "bug_fixes": F.least(one, ratio("b", "B_")),
-        "recency": F.greatest(F.lit(0.0), F.least(one, F.exp(-F.log(F.lit(2.0)) / HALF_LIFE_DAYS * days))),
+        "recency": F.greatest(F.lit(0.0), F.least(one, F.exp(-F.log(F.lit(2.0)) / half_life * days))),
         "code_review": F.when(F.col("v") > 0, F.least(one, F.col("v") / 10)).otherwise(0.5 * ratio("n", "N_")),
     }
     scored = p.select("file", "email", "n", "r", "a", "b", "plain", "newest", days.alias("days"), *[v.alias(k) for k, v in f.items()])
     total = F.lit(0.0)
-    for k, w in FACTORS.items():
+    for k, w in checked_weights(weights).items():
         total = total + F.col(k) * w
     kinds = (F.col("r") > 0).cast("int") + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int") + F.col("plain")
     confidence = F.least(one, F.greatest(F.lit(0.0), 0.5 * F.least(one, F.col("n") / 9) + 0.3 * F.greatest(F.lit(0.0), 1 - F.col("days") / 365) + 0.2 * kinds / 4))
@@ -121,9 +129,10 @@ def contributors(commits: DataFrame) -> DataFrame:
 
 
 def developer_stats(changes: DataFrame) -> DataFrame:
-    """Per email: commits, distinct files, lines and flagged commits."""
-    per = changes.groupBy("email", "commit_hash").agg(F.max("lines").alias("lines"), *[F.max(F.col(x).cast("int")).alias(x) for x in ("is_refactor", "is_bug_fix", "is_architectural")])
-    a = per.groupBy("email").agg(F.count("*").alias("commits"), F.sum("lines").cast("bigint").alias("lines"), *[F.sum(x).cast("bigint").alias(x.replace("is_", "n_")) for x in ("is_refactor", "is_bug_fix", "is_architectural")])
+    """Per email: commits, distinct files, lines, flagged commits, first and last."""
+    flags = ("is_refactor", "is_bug_fix", "is_architectural", "is_test")
+    per = changes.groupBy("email", "commit_hash").agg(F.max("lines").alias("lines"), F.max("ts").alias("ts"), *[F.max(F.col(x).cast("int")).alias(x) for x in flags])
+    a = per.groupBy("email").agg(F.count("*").alias("commits"), F.sum("lines").cast("bigint").alias("lines"), F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(x).cast("bigint").alias(x.replace("is_", "n_")) for x in flags])
     return a.join(changes.groupBy("email").agg(F.count_distinct("file").alias("files")), "email")
 
 
@@ -144,6 +153,44 @@ def latest_scores(expertise: DataFrame) -> DataFrame:
     return r.select("file", "email", F.col("r.total_score").alias("total"), F.col("r.commit_count").alias("commits"))
 
 
+def file_summary(risks: DataFrame) -> DataFrame:
+    """`file_risk` rows as the service shows them: shares and risks to two places."""
+    return risks.select("file", "changes", "authors", "days", *[F.round(c, 2).alias(c) for c in ("recent", "change_risk", "bus_risk")])
+
+
+def commits_of_type(classified: DataFrame, kind: str, limit: int = 100) -> DataFrame:
+    """The `limit` newest commits of a class; the limit counts matches."""
+    return classified.where(F.col("class_type") == kind).orderBy(F.col("ts").desc_nulls_last(), "commit_hash").limit(limit)
+
+
+#: Factors that give a reason, and from what score.
+REASONS = {
+    "refactor_depth": (0.5, "deeply refactored it"), "architectural_changes": (0.5, "shaped its architecture"), "bug_fixes": (0.4, "fixed many of its bugs"),
+    "commit_frequency": (0.5, "commits to it often"), "recency": (0.7, "worked on it recently"), "lines_changed": (0.5, "changed much of it"),
+}
+
+
+def reasoning(scores: DataFrame) -> DataFrame:
+    """Expertise rows with `reasoning`: of the two highest factors above 0.3 those over their own threshold, else what is known."""
+    order = list(FACTORS)
+    pairs = F.array(*[F.struct((-F.col(k)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(order)])
+    top = F.slice(F.array_sort(F.filter(pairs, lambda x: -x["s"] > 0.3)), 1, 2)
+    told = lambda x: F.coalesce(*[F.when((x["k"] == k) & (-x["s"] > least), text) for k, (least, text) in REASONS.items()])
+    reasons = F.array_compact(F.transform("_top", told))
+    text = F.when(F.size("_top") == 0, F.when(F.col("confidence") < 0.3, "too little data").otherwise("little involved")).when(F.size(reasons) > 0, F.array_join(reasons, " and ")).otherwise("contributed to it")
+    return scores.withColumn("_top", top).withColumn("reasoning", text).drop("_top")
+
+
+def contributor_view(scores: DataFrame, as_of: DataFrame) -> DataFrame:
+    """(email, commits, refactorings, status) over all files: by each developer's rows, highest total first; as_of is one row.
+
+    Refactorings are commits times refactor depth; online up to 7 days after the last commit, away up to 30, else on leave.
+    """
+    g = scores.groupBy("email").agg(F.sum("commits").alias("commits"), F.sum(F.round(F.col("commits") * F.col("refactor_depth"))).cast("bigint").alias("refactorings"), F.max("newest").alias("newest"), F.max("total").alias("total"))
+    days = whole_days(F.col("as_of"), F.col("newest"))
+    return g.join(F.broadcast(as_of)).select("email", "commits", "refactorings", "total", F.when(days <= 7, "online").when(days <= 30, "away").otherwise("pto").alias("status"))
+
+
 def file_bus_factor(scores: DataFrame, least: float = 0.6) -> DataFrame:
     return scores.groupBy("file").agg(F.count_if(F.col("total") >= least).alias("bus_factor"), F.count("*").alias("experts"), F.max("total").alias("top"))
 
@@ -158,13 +205,42 @@ def module_experts(scores: DataFrame, limit: int = 10) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy(F.col("score").desc(), "email"))).where(F.col("rank") <= limit)
 
 
+def _within(scores: DataFrame, modules: DataFrame) -> DataFrame:
+    """Scores of the files whose path starts with or contains each of the stated modules(module)."""
+    return scores.join(F.broadcast(modules.select("module").distinct()), F.contains("file", F.col("module")))  # starting with it is containing it
+
+
+def experts_within(scores: DataFrame, modules: DataFrame, limit: int = 10) -> DataFrame:
+    """Per stated module, a part of a path: mean score and commits of the first `limit` developers, confidence 0.8."""
+    m = _within(scores, modules).groupBy("module", "email").agg(F.round(F.avg("total"), 6).alias("score"), F.sum("commits").cast("bigint").alias("commits"))
+    return m.withColumn("confidence", F.lit(0.8)).withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy(F.col("score").desc(), "email"))).where(F.col("rank") <= limit)
+
+
+def bus_factor_within(scores: DataFrame, modules: DataFrame, above: float = 0.6) -> DataFrame:
+    """Per stated module, a part of a path: distinct developers with a score above 0.6."""
+    return _within(scores, modules).groupBy("module").agg(F.count_distinct(F.when(F.col("total") > above, F.col("email"))).alias("bus_factor"))
+
+
 def heatmap(scores: DataFrame) -> DataFrame:
-    """Per directory: files, developers, bus factor (distinct developers above 0.6), top score, gap and risk flags, health."""
+    """Per directory: files, developers, bus factor (distinct developers above 0.6), top score, gap and risk flags, health and its band."""
     g = scores.groupBy(dirname("file").alias("module")).agg(
         F.count_distinct("file").alias("files"), F.count_distinct("email").alias("developers"), F.count_distinct(F.when(F.col("total") > 0.6, F.col("email"))).alias("bus_factor"), F.max("total").alias("top"), F.round(F.avg("total"), 6).alias("mean")
     )
     gap = F.col("top") < 0.3
-    return g.select("*", gap.alias("gap"), (F.col("bus_factor") <= 2).alias("at_risk"), F.when(gap, 20).otherwise(F.least(F.lit(100), 30 * F.col("bus_factor") + 10 * F.col("developers"))).cast("bigint").alias("health"))
+    health = F.when(gap, 20).otherwise(F.least(F.lit(100), 30 * F.col("bus_factor") + 10 * F.col("developers"))).cast("bigint")
+    band = F.when(health >= 60, "healthy").when(health >= 30, "watch").otherwise("at risk")
+    return g.select("*", gap.alias("gap"), (F.col("bus_factor") <= 2).alias("at_risk"), health.alias("health"), band.alias("band"))
+
+
+def heatmap_experts(scores: DataFrame, limit: int = 5) -> DataFrame:
+    """The `limit` highest score rows of every directory."""
+    w = Window.partitionBy("module").orderBy(F.col("total").desc(), "file", "email")
+    return scores.select(dirname("file").alias("module"), "file", "email", "total").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def bus_factor_alerts(heat: DataFrame, limit: int = 8) -> DataFrame:
+    """The directories that the dashboard warns of: lowest bus factor, then lowest health."""
+    return heat.orderBy("bus_factor", "health", "module").limit(limit).select("module", "bus_factor", "health", "band")
 
 
 def store_stats(scores: DataFrame) -> DataFrame:
