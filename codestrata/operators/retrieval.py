@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codestrata.session import cut
 
 TOKEN = "[A-Za-z_][A-Za-z0-9_./:-]*"
 #: Patterns of each intent, in the order that settles ties.
@@ -26,51 +33,162 @@ def token_estimate(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n * 1.25))).cast("int")
 
 
+#: A query side of at most so many rows is broadcast.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has been counted to be small: of a stated query set it is."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _best(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def overlap_ranking(queries: DataFrame, corpus: DataFrame, k: int = 30) -> DataFrame:
     """(query_id, doc_id, score, rank): share of a query's distinct tokens found in the document, by an inverted index.
 
-    queries(query_id, text) is the stated, small side; its tokens are looked up by equality, so only documents that share
-    one are ever counted. Ties by id.
+    queries(query_id, text) is the stated side, read once; its tokens are looked up by equality, so only documents that
+    share one are ever counted, and a document's hits are added up where it is read. Ties by id.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    size = q.groupBy("query_id").agg(F.count("*").alias("_n"))
+    q = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))))
     d = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("_h"))
-    scored = hits.join(size, "query_id").select("query_id", "doc_id", F.round(F.col("_h") / F.col("_n"), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    hits = d.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("_h"), F.max("_n").alias("_n"))
+    return _best(hits.select("query_id", "doc_id", F.round(F.col("_h") / F.col("_n"), 9).alias("score")), k)
 
 
 def bm25_ranking(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) with idf = ln(1 + (N - df + 0.5)/(df + 0.5)); positive scores only; ties by id."""
-    terms = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token"))
-    tf = terms.where(F.col("token").isNotNull()).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    stats = corpus.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))  # one row
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    wanted = tf.join(q.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
+    """(query_id, doc_id, score, rank) with idf = ln(1 + (N - df + 0.5)/(df + 0.5)); positive scores only; ties by id.
+
+    The corpus is read into tokens once: what is written are the counts of the queries' tokens, and for every document a
+    row without token that carries its length.
+    """
+    q = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")))
+    wanted = small(q.select("token").distinct().withColumn("_wanted", F.lit(True)))
+    terms = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    tf = cut(terms.join(wanted, "token", "left").where(F.col("_wanted") | (F.col("token") == "")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")))
+    stats = tf.where(F.col("token") == "").agg(F.sum("tf").alias("N"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))  # one row
+    found = tf.where(F.col("token") != "")
+    df = found.groupBy("token").agg(F.count("*").alias("df")).join(q, "token").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = wanted.join(df, "token").join(F.broadcast(stats)).join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = cut(df.select("query_id", "token", idf.alias("_idf"), "avgdl"))
+    part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = found.join(small(asked), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") > 0)
+    return _best(scored, k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Query vectors that are held by every task at a time.
+QUERY_BLOCK = 10_000
 
 
-def cosine_ranking(queries: DataFrame, vectors: DataFrame, k: int = 24) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine of a stated set of query vectors against all vectors, k best; ties by id.
+def vector_ranking(queries: DataFrame, vectors: DataFrame, k: int = 24, metric: str = "cosine", id_col: str = "vec_id", least: float | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact scores of a stated set of query vectors against all vectors, k best; ties by id.
 
-    Each partition keeps its own k best of a query before the shuffle (the rank limit is pushed below it).
+    `metric` is cosine (negative ones count 0) or dot. The queries are taken in blocks of a bounded size; for a block each
+    task multiplies matrices and passes on the k best of every query, so no pair of vectors is a row of any join. Vectors
+    of another length or without any are left out; with `least` lower scores are too.
+    """
+    spark = queries.sparkSession
+    q = cut(queries.where(F.col("embedding").isNotNull()).select(F.col("query_id"), "embedding"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    schema = T.StructType([queries.schema["query_id"], T.StructField(id_col, vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        width = max(len(r["embedding"]) for r in rows)
+        rows = [r for r in rows if len(r["embedding"]) == width]
+        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], float)))
+
+        def score(batches: Iterator[pd.DataFrame], held=held, width=width) -> Iterator[pd.DataFrame]:
+            ids, asked = held.value
+            unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, np.nan)
+            asked = unit(asked) if metric == "cosine" else asked
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for pdf in batches:
+                pdf = pdf[[e is not None and len(e) == width for e in pdf["embedding"]]]
+                if not len(pdf):
+                    continue
+                m = np.stack(pdf["embedding"].to_numpy()).astype(float)
+                s = asked @ (unit(m) if metric == "cosine" else m).T
+                s = np.round(np.maximum(s, 0) if metric == "cosine" else s, 6)
+                # All that are as good as the k-th: ties are settled by id later.
+                bound = np.partition(np.nan_to_num(s, nan=-np.inf), -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                r, c = np.nonzero(s >= np.maximum(bound, -np.inf if least is None else least)[:, None])
+                best.append((r, pdf[id_col].to_numpy()[c], s[r, c]))
+            if best:
+                r, v, s = (np.concatenate(x) for x in zip(*best))
+                yield pd.DataFrame({"query_id": [ids[i] for i in r], id_col: v, "score": s})
+
+        part = vectors.select(id_col, "embedding").mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return _best(out if out is not None else spark.createDataFrame([], schema), k, id_col)
+
+
+def hashed_vector(text: Column, width: int = 64) -> Column:
+    """A vector that needs no model: how many tokens fall into each of `width` buckets by their MD5."""
+    bucket = lambda t: F.pmod(F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint"), F.lit(width))
+    places = F.transform(tokens(text), bucket)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
+def embed(df: DataFrame, text: str, model, column: str = "embedding") -> DataFrame:
+    """df with vectors of an injected model(list of texts) -> list of vectors, called once a batch in the workers."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in model(texts.fillna("").tolist())])
+
+    return df.withColumn(column, run(F.col(text)))
+
+
+def embed_text(entities: DataFrame) -> Column:
+    """What a function or class is embedded as: kind and name, file, class, signature, documentation, bases and at most ten calls."""
+    calls = F.slice(F.filter(F.coalesce("calls", F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != "") & ~c.startswith("self.")), 1, 10)
+    bases = F.filter(F.coalesce("bases", F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))
+    line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
+    lines = [
+        F.concat_ws(" ", F.initcap("entity_type"), "name"), line("File: ", F.col("file_path")), line("Class: ", F.col("parent_class")), line("Signature: ", F.col("signature")),
+        line("Description: ", F.col("docstring")), line("Extends: ", F.array_join(bases, ", ")), line("Calls: ", F.array_join(calls, ", ")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def is_stale(indexed: int, known: int) -> bool:
+    """Whether an index has to be built anew: it is empty or holds another number of entities."""
+    return indexed == 0 or indexed != known
+
+
+def resolve_boosts(candidates: DataFrame, hint: Column) -> DataFrame:
+    """candidates(query_id, id, score, query, name, file): 0.10 more for the hinted file, 0.08 for a name that the query holds; the best row of an id."""
+    in_file = F.when(hint.isNotNull() & F.contains(F.coalesce("file", F.lit("")), hint), 0.10).otherwise(0.0)
+    named = F.when((F.coalesce("name", F.lit("")) != "") & F.contains(F.lower("query"), F.lower("name")), 0.08).otherwise(0.0)
+    return candidates.withColumn("score", F.round(F.col("score") + in_file + named, 6)).groupBy("query_id", "id").agg(F.max(F.struct("score", "name", "file")).alias("_b")).select("query_id", "id", "_b.*")
+
+
+def hybrid(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, least: float = 0.0, alpha: float = 0.58) -> tuple[DataFrame, DataFrame]:
+    """(candidates, trace) of the whole search: 24 nearest vectors and 30 lexical hits, filtered by the hints in the query, fused, above `least`, reranked, boosted.
+
+    corpus(doc_id, name, file, type, text). candidates(query_id, id, score, rank); the trace counts what each step has left
+    for a query (semantic, lexical, fused, kept). A query whose filters leave nothing is answered without them.
     """
-    norm = lambda v: F.sqrt(dot(v, v))
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"))
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("_nv"))
-    scored = v.join(q).select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("_q"), F.col("embedding")) / F.nullif(F.col("_nq") * F.col("_nv"), F.lit(0.0))), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    semantic = cut(vector_ranking(query_vectors, vectors.withColumnRenamed("doc_id", "vec_id")).withColumnRenamed("vec_id", "doc_id"))
+    lexical = cut(overlap_ranking(queries, corpus, 30))
+    hint, kind = query_filters(F.col("text"))
+    about = cut(queries.select("query_id", F.col("text").alias("query"), hint.alias("hint"), kind.alias("kind")))
+    found = fuse_rankings(semantic.withColumnRenamed("doc_id", "id"), lexical.withColumnRenamed("doc_id", "id")).where(F.col("fused") > least)
+    rows = found.join(corpus.select(F.col("doc_id").alias("id"), "name", "file", "type", F.col("text").alias("document")), "id").join(small(about), "query_id")
+    fits = (F.col("hint").isNull() | F.contains(F.coalesce("file", F.lit("")), F.col("hint"))) & (F.col("kind").isNull() | F.coalesce(F.col("type") == F.col("kind"), F.lit(False)))
+    rows = rows.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(Window.partitionBy("query_id"))).where(F.col("_fits") | ~F.col("_any"))
+    ranked = cut(_best(resolve_boosts(rerank(rows, alpha).select("query_id", "id", "score", "query", "name", "file", "hint"), F.col("hint")), 30, "id"))
+    count = lambda d, name: d.groupBy("query_id").agg(F.count("*").alias(name))
+    trace = about.select("query_id")
+    for d, name in ((semantic, "semantic"), (lexical, "lexical"), (found, "fused"), (ranked, "kept")):
+        trace = trace.join(count(d, name), "query_id", "left")
+    return ranked.select("query_id", "id", "score", "rank"), trace.na.fill(0)
 
 
 def fuse_rankings(semantic: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
