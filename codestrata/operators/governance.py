@@ -35,11 +35,11 @@ def simple_glob(glob: str) -> str:
     return "^" + text + "$"
 
 
-def import_layers(imports: DataFrame, dotted: bool = True) -> DataFrame:
+def import_layers(imports: DataFrame, dotted: bool = True, layers: dict = LAYERS) -> DataFrame:
     """Distinct (from_path, to_module, line) with the layers of both ends; dotted modules are read as paths if asked."""
     i = imports.where(F.col("to_module").isNotNull()).select(compared_path("from_path").alias("from_path"), "to_module", "line").distinct()
     target = F.concat(F.translate("to_module", ".", "/"), F.lit("/")) if dotted else F.col("to_module")
-    return i.select("*", layer_of(F.col("from_path")).alias("from_layer"), layer_of(target).alias("to_layer"))
+    return i.select("*", layer_of(F.col("from_path"), layers).alias("from_layer"), layer_of(target, layers).alias("to_layer"))
 
 
 def validate_imports(layered: DataFrame, rules: list = RULES, layers: dict = LAYERS, strict: bool = False) -> DataFrame:

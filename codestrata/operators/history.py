@@ -245,3 +245,17 @@ def bus_factor_alerts(heat: DataFrame, limit: int = 8) -> DataFrame:
 
 def store_stats(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count_distinct("file").alias("files"), F.count_distinct("email").alias("developers"), F.count("*").alias("scores"), F.round(F.count("*") / F.count_distinct("file"), 6).alias("experts_per_file"))
+
+
+def line_experts(ranges: DataFrame, blame: DataFrame, scores: DataFrame) -> DataFrame:
+    """ranges(id, file, first, last) of lines -> (id, email, lines, total): who wrote them, with the score on the file where known.
+
+    blame(file, line, email) joins on the file and the line's own range of ranges only: both are first cut to spans of 256
+    lines, so a long file is no product of its lines and its ranges.
+    """
+    span = 256
+    r = ranges.where(F.col("last") >= F.col("first")).withColumn("_span", F.explode(F.sequence(F.floor(F.col("first") / span), F.floor(F.col("last") / span))))
+    b = blame.select("file", "line", "email", F.floor(F.col("line") / span).alias("_span"))
+    hit = b.join(r, ["file", "_span"]).where((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last")))
+    n = hit.groupBy("id", "file", "email").agg(F.count_distinct("line").alias("lines"))
+    return n.join(scores.select("file", "email", "total"), ["file", "email"], "left").select("id", "email", "lines", "total")

@@ -11,19 +11,22 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import cut
+
 _S, _A = "string", "array<string>"
 ENTITY_SCHEMA = (
     f"kind {_S}, unique_id {_S}, name {_S}, file {_S}, line int, end_line int, signature {_S}, parameters array<struct<name:string,type_hint:string,default_value:string,is_args:boolean,is_kwargs:boolean>>, "
     f"return_type {_S}, decorators {_A}, docstring {_S}, visibility {_S}, throws {_A}, is_async boolean, is_generator boolean, is_method boolean, is_static boolean, is_classmethod boolean, is_property boolean, parent_class {_S}, "
     f"cyclomatic int, cognitive int, lines_of_code int, calls {_A}, reads_globals {_A}, writes_globals {_A}, bases {_A}, metaclass {_S}, is_abstract boolean, is_dataclass boolean, is_protocol boolean, is_interface boolean, "
     f"methods {_A}, class_variables {_A}, instance_variables {_A}, nested_classes {_A}, module {_S}, imported_names {_A}, alias {_S}, is_relative boolean, is_star boolean, relative_level int, import_type {_S}, "
-    f"is_constant boolean, total_lines int, code_lines int, comment_lines int, blank_lines int, parse_success boolean"
+    f"is_constant boolean, total_lines int, code_lines int, comment_lines int, blank_lines int, parse_success boolean, has_await boolean, local_definitions {_A}"
 )
 _COLUMNS = [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ \w)", ENTITY_SCHEMA)]
 LANGUAGES = {".py": "python", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".h": "cpp"}
+KINDS = ("function", "class", "variable", "import", "module")
 _FLOW = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp)
 
 
@@ -120,10 +123,26 @@ def global_use(fn: ast.AST, module_names: set[str]) -> tuple[list[str], list[str
     return sorted(reads), sorted(writes)
 
 
-def line_counts(text: str, line_mark: str = "#", open_: str = '"""', close: str = '"""') -> tuple[int, int, int, int]:
-    """(total, code, comment, blank) lines; block comments open and close by toggling."""
+def local_definitions(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Names that a function binds: parameters, targets of any kind, imports, nested definitions; not those declared global or nonlocal."""
+    outer = {n for x in _own(fn) if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
+    names = {a.arg for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs, fn.args.vararg, fn.args.kwarg] if a is not None}
+    for x in _own(fn):
+        if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store):
+            names.add(x.id)
+        elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            names.add(x.name)
+        elif isinstance(x, ast.ExceptHandler) and x.name:
+            names.add(x.name)
+        elif isinstance(x, (ast.Import, ast.ImportFrom)):
+            names |= {(a.asname or a.name).split(".")[0] for a in x.names if a.name != "*"}
+    return sorted(names - outer)
+
+
+def line_counts(text: str, line_mark: str = "#", blocks: tuple[tuple[str, str], ...] = (('"""', '"""'), ("'''", "'''"))) -> tuple[int, int, int, int]:
+    """(total, code, comment, blank) lines; block comments open at the start of a line and end with the mark of their kind."""
     code = comment = blank = 0
-    inside = False
+    inside = None
     lines = text.split("\n")
     for line in lines:
         s = line.strip()
@@ -131,11 +150,10 @@ def line_counts(text: str, line_mark: str = "#", open_: str = '"""', close: str
             blank += 1
         elif inside:
             comment += 1
-            inside = close not in s
-        elif s.startswith(open_):
+            inside = None if inside in s else inside
+        elif block := next((b for b in blocks if s.startswith(b[0])), None):
             comment += 1
-            rest = s[len(open_) :]
-            inside = close not in rest
+            inside = None if block[1] in s[len(block[0]) :] else block[1]
         elif s.startswith(line_mark):
             comment += 1
         else:
@@ -162,6 +180,7 @@ def parse_python(path: str, text: str) -> list[dict]:
             "parameters": params, "return_type": returns, "decorators": deco, "docstring": ast.get_docstring(x), "is_async": is_async, "is_generator": any(isinstance(y, (ast.Yield, ast.YieldFrom)) for y in _own(x)),
             "is_method": parent is not None, "is_static": "staticmethod" in deco, "is_classmethod": "classmethod" in deco, "is_property": "property" in deco, "parent_class": parent, "cyclomatic": cyclomatic(x), "cognitive": cognitive(x, x.name),
             "lines_of_code": x.end_lineno - x.lineno + 1, "calls": _calls(x), "reads_globals": reads, "writes_globals": writes,
+            "has_await": any(isinstance(y, (ast.Await, ast.AsyncFor, ast.AsyncWith)) for y in _own(x)), "local_definitions": local_definitions(x),
         })
 
     def klass(x: ast.ClassDef) -> None:
@@ -243,44 +262,101 @@ def brace_complexity(body: str, name: str) -> tuple[int, int]:
     return 1 + flow + logic, total + bool(re.search(rf"\b{re.escape(name)}\s*\(", body))
 
 
+_NAMESPACE = re.compile(r"\bnamespace\s+([\w:]+)\s*\{")
+_ACCESS = re.compile(r"\b(public|private|protected)\s*:(?!:)")
+_FIELD = re.compile(r"((?:@\w+(?:\([^)]*\))?\s+)*)((?:(?:public|private|protected|static|final|volatile|transient|const|mutable|constexpr|inline)\s+)*)([\w:.<>,\[\]?&*\s]+?[\s&*>\]])(\w+)\s*(?:\[\s*\w*\s*\]\s*)?(?:=[^;]*)?$", re.S)
+_DECLARED = re.compile(r"((?:@\w+(?:\([^)]*\))?\s+)*)((?:(?:public|private|protected|static|final|abstract|synchronized|virtual|inline|explicit|constexpr|default|native|override)\s+)*)((?:[\w:<>,\[\]&*?~]+\s+)*?[\w:<>,\[\]&*?]*[&*\s]?)\b(~?\w+)\s*\(([^(){};]*)\)\s*((?:const|noexcept|override|final)\s*)*(?:throws\s+([\w.,\s]+?))?\s*(?:=\s*(?:0|default|delete))?$", re.S)
+
+
+def _flat(body: str) -> str:
+    """A class body without what is inside nested braces, which begin with a mark and end like statements do; places stay as they are."""
+    out, depth = [], 0
+    for c in body:
+        if c == "{":
+            depth += 1
+        out.append(c if depth == 0 or c == "\n" else "\0" if c == "{" and depth == 1 else ";" if c == "}" and depth == 1 else " ")
+        if c == "}":
+            depth -= 1
+    return "".join(out)
+
+
+def _brace_parameters(text: str) -> list[dict]:
+    params = []
+    for p in re.split(r",(?![^<]*>)", text):
+        q = re.sub(r"\bfinal\b|@\w+", "", p).strip()
+        if q and q != "void" and (w := re.match(r"^(.*?)([\w]+)(\[\])?\s*(?:=\s*(.+))?$", q)):
+            hint = w[1].strip()
+            params.append({"name": w[2], "type_hint": hint or None, "default_value": w[4], "is_args": "..." in hint, "is_kwargs": False})
+    return params
+
+
 def parse_braces(path: str, text: str, language: str) -> list[dict]:
+    """Java or C++ by declarations and braces: classes with fields and nesting, methods with and without a body, imports, the file."""
     plain = _blank_out(text)
     line_of = lambda i: plain.count("\n", 0, i) + 1
     rows: list[dict] = []
+    spaces = [(m.start(), _block_end(plain, m.end() - 1), m[1]) for m in _NAMESPACE.finditer(plain)] if language == "cpp" else []
+    space_of = lambda i: "::".join(n for a, b, n in spaces if a < i < b)
+    prefixed = lambda i, name: f"{s}::{name}" if (s := space_of(i)) else name
     classes = []
     for m in _CLASS[language].finditer(plain):
         end = _block_end(plain, m.end() - 1)
         heritage = re.sub(r"\b(?:extends|implements|public|private|protected|virtual)\b|^\s*:", ",", m[4] or "")
         bases = [b.strip() for b in re.split(r",(?![^<]*>)", heritage) if b.strip()]
-        classes.append((m.start(), end, m[3], m[2]))
         decorators = re.findall(r"@(\w+)", m[1] or "")
-        rows.append({"kind": "class", "unique_id": f"{path}:{m[3]}", "name": m[3], "file": path, "line": line_of(m.start(2)), "end_line": line_of(end), "bases": bases, "decorators": decorators, "is_abstract": "abstract" in (m[1] or "") or m[2] == "interface",
-                     "is_interface": m[2] == "interface", "is_dataclass": m[2] in ("enum", "struct", "record"), "is_protocol": False, "methods": [], "nested_classes": [], "class_variables": [], "instance_variables": []})
+        modifiers = re.findall(r"\b(public|protected|private)\b", m[1] or "")
+        classes.append((m.start(), end, m[3], m[2], m.end()))
+        rows.append({"kind": "class", "unique_id": f"{path}:{prefixed(m.start(), m[3])}", "name": m[3], "file": path, "line": line_of(m.start(2)), "end_line": line_of(end), "bases": bases, "decorators": decorators, "is_abstract": "abstract" in (m[1] or "") or m[2] == "interface",
+                     "is_interface": m[2] == "interface", "is_dataclass": m[2] in ("enum", "struct", "record"), "is_protocol": False, "visibility": modifiers[0] if modifiers else None, "methods": [], "nested_classes": [], "class_variables": [], "instance_variables": []})
+    by_class = dict(zip(classes, rows))
     by_name = {r["name"]: r for r in rows}
-    for m in _METHOD.finditer(plain):
+    inside = lambda i: max((c for c in classes if c[0] < i < c[1]), key=lambda c: c[0], default=None)
+    for c, row in by_class.items():
+        if outer := inside(c[0]):
+            by_class[outer]["nested_classes"].append(row["name"])
+
+    def visibility(at: int, owner: tuple | None, modifiers: list[str]) -> str | None:
+        named = next((x for x in modifiers if x in ("public", "private", "protected")), None)
+        if named or owner is None or language != "cpp":
+            return named or ("public" if owner is not None and owner[3] == "interface" else None)
+        labels = [m[1] for m in _ACCESS.finditer(_flat(plain[owner[4] : owner[1]])[: at - owner[4]])]
+        return labels[-1] if labels else "public" if owner[3] == "struct" else "private"
+
+    def function(m: re.Match, start: int, at: int, end: int, body: str) -> None:
         short = m[4].split("::")[-1]
-        if short in _NOT_METHODS or m[3].strip().split(" ")[-1:] in (["new"], ["return"], ["else"]):
-            continue
-        start, end = m.start(4), _block_end(plain, m.end() - 1)
-        owner = max((c for c in classes if c[0] < start < c[1]), key=lambda c: c[0], default=None)
+        owner = inside(start)
         parent = m[4].split("::")[-2] if "::" in m[4] else owner[2] if owner else None
-        params = []
-        for p in re.split(r",(?![^<]*>)", m[5]):
-            q = re.sub(r"\bfinal\b|@\w+", "", p).strip()
-            if q and q != "void" and (w := re.match(r"^(.*?)([\w]+)(\[\])?\s*(?:=\s*(.+))?$", q)):
-                hint = w[1].strip()
-                params.append({"name": w[2], "type_hint": hint or None, "default_value": w[4], "is_args": "..." in hint, "is_kwargs": False})
-        body = plain[m.end() - 1 : end + 1]
-        cyc, cog = brace_complexity(body, short)
+        cyc, cog = brace_complexity(body, short) if body else (1, 0)
         modifiers = m[2].split()
-        visibility = next((x for x in modifiers if x in ("public", "private", "protected")), None)
-        returns = m[3].strip() or None
         calls = [c for c in re.findall(r"((?:[\w]+(?:\.|::|->))*[\w]+)\s*\(", body) if c.split(".")[-1] not in _NOT_METHODS]
-        rows.append({"kind": "function", "unique_id": f"{path}:{parent}.{short}" if parent else f"{path}:{short}", "name": short, "file": path, "line": line_of(start), "end_line": line_of(end), "signature": " ".join(plain[m.start(2) : m.end() - 1].split()),
-                     "parameters": params, "return_type": returns, "decorators": re.findall(r"@(\w+)", m[1]) + modifiers, "visibility": visibility, "throws": [x.strip() for x in (m[7] or "").split(",") if x.strip()], "is_async": False, "is_generator": False,
+        rows.append({"kind": "function", "unique_id": f"{path}:{prefixed(start, f'{parent}.{short}' if parent else short)}", "name": short, "file": path, "line": line_of(start), "end_line": line_of(end), "signature": " ".join(plain[at:start].split() + [" ".join(m[0][m.start(4) - m.start() :].rstrip("{").split())]),
+                     "parameters": _brace_parameters(m[5]), "return_type": m[3].strip() or None, "decorators": re.findall(r"@(\w+)", m[1]) + modifiers, "visibility": visibility(start, owner, modifiers), "throws": [x.strip() for x in (m[7] or "").split(",") if x.strip()], "is_async": False, "is_generator": False,
                      "is_method": parent is not None, "is_static": "static" in modifiers, "is_classmethod": False, "is_property": False, "parent_class": parent, "cyclomatic": cyc, "cognitive": cog, "lines_of_code": line_of(end) - line_of(start) + 1, "calls": calls})
         if parent in by_name:
             by_name[parent]["methods"].append(short)
+
+    for m in _METHOD.finditer(plain):
+        if m[4].split("::")[-1] in _NOT_METHODS or m[3].strip().split(" ")[-1:] in (["new"], ["return"], ["else"]):
+            continue
+        end = _block_end(plain, m.end() - 1)
+        function(m, m.start(4), m.start(2), end, plain[m.end() - 1 : end + 1])
+    for c, row in by_class.items():
+        # What stands in the class itself: methods without a body, and fields.
+        flat = _ACCESS.sub(lambda x: " " * (len(x[0]) - 1) + ";", _flat(plain[c[4] : c[1]]))
+        at = c[4]
+        for statement in flat.split(";"):
+            start, at = at + len(statement) - len(statement.lstrip()), at + len(statement) + 1
+            t = statement.strip()
+            if not t or "\0" in t and "=" not in t.split("\0")[0]:
+                continue  # something with a body of its own
+            t = t.split("\0")[0].rstrip()
+            if (m := _DECLARED.fullmatch(t)) and m[4] not in _NOT_METHODS and m[3].strip() not in ("new", "return", "else", "throw") and (m[3].strip() or m[2] or m[4].lstrip("~") == c[2]):
+                function(m, start + m.start(4), start + m.start(2), start + len(t), "")
+            elif "(" not in t.split("=")[0] and (m := _FIELD.fullmatch(t)) and m[3].split()[0] not in ("return", "using", "typedef", "friend", "package", "import", "case"):
+                modifiers = m[2].split()
+                fixed, shared = bool({"final", "const", "constexpr"} & {*modifiers, *m[3].split()}), "static" in modifiers
+                row["class_variables" if shared else "instance_variables"].append(m[4])
+                rows.append({"kind": "variable", "unique_id": f"{path}:{prefixed(start, f'{c[2]}.{m[4]}')}", "name": m[4], "file": path, "line": line_of(start), "return_type": m[3].strip(), "is_constant": fixed, "is_static": shared, "parent_class": c[2], "visibility": visibility(start, c, modifiers), "decorators": re.findall(r"@(\w+)", m[1])})
     if language == "java":
         for m in re.finditer(r"^\s*import\s+(static\s+)?([\w.]+?)(?:\.(\*|\w+))\s*;", plain, re.M):
             rows.append({"kind": "import", "file": path, "line": line_of(m.start(2)), "module": m[2], "imported_names": [] if m[3] == "*" else [m[3]], "is_star": m[3] == "*", "is_relative": False, "relative_level": 0, "import_type": "static" if m[1] else "import"})
@@ -288,8 +364,9 @@ def parse_braces(path: str, text: str, language: str) -> list[dict]:
         for m in re.finditer(r'^[ \t]*#[ \t]*include[ \t]*([<"])([^>"]+)[>"]', text, re.M):
             rows.append({"kind": "import", "file": path, "line": text.count("\n", 0, m.start()) + 1, "module": m[2], "imported_names": [], "is_relative": m[1] == '"', "is_star": False, "relative_level": 0, "import_type": "include"})
     package = re.search(r"^\s*package\s+([\w.]+)\s*;", plain, re.M)
-    counts = dict(zip(("total_lines", "code_lines", "comment_lines", "blank_lines"), line_counts(text, "//", "/*", "*/")))
-    rows.append({"kind": "module", "name": path, "file": path, "docstring": package[1] if package else None, "parse_success": plain.count("{") == plain.count("}"), **counts})
+    counts = dict(zip(("total_lines", "code_lines", "comment_lines", "blank_lines"), line_counts(text, "//", (("/*", "*/"),))))
+    balanced = all(plain.count(a) == plain.count(b) for a, b in ("{}", "()", "[]"))
+    rows.append({"kind": "module", "name": path, "file": path, "docstring": package[1] if package else None, "parse_success": balanced, **counts})
     return rows
 
 
@@ -299,17 +376,34 @@ def parse_file(path: str, text: str | None) -> list[dict]:
     return parse_python(path, text or "") if language == "python" else parse_braces(path, text or "", language)
 
 
+def load_order(entities: DataFrame, path: str = "file") -> DataFrame:
+    """Functions, then classes, of each file in the order of files and lines, numbered from 0 as they are loaded: what look-ups by name break ties with.
+
+    The number is a sum over ranges of files: no task sees them all.
+    """
+    e = entities.where(F.col("kind").isin("function", "class")).withColumn("_k", F.when(F.col("kind") == "function", 0).otherwise(1))
+    w = Window.partitionBy(path).orderBy("_k", "line", "unique_id")
+    placed = e.withColumn("_i", F.row_number().over(w) - 1)
+    counts = placed.groupBy(path).agg(F.count("*").alias("_n"))
+    ranged = counts.repartitionByRange(path).sortWithinPartitions(path).withColumn("_p", F.spark_partition_id())
+    ranged = cut(ranged)
+    starts = ranged.groupBy("_p").agg(F.sum("_n").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    within = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(path).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = within.join(F.broadcast(starts), "_p").select(path, (F.col("_in") + F.col("_before")).alias("_first"))
+    return placed.join(first, path).withColumn("ordinal", F.col("_first") + F.col("_i")).drop("_k", "_i", "_first")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """files(path, content) -> rows of ENTITY_SCHEMA: a map over whole files. Null paths give no row, null contents an empty module."""
+    """files(path, content) -> rows of ENTITY_SCHEMA, of a file in the order of KINDS: a map over whole files. Null paths give no row, null contents an empty module."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["content"]) for r in parse_file(p, t)]
+            rows = [r for p, t in zip(pdf["path"], pdf["content"]) for r in sorted(parse_file(p, t), key=lambda r: KINDS.index(r["kind"]))]
             frame = pd.DataFrame([[r.get(c) for c in _COLUMNS] for r in rows], columns=_COLUMNS, dtype=object)
             for c in ("line", "end_line", "cyclomatic", "cognitive", "lines_of_code", "relative_level", "total_lines", "code_lines", "comment_lines", "blank_lines"):
                 frame[c] = frame[c].astype("Int32")
             for c in _COLUMNS:
-                if c.startswith("is_") or c == "parse_success":
+                if c.startswith("is_") or c in ("parse_success", "has_await"):
                     frame[c] = frame[c].astype("boolean")
             yield frame
 

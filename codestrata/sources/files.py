@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import io
 import json
-import subprocess
 import tarfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,41 +85,64 @@ def write_entities(entities: DataFrame, path: str, form: str = "parquet") -> Non
     writer.json(path) if form == "json" else writer.parquet(path)
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """store with the rows of `new` in place of those of the same keys; of repeated keys in `new` one row counts."""
-    return store.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+def upsert(store: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """store with the rows of `new` in place of those of the same keys; rows without a key are left out.
 
-
-def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(layers, rules) of a JSON rule file {layers: {name: {patterns, allowed_dependencies}}, rules: [{from, to, action}]}, in their order."""
-    spec = json.loads(Path(path).read_text())
-    layers = [(i, n, d.get("patterns", []), d.get("allowed_dependencies", [])) for i, (n, d) in enumerate(spec.get("layers", {}).items())]
-    rules = [(i, r.get("name"), r["from"], r["to"], r.get("action", "BLOCK").upper(), r.get("message")) for i, r in enumerate(spec.get("rules", []))]
-    return (
-        spark.createDataFrame(layers, "priority int, layer string, patterns array<string>, allowed_dependencies array<string>"),
-        spark.createDataFrame(rules, "priority int, name string, from_layer string, to_layer string, action string, message string"),
-    )
-
-
-COMMIT_SCHEMA = "commit_hash string, author_name string, author_email string, ts timestamp, message string, file string, added int, deleted int"
-
-
-def read_git_log(spark: SparkSession, repositories: list[str], max_commits: int | None = None, path: str | None = None, since: str | None = None) -> DataFrame:
-    """One row per commit and file of git histories, one repository a task; path and time limits go to git itself."""
-    options = (["-n", str(max_commits)] if max_commits else []) + ([f"--since={since}"] if since else []) + (["--", path] if path else [])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for repo in pdf["repo"]:
-                out = subprocess.run(["git", "-C", repo, "log", "--numstat", "-M", "--format=%x1e%H%x1f%an%x1f%ae%x1f%at%x1f%s", *options], capture_output=True, text=True, errors="replace", check=True).stdout
-                rows = []
-                for block in out.split("\x1e")[1:]:
-                    head, *lines = block.split("\n")
-                    h, name, email, at, message = head.split("\x1f")
-                    stats = [x.split("\t") for x in lines if x.count("\t") == 2] or [["0", "0", None]]
-                    for a, d, f in stats:
-                        rows.append((h, name, email, pd.Timestamp(int(at), unit="s"), message, f, int(a) if a.isdigit() else 0, int(d) if d.isdigit() else 0))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in COMMIT_SCHEMA.split(", ")])
-
-    repos = spark.createDataFrame([(r,) for r in repositories], "repo string").repartition(max(1, len(repositories)), "repo")
-    return repos.mapInPandas(run, COMMIT_SCHEMA)
+    Of repeated keys in `new` the last by `order` counts (then by all columns, so that the choice never depends on the run).
+    """
+    known = new.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rest = [c for c in known.columns if c not in keys]
+    if rest:
+        packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], *[F.col(c) for c in rest])
+        last = known.groupBy(*keys).agg(F.max(packed).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    else:
+        last = known.distinct()
+    return store.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def read_spec(path: str) -> dict:
+    """A rule file as a dict: JSON, or YAML where a reader for it is at hand."""
+    text = Path(path).read_text()
+    if Path(path).suffix.lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("reading YAML rules needs the yaml package; JSON needs none") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def read_rules(path: str) -> tuple[dict, list, bool]:
+    """(layers, rules, strict) of a rule file {layers: {name: {patterns, allowed_dependencies}}, rules: [{from, to, action}], strict_mode}, as validate_imports takes them, in the file's order."""
+    spec = read_spec(path)
+    layers = {n: (d.get("patterns") or [], d.get("allowed_dependencies") or []) for n, d in (spec.get("layers") or {}).items()}
+    actions = {"allow": "ALLOW", "warn": "WARNING", "warning": "WARNING", "block": "BLOCK"}
+    rules = []
+    for r in spec.get("rules") or []:
+        action = str(r.get("action", "warn")).lower()
+        if action not in actions:
+            raise ValueError(f"unknown action {action!r}")
+        rules.append((r.get("from", ""), r.get("to", ""), actions[action]))
+    return layers, rules, bool(spec.get("strict_mode", False))
+
+
+def object_event(event: dict) -> list[tuple[str, str]]:
+    """(bucket, key) of the objects that an upload event names: a list of records, a single detail, or the two plainly."""
+    if "Records" in event:
+        found = [r.get("s3", {}) for r in event["Records"]]
+        pairs = [(x.get("bucket", {}).get("name"), x.get("object", {}).get("key")) for x in found]
+    elif "detail" in event:
+        pairs = [(event["detail"].get("bucket", {}).get("name"), event["detail"].get("object", {}).get("key"))]
+    else:
+        pairs = [(event.get("bucket"), event.get("key"))]
+    out = [(b, unquote_plus(k)) for b, k in pairs if b and k]
+    if not out:
+        raise ValueError("the event names no object")
+    return out
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Delete a written table; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.delete(hadoop, True)

@@ -89,6 +89,14 @@ def test_parsers(spark):
     assert f["is_static"] and f["cyclomatic"] == 5 and [p["name"] for p in f["parameters"]] == ["x", "a", "k"]
     java = {r["name"]: r for r in parsing.parse_braces("B.java", "class B extends C implements D {\n public int f(String s, int... n) throws E { if (n > 1 && s != null) { go(s); } return 1; }\n}\n", "java")}
     assert java["B"]["bases"] == ["C", "D"] and java["f"]["throws"] == ["E"] and java["f"]["calls"] == ["go"] and java["f"]["cyclomatic"] == 3
+    rows = parsing.parse_braces("N.java", "interface N {\n int size(String s);\n class In { private static final int[] A = {1, 2}; String b, c; void go() { if (b == c) {} } abstract int later() throws E; }\n}\n", "java")
+    by = {(r["kind"], r["name"]): r for r in rows}
+    assert by["class", "N"]["nested_classes"] == ["In"] and by["class", "N"]["methods"] == ["size"] and by["function", "size"]["visibility"] == "public" and by["function", "size"]["cyclomatic"] == 1
+    assert by["variable", "A"]["is_constant"] and by["variable", "A"]["is_static"] and by["class", "In"]["class_variables"] == ["A"] and by["function", "later"]["throws"] == ["E"] and by["function", "later"]["parent_class"] == "In"
+    cpp = {(r["kind"], r["name"]): r for r in parsing.parse_braces("w.cpp", "namespace a { namespace b {\nclass W : public Z {\n int n;\npublic:\n W(int k);\n int get() const;\n};\nint W::get() const { return n; }\nstruct P { int q; };\n} }\n", "cpp")}
+    assert cpp["class", "W"]["unique_id"] == "w.cpp:a::b::W" and cpp["variable", "n"]["visibility"] == "private" and cpp["function", "W"]["visibility"] == "public" and cpp["variable", "q"]["visibility"] == "public"
+    py = {r["name"]: r for r in parsing.parse_python("q.py", "async def f(a, *b):\n    import os.path as p\n    for i in a:\n        await b[0](i)\n    def g(): yield 1\n    global z\n    z = 1\n\'\'\'one\ntwo\'\'\'\n") if r["kind"] in ("function", "module")}
+    assert py["f"]["has_await"] and not py["f"]["is_generator"] and py["f"]["local_definitions"] == ["a", "b", "g", "i", "p"] and py["q.py"]["comment_lines"] == 2
     files = spark.createDataFrame([("x.py", "def f(:"), ("y.py", None), (None, "a"), ("z.cpp", "#include \"a.h\"\nint f() { return 1; }\n")], "path string, content string")
     got = [(r["kind"], r["file"], r["parse_success"]) for r in parsing.parse_files(files).collect()]
     assert ("module", "x.py", False) in got and ("module", "y.py", True) in got and ("import", "z.cpp", None) in got
@@ -122,6 +130,8 @@ def test_sources_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     a, b = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     assert {tuple(r) for r in upsert(a, b, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    c = spark.createDataFrame([(2, "z", 1), (2, "b", 3), (2, "y", 2), (None, "x", 9)], "k int, v string, at int")
+    assert {tuple(r)[:2] for r in upsert(a, c, ["k"], ["at"]).collect()} == {(1, "a"), (2, "b")}
     lines = spark.createDataFrame([('{"type": "edit", "ts": "2024-01-01T00:00:00"}',), ("{bad",), ('{"ts": null}',)], "value string")
     assert [r["type"] for r in parse_events(lines).collect()] == ["edit"]
     events = spark.createDataFrame([(datetime(2024, 1, 1, 1), "view", 1.0), (datetime(2024, 1, 1, 2), "view", 2.0), (datetime(2024, 1, 9), "view", 1.0)], "ts timestamp, event_type string, value double")
@@ -139,3 +149,103 @@ def test_every_core_query_runs_on_the_smallest_tables(spark, sf_dir):
     assert entry.entry(spark).columns
     for name in ("g_stats", "rollup_directories", "expert_top1", "drift_report", "eval_gate", "relation_counts", "p1_variants"):
         assert registry.QUERIES[name](spark, sf_dir).count() > 0, name
+
+
+def test_git_tables(spark, tmp_path):
+    import os
+    import subprocess
+
+    from codestrata.sources.git import git_blame, git_contents, git_files, new_path, read_git_log
+
+    repo = str(tmp_path / "r")
+    env = {**os.environ, "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_CONFIG_SYSTEM": "/dev/null"}
+    for k, who in (("AUTHOR", "a"), ("COMMITTER", "a")):
+        env |= {f"GIT_{k}_NAME": who, f"GIT_{k}_EMAIL": f"{who}@x.example"}
+
+    def git(*args, **more):
+        subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, env=env | more)
+
+    os.mkdir(repo)
+    git("init", "-b", "main")
+    (tmp_path / "r/a.py").write_text("one\ntwo\nthree\nfour\n")
+    git("add", ".")
+    git("commit", "-m", "first", GIT_AUTHOR_DATE="2024-01-01T00:00:00Z")
+    git("checkout", "-b", "side")
+    (tmp_path / "r/n.txt").write_text("note\n")
+    git("add", ".")
+    git("commit", "-m", "side", GIT_AUTHOR_DATE="2024-01-02T00:00:00Z")
+    git("checkout", "main")
+    os.mkdir(f"{repo}/d")
+    git("mv", "a.py", "d/a.py")
+    (tmp_path / "r/d/a.py").write_text("one\nTWO\nthree\nfour\n")
+    git("commit", "-am", "moved", GIT_AUTHOR_NAME="b", GIT_AUTHOR_EMAIL="b@x.example", GIT_AUTHOR_DATE="2024-01-03T00:00:00Z")
+    git("merge", "--no-ff", "-m", "merge", "side")
+    log = {(r["message"], r["file"], r["added"], r["deleted"]) for r in read_git_log(spark, [repo]).collect()}
+    assert log == {("first", "a.py", 4, 0), ("side", "n.txt", 1, 0), ("moved", "d/a.py", 1, 1), ("merge", "n.txt", 1, 0)}
+    assert {r["message"] for r in read_git_log(spark, [repo], author="b@x").collect()} == {"moved"} and read_git_log(spark, [repo], max_commits=2).select("commit_hash").distinct().count() == 2
+    assert {r["file"] for r in read_git_log(spark, [repo], suffix=".py").collect()} == {"a.py", "d/a.py"}
+    assert {r["file"] for r in git_files(spark, [repo]).collect()} == {"d/a.py", "n.txt"} and {r["file"] for r in git_files(spark, [repo], "side").collect()} == {"a.py", "n.txt"}
+    assert [r["content"] for r in git_contents(spark, [repo], suffix=".py").collect()] == ["one\nTWO\nthree\nfour\n"]
+    blame = git_blame(spark, [repo], ".py")
+    assert {(r["line"], r["email"]) for r in blame.collect()} == {(1, "a@x.example"), (2, "b@x.example"), (3, "a@x.example"), (4, "a@x.example")}
+    assert new_path("x/{ => y}/z.py") == "x/y/z.py" and new_path("a => b") == "b"
+    ranges = spark.createDataFrame([("f", "d/a.py", 1, 2), ("g", "d/a.py", 3, 900), ("none", "d/a.py", 5, 4)], "id string, file string, first int, last int")
+    scores = spark.createDataFrame([("d/a.py", "a@x.example", 0.5)], "file string, email string, total double")
+    assert {tuple(r) for r in history.line_experts(ranges, blame, scores).collect()} == {("f", "a@x.example", 1, 0.5), ("f", "b@x.example", 1, None), ("g", "a@x.example", 2, 0.5)}
+
+
+def test_rule_files_baselines_and_events(spark, tmp_path):
+    import json
+
+    from codestrata.sources.files import drop_table, object_event, read_rules
+
+    spec = {"layers": {"ui": {"patterns": ["**/ui/**"], "allowed_dependencies": ["db"]}, "db": {"patterns": ["**/db/**"]}}, "rules": [{"from": "db", "to": "ui", "action": "block"}], "strict_mode": True}
+    (tmp_path / "r.json").write_text(json.dumps(spec))
+    (tmp_path / "r.yaml").write_text("layers:\n  ui:\n    patterns: ['**/ui/**']\n    allowed_dependencies: [db]\n  db:\n    patterns: ['**/db/**']\nrules:\n  - {from: db, to: ui, action: block}\nstrict_mode: true\n")
+    layers, rules, strict = read_rules(str(tmp_path / "r.json"))
+    assert (layers, rules, strict) == read_rules(str(tmp_path / "r.yaml")) and strict and rules == [("db", "ui", "BLOCK")]
+    i = spark.createDataFrame([("x/ui/a.py", "x.db.b", 1), ("x/db/a.py", "x.ui.b", 2), ("x/y.py", "z", 3)], "from_path string, to_module string, line int")
+    checked = governance.validate_imports(governance.import_layers(i, layers=layers), rules, layers, strict)
+    assert [r["verdict"] for r in checked.orderBy("line").collect()] == ["ALLOW", "BLOCK", "WARNING"]
+    files = spark.createDataFrame([("x/ui/a.py",), ("x/db/a.py",), ("x/y.py",), ("x/db/b.py",)], "path string")
+    shares, metrics = governance.layer_shares(files, layers=layers), governance.drift_metrics(checked)
+    assert {tuple(r) for r in shares.collect()} == {("ui", 0.25), ("db", 0.5)}
+    path = str(tmp_path / "baseline")
+    assert governance.load_baseline(spark, path) is None and governance.drift_report(metrics, shares, None, None).first()["drift_score"] == 0
+    governance.save_baseline(metrics, shares, path)
+    then, then_shares = governance.load_baseline(spark, path)
+    assert governance.drift_report(metrics, shares, then, then_shares).first()["balance_drift"] == 0
+    other = spark.createDataFrame([("ui", 0.5), ("gone", 0.1)], "layer string, share double")
+    assert governance.drift_report(metrics, shares, then, other).first()["balance_drift"] == 0.85
+    assert {r["series"] for r in governance.drift_series(metrics, shares, None, None).collect()} == {"coupling", "cohesion", "ui", "db"}
+    assert drop_table(spark, path) and not drop_table(spark, path)
+    assert object_event({"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": "a+b%2Fc.zip"}}}]}) == [("b", "a b/c.zip")] == object_event({"bucket": "b", "key": "a+b%2Fc.zip"})
+    assert spark.createDataFrame([("a/b/c.py", "m.n", 1), ("a/b/c.py", None, 2), ("c.py", "m", 3), ("a/c.py", "m", 0)], "p string, m string, l int").select(governance.resolve_relative(F.col("p"), F.col("m"), F.col("l"))).collect() == [("a/b/m/n",), ("a",), ("m",), ("m",)]
+
+
+def test_load_order_and_weights(spark):
+    files = spark.createDataFrame([(f"p{i:02d}.py", "class A:\n    def m(self): pass\ndef f(): pass\n") for i in range(12)], "path string, content string")
+    rows = parsing.load_order(parsing.parse_files(files).repartition(5)).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in rows] == list(range(36)) and [(r["file"], r["name"]) for r in rows[:4]] == [("p00.py", "m"), ("p00.py", "f"), ("p00.py", "A"), ("p01.py", "m")]
+    for bad in ({"unknown": 0.1}, {"recency": 0.5}, {"recency": -0.1, "bug_fixes": 0.35}):
+        try:
+            history.checked_weights(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_blast_radius_with_all_risks(spark):
+    from codestrata.operators import impact
+
+    edges = edges_of(spark, [("a", "b"), ("test_x", "b"), ("b", "c"), ("d", "a"), ("c", "e")])
+    entities = spark.createDataFrame([("b", "f.py", (10, 4)), ("c", "g.py", (1, 0)), ("z", None, None)], "uid string, file_path string, complexity struct<cyclomatic:int,cognitive:int>")
+    files = spark.createDataFrame([("f.py", 0.8, 1.0)], "file string, change_risk double, bus_risk double")
+    seeds = spark.createDataFrame([("b",), ("c",), ("z",)], "node string")
+    got = {r["node"]: r for r in impact.impact(edges, entities, seeds, graph.betweenness(edges), files).collect()}
+    b, c, z = got["b"], got["c"], got["z"]
+    assert (b["blast_radius"], b["direct"], b["tests"], b["depth"]) == (3, 2, 1, 2) and b["complexity_risk"] == 0.8 and (b["change_risk"], b["bus_risk"]) == (0.8, 1.0)
+    assert (c["change_risk"], c["bus_risk"]) == (0.3, 0.5) and (z["blast_radius"], z["centrality_risk"], z["change_risk"], z["bus_risk"]) == (0, 0.0, 0.0, 0.5)
+    assert b["centrality_risk"] == 1.0 and abs(b["risk"] - (0.25 * 0.8 + 0.2 + 0.2 * 0.7 + 0.15 * 0.3 + 0.1 * 0.8 + 0.1)) < 1e-6 and "centrality" in b["top_risks"]
+    nodes, pairs = impact.induced_subgraph(edges, seeds)
+    assert {(r["node"], r["refs"]) for r in nodes.where("seed = 'b'").collect()} == {("b", 2), ("a", 1), ("d", 0), ("test_x", 0)} and pairs.where("seed = 'z'").count() == 0
