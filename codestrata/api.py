@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import risk
 from codestrata.functions.paths import compared_path
-from codestrata.operators import governance, graph, history, resolution, retrieval, rollup
+from codestrata.operators import context, governance, graph, history, impact, resolution, retrieval, rollup
 from codestrata.operators.records import current_records
 from codestrata.plans.tables import table
 from codestrata.session import cut
@@ -70,8 +70,27 @@ class CodeIntelligence:
     def blast_radius(self, text: str) -> DataFrame:
         return graph.reach(self.edges, self._seed(text)).select("node", "hops")
 
+    @cached_property
+    def centrality(self) -> DataFrame:
+        return cut(graph.betweenness(self.edges))
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        return cut(history.file_risk(self.changes))
+
     def explain_blast_radius(self, text: str) -> DataFrame:
-        return graph.impact(self.edges, self.entities, self._seed(text)).withColumn("safe_to_change", F.col("risk") < 0.3).withColumn("bar", risk.bar(F.col("risk")))
+        functions = self.entities.where(F.col("entity_type") == "function").count()
+        rows = impact.impact(self.edges, self.entities, self._seed(text), self.centrality, self.risks)
+        return impact.blast_share(rows, F.lit(functions)).withColumn("bar", risk.bar(F.col("risk")))
+
+    def impact_views(self, text: str) -> dict[str, DataFrame]:
+        """What the interfaces show of an impact: the subgraph, direct neighbours, the tree and its files."""
+        nodes, pairs = impact.induced_subgraph(self.edges, self._seed(text))
+        return {"nodes": nodes, "edges": pairs, "neighbours": impact.neighbours(self.edges, self._seed(text)), **{f"tree_{k}": v for k, v in impact.impact_tree(self.edges, self.entities, self._seed(text)).items()}}
+
+    def graph_view(self) -> dict[str, DataFrame]:
+        nodes = cut(impact.node_view(graph.graph_nodes(self.entities, self.edges), self.edges, self.entities))
+        return {"nodes": nodes, "edges": impact.edge_view(self.edges, nodes)}
 
     def dependency_chain(self, text: str, callers: int = 5) -> DataFrame:
         """(grandparent, caller, target) over at most `callers` callers."""
@@ -88,11 +107,26 @@ class CodeIntelligence:
     def expert(self, file: str) -> DataFrame:
         return history.recommend(self.experts.where(F.col("file") == compared_path(F.lit(file))))
 
-    def heatmap(self) -> DataFrame:
-        return history.heatmap(self.scores)
+    def expertise_ranking(self, file: str, limit: int = 10) -> DataFrame:
+        """The first `limit` developers of a file: stored scores if there are any, else scores from its history."""
+        wanted = F.col("file") == compared_path(F.lit(file))
+        stored = self.scores.where(wanted)
+        if stored.take(1):
+            return history.rank_experts(stored, limit)
+        return history.rank_experts(history.reasoning(self.experts.where(wanted)), limit)
+
+    def refresh(self) -> dict[str, int]:
+        """Read everything anew; the size of what is known."""
+        for name in ("entities", "edges", "changes", "experts", "scores", "checked_imports", "centrality", "risks"):
+            self.__dict__.pop(name, None)
+        return history.store_stats(self.scores).first().asDict()
 
-    def bus_factor(self) -> DataFrame:
-        return history.file_bus_factor(self.scores).withColumn("at_risk", F.col("bus_factor") <= 2)
+    def heatmap(self, root: str = "") -> DataFrame:
+        """Directories of the files whose path begins with `root`."""
+        return history.heatmap(self.scores.where(F.col("file").startswith(root)))
+
+    def bus_factor(self, root: str = "") -> DataFrame:
+        return history.file_bus_factor(self.scores.where(F.col("file").startswith(root))).withColumn("at_risk", F.col("bus_factor") <= 2)
 
     def gaps(self) -> DataFrame:
         return history.knowledge_gaps(self.scores)
@@ -100,14 +134,28 @@ class CodeIntelligence:
     def developer(self, email: str) -> DataFrame:
         return self.scores.where(F.col("email") == email).orderBy(F.col("total").desc(), "file")
 
+    @cached_property
+    def files(self) -> DataFrame:
+        return cut(self.entities.where(F.col("file_path").isNotNull()).select(F.col("file_path").alias("path")).distinct())
+
     def governance_validate(self) -> DataFrame:
-        return governance.drift_metrics(self.checked_imports)
+        return governance.validation_summary(self.checked_imports, governance.checked_files(self.files))
 
     def violations(self) -> DataFrame:
-        return self.checked_imports.where(F.col("verdict") != "ALLOW")
+        """Violations and warnings with what to do about them."""
+        bad = self.checked_imports.where(F.col("verdict") != "ALLOW")
+        return bad.withColumn("fix", governance.fix_text(F.col("verdict"), F.col("from_layer"), F.col("to_layer")))
 
-    def drift(self, baseline: DataFrame) -> DataFrame:
-        return governance.drift_report(governance.drift_metrics(self.checked_imports), baseline)
+    def save_baseline(self, path: str) -> None:
+        governance.save_baseline(governance.drift_metrics(self.checked_imports), governance.layer_shares(self.files), path)
+
+    def drift(self, baseline: str | None = None) -> DataFrame:
+        """Drift against the baseline saved under a path; without one the score is 0."""
+        then, shares = (governance.load_baseline(self.spark, baseline) if baseline else None) or (None, None)
+        return governance.drift_report(governance.drift_metrics(self.checked_imports), governance.layer_shares(self.files), then, shares)
+
+    def rules(self) -> DataFrame:
+        return governance.rule_summary(self.spark)
 
     def layers(self) -> DataFrame:
         rows = [(i, n, globs, allowed) for i, (n, (globs, allowed)) in enumerate(governance.LAYERS.items())]
@@ -117,24 +165,46 @@ class CodeIntelligence:
         return self.spark.createDataFrame([("expertise", k, v) for k, v in history.FACTORS.items()] + [("risk", k, v) for k, v in zip(("complexity", "centrality", "test", "dependency", "change", "bus"), risk.RISK_WEIGHTS)], "kind string, factor string, weight double")
 
     def index(self) -> DataFrame:
-        """(doc_id, name, file, line, text): what retrieval searches; vector ids carry the entity id beside them."""
+        """(doc_id, name, file, type, vector_id, text): what retrieval searches; entities without an id have none, the start line is 0 where unknown."""
         line = F.coalesce(F.try_element_at("line_range", F.lit(1)), F.lit(0))
-        return self.entities.select(F.col("uid").alias("doc_id"), "name", "file_path", F.concat_ws(":", "file_path", "name", line.cast("string")).alias("vector_id"), F.concat_ws(" ", "name", "signature", "docstring").alias("text"))
-
-    def ask(self, question: str, llm: Callable[[str], str] | None = None, budget: int = 1700) -> dict:
-        """Evidence for a question, packed into `budget` tokens, and the answer of an injected model over it."""
+        return self.entities.select(F.col("uid").alias("doc_id"), "name", F.col("file_path").alias("file"), F.col("entity_type").alias("type"), F.concat_ws(":", "file_path", "name", line.cast("string")).alias("vector_id"), retrieval.embed_text(self.entities).alias("text"))
+
+    def context(self, question: str, intent: str) -> str:
+        """What the intent asks for beside the evidence, as text."""
+        parts, out = context.ROUTES.get(intent, context.ROUTES["general"]), []
+        show = lambda d, c="text": "\n".join(str(r[c]) for r in d.limit(20).collect())
+        if "governance" in parts:
+            out.append(show(context.governance_context(self.checked_imports)))
+        if "hotspots" in parts:
+            out.append(show(context.hotspots(self.entities).select(F.concat_ws(" ", "name", F.col("cyclomatic").cast("string"), "file").alias("text"))))
+        return "\n\n".join(x for x in out if x)
+
+    def ask(self, question: str, llm: Callable[[str], str] | None = None, budget: int = 1700, embed: Callable[[list[str]], list] | None = None, least: float = 0.0) -> dict:
+        """Evidence for a question, packed into `budget` tokens, and the answer of an injected model over it.
+
+        Vectors are those of an injected model, else hashed ones. Without evidence the reason is retrieval_miss, or
+        ranking_miss where something was found but nothing kept; an answer that its evidence doesn't support is refused.
+        """
         q = self.spark.createDataFrame([("q", question)], "query_id string, text string")
         corpus = cut(self.index())
-        fused = retrieval.fuse_rankings(retrieval.bm25_ranking(q, corpus, 24).withColumnRenamed("doc_id", "id"), retrieval.overlap_ranking(q, corpus, 30).withColumnRenamed("doc_id", "id"))
-        c = fused.join(corpus.select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "name"), "id").withColumn("query", F.lit(question))
-        best = retrieval.rerank(c).orderBy(F.col("score").desc(), "id").limit(8).collect()
-        ranked = self.spark.createDataFrame([("q", k + 1, r["id"], r["document"]) for k, r in enumerate(best)], "query_id string, rank int, id string, document string")
-        kept = {r["id"] for r in retrieval.pack_context(ranked, budget).collect()}
-        evidence = [{"id": r["id"], "rank": k + 1, "score": r["score"], "snippet": r["document"]} for k, r in enumerate(best) if r["id"] in kept]
+        vector = (lambda d: retrieval.embed(d, "text", embed)) if embed else (lambda d: d.withColumn("embedding", retrieval.hashed_vector(F.col("text"))))
+        ranked, trace = retrieval.hybrid(q, corpus, vector(corpus).select("doc_id", "embedding"), vector(q).select("query_id", "embedding"), least)
         intent = self.spark.range(1).select(retrieval.detect_intent(F.lit(question))).first()[0]
-        answer = llm("\n\n".join(e["snippet"] for e in evidence) + "\n\n" + question) if llm and evidence else None
+        documents = corpus.select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+        rows = ranked.join(documents, "id").orderBy("rank").limit(8).collect()
+        sure = rows[0]["score"] if rows else 0.0
+        k = self.spark.range(1).select(retrieval.dynamic_k(F.lit(intent), F.lit(float(sure)))).first()[0]
+        best = self.spark.createDataFrame([("q", r["rank"], r["id"], r["document"]) for r in rows[:k]], "query_id string, rank int, id string, document string")
+        kept = {r["id"] for r in retrieval.pack_context(best, budget).collect()}
+        evidence = [{"id": r["id"], "rank": r["rank"], "score": round(r["score"], 6), "snippet": r["document"]} for r in rows[:k] if r["id"] in kept]
+        counts = trace.first().asDict()
+        reason = None if evidence else "ranking_miss" if counts["fused"] else "retrieval_miss"
+        prompt = "\n\n".join([*(e["snippet"] for e in evidence), self.context(question, intent), question])
+        answer = llm(prompt) if llm and evidence else None
         grounded = None
         if answer:
             pair = self.spark.createDataFrame([("q", answer, " ".join(e["snippet"] for e in evidence))], "id string, answer string, evidence string")
             grounded = retrieval.grounding(pair).first()
-        return {"intent": intent, "evidence": evidence, "answer": answer, "grounded": bool(grounded["grounded"]) if grounded else None, "reason": None if evidence else "retrieval_miss"}
+            if grounded and grounded["sentences"] and grounded["unsupported"] == grounded["sentences"]:
+                answer, reason = None, "refused"
+        return {"intent": intent, "evidence": evidence, "answer": answer, "grounded": bool(grounded["grounded"]) if grounded else None, "reason": reason, "trace": counts}

@@ -146,3 +146,45 @@ def lookup(entities: DataFrame, text: str) -> DataFrame:
     )
     hits = entities.select("uid", tier.alias("tier")).where(F.col("tier").isNotNull())
     return hits.join(hits.agg(F.min("tier").alias("tier")), "tier").select("uid", "tier")
+
+
+def suggest(entities: DataFrame, text: str, limit: int = 5) -> DataFrame:
+    """(uid, name): up to five entities whose id or name holds the text, shortest id first: what to offer where nothing is meant exactly."""
+    low = F.lower(compared_path(F.lit(text)))
+    hits = entities.where((F.contains(F.lower("uid"), low) | F.contains(F.lower(F.coalesce("name", F.lit(""))), low)) & (low != "")).select("uid", "name").distinct()
+    return hits.orderBy(F.length("uid"), "uid").limit(limit)
+
+
+def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(text) -> (text, node): the node of that key, else the least that ends with .text or :text.
+
+    Suffixes of the keys, from each dot and colon on, are looked up by equality, so no pair of text and key is formed that
+    doesn't match.
+    """
+    ask = wanted.select("text").where(F.col("text").isNotNull() & (F.col("text") != "")).distinct()
+    exact = nodes.select(F.col("node").alias("text"), "node")
+    # Every place after a separator starts a suffix.
+    ends = nodes.select("node", F.explode(F.filter(F.sequence(F.lit(2), F.greatest(F.length("node"), F.lit(2))), lambda i: F.substr("node", i - 1, F.lit(1)).isin(".", ":"))).alias("_i")).select(F.substr("node", F.col("_i")).alias("text"), "node")
+    hits = ask.join(exact, "text").withColumn("_t", F.lit(1)).unionByName(ask.join(ends, "text").withColumn("_t", F.lit(2)))
+    return hits.groupBy("text").agg(F.min(F.struct("_t", "node")).alias("_r")).select("text", F.col("_r.node").alias("node"))
+
+
+def find_metrics(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(file), metrics(path, ordinal, ...) -> (file, path, tier) of the row meant: the same path (1), one the end of the other (2), the same name (3); the first loaded of equals.
+
+    All three tiers share the file's own name, so the tables join on that.
+    """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    ask = wanted.select(compared_path("file").alias("file")).where(F.col("file") != "").distinct().withColumn("_name", last("file"))
+    have = metrics.select(compared_path("path").alias("path"), "ordinal").withColumn("_name", last("path"))
+    a, b = F.col("file"), F.col("path")
+    tier = F.when(a == b, 1).when(a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a)), 2).otherwise(3)
+    return ask.join(have, "_name").groupBy("file").agg(F.min(F.struct(tier.alias("tier"), "ordinal", "path")).alias("_r")).select("file", "_r.path", "_r.tier")
+
+
+def merge_nodes(stored: DataFrame, raw: DataFrame, key: str = "uid") -> DataFrame:
+    """stored with what raw knows beside it: an attribute of the store counts, else that of the raw entity."""
+    both = [c for c in stored.columns if c in raw.columns and c != key]
+    joined = stored.join(raw.select(key, *[F.col(c).alias(f"_raw_{c}") for c in both], *[c for c in raw.columns if c not in stored.columns]), key, "left")
+    merged = [F.coalesce(c, f"_raw_{c}").alias(c) if c in both else F.col(c) for c in stored.columns]
+    return joined.select(*merged, *[c for c in raw.columns if c not in stored.columns])

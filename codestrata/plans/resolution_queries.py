@@ -49,11 +49,28 @@ def entity_lookup(spark, sf_dir):
     return X.lookup(_entities(spark, sf_dir), "__INIT__").select("uid", "tier")
 
 
+def entity_suggestions(spark, sf_dir):
+    return X.suggest(_entities(spark, sf_dir), "scorer")
+
+
+def find_nodes(spark, sf_dir):
+    """Every distinct call, cut at its bracket, as a typed node."""
+    e = _entities(spark, sf_dir)
+    calls = e.select(F.explode("calls").alias("c")).select(F.substring_index("c", "(", 1).alias("text"))
+    return X.find_nodes(e.select(F.col("uid").alias("node")), calls)
+
+
+def find_metrics(spark, sf_dir):
+    """Files of commits among those of entities."""
+    metrics = _entities(spark, sf_dir).where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("path")).agg(F.min("ordinal").alias("ordinal"))
+    return X.find_metrics(metrics, table(spark, sf_dir, "commits").select(F.explode("files_changed").alias("file")))
+
+
 def parse_sources(spark, sf_dir):
     return parse_files(spark.createDataFrame(SOURCES, "path string, content string")).select("kind", "unique_id", "name", "file", "line", "signature", "cyclomatic", "cognitive", "parse_success")
 
 
-QUERIES = {f.__name__: f for f in (resolve_cascade, call_relations, star_imports, relation_edges, relation_counts, entity_lookup, parse_sources)}
+QUERIES = {f.__name__: f for f in (resolve_cascade, call_relations, star_imports, relation_edges, relation_counts, entity_lookup, entity_suggestions, find_nodes, find_metrics, parse_sources)}
 
 _TYPES = "list_filter(list_distinct(regexp_split_to_array(regexp_replace({0}, '[\\[\\],|]', ' ', 'g'), '\\s+')), lambda p: p <> '' AND NOT starts_with(p, '...') AND lower(p) NOT IN (" + ", ".join(f"'{t}'" for t in X.BUILTIN_TYPES) + "))"
 _REL = rf"""{CURRENT_SQL},
@@ -106,4 +123,10 @@ SQL = {
     "entity_lookup": rf"""WITH {CURRENT_SQL}, t AS (SELECT uid, CASE WHEN uid = '__INIT__' THEN 1 WHEN name = '__INIT__' THEN 2 WHEN split_part(uid, ':', -1) = '__INIT__' THEN 3 WHEN lower(uid) = '__init__' THEN 4 WHEN lower(name) = '__init__' THEN 5
   WHEN ends_with(lower(uid), ':__init__') OR ends_with(lower(uid), '.__init__') OR ends_with(lower(uid), '/__init__') THEN 6 END AS tier FROM cur)
 SELECT uid, tier FROM t WHERE tier = (SELECT min(tier) FROM t)""",
+    "entity_suggestions": f"WITH {CURRENT_SQL} SELECT uid, name FROM (SELECT DISTINCT uid, name FROM cur WHERE contains(lower(uid), 'scorer') OR contains(lower(coalesce(name, '')), 'scorer')) ORDER BY length(uid), uid LIMIT 5",
+    "find_nodes": f"""WITH {CURRENT_SQL}, w AS (SELECT DISTINCT split_part(c, '(', 1) AS text FROM (SELECT unnest(calls) AS c FROM cur) WHERE c IS NOT NULL), n AS (SELECT uid AS node, unnest(range(1, length(uid))) AS i FROM cur), s AS (SELECT node, substr(node, i + 1) AS text FROM n WHERE substr(node, i, 1) IN ('.', ':')),
+h AS (SELECT w.text, cur.uid AS node, 1 AS t FROM w JOIN cur ON cur.uid = w.text UNION ALL SELECT w.text, s.node, 2 FROM w JOIN s USING (text)) SELECT text, arg_min(node, (t, node)) AS node FROM h WHERE text <> '' GROUP BY text""",
+    "find_metrics": rf"""WITH {CURRENT_SQL}, m AS (SELECT fpath AS path, min(ordinal) AS ordinal FROM cur WHERE fpath IS NOT NULL GROUP BY fpath), w AS (SELECT DISTINCT regexp_replace(replace(f, '\', '/'), '^(\./)+', '') AS file FROM (SELECT unnest(files_changed) AS f FROM commits) WHERE f IS NOT NULL),
+h AS (SELECT file, path, ordinal, CASE WHEN file = path THEN 1 WHEN ends_with(file, '/' || path) OR ends_with(path, '/' || file) THEN 2 ELSE 3 END AS tier FROM w JOIN m ON split_part(file, '/', -1) = split_part(path, '/', -1) WHERE file <> '')
+SELECT file, arg_min(path, (tier, ordinal, path)) AS path, min(tier)::INT AS tier FROM h GROUP BY file""",
 }
