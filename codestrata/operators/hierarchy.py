@@ -202,7 +202,8 @@ def _scan_paths(separator: str):
                 if not carried:
                     ids.append(i)
                     paths.append(path)
-            yield pd.DataFrame({"id": ids, "path": paths})
+            if ids:
+                yield pd.DataFrame({"id": ids, "path": paths})
 
     return scan
 

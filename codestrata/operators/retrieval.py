@@ -121,6 +121,8 @@ def vector_ranking(queries: DataFrame, vectors: DataFrame, k: int = 24, metric:
                 best.append((r, pdf[id_col].to_numpy()[c], s[r, c]))
             if best:
                 r, v, s = (np.concatenate(x) for x in zip(*best))
+                if not len(r):
+                    return
                 yield pd.DataFrame({"query_id": [ids[i] for i in r], id_col: v, "score": s})
 
         part = vectors.select(id_col, "embedding").mapInPandas(score, schema)
