@@ -166,8 +166,13 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     Shortest paths are counted outwards from all sources at once, then the shares are handed back hop by hop: each step is a
     join on (source, node) and a sum, so neither edges nor paths are ever held by one task.
     """
-    fronts = shortest_path_counts(edges, sources)
-    back = cut(edges.select(F.col("source").alias("_before"), F.col("target").alias("node")).where(F.col("source") != F.col("target")).distinct())
+    # Nodes are numbered: the rows that are counted hold two numbers instead of two ids.
+    ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    nodes = cut(ends.select(F.monotonically_increasing_id().alias("_id"), "node"))
+    number = lambda d, c: d.join(nodes.select(F.col("node").alias(c), F.col("_id")), c).drop(c).withColumnRenamed("_id", c)
+    links = cut(number(number(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct(), "source"), "target").select("source", "target"))
+    fronts = shortest_path_counts(links, None if sources is None else number(sources.select("node").distinct(), "node"))
+    back = links.select(F.col("source").alias("_before"), F.col("target").alias("node"))
     sums, share = [], None
     for k in range(len(fronts) - 1, 0, -1):
         here = fronts[k] if share is None else fronts[k].join(share, ["source", "node"], "left")
@@ -176,13 +181,13 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
         before = fronts[k - 1].select("source", F.col("node").alias("_before"), F.col("paths").alias("_paths"))
         given = here.join(back, "node").join(before, ["source", "_before"]).groupBy("source", F.col("_before").alias("node")).agg(F.sum(F.col("_paths") / F.col("paths") * (1 + F.col("share"))).alias("share"))
         share = cut(given)
-    ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     if not sums:
-        return ends.select("node", F.lit(0.0).alias("betweenness"))
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
     total = sums[0]
     for x in sums[1:]:
         total = total.unionByName(x)
-    return ends.join(total.groupBy("node").agg(F.sum("b").alias("b")), "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
+    found = total.groupBy(F.col("node").alias("_id")).agg(F.sum("b").alias("b"))
+    return nodes.join(found, "_id", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
 
 
 def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
