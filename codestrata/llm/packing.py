@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,10 @@ def token_sizes(docs: DataFrame, tokenizer: str | None = None, prompt_line: str
     """(item_id, tokens, loss_tokens) of every text: a map over whole texts, without shuffle. Null and empty texts give no row."""
     path = tokenizer or default_tokenizer()
     asked = re.compile(prompt_line)
+    docs.sparkSession.sparkContext.addFile(path)  # executors need no such folder of their own
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
+        encoder = _encoder(SparkFiles.get(os.path.basename(path)))
         size = lambda t: len(encoder.encode_ordinary(t))
         for pdf in batches:
             ids, tokens, loss = [], [], []
