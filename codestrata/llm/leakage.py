@@ -31,6 +31,8 @@ ITEM_WINDOW, ITEM_STRIDE = 16, 8
 #: A run of MIN_WORDS words with one change in six keeps this many of them within so many words of the document.
 MIN_WORDS, CHANGES = 12, 6
 NEED, SPAN = MIN_WORDS - MIN_WORDS // CHANGES, MIN_WORDS + MIN_WORDS // CHANGES
+#: With three or four changes a leak of least extent keeps 15 words within 21 (20 within 28, of which any 21 hold 17).
+LONG_NEED, LONG_SPAN = 15, 21
 #: A leak of least extent (no part of it is a leak) has this many successive words of the item in place somewhere: 12 words
 #: with 2 changes are 3 stretches with 10 words in place, 18 with 3 are 4 with 15, 24 with 4 are at most 4 with 20.
 GRAM = 4
@@ -78,6 +80,34 @@ def longest_runs(doc: np.ndarray, item: np.ndarray, max_changes: int = 3) -> np.
     return np.maximum(best, 0)
 
 
+#: Places by which the alignment may leave the gram's own: its leak's changes, and those of a gram that another stands for.
+BAND = 2 * (MOST_CHANGES - 1) + 1
+
+
+def banded_runs(doc: np.ndarray, item: np.ndarray, max_changes: int) -> np.ndarray:
+    """longest_runs of pairs in rows, of alignments in a band: doc (pairs, n) and item (pairs, n + 2 BAND), whose j + BAND-th word is opposite the j-th of doc."""
+    pairs, width = len(doc), 2 * BAND + 1
+    none = np.int16(-10_000)
+    before = np.full((max_changes + 1, pairs, width + 2), none, np.int16)
+    best = np.zeros((pairs, max_changes + 1), np.int16)
+    item = np.where(item >= 0, item, -9)
+    for j in range(doc.shape[1]):
+        equal = item[:, j : j + width] == doc[:, j : j + 1]
+        now = np.full_like(before, none)
+        for e in range(max_changes + 1):
+            same = before[e, :, 1:-1]
+            step = np.where(equal, (np.maximum(same, 0) if e == 0 else same) + 1, none)
+            best[:, e] = np.maximum(best[:, e], step.max(1, initial=none))
+            if e:
+                # A word changed, a word of the item left out (the item is one further), a word joined (it is one behind).
+                changed, left_out, joined = before[e - 1, :, 1:-1], now[e - 1, :, :-2], before[e - 1, :, 2:]
+                step = np.maximum(step, np.maximum(np.where(changed > 0, changed + 1, none), np.where(left_out > 0, left_out + 1, none)))
+                step = np.maximum(step, np.where(joined > 0, joined, none))
+            now[e, :, 1:-1] = step
+        before = now
+    return np.maximum(best, 0)
+
+
 def common_subsequence(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of pairs in rows; numbers below 0 never match."""
     length = np.zeros((len(item), item.shape[1] + 1), np.int16)
@@ -256,7 +286,7 @@ def leaked_items(
 ) -> DataFrame:
     """Every (document, item) with a leaked passage, with the part it comes from, its length, changes and cosine.
 
-    `kind` is 'run' for a run of words in the sense above (the first of the document is measured), else 'paraphrase'. items hold the texts named in `parts` and
+    `kind` is 'run' for a run of words in the sense above (one of the document is measured, without changes if it does), else 'paraphrase'. items hold the texts named in `parts` and
     perhaps the `answer` whose words a paraphrase needs about it. Documents are read into words once; items are looked up
     `block` at a time. Null and empty texts and items below MIN_WORDS words give no row; whole texts are read; repeated
     documents count once per id; other columns are left out.
@@ -350,17 +380,20 @@ def _gram_hits(a: np.ndarray, v: int, items: Items) -> tuple[np.ndarray, np.ndar
     of = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     item, inside = items.gram_of[of], items.gram_at[of]
     keep = np.zeros(len(place), bool)
-    reach = np.arange(GRAM - SPAN, SPAN)
+    reach = np.arange(GRAM - LONG_SPAN, LONG_SPAN)
     for lo in range(0, len(place), 20_000):
         p, c, j = place[lo : lo + 20_000], item[lo : lo + 20_000], inside[lo : lo + 20_000]
         words = a[np.clip(p[:, None] + reach, 0, len(a) - 1)]
-        matched = np.zeros(words.shape, bool)
+        near, far = np.zeros(words.shape, bool), np.zeros(words.shape, bool)
+        # Words left out or joined shift what follows by as many places as there are changes.
         for shift in range(1 - MOST_CHANGES, MOST_CHANGES):
             spot = j[:, None] + reach + shift
-            inside_item = (spot >= 0) & (spot < items.words.shape[1])
-            matched |= inside_item & (items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)] == words)
-        total = np.concatenate([np.zeros((len(p), 1), np.int16), np.cumsum(matched, 1, dtype=np.int16)], 1)
-        keep[lo : lo + 20_000] = (total[:, SPAN:] - total[:, :-SPAN]).max(1) >= NEED
+            same = (spot >= 0) & (spot < items.words.shape[1]) & (items.words[c[:, None], np.clip(spot, 0, items.words.shape[1] - 1)] == words)
+            far |= same
+            if abs(shift) <= MIN_WORDS // CHANGES:
+                near |= same
+        most = lambda m, span: ((t := np.concatenate([np.zeros((len(p), 1), np.int16), np.cumsum(m, 1, dtype=np.int16)], 1))[:, span:] - t[:, :-span]).max(1)
+        keep[lo : lo + 20_000] = (most(near, SPAN) >= NEED) | (most(far, LONG_SPAN) >= LONG_NEED)
     return place[keep], item[keep], inside[keep]
 
 
@@ -401,38 +434,63 @@ class _Batch:
         at, window, cosine = np.concatenate(found, axis=1)
         return at.astype(np.int64), window.astype(np.int64), cosine
 
-    def align(self, places: list[tuple[int, int, int]]) -> None:
-        """Runs about (document, item, place) by the longest common subsequence, then word by word."""
-        for lo in range(0, len(places), 400):
-            doc, c, at = (np.array(x) for x in zip(*places[lo : lo + 400]))
+    def found(self, doc: int, c: int, at: int, matched: int, changes: int) -> None:
+        # The cosine of the passage that the gram begins in.
+        i = int(np.searchsorted(self.asked, at // STEP))
+        seen = i < len(self.asked) and self.asked[i] == at // STEP
+        cosine = float((self.items.buckets.vectors[self.items.of_window == c] @ self.vectors[i]).max()) if seen else 0.0
+        self.leaked.add((doc, c))
+        self.out.append((int(self.ids[doc]), *self.items.names[c], "run", matched, changes, cosine))
+
+    def verbatim(self, places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Runs without changes through the grams of (document, item, place, place in the item); the places that have none of MIN_WORDS."""
+        left = []
+        for lo in range(0, len(places), 4000):
+            doc, c, at, inside = (np.array(x) for x in zip(*places[lo : lo + 4000]))
+            reach = np.arange(-BEFORE, AFTER)
+            spot = inside[:, None] + reach
+            words = np.where((spot >= 0) & (spot < self.items.words.shape[1]), self.items.words[c[:, None], np.clip(spot, 0, self.items.words.shape[1] - 1)], -1)
+            same = words == self.words_about(at, BEFORE, AFTER)
+            before = np.where(same[:, :BEFORE], 1, 0)[:, ::-1].cumprod(1).sum(1)
+            run = before + np.where(same[:, BEFORE:], 1, 0).cumprod(1).sum(1)
+            for k in range(len(run)):
+                if run[k] >= MIN_WORDS:
+                    self.found(int(doc[k]), int(c[k]), int(at[k]), int(run[k]), 0)
+                else:
+                    left.append(places[lo + k])
+        return left
+
+    def align(self, places: list[tuple[int, int, int, int]]) -> None:
+        """Runs about (document, item, place, place in the item) by the longest common subsequence, then word by word."""
+        for lo in range(0, len(places), 1000):
+            doc, c, at, inside = (np.array(x) for x in zip(*places[lo : lo + 1000]))
             segment = self.words_about(at, BEFORE, AFTER)
             some = np.flatnonzero(common_subsequence(segment, self.items.words[c]) >= NEED)
             if not len(some):
                 continue
-            found = longest_runs(segment[some], self.items.words[c[some]], MOST_CHANGES)
+            spot = inside[some, None] + np.arange(-BEFORE - BAND, AFTER + BAND)
+            words = np.where((spot >= 0) & (spot < self.items.words.shape[1]), self.items.words[c[some, None], np.clip(spot, 0, self.items.words.shape[1] - 1)], -1)
+            found = banded_runs(segment[some], words, MOST_CHANGES)
             fine = found >= np.maximum(MIN_WORDS, CHANGES * np.arange(found.shape[1]))
             for k, run, ok in zip(some.tolist(), found, fine):
                 if ok.any():
                     e = int(np.flatnonzero(ok)[run[ok].argmax()])
-                    # The cosine of the passage that the gram begins in.
-                    i = np.searchsorted(self.asked, at[k] // STEP)
-                    seen = i < len(self.asked) and self.asked[i] == at[k] // STEP
-                    cosine = float((self.items.buckets.vectors[self.items.of_window == c[k]] @ self.vectors[i]).max()) if seen else 0.0
-                    self.leaked.add((int(doc[k]), int(c[k])))
-                    self.out.append((int(self.ids[doc[k]]), *self.items.names[c[k]], "run", int(run[e]), e, cosine))
+                    self.found(int(doc[k]), int(c[k]), int(at[k]), int(run[e]), e)
 
     def runs(self) -> None:
-        place, item, _ = _gram_hits(self.a, self.v, self.items)
+        place, item, inside = _gram_hits(self.a, self.v, self.items)
         order = np.lexsort((place, item))
-        kept: list[tuple[int, int, int]] = []
-        for doc, c, at in zip(self.doc_of(place[order]).tolist(), item[order].tolist(), place[order].tolist()):
-            # The words about one that is aligned anyway hold all that a near one might.
-            if not kept or kept[-1][1] != c or at - kept[-1][2] > AFTER - LEAST_EXTENT:
-                kept.append((doc, c, at))
-        # The first place of every document and item is aligned first, the others only where that is no leak.
+        kept: list[tuple[int, int, int, int]] = []
+        for doc, c, at, j in zip(self.doc_of(place[order]).tolist(), item[order].tolist(), place[order].tolist(), inside[order].tolist()):
+            # The words about one that is aligned anyway, on nearly the same diagonal, hold all that a near one might.
+            near = (x for x in kept[-8:] if x[1] == c and at - x[2] <= AFTER - LEAST_EXTENT and abs((at - j) - (x[2] - x[3])) < MOST_CHANGES)
+            if next(near, None) is None:
+                kept.append((doc, c, at, j))
+        # The first place of every document and item is read first, the others only where that is no leak; runs without
+        # changes need no alignment.
         first = {x[:2]: x for x in reversed(kept)}
-        self.align(list(first.values()))
-        self.align([x for x in kept if x[:2] not in self.leaked and first[x[:2]] != x])
+        self.align(self.verbatim(list(first.values())))
+        self.align(self.verbatim([x for x in kept if x[:2] not in self.leaked and first[x[:2]] != x]))
 
     def paraphrases(self, least_cosine: float) -> None:
         items = self.items

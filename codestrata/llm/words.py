@@ -14,7 +14,7 @@ LOOKALIKES = str.maketrans({
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}?>|<!--.*?-->", re.S)
 _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]*)\)")
 _MARK = re.compile(r"(?m)^[ \t]*(?:(?:>|\||#+|//+|/?\*+/?|--+|;+|%+|\+|-|=+|•|·|~)[ \t]*|\[\d{1,6}\][ \t]*|L?\d{1,6}(?:[:.)|>\]][ \t]*|[ \t]{2,}|\t)[ \t]*)+")
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t]*(?=\w)")
+_HYPHEN = re.compile(r"[-‐‑](?<=\w.)[ \t]*\r?\n[ \t]*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from codestrata.llm.boosting import BoostedTrees
 from codestrata.llm.holdout import HAND_CHECKED, PARTS, hand_checked
-from codestrata.llm.leakage import BEFORE, GRAM, MOST_CHANGES, STEP, Buckets, common_subsequence, leaked_items, longest_runs
+from codestrata.llm.leakage import BAND, BEFORE, GRAM, MOST_CHANGES, STEP, Buckets, banded_runs, common_subsequence, leaked_items, longest_runs
 from codestrata.llm.packing import fill_report, pack, place_block, token_sizes
 from codestrata.llm.quality import classify, common_set, piece, quality_of, train
 from codestrata.llm.text_stats import FEATURES, statistics
@@ -85,6 +85,15 @@ def test_paraphrases_need_the_words_in_order_and_the_answer(spark):
     assert got == {(1, "q", "paraphrase"), (4, "q", "run")}
 
 
+def test_banded_alignment_against_the_whole():
+    r = random.Random(12)
+    n = 8  # the band holds every alignment of so few words
+    for _ in range(30):
+        doc, item = [r.randrange(4) for _ in range(n)], [r.randrange(4) for _ in range(n)]
+        opposite = [-1] * BAND + item + [-1] * BAND
+        assert banded_runs(np.array([doc]), np.array([opposite]), 3).tolist() == longest_runs(np.array([doc]), np.array([item]), 3).tolist()
+
+
 def leak_tables(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
