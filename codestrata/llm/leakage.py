@@ -130,6 +130,13 @@ def _laid_out(pdf: pd.DataFrame, v: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return out[: len(out) // STEP * STEP], starts, n
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """The rows of all batches, so many at a time."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo : lo + rows]
+
+
 def _passages(pdf: pd.DataFrame, v: int) -> np.ndarray:
     """Disjoint passages of all documents of a batch, without those that hold no known word."""
     a, _, _ = _laid_out(pdf, v)
@@ -168,7 +175,7 @@ def _latent(tokens: DataFrame, weight: np.ndarray, rank: int, seed: int = 7) ->
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((v + 1, width), np.float32)
-        for pdf in batches:
+        for pdf in _parts(batches):
             passages = _passages(pdf, v)
             for lo in range(0, len(passages), 500):
                 w = passages[lo : lo + 500]
@@ -353,7 +360,7 @@ def _counts(tokens: DataFrame, v: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, df = 0, np.zeros(v + 1, np.int64)
-        for pdf in batches:
+        for pdf in _parts(batches):
             w = np.sort(_passages(pdf, v), 1)
             n += len(w)
             first = np.concatenate([np.ones((len(w), 1), bool), w[:, 1:] != w[:, :-1]], 1)
@@ -518,12 +525,11 @@ def _searcher(held, least_cosine: float) -> Callable[[Iterator[pd.DataFrame]], I
         weight, projection, items = held.value
         v = len(weight)
         scaled = np.vstack([projection * weight[:, None], np.zeros((1, projection.shape[1]), np.float32)]).astype(np.float32)
-        for whole in batches:
-            for lo in range(0, len(whole), 2000):
-                batch = _Batch(whole.iloc[lo : lo + 2000], v, items, scaled)
-                batch.runs()
-                batch.paraphrases(least_cosine)
-                if batch.out:
-                    yield pd.DataFrame(batch.out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        for pdf in _parts(batches):
+            batch = _Batch(pdf, v, items, scaled)
+            batch.runs()
+            batch.paraphrases(least_cosine)
+            if batch.out:
+                yield pd.DataFrame(batch.out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return search
