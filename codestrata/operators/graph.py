@@ -111,21 +111,36 @@ def affected_by_type(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return hit.groupBy("seed").agg(n("CALLS").alias("callers"), n("INHERITS").alias("inheritors"), n("USES_TYPE").alias("type_users"))
 
 
+#: Hops and most nodes that an intent's expansion takes.
+EXPANSION = {"governance": (2, 20), "blast_radius": (2, 20), "architecture": (2, 20), "complexity": (1, 14)}
+EXPANSION_ELSE = (1, 10)
+
+
 def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, per_node: int = 6, cap: int = 20) -> DataFrame:
-    """(seed, node, hop): breadth-first, at most `per_node` predecessors and as many successors of a node, `cap` nodes a seed; by id."""
-    one = edges.select(F.col("target").alias("node"), F.col("source").alias("_next"), F.lit(0).alias("_way")).union(edges.select("source", "target", F.lit(1))).distinct()
+    """(seed, node, hop): breadth-first, at most `per_node` predecessors and then as many successors of a node, `cap` nodes a seed.
+
+    Nodes are taken in the order in which they are met: those of an earlier node first, its predecessors before its
+    successors, each by id.
+    """
+    one = edges.where(F.col("source") != F.col("target")).select(F.col("target").alias("node"), F.col("source").alias("_next"), F.lit(0).alias("_way")).union(edges.where(F.col("source") != F.col("target")).select("source", "target", F.lit(1))).distinct()
     w = Window.partitionBy("node", "_way").orderBy("_next")
-    near = one.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_node).select("node", "_next")
-    found = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)))
-    front = found
+    near = cut(one.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_node).select("node", "_next", (F.col("_way") * per_node + F.col("_k")).alias("_k")))
+    found = front = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)).withColumn("met", F.lit("")))
     for k in range(1, hops + 1):
-        new = front.join(near, "node").select("seed", F.col("_next").alias("node")).distinct().join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k))
-        front = cut(new)
+        met = F.concat("met", F.lpad(F.col("_k").cast("string"), 3, "0"))
+        new = front.join(near, "node").select("seed", F.col("_next").alias("node"), met.alias("met")).groupBy("seed", "node").agg(F.min("met").alias("met")).join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        front = cut(new.select("seed", "node", F.lit(k).alias("hop"), "met"))
         found = found.unionByName(front)
-    order = Window.partitionBy("seed").orderBy("hop", "node")
+    order = Window.partitionBy("seed").orderBy("hop", "met", "node")
     return found.where(F.col("hop") > 0).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).select("seed", "node", "hop")
 
 
+def inheritance_tree(edges: DataFrame) -> DataFrame:
+    """(node, way, other): the bases ('base') and subclasses ('subclass') of every class, one level, each once."""
+    i = edges.where(F.col("type") == "INHERITS").select("source", "target").distinct()
+    return i.select(F.col("source").alias("node"), F.lit("base").alias("way"), F.col("target").alias("other")).unionByName(i.select(F.col("target").alias("node"), F.lit("subclass").alias("way"), F.col("source").alias("other")))
+
+
 def inheritance_chain(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, ancestor, step): all parents of the seed, then of its first parent, and so on until there is none or a cycle ends it."""
     parents = cut(edges.where(F.col("type") == "INHERITS").groupBy("source").agg(F.min(F.struct("ordinal", "target")).alias("f"), F.collect_set("target").alias("all")).select(F.col("source").alias("at"), F.col("f.target").alias("first"), "all"))

@@ -112,16 +112,17 @@ def blast_share(rows: DataFrame, functions: Column) -> DataFrame:
 
 
 def node_view(nodes: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """(node, type, in_degree, out_degree, level, connectivity, weight): every node as the graph view draws it.
+    """(node, type, in_degree, out_degree, level, connectivity, complexity, weight): every node as the graph view draws it.
 
-    The declared type, else class for ids with a dot after the file or an upper-case first letter, else function.
+    The declared type, else class for ids with a dot after the file or an upper-case first letter, else function; the
+    out-degree stands for complexity.
     """
     d = degrees(nodes, simple_edges(edges))
     last = F.element_at(F.split("node", ":"), -1)
     kind = F.coalesce("entity_type", F.when(F.contains(last, F.lit(".")) | last.rlike("^[A-Z]"), "class").otherwise("function"))
     degree = F.col("in_degree") + F.col("out_degree")
     level = risk.degree_level(degree)
-    return d.join(entities.select(F.col("uid").alias("node"), "entity_type"), "node", "left").select("node", kind.alias("type"), "in_degree", "out_degree", level.alias("level"), F.least(degree / 10, F.lit(1.0)).alias("connectivity"), risk.level_weight(level).alias("weight"))
+    return d.join(entities.select(F.col("uid").alias("node"), "entity_type"), "node", "left").select("node", kind.alias("type"), "in_degree", "out_degree", level.alias("level"), F.least(degree / 10, F.lit(1.0)).alias("connectivity"), F.least(F.col("out_degree") / 15, F.lit(1.0)).alias("complexity"), risk.level_weight(level).alias("weight"))
 
 
 def edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:

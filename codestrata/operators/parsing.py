@@ -343,6 +343,9 @@ def parse_braces(path: str, text: str, language: str) -> list[dict]:
     for c, row in by_class.items():
         # What stands in the class itself: methods without a body, and fields.
         flat = _ACCESS.sub(lambda x: " " * (len(x[0]) - 1) + ";", _flat(plain[c[4] : c[1]]))
+        if c[3] == "enum":  # up to the first semicolon stand its constants
+            constants = flat.split(";", 1)[0]
+            flat = " " * len(constants) + flat[len(constants) :]
         at = c[4]
         for statement in flat.split(";"):
             start, at = at + len(statement) - len(statement.lstrip()), at + len(statement) + 1
@@ -352,11 +355,12 @@ def parse_braces(path: str, text: str, language: str) -> list[dict]:
             t = t.split("\0")[0].rstrip()
             if (m := _DECLARED.fullmatch(t)) and m[4] not in _NOT_METHODS and m[3].strip() not in ("new", "return", "else", "throw") and (m[3].strip() or m[2] or m[4].lstrip("~") == c[2]):
                 function(m, start + m.start(4), start + m.start(2), start + len(t), "")
-            elif "(" not in t.split("=")[0] and (m := _FIELD.fullmatch(t)) and m[3].split()[0] not in ("return", "using", "typedef", "friend", "package", "import", "case"):
+            elif "(" not in t.split("=")[0] and (declared := [x for x in re.split(r",(?![^<(\[]*[>)\]])", t)]) and (m := _FIELD.fullmatch(declared[0].strip())) and m[3].split()[0] not in ("return", "using", "typedef", "friend", "package", "import", "case"):
                 modifiers = m[2].split()
                 fixed, shared = bool({"final", "const", "constexpr"} & {*modifiers, *m[3].split()}), "static" in modifiers
-                row["class_variables" if shared else "instance_variables"].append(m[4])
-                rows.append({"kind": "variable", "unique_id": f"{path}:{prefixed(start, f'{c[2]}.{m[4]}')}", "name": m[4], "file": path, "line": line_of(start), "return_type": m[3].strip(), "is_constant": fixed, "is_static": shared, "parent_class": c[2], "visibility": visibility(start, c, modifiers), "decorators": re.findall(r"@(\w+)", m[1])})
+                for name in [m[4], *(n[1] for x in declared[1:] if (n := re.match(r"\s*[*&]*\s*(\w+)", x)))]:
+                    row["class_variables" if shared else "instance_variables"].append(name)
+                    rows.append({"kind": "variable", "unique_id": f"{path}:{prefixed(start, f'{c[2]}.{name}')}", "name": name, "file": path, "line": line_of(start), "return_type": m[3].strip(), "is_constant": fixed, "is_static": shared, "parent_class": c[2], "visibility": visibility(start, c, modifiers), "decorators": re.findall(r"@(\w+)", m[1])})
     if language == "java":
         for m in re.finditer(r"^\s*import\s+(static\s+)?([\w.]+?)(?:\.(\*|\w+))\s*;", plain, re.M):
             rows.append({"kind": "import", "file": path, "line": line_of(m.start(2)), "module": m[2], "imported_names": [] if m[3] == "*" else [m[3]], "is_star": m[3] == "*", "is_relative": False, "relative_level": 0, "import_type": "static" if m[1] else "import"})

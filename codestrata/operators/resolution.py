@@ -135,6 +135,12 @@ def relations(entities: DataFrame, imports: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def decorations(entities: DataFrame) -> DataFrame:
+    """(decorator, target, line) of every decorator of an entity: it stands on the line before the entity's first."""
+    d = entities.select("uid", F.try_element_at("line_range", F.lit(1)).alias("_first"), F.explode("decorators").alias("decorator")).where(F.col("decorator").isNotNull() & (F.col("decorator") != ""))
+    return d.select("decorator", F.col("uid").alias("target"), (F.col("_first") - 1).alias("line")).distinct()
+
+
 def lookup(entities: DataFrame, text: str) -> DataFrame:
     """(uid, tier) of what a typed identifier may mean, best tier only: id, name, text after the last ':', suffix; more than one row is ambiguous."""
     wanted = compared_path(F.lit(text))

@@ -74,6 +74,10 @@ def g_neighbourhood(spark, sf_dir):
     return G.bounded_neighbourhood(edges, _hub(edges))
 
 
+def g_inheritance_tree(spark, sf_dir):
+    return G.inheritance_tree(_graph(spark, sf_dir)[1])
+
+
 def g_inheritance_chain(spark, sf_dir):
     entities, edges = _graph(spark, sf_dir)
     return G.inheritance_chain(edges, entities.where(F.col("entity_type") == "class").select(F.col("uid").alias("node")))
@@ -89,7 +93,7 @@ def _rolled(spark, sf_dir):
 
 
 def rollup_entities(spark, sf_dir):
-    return _rolled(spark, sf_dir)[0].select("id", "file", "directory", "risk_level", "complexity", "degree")
+    return _rolled(spark, sf_dir)[0].select("id", "name", "file", "directory", "risk_level", "complexity", "degree", "line")
 
 
 def rollup_files(spark, sf_dir):
@@ -108,7 +112,7 @@ def rollup_directory_edges(spark, sf_dir):
     return R.rollup_edges(*_rolled(spark, sf_dir), "directory")
 
 
-QUERIES = {f.__name__: f for f in (g_edges, g_edge_type_counts, g_degree, g_stats, g_top_in_degree, g_callers, g_subclasses, g_ancestors_one, g_affected_by_type, g_neighbourhood, g_inheritance_chain, g_cycles_inheritance, rollup_entities, rollup_files, rollup_directories, rollup_file_edges, rollup_directory_edges)}
+QUERIES = {f.__name__: f for f in (g_edges, g_edge_type_counts, g_degree, g_stats, g_top_in_degree, g_callers, g_subclasses, g_ancestors_one, g_affected_by_type, g_neighbourhood, g_inheritance_tree, g_inheritance_chain, g_cycles_inheritance, rollup_entities, rollup_files, rollup_directories, rollup_file_edges, rollup_directory_edges)}
 
 _EDGES = CURRENT_SQL + r""",
 names AS (SELECT name, min(ordinal) AS at, arg_min(uid, ordinal) AS target FROM cur WHERE name IS NOT NULL AND name <> '' GROUP BY name),
@@ -128,9 +132,9 @@ _LEVEL = "CASE WHEN {0} >= 8 THEN 'CRITICAL' WHEN {0} >= 5 THEN 'HIGH' WHEN {0}
 _UP = "up AS (SELECT h.node AS seed, e.source AS node FROM hub h JOIN edges e ON e.target = h.node UNION SELECT up.seed, e.source FROM up JOIN edges e ON e.target = up.node)"
 _ROLLED = _EDGES + r""",
 d AS (SELECT uid, count(*) AS degree FROM (SELECT source AS uid FROM edges UNION ALL SELECT target FROM edges) GROUP BY uid),
-ent AS (SELECT uid AS id, regexp_replace(fpath, '^[./]+', '') AS file, list_filter(string_split(regexp_replace(fpath, '^[./]+', ''), '/'), lambda x: x <> '') AS seg, coalesce(complexity.cyclomatic, 0) AS complexity, coalesce(d.degree, 0) AS degree
+ent AS (SELECT uid AS id, name, line_range[1] AS line, regexp_replace(fpath, '^[./]+', '') AS file, list_filter(string_split(regexp_replace(fpath, '^[./]+', ''), '/'), lambda x: x <> '') AS seg, coalesce(complexity.cyclomatic, 0) AS complexity, coalesce(d.degree, 0) AS degree
   FROM cur LEFT JOIN d USING (uid) WHERE fpath IS NOT NULL AND fpath <> ''),
-roll AS (SELECT id, file, CASE len(seg) WHEN 0 THEN '' WHEN 1 THEN 'root' WHEN 2 THEN seg[1] ELSE seg[1] || '/' || seg[2] END AS directory, """ + _LEVEL.format("degree") + r""" AS risk_level, complexity, degree FROM ent),
+roll AS (SELECT id, name, line, file, CASE len(seg) WHEN 0 THEN '' WHEN 1 THEN 'root' WHEN 2 THEN seg[1] ELSE seg[1] || '/' || seg[2] END AS directory, """ + _LEVEL.format("degree") + r""" AS risk_level, complexity, degree FROM ent),
 files AS (SELECT file, directory, count(*) AS entity_count, arg_max(risk_level, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk_level)) AS risk_level, sum(complexity)::BIGINT AS total_complexity FROM roll GROUP BY file, directory)"""
 
 SQL = {
@@ -153,9 +157,19 @@ c3 AS (SELECT a.source || ' > ' || b.source || ' > ' || c.source, 3 FROM n a JOI
 c4 AS (SELECT a.source || ' > ' || b.source || ' > ' || c.source || ' > ' || d.source, 4 FROM n a JOIN n b ON a.target = b.source JOIN n c ON b.target = c.source JOIN n d ON c.target = d.source AND d.target = a.source
   WHERE a.source < b.source AND a.source < c.source AND a.source < d.source AND b.source <> c.source AND b.source <> d.source AND c.source <> d.source)
 SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM c3 UNION SELECT * FROM c4""",
-    "rollup_entities": f"WITH {_ROLLED} SELECT id, file, directory, risk_level, complexity, degree FROM roll",
+    "rollup_entities": f"WITH {_ROLLED} SELECT id, name, file, directory, risk_level, complexity, degree, line FROM roll",
     "rollup_files": f"WITH {_ROLLED} SELECT * FROM files",
     "rollup_directories": f"WITH {_ROLLED} SELECT directory, count(*) AS file_count, sum(entity_count)::BIGINT AS entity_count, arg_max(risk_level, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk_level)) AS risk_level, sum(total_complexity)::BIGINT AS total_complexity FROM files GROUP BY directory",
     "rollup_file_edges": f"WITH {_ROLLED} SELECT s.file AS from_file, t.file AS to_file, count(*) AS weight FROM edges e JOIN roll s ON e.source = s.id JOIN roll t ON e.target = t.id WHERE s.file <> t.file GROUP BY ALL",
     "rollup_directory_edges": f"WITH {_ROLLED} SELECT s.directory AS from_directory, t.directory AS to_directory, count(*) AS weight FROM edges e JOIN roll s ON e.source = s.id JOIN roll t ON e.target = t.id WHERE s.directory <> t.directory GROUP BY ALL",
+    "g_inheritance_tree": f"WITH {_EDGES}, i AS (SELECT DISTINCT source, target FROM edges WHERE type = 'INHERITS') SELECT source AS node, 'base' AS way, target AS other FROM i UNION ALL SELECT target, 'subclass', source FROM i",
+    "g_inheritance_chain": f"""WITH RECURSIVE {_EDGES}, i AS (SELECT source, target, min(ordinal) AS o FROM edges WHERE type = 'INHERITS' GROUP BY ALL), f AS (SELECT source, arg_min(target, (o, target)) AS first FROM i GROUP BY source),
+r AS (SELECT uid AS seed, uid AS at, [uid] AS seen, 1 AS step FROM cur WHERE entity_type = 'class' UNION ALL SELECT r.seed, f.first, list_append(r.seen, f.first), r.step + 1 FROM r JOIN f ON f.source = r.at WHERE NOT list_contains(r.seen, f.first))
+SELECT r.seed, i.target AS ancestor, r.step FROM r JOIN i ON i.source = r.at""",
+    "g_neighbourhood": f"""WITH {_EDGES}, one AS (SELECT DISTINCT target AS node, source AS nx, 0 AS way FROM edges WHERE source <> target UNION SELECT source, target, 1 FROM edges WHERE source <> target),
+near AS (SELECT node, nx, way * 6 + k AS k FROM (SELECT *, row_number() OVER (PARTITION BY node, way ORDER BY nx) AS k FROM one) WHERE k <= 6),
+h1 AS (SELECT h.node AS seed, n.nx AS node, min(lpad(k::VARCHAR, 3, '0')) AS met FROM hub h JOIN near n ON n.node = h.node GROUP BY ALL),
+h2 AS (SELECT h.seed, n.nx AS node, min(h.met || lpad(k::VARCHAR, 3, '0')) AS met FROM h1 h JOIN near n ON n.node = h.node WHERE n.nx <> h.seed AND n.nx NOT IN (SELECT node FROM h1) GROUP BY ALL),
+x AS (SELECT seed, node, 1 AS hop, met FROM h1 UNION ALL SELECT seed, node, 2, met FROM h2)
+SELECT seed, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, met, node) AS k FROM x) WHERE k <= 20""",
 }

@@ -138,7 +138,7 @@ _FILE_RISK = """fx AS (SELECT *, floor((epoch_us((SELECT max(ts) FROM ch)) - epo
 fg AS (SELECT file, count(*) AS n, count(DISTINCT email) AS authors, count(*) FILTER (age <= 90) / count(*) AS recent FROM fx GROUP BY file),
 fr AS (SELECT file, round(least(0.6::DOUBLE * least(n / greatest((SELECT max(n) FROM fg), 1), 1.0) + 0.4::DOUBLE * recent, 1.0), 6) AS change_risk, CASE WHEN authors <= 1 THEN 1.0 WHEN authors = 2 THEN 0.7 WHEN authors = 3 THEN 0.4 WHEN authors = 4 THEN 0.2 ELSE 0.1 END::DOUBLE AS bus_risk FROM fg)"""
 _NODE = f"""{_DEG}, nv AS (SELECT d.node, coalesce(c.entity_type, CASE WHEN contains(split_part(d.node, ':', -1), '.') OR regexp_matches(split_part(d.node, ':', -1), '^[A-Z]') THEN 'class' ELSE 'function' END) AS type, in_degree, out_degree, {_LEVEL.format("(in_degree + out_degree)")} AS level,
-  least((in_degree + out_degree) / 10, 1.0)::DOUBLE AS connectivity FROM deg d LEFT JOIN cur c ON c.uid = d.node)"""
+  least((in_degree + out_degree) / 10, 1.0)::DOUBLE AS connectivity, least(out_degree / 15, 1.0)::DOUBLE AS complexity FROM deg d LEFT JOIN cur c ON c.uid = d.node)"""
 _TREE = f"""{_SEEDS}, {_reach("hit_", "target", "source", 3)}, hits AS (SELECT h.seed, h.node, h.hops, c.fpath AS file FROM hit_ h JOIN cur c ON c.uid = h.node WHERE h.node <> h.seed AND c.fpath IS NOT NULL),
 tf AS (SELECT seed, file FROM (SELECT seed, file, row_number() OVER (PARTITION BY seed ORDER BY count(*) DESC, file) AS k FROM hits GROUP BY seed, file) WHERE k <= 20),
 shown AS (SELECT * FROM (SELECT h.seed, h.file, h.node, h.hops, row_number() OVER (PARTITION BY h.seed, h.file ORDER BY h.hops, h.node)::INT AS place FROM hits h JOIN tf USING (seed, file)) WHERE place <= 8)"""

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from codestrata.operators import resolution as X
 from codestrata.operators.parsing import parse_files
 from codestrata.operators.records import current_records
+from codestrata.plans.parse_expected import COLUMNS, ROWS
 from codestrata.plans.tables import CURRENT_SQL, table
 from codestrata.session import cut
 
-_COLUMNS = ["ordinal", "entity_type", "name", "calls", "bases", "methods", "parent_class", "decorators", "return_type", "parameters", "reads_globals", "writes_globals"]
+_COLUMNS = ["line_range", "ordinal", "entity_type", "name", "calls", "bases", "methods", "parent_class", "decorators", "return_type", "parameters", "reads_globals", "writes_globals"]
 
 #: A small package in three languages for the parsers.
 SOURCES = [
-    ("pkg/store.py", '"""Keeps rows."""\nimport os\nfrom .base import Base as B\n\nLIMIT = 3\n\n\nclass Store(Base):\n    def __init__(self, path: str, *rest, size=LIMIT):\n        super().__init__()\n        self.path = path\n\n    @property\n    def full(self) -> bool:\n        return len(self.rows) >= LIMIT and os.path.exists(self.path)\n\n\nasync def load(path):\n    """Read all rows."""\n    for row in read(path):\n        if row:\n            yield Store(row)\n'),
-    ("pkg/Reader.java", "package pkg;\nimport java.util.List;\n\npublic class Reader extends Base implements Closer {\n  // one row\n  public static int read(final String path, int... at) throws IOException {\n    if (path == null || at.length > 1) { return this.none(); }\n    return 0;\n  }\n}\n"),
-    ("pkg/walk.cpp", '#include "walk.h"\n#include <vector>\nstruct Walk : public Base {\n  int step(int n) const { while (n > 0) { n = next(n); } return n; }\n};\n'),
+    ("pkg/store.py", '"""Keeps rows."""\nimport os\nimport numpy as np\nfrom .base import Base as B\nfrom ..util import *\n\n__all__ = ["Store", "load"]\nLIMIT = 3\ncount: int = 0\n\n# one comment\n\nclass Store(Base, metaclass=ABCMeta):\n    """A store."""\n\n    kind = "rows"\n\n    def __init__(self, path: str, *rest, size=LIMIT, **more):\n        super().__init__()\n        self.path = path\n        self.rows = []\n\n    @property\n    def full(self) -> bool:\n        return len(self.rows) >= LIMIT and os.path.exists(self.path)\n\n    @staticmethod\n    def make(n: int = 3):\n        return [Store(str(i)) for i in range(n) if i]\n\n    class Inner:\n        pass\n\n\nasync def load(path):\n    """Read all rows."""\n    global count\n    count = 1\n    async for row in read(path):\n        if row:\n            await tick()\n            yield Store(row)\n        else:\n            break\n\n\ndef walk(n):\n    with open(n) as f:\n        try:\n            while n > 0:\n                n = walk(n - 1) if n > 1 or f else 0\n        except OSError:\n            assert n\n    return lambda x: x\n'),
+    ("pkg/Reader.java", "package pkg;\nimport java.util.List;\nimport static java.lang.Math.*;\n\n/* a\n   b */\n@Deprecated\npublic class Reader extends Base implements Closer, Other {\n  private static final int MAX = 3;\n  String name, other;\n  // one row\n  public static int read(final String path, int... at) throws IOException, Odd {\n    if (path == null || at.length > 1) { return this.none(); }\n    for (int i = 0; i < 3; i++) { if (i > 1) { continue; } else { other.go(i); } }\n    return 0;\n  }\n  abstract void later(int n);\n  @Override\n  protected String text() { return \"a{b\"; }\n  enum Kind { A, B }\n}\n\ninterface Closer { void close(); }\n"),
+    ("pkg/walk.cpp", '#include "walk.h"\n#include <vector>\nnamespace geo {\nstruct Walk : public Base {\n  int step(int n) const { while (n > 0) { n = next(n); } return n; }\n  double size;\n};\nclass Path {\n  int hidden;\npublic:\n  static int count();\n};\nint Path::count() { return a.b() && c->d() ? 1 : 2; }\n}\n'),
     ("pkg/broken.py", "def f(:\n"),
 ]
 
@@ -45,6 +46,10 @@ def relation_counts(spark, sf_dir):
     return relation_edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def decorations(spark, sf_dir):
+    return X.decorations(_entities(spark, sf_dir))
+
+
 def entity_lookup(spark, sf_dir):
     return X.lookup(_entities(spark, sf_dir), "__INIT__").select("uid", "tier")
 
@@ -67,10 +72,17 @@ def find_metrics(spark, sf_dir):
 
 
 def parse_sources(spark, sf_dir):
-    return parse_files(spark.createDataFrame(SOURCES, "path string, content string")).select("kind", "unique_id", "name", "file", "line", "signature", "cyclomatic", "cognitive", "parse_success")
+    """The fixture's entities, imports and modules; what doesn't apply to a kind is empty."""
+    p = parse_files(spark.createDataFrame(SOURCES, "path string, content string"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    parameters = F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", F.concat(F.when(x["is_args"], "*").when(x["is_kwargs"], "**").otherwise(""), x["name"]), x["type_hint"], F.concat(F.lit("="), x["default_value"]))), ",")
+    flags = F.concat_ws(",", *[F.when(F.col(f"is_{x}"), x) for x in ("async", "generator", "method", "static", "classmethod", "property", "abstract", "dataclass", "protocol", "interface", "constant", "relative", "star")], F.when(F.col("has_await"), "await"))
+    return p.select("kind", "file", *[plain(c) for c in ("unique_id", "name", "line", "end_line", "signature", "return_type", "docstring", "visibility", "parent_class", "metaclass", "cyclomatic", "cognitive", "lines_of_code", "module", "alias", "relative_level", "import_type", "total_lines", "code_lines", "comment_lines", "blank_lines", "parse_success")],
+                    *[listed(c) for c in ("decorators", "throws", "calls", "reads_globals", "writes_globals", "bases", "methods", "class_variables", "instance_variables", "nested_classes", "imported_names", "local_definitions")], F.coalesce(parameters, F.lit("")).alias("parameters"), flags.alias("flags"))
 
 
-QUERIES = {f.__name__: f for f in (resolve_cascade, call_relations, star_imports, relation_edges, relation_counts, entity_lookup, entity_suggestions, find_nodes, find_metrics, parse_sources)}
+QUERIES = {f.__name__: f for f in (resolve_cascade, call_relations, star_imports, relation_edges, relation_counts, decorations, entity_lookup, entity_suggestions, find_nodes, find_metrics, parse_sources)}
 
 _TYPES = "list_filter(list_distinct(regexp_split_to_array(regexp_replace({0}, '[\\[\\],|]', ' ', 'g'), '\\s+')), lambda p: p <> '' AND NOT starts_with(p, '...') AND lower(p) NOT IN (" + ", ".join(f"'{t}'" for t in X.BUILTIN_TYPES) + "))"
 _REL = rf"""{CURRENT_SQL},
@@ -129,4 +141,6 @@ h AS (SELECT w.text, cur.uid AS node, 1 AS t FROM w JOIN cur ON cur.uid = w.text
     "find_metrics": rf"""WITH {CURRENT_SQL}, m AS (SELECT fpath AS path, min(ordinal) AS ordinal FROM cur WHERE fpath IS NOT NULL GROUP BY fpath), w AS (SELECT DISTINCT regexp_replace(replace(f, '\', '/'), '^(\./)+', '') AS file FROM (SELECT unnest(files_changed) AS f FROM commits) WHERE f IS NOT NULL),
 h AS (SELECT file, path, ordinal, CASE WHEN file = path THEN 1 WHEN ends_with(file, '/' || path) OR ends_with(path, '/' || file) THEN 2 ELSE 3 END AS tier FROM w JOIN m ON split_part(file, '/', -1) = split_part(path, '/', -1) WHERE file <> '')
 SELECT file, arg_min(path, (tier, ordinal, path)) AS path, min(tier)::INT AS tier FROM h GROUP BY file""",
+    "decorations": f"WITH {CURRENT_SQL} SELECT DISTINCT d AS decorator, uid AS target, l - 1 AS line FROM (SELECT uid, line_range[1] AS l, unnest(decorators) AS d FROM cur) WHERE d IS NOT NULL AND d <> ''",
+    "parse_sources": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + r.get(c, "").replace("'", "''") + "'" for c in COLUMNS) + ")" for r in ROWS) + ") t(" + ", ".join(f'"{c}"' for c in COLUMNS) + ")",
 }

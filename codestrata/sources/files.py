@@ -75,9 +75,12 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "archive string, path string, content string")
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """An entity list in JSON (one array or one object a line) with a fixed schema; fields of older writers are null."""
-    return spark.read.schema(ENTITY_JSON).option("multiLine", "true").json(path)
+def read_entities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An entity list in JSON with a fixed schema; fields of older writers are null.
+
+    Files hold one array each, or with `lines` (as write_entities writes them) an object a line, which can be split.
+    """
+    return spark.read.schema(ENTITY_JSON).option("multiLine", "false" if lines else "true").json(path)
 
 
 def write_entities(entities: DataFrame, path: str, form: str = "parquet") -> None:

@@ -126,6 +126,8 @@ def test_sources_and_stream(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps([{"type": "function", "name": "f", "complexity": {"cyclomatic": 2}}]))
     e = read_entities(spark, str(tmp_path / "g.json"))
     assert e.first()["complexity"]["cyclomatic"] == 2 and e.first()["visibility"] is None
+    write_entities(e.union(e), str(tmp_path / "lines"), "json")
+    assert read_entities(spark, str(tmp_path / "lines"), lines=True).count() == 2
     write_entities(e, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     a, b = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
