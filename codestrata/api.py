@@ -98,7 +98,9 @@ class CodeIntelligence:
         near = e.join(self._seed(text).withColumnRenamed("node", "target"), "target").orderBy("source").limit(callers)
         return near.select(F.col("source").alias("caller"), "target").join(e.select(F.col("source").alias("grandparent"), F.col("target").alias("caller")), "caller", "left")
 
-    def neighbourhood(self, text: str, hops: int = 2, cap: int = 20) -> DataFrame:
+    def neighbourhood(self, text: str, intent: str = "blast_radius") -> DataFrame:
+        """What surrounds an entity, as far as an intent's expansion goes."""
+        hops, cap = graph.EXPANSION.get(intent, graph.EXPANSION_ELSE)
         return graph.bounded_neighbourhood(self.edges, self._seed(text), hops, cap=cap)
 
     def git_risk(self, file: str) -> DataFrame:
