@@ -178,14 +178,21 @@ def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def find_metrics(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(file), metrics(path, ordinal, ...) -> (file, path, tier) of the row meant: the same path (1), one the end of the other (2), the same name (3); the first loaded of equals.
 
-    All three tiers share the file's own name, so the tables join on that.
+    Ends of paths are looked up by equality, and each end or name leads to one row only, so a name that a third of all files
+    have is no pair of them.
     """
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    ask = wanted.select(compared_path("file").alias("file")).where(F.col("file") != "").distinct().withColumn("_name", last("file"))
-    have = metrics.select(compared_path("path").alias("path"), "ordinal").withColumn("_name", last("path"))
-    a, b = F.col("file"), F.col("path")
-    tier = F.when(a == b, 1).when(a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a)), 2).otherwise(3)
-    return ask.join(have, "_name").groupBy("file").agg(F.min(F.struct(tier.alias("tier"), "ordinal", "path")).alias("_r")).select("file", "_r.path", "_r.tier")
+    first = lambda d, key: d.groupBy(key).agg(F.min(F.struct("ordinal", "path")).alias("_r"))
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
+    ask = cut(wanted.select(compared_path("file").alias("file")).where(F.col("file") != "").distinct())
+    have = cut(metrics.select(compared_path("path").alias("path"), "ordinal").where(F.col("path") != ""))
+    hit = lambda d, tier: d.select("file", F.struct(tier.alias("tier"), F.col("_r.ordinal").alias("ordinal"), F.col("_r.path").alias("path")).alias("_h"))
+    same = hit(ask.join(first(have.withColumn("file", F.col("path")), "file"), "file"), F.lit(1))
+    longer = hit(ask.join(first(have.select(F.explode(F.slice(ends(F.col("path")), F.lit(2), F.lit(1_000_000))).alias("file"), "path", "ordinal"), "file"), "file"), F.lit(2))
+    mine = ask.select("file", F.explode(F.slice(ends(F.col("file")), F.lit(2), F.lit(1_000_000))).alias("_end"))
+    shorter = hit(mine.join(first(have.withColumn("_end", F.col("path")), "_end"), "_end"), F.lit(2))
+    named = hit(ask.withColumn("_name", F.element_at(F.split("file", "/"), -1)).join(first(have.withColumn("_name", F.element_at(F.split("path", "/"), -1)), "_name"), "_name"), F.lit(3))
+    best = same.unionByName(longer).unionByName(shorter).unionByName(named).groupBy("file").agg(F.min("_h").alias("_h"))
+    return best.select("file", "_h.path", "_h.tier")
 
 
 def merge_nodes(stored: DataFrame, raw: DataFrame, key: str = "uid") -> DataFrame:
