@@ -50,3 +50,14 @@ def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
     dear = (F.col("b_cost") > 0) & (F.col("cost") / F.nullif("b_cost", F.lit(0.0)) > 1.25)
     warnings = drop("precision", 0.03).cast("int") + drop("recall", 0.03).cast("int") + F.coalesce(slow, F.lit(False)).cast("int") + F.coalesce(dear, F.lit(False)).cast("int")
     return d.select(F.when(failures > 0, "fail").when(warnings > 0, "warn").otherwise("pass").alias("status"), failures.alias("failures"), warnings.alias("warnings"))
+
+
+def judged(answers: DataFrame, judge, schema: str = "id string, score double") -> DataFrame:
+    """answers(id, query, answer, evidence) with the scores of an injected judge(list of dicts) -> list of floats, called once a batch."""
+
+    def run(batches):
+        for pdf in batches:
+            scores = judge(pdf.to_dict("records"))
+            yield pdf[["id"]].assign(score=[float(x) for x in scores])
+
+    return answers.select("id", "query", "answer", "evidence").mapInPandas(run, schema)

@@ -9,8 +9,11 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote_plus
+from uuid import uuid4
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +152,34 @@ def drop_table(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.delete(hadoop, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def write_atomically(df: DataFrame, path: str) -> None:
+    """Write a table beside `path` and put it there when it is whole: readers see the old one or the new one."""
+    spark = df.sparkSession
+    fs, at = _fs(spark, path)
+    fresh, old = f"{path}.new-{uuid4().hex}", f"{path}.old-{uuid4().hex}"
+    df.write.parquet(fresh)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"{fresh} couldn't be renamed to {path}")
+    fs.delete(at(old), True)
+
+
+def read_or_set_aside(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table under `path`, which is moved aside (path.broken-...) if it can't be read; an empty one where there is none."""
+    fs, at = _fs(spark, path)
+    if fs.exists(at(path)):
+        try:
+            df = spark.read.parquet(path)
+            df.limit(1).collect()
+            return df
+        except (PySparkException, Py4JJavaError):
+            fs.rename(at(path), at(f"{path}.broken-{uuid4().hex}"))
+    return spark.createDataFrame([], schema)

@@ -29,6 +29,14 @@ def new_path(text: str) -> str:
     return text.split(" => ")[-1]
 
 
+def clone(url: str, into: str, allowed: tuple[str, ...] = ("https://",), seconds: float = 120, depth: int | None = None) -> str:
+    """Clone a repository, on the driver, within a time; ValueError for an address that begins with none of `allowed`."""
+    if not url.startswith(allowed) or url.startswith("-"):
+        raise ValueError(f"the address must begin with one of {allowed}")
+    subprocess.run(["git", "clone", "--quiet", *([f"--depth={depth}"] if depth else []), "--", url, into], check=True, capture_output=True, timeout=seconds)
+    return into
+
+
 def _tables(spark: SparkSession, repositories: list[str], schema: str, rows_of) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 

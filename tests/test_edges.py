@@ -97,3 +97,20 @@ def test_text_helpers(spark):
     folder = lambda *p: X.common_folder(spark.createDataFrame([(x,) for x in p], "path string")).first()[0]
     assert folder("a/b/c.py", "a/b/d/e.py", None) == "a/b" and folder("a/b.py", "c/d.py") == "" and folder("x.py") == "" and folder("a/b.py") == "a" and folder(None) == ""
     assert X.prompt("unknown", "C", "Q").count("C") == 1 and one(X.names_in(F.lit("see `a.b` and FooBar, not Foo"))) == ["a.b", "FooBar"]
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    from codestrata.operators import evaluation
+    from codestrata.sources.files import read_or_set_aside, write_atomically
+
+    path = str(tmp_path / "t")
+    assert read_or_set_aside(spark, path, "a int").count() == 0
+    for n in (2, 3):
+        write_atomically(spark.range(n), path)
+        assert read_or_set_aside(spark, path, "id bigint").count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.parquet").write_text("no table")
+    assert read_or_set_aside(spark, str(tmp_path / "b"), "a int").count() == 0 and any(p.name.startswith("b.broken-") for p in tmp_path.iterdir())
+    answers = spark.createDataFrame([("1", "q", "yes", "e"), ("2", "q", "", "e")], "id string, query string, answer string, evidence string")
+    assert {tuple(r) for r in evaluation.judged(answers, lambda rows: [len(r["answer"]) for r in rows]).collect()} == {("1", 3.0), ("2", 0.0)}

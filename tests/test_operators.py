@@ -157,7 +157,7 @@ def test_git_tables(spark, tmp_path):
     import os
     import subprocess
 
-    from codestrata.sources.git import git_blame, git_contents, git_files, new_path, read_git_log
+    from codestrata.sources.git import clone, git_blame, git_contents, git_files, new_path, read_git_log
 
     repo = str(tmp_path / "r")
     env = {**os.environ, "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_CONFIG_SYSTEM": "/dev/null"}
@@ -191,6 +191,13 @@ def test_git_tables(spark, tmp_path):
     blame = git_blame(spark, [repo], ".py")
     assert {(r["line"], r["email"]) for r in blame.collect()} == {(1, "a@x.example"), (2, "b@x.example"), (3, "a@x.example"), (4, "a@x.example")}
     assert new_path("x/{ => y}/z.py") == "x/y/z.py" and new_path("a => b") == "b"
+    assert git_files(spark, [clone(f"file://{repo}", str(tmp_path / "c"), ("file://",))]).count() == 2
+    for address in (repo, "ssh://x.example/r", "--upload-pack=x"):
+        try:
+            clone(address, str(tmp_path / "d"))
+        except ValueError:
+            continue
+        raise AssertionError(address)
     ranges = spark.createDataFrame([("f", "d/a.py", 1, 2), ("g", "d/a.py", 3, 900), ("none", "d/a.py", 5, 4)], "id string, file string, first int, last int")
     scores = spark.createDataFrame([("d/a.py", "a@x.example", 0.5)], "file string, email string, total double")
     assert {tuple(r) for r in history.line_experts(ranges, blame, scores).collect()} == {("f", "a@x.example", 1, 0.5), ("f", "b@x.example", 1, None), ("g", "a@x.example", 2, 0.5)}
