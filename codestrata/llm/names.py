@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 _TITLE = re.compile(r"\b(?:dr|prof|mr|mrs|ms|miss|sir|ing|dipl|msc|bsc|phd|mba|md|jr|sr|ii|iii|esq|herr|frau)\b\.?", re.I)
 _ASIDE = re.compile(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}")
@@ -197,6 +198,7 @@ def unlisted_form(name: str, email: str, formal: dict[str, tuple[str, ...]]) ->
     return None
 
 
+@lru_cache(maxsize=100_000)
 def _organisational(w: str) -> bool:
     return w in _ORG or len(w) >= 6 and any(len(o) >= 6 and near(w, o) for o in _ORG)
 
