@@ -295,10 +295,10 @@ def leaked_items(
 
     `kind` is 'run' for a run of words in the sense above (one of the document is measured, without changes if it does), else 'paraphrase'. items hold the texts named in `parts` and
     perhaps the `answer` whose words a paraphrase needs about it. Documents are read into words once; items are looked up
-    `block` at a time. Null and empty texts and items below MIN_WORDS words give no row; whole texts are read; repeated
+    `block` at a time. Documents without an id, null and empty texts and items below MIN_WORDS words give no row; whole texts are read; repeated
     documents count once per id; other columns are left out.
     """
-    texts = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     columns = list(dict.fromkeys([*parts, *([answer] if answer else [])]))
     stated = items.select(F.col(item_col).cast("string").alias("id"), *[F.col(p).cast("string").alias(p) for p in columns]).where(F.col("id").isNotNull()).orderBy("id")
     vocabulary: dict[str, int] = {}

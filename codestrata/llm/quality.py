@@ -28,7 +28,7 @@ SAMPLE, SEED_WEIGHT = 3000, 8.0
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
 def common_set(common_words: DataFrame) -> frozenset[str]:
@@ -75,7 +75,7 @@ def train(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "label", "weight", "stats"])
 
     rows = spread(chosen).mapInPandas(label, "doc_id bigint, piece int, label int, weight double, stats array<double>").collect()
-    rows = sorted(((r["doc_id"] or 0, r["piece"], r["label"], r["weight"], r["stats"]) for r in rows), key=lambda r: r[:2])
+    rows = sorted(((r["doc_id"], r["piece"], r["label"], r["weight"], r["stats"]) for r in rows), key=lambda r: r[:2])
     seed, seed_y = hand_checked("seed")
     x = np.array([*(r[4] for r in rows), *(statistics(t, common) for t in seed)])
     y = np.array([*(r[2] for r in rows), *seed_y])
@@ -89,7 +89,7 @@ def train(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text
 def classify(docs: DataFrame, model: FormModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, form, p_prose, p_list, p_table, p_junk) of every document with text: one map over whole texts, no shuffle.
 
-    Null and blank texts give no row; repeated rows give theirs again; other columns are left out.
+    Documents without an id, null and blank texts give no row; repeated rows give theirs again; other columns are left out.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)  # common words and trees: of fixed size
 

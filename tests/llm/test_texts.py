@@ -173,8 +173,9 @@ def test_leaks_with_changes_in_one_place_are_found(spark):
                 passage = ["other" if any(a <= i < a + n for a, n in gaps) else w for i, w in enumerate(passage)]
             docs.append((2 * k + left_out, " ".join(["before"] * 9 + passage + ["after"] * 9)))
     docs.append((9, " ".join(["before"] * 9 + words[4:14] + ["other"] * 5 + words[19:29])))
+    docs += [(None, docs[0][1]), (2**62 + 1, docs[0][1])]
     got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("q", " ".join(words))], "id string, query string"), ["query"]).where("kind = 'run'").collect()
-    assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3, 2**62 + 1}
 
 
 def test_hand_checked_forms_and_boosting():
@@ -197,7 +198,7 @@ def test_hand_checked_forms_and_boosting():
 
 
 def test_forms_on_the_cluster(spark, sf_dir):
-    docs = spark.createDataFrame([(i, t, "kept") for i, (t, _) in enumerate(HAND_CHECKED)] + [(900, None, ""), (901, " ", "")], "doc_id bigint, text string, stats string")
+    docs = spark.createDataFrame([(i, t, "kept") for i, (t, _) in enumerate(HAND_CHECKED)] + [(900, None, ""), (901, " ", ""), (None, "no id", "")], "doc_id bigint, text string, stats string")
     words = spark.createDataFrame([("en", w, 1) for w in sorted(COMMON)] + [("en", None, 2)], "lang string, word string, frequency_rank int")
     got = {r["doc_id"]: r["form"] for r in classify(docs, train(docs, words)).collect()}
     assert set(got) == set(range(len(HAND_CHECKED)))
