@@ -309,13 +309,13 @@ def _shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shred_nodes(df: DataFrame, id_col: str = "dump_id", payload_col: str = "payload") -> DataFrame:
     """Every record found in the JSON payloads, as one tagged table (NODE_SCHEMA): a map without any shuffle.
 
-    Null and invalid payloads give one row of variant 'invalid'; empty ones that are valid JSON give none. NaN and
+    Uploads without an id give no row, null and invalid payloads one of variant 'invalid'; empty ones that are valid JSON give none. NaN and
     Infinity aren't JSON. Other columns of the input, however named, are left out. Null, empty and nameless children
     give no row but keep their place; a lone name or number is place 0. Repeated payloads give their rows again under
     their own id.
     """
     payloads = df.select(F.col(id_col).cast("bigint").alias("dump_id"), F.col(payload_col).cast("string").alias("payload"))
-    return spread(payloads).mapInPandas(_shred_batches, NODE_SCHEMA)
+    return spread(payloads.where(F.col("dump_id").isNotNull())).mapInPandas(_shred_batches, NODE_SCHEMA)
 
 
 def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:

@@ -50,9 +50,9 @@ def test_invalid_empty_and_repeated_payloads(spark):
     one = json.dumps([{"type": "function", "name": "f", "file": "a.py"}] * 2)
     got = links(spark, one, one, '{"a": ', None, "", "[]", "3", "[NaN]", "[" * 50_000 + "]" * 50_000)
     assert got == {(0, "a.py", "entity", 0, "a.py:f"), (1, "a.py", "entity", 0, "a.py:f")}
-    nodes = shred_nodes(spark.createDataFrame([(1, one), (2, "{")], "dump_id bigint, payload string"))
+    nodes = shred_nodes(spark.createDataFrame([(2**62 + 1, one), (2, "{"), (None, one)], "dump_id bigint, payload string"))
     tables = variant_tables(nodes)
-    assert tables["functions"].count() == 2 and [r[0] for r in tables["invalid"].collect()] == [2]
+    assert [r["dump_id"] for r in tables["functions"].collect()] == [2**62 + 1] * 2 and [r[0] for r in tables["invalid"].collect()] == [2]
     assert links(spark, "{}") == set()
 
 
