@@ -133,8 +133,9 @@ def vector_ranking(queries: DataFrame, vectors: DataFrame, k: int = 24, metric:
 def hashed_vector(text: Column, width: int = 64) -> Column:
     """A vector that needs no model: how many tokens fall into each of `width` buckets by their MD5."""
     bucket = lambda t: F.pmod(F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint"), F.lit(width))
-    places = F.transform(tokens(text), bucket)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+    # The places are bound once: in the inner function they would be worked out for every bucket.
+    count = lambda places: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), lambda i: (F.size(places) - F.size(F.array_remove(places, i))).cast("float"))
+    return F.get(F.transform(F.array(F.transform(tokens(text), bucket)), count), F.lit(0))
 
 
 def embed(df: DataFrame, text: str, model, column: str = "embedding") -> DataFrame:
