@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from codestrata.session import cut
+from codestrata.session import cut, share_package, written
 
 TOKEN = "[A-Za-z_][A-Za-z0-9_./:-]*"
 #: Patterns of each intent, in the order that settles ties.
@@ -47,39 +52,147 @@ def _best(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Asked(NamedTuple):
+    """A block of the stated queries: their ids and numbers of tokens, all their tokens, and for token t the queries places[starts[t]:starts[t + 1]]."""
+
+    ids: list
+    sizes: np.ndarray
+    words: list[str]
+    starts: np.ndarray
+    places: np.ndarray
+
+
+def _asked(queries: DataFrame) -> Iterator[Asked]:
+    """The stated queries(query_id, text), read once, in blocks of a bounded size; a query without tokens finds nothing and is left out."""
+    q = cut(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if rows:
+            words = sorted({t for r in rows for t in r["t"]})
+            at = {t: i for i, t in enumerate(words)}
+            pairs = np.array(sorted((at[t], i) for i, r in enumerate(rows) for t in r["t"]))
+            yield Asked([r["query_id"] for r in rows], np.array([len(r["t"]) for r in rows]), words, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1])
+
+
+def _count(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, t = batch.columns
+        n = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = t.flatten()
+        found = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        key, tf = np.unique((doc * len(words) + found)[found >= 0], return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(len(n) + 1) * len(words)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % len(words), tf)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), *lists], ["doc_id", "dl", "t", "tf"])
+
+
+def _counted(asked: Asked, corpus: DataFrame) -> DataFrame:
+    """(doc_id, dl, t, tf), one row a document: its length, and the numbers and counts of the queries' tokens in it."""
+    share_package(corpus.sparkSession)
+    words = corpus.sparkSession.sparkContext.broadcast(asked.words)
+    schema = T.StructType([T.StructField("doc_id", corpus.schema["doc_id"].dataType), T.StructField("dl", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("t", "tf"))])
+    return corpus.select("doc_id", tokens(F.col("text")).alias("t")).mapInArrow(lambda batches: _count(batches, words.value), schema)
+
+
+#: Scores of pairs of query and document that a task holds at a time.
+CELLS = 2_000_000
+
+
+def _firsts(q: np.ndarray, score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The k rows of every query with the highest scores, of equal ones those with the first ids."""
+    order = pc.sort_indices(pa.table({"q": q, "s": score, "d": ids}), [("q", "ascending"), ("s", "descending"), ("d", "ascending")], null_placement="at_start").to_numpy()
+    place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    order = order[place < k]
+    return q[order], score[order], ids.take(pa.array(order))
+
+
+def _tops(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, weight: Callable, scale: np.ndarray, digits: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Of _counted rows those that are among the k best of a query in this task; a score is the sum of weight(t, tf, dl) times the query's scale, rounded."""
+    n_queries, unit = len(asked.ids), 10**digits
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    merge = lambda: _firsts(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.concat_arrays([x[2] for x in held]), k)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step := max(1, CELLS // n_queries)):
+            ids, dl, t, tf = batch.slice(at, step).columns
+            n = len(ids)
+            by_id = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+            column = np.empty(n, np.int64)
+            column[by_id] = np.arange(n)
+            doc = np.repeat(np.arange(n), pc.list_value_length(t).to_numpy(zero_copy_only=False))
+            t, tf, dl = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (t.flatten(), tf.flatten(), dl))
+            times = asked.starts[t + 1] - asked.starts[t]
+            query = asked.places[np.arange(times.sum()) + np.repeat(asked.starts[t] - np.cumsum(times) + times, times)]
+            cells = np.bincount(query * n + np.repeat(column[doc], times), np.repeat(weight(t, tf, dl[doc]), times), n_queries * n).reshape(n_queries, n)
+            score = np.rint(cells * scale[:, None] * unit).astype(np.int64)
+            # Columns are in the order of ids: one number says which of two documents comes first.
+            best = np.argpartition(np.arange(n) - score * n, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), (n_queries, n))
+            q, c = np.repeat(np.arange(n_queries), best.shape[1]), best.ravel()
+            q, c = q[score[q, c] > 0], c[score[q, c] > 0]
+            held.append((q, score[q, c], ids.take(pa.array(by_id[c]))))
+            if sum(len(x[0]) for x in held) > 8 * k * n_queries:
+                held = [merge()]
+    if held:
+        q, score, ids = merge()
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids, kind).take(pa.array(q)), ids, pa.array(score / unit)], ["query_id", "doc_id", "score"])
+
+
+def _scored(counts: DataFrame, query_id: T.DataType, asked: Asked, k: int, weight: Callable, scale: np.ndarray, digits: int) -> DataFrame:
+    """(query_id, doc_id, score): the k best documents of every query in every task. No pair of query and document is a row before that."""
+    held = counts.sparkSession.sparkContext.broadcast((asked, scale))
+    schema = T.StructType([T.StructField("query_id", query_id), T.StructField("doc_id", counts.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    kind = to_arrow_type(query_id)
+    return counts.mapInArrow(lambda batches: _tops(batches, held.value[0], k, weight, held.value[1], digits, kind), schema)
+
+
+def _overlap(counts: DataFrame, query_id: T.DataType, asked: Asked, k: int) -> DataFrame:
+    return _scored(counts, query_id, asked, k, lambda t, tf, dl: np.ones(len(t)), 1 / asked.sizes, 9)
+
+
+def _bm25(counts: DataFrame, query_id: T.DataType, asked: Asked, k: int, k1: float, b: float) -> DataFrame:
+    n, length = counts.agg(F.count("*"), F.sum("dl")).first()
+    df = np.zeros(len(asked.words))
+    for r in counts.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # at most a row a token of the block
+        df[r["t"]] = r["count"]
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), (length or 0) / max(n, 1) or 1.0
+    return _scored(counts, query_id, asked, k, lambda t, tf, dl: idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), np.ones(len(asked.ids)), 6)
+
+
+def _union(parts: list[DataFrame], queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    schema = T.StructType([queries.schema["query_id"], corpus.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], schema)
+
+
 def overlap_ranking(queries: DataFrame, corpus: DataFrame, k: int = 30) -> DataFrame:
-    """(query_id, doc_id, score, rank): share of a query's distinct tokens found in the document, by an inverted index.
+    """(query_id, doc_id, score, rank): share of a query's distinct tokens found in the document. Ties by id.
 
-    queries(query_id, text) is the stated side, read once; its tokens are looked up by equality, so only documents that
-    share one are ever counted, and a document's hits are added up where it is read. Ties by id.
+    queries(query_id, text) is the stated side, read once. A document is scored for all queries where it is read, and a
+    task passes on the k best of every query only.
     """
-    q = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))))
-    d = corpus.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    hits = d.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("_h"), F.max("_n").alias("_n"))
-    return _best(hits.select("query_id", "doc_id", F.round(F.col("_h") / F.col("_n"), 9).alias("score")), k)
+    kind = queries.schema["query_id"].dataType
+    return _best(_union([_overlap(_counted(a, corpus), kind, a, k) for a in _asked(queries)], queries, corpus), k)
 
 
 def bm25_ranking(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) with idf = ln(1 + (N - df + 0.5)/(df + 0.5)); positive scores only; ties by id.
 
-    The corpus is read into tokens once: what is written are the counts of the queries' tokens, and for every document a
-    row without token that carries its length.
+    The corpus is read into tokens once: what is written is a row a document, with its length and the counts of the
+    queries' tokens. Scores are made as in overlap_ranking.
     """
-    q = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")))
-    wanted = small(q.select("token").distinct().withColumn("_wanted", F.lit(True)))
-    terms = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
-    tf = cut(terms.join(wanted, "token", "left").where(F.col("_wanted") | (F.col("token") == "")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")))
-    stats = tf.where(F.col("token") == "").agg(F.sum("tf").alias("N"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))  # one row
-    found = tf.where(F.col("token") != "")
-    df = found.groupBy("token").agg(F.count("*").alias("df")).join(q, "token").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = cut(df.select("query_id", "token", idf.alias("_idf"), "avgdl"))
-    part = F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(small(asked), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") > 0)
-    return _best(scored, k)
-
-
-#: Query vectors that are held by every task at a time.
+    kind = queries.schema["query_id"].dataType
+    return _best(_union([_bm25(written(_counted(a, corpus)), kind, a, k, k1, b) for a in _asked(queries)], queries, corpus), k)
+
+
+def lexical_rankings(queries: DataFrame, corpus: DataFrame, k_overlap: int, k_bm25: int, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """overlap_ranking and bm25_ranking of the same documents, which are read once for both."""
+    kind = queries.schema["query_id"].dataType
+    blocks = [(a, written(_counted(a, corpus))) for a in _asked(queries)]
+    overlap = _union([_overlap(c, kind, a, k_overlap) for a, c in blocks], queries, corpus)
+    return _best(overlap, k_overlap), _best(_union([_bm25(c, kind, a, k_bm25, k1, b) for a, c in blocks], queries, corpus), k_bm25)
+
+
+#: Queries, or query vectors, that are held by every task at a time.
 QUERY_BLOCK = 10_000
 
 

@@ -56,11 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, by: str) -> DataFrame:
-    """df as a table in the shared folder, a folder for each value of `by`: lineage ends, and a reader of one value reads only its rows."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, a folder for each value of `by` if given: lineage ends, and a reader of one value reads only its rows.
+
+    It takes less room than a checkpoint, as columns are compressed.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
