@@ -72,11 +72,8 @@ def knn_dot_topk(spark, sf_dir):
 
 
 def rank_fusion(spark, sf_dir):
-    corpus = cut(_corpus(spark, sf_dir))
-    q = _questions(spark, sf_dir)
-    lex = T.overlap_ranking(q, corpus, 24).withColumnRenamed("doc_id", "id")
-    bm = T.bm25_ranking(q, corpus, 30).withColumnRenamed("doc_id", "id")
-    return T.fuse_rankings(bm, lex)
+    lex, bm = T.lexical_rankings(_questions(spark, sf_dir), _corpus(spark, sf_dir), 24, 30)
+    return T.fuse_rankings(bm.withColumnRenamed("doc_id", "id"), lex.withColumnRenamed("doc_id", "id"))
 
 
 def rerank(spark, sf_dir):

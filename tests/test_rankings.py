@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from codestrata.operators import retrieval
+from codestrata.plans import retrieval_queries
 
 
 def test_rankings_pass_on_only_the_best_of_a_task(spark):
@@ -39,3 +40,12 @@ def test_rankings_of_a_task_in_parts(spark, monkeypatch):
         out = list(retrieval._tops(iter(counts), a, 4, lambda t, tf, dl: tf, np.ones(1), 6, pa.int32()))
         expected = sorted((-((i % 3) * ("a" in a.words) + i % 5), i) for i in ids)[:4]
         assert sorted(zip([-s for s in out[0]["score"].to_pylist()], out[0]["doc_id"].to_pylist())) == expected and out[0]["query_id"].to_pylist() == a.ids * 4
+
+
+def test_fusion_writes_no_copy_of_the_corpus(spark, sf_dir, monkeypatch):
+    def refused(df):
+        raise AssertionError("the corpus was written")
+
+    monkeypatch.setattr(retrieval_queries, "cut", refused)
+    fused = retrieval_queries.rank_fusion(spark, sf_dir)
+    assert fused.columns == ["query_id", "id", "fused"] and not re.search(r"hashpartitioning\(query_id#\d+, doc_id", fused._jdf.queryExecution().toString())
