@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import cut
+from codestrata.operators import between
+from codestrata.session import cut, parallelism, share_package
 
 DEPENDENCY_TYPES = ("CALLS", "INHERITS", "IMPORTS", "USES_TYPE")
 
@@ -175,34 +176,64 @@ def shortest_path_counts(edges: DataFrame, sources: DataFrame | None = None) ->
         seen = seen.unionByName(front)
 
 
+#: A graph of at most so many links between nodes that are linked to is held by every task; a larger one is counted by joins.
+HELD = 2_000_000
+
+
 def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(node, betweenness), unnormalised, on the directed simple graph; with `sources` (a sample) the sum over these only.
 
-    Shortest paths are counted outwards from all sources at once, then the shares are handed back hop by hop: each step is a
-    join on (source, node) and a sum, so neither edges nor paths are ever held by one task.
+    Only nodes that are linked to and link further can lie between others. The links between nodes that are linked to are
+    counted; if there are at most HELD each task holds them and takes some of the starts, of those outside that link to the
+    same nodes one for all. Otherwise shortest paths are counted by joins.
     """
     # Nodes are numbered: the rows that are counted hold two numbers instead of two ids.
     ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     nodes = cut(ends.select(F.monotonically_increasing_id().alias("_id"), "node"))
     number = lambda d, c: d.join(nodes.select(F.col("node").alias(c), F.col("_id")), c).drop(c).withColumnRenamed("_id", c)
     links = cut(number(number(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct(), "source"), "target").select("source", "target"))
-    fronts = shortest_path_counts(links, None if sources is None else number(sources.select("node").distinct(), "node"))
+    starts = None if sources is None else number(sources.select("node").distinct(), "node")
+    inner = cut(links.join(links.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
+    sums = _held_shares(links, inner, starts) if inner.count() <= HELD else _joined_shares(links, starts)
+    found = sums.groupBy(F.col("node").alias("_id")).agg(F.sum("b").alias("b"))
+    return nodes.join(found, "_id", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
+
+
+def _held_shares(links: DataFrame, inner: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """(node, b), the parts of tasks, by a graph in arrays. Nodes outside `inner` have nothing on paths through them and are left out of it."""
+    spark = links.sparkSession
+    share_package(spark)
+    rows = inner.toArrow()
+    held = spark.sparkContext.broadcast(between.hold(rows["source"].to_numpy(), rows["target"].to_numpy()))
+    asked = links if sources is None else links.join(sources.select(F.col("node").alias("source")), "source", "left_semi")
+    linked = lambda d, c, how: d.join(c.distinct(), c.columns[0], how)
+    inside = linked(asked.select("source"), inner.select("source"), "left_semi").distinct().select(F.col("source").alias("own"), F.array().cast("array<bigint>").alias("first"), F.lit(1).cast("bigint").alias("times"))
+    outside = linked(linked(asked, links.select(F.col("target").alias("source")), "left_anti"), inner.select(F.col("source").alias("target")).union(inner.select("target")), "left_semi")
+    alike = outside.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("first")).groupBy("first").agg(F.count("*").alias("times"))
+    starts = inside.unionByName(alike.select(F.lit(None).cast("bigint").alias("own"), "first", "times"))
+    return starts.repartition(2 * parallelism(spark)).mapInArrow(lambda batches: between.shares(batches, held.value), "node bigint, b double")
+
+
+def _joined_shares(links: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """(node, b), one part a hop, by joins.
+
+    Shortest paths are counted outwards from all sources at once, then the shares are handed back hop by hop: each step is a
+    join on (source, node) and a sum, so neither edges nor paths are ever held by one task.
+    """
+    fronts = shortest_path_counts(links, sources)
     back = links.select(F.col("source").alias("_before"), F.col("target").alias("node"))
-    sums, share = [], None
-    for k in range(len(fronts) - 1, 0, -1):
+    total, share = None, None
+    for k in range(len(fronts) - 1, -1, -1):
         here = fronts[k] if share is None else fronts[k].join(share, ["source", "node"], "left")
         here = here.withColumn("share", F.coalesce("share", F.lit(0.0)) if share is not None else F.lit(0.0))
-        sums.append(here.groupBy("node").agg(F.sum("share").alias("b")))
+        part = here.groupBy("node").agg(F.sum("share").alias("b"))
+        total = part if total is None else total.unionByName(part)
+        if k < 2:
+            break
         before = fronts[k - 1].select("source", F.col("node").alias("_before"), F.col("paths").alias("_paths"))
         given = here.join(back, "node").join(before, ["source", "_before"]).groupBy("source", F.col("_before").alias("node")).agg(F.sum(F.col("_paths") / F.col("paths") * (1 + F.col("share"))).alias("share"))
         share = cut(given)
-    if not sums:
-        return nodes.select("node", F.lit(0.0).alias("betweenness"))
-    total = sums[0]
-    for x in sums[1:]:
-        total = total.unionByName(x)
-    found = total.groupBy(F.col("node").alias("_id")).agg(F.sum("b").alias("b"))
-    return nodes.join(found, "_id", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
+    return total
 
 
 def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
