@@ -83,22 +83,31 @@ def dependents(edges: DataFrame, upstream: bool = True) -> DataFrame:
     return edges.where(F.col("type").isin(*DEPENDENCY_TYPES)).select(F.col(node).alias("node"), F.col(other).alias("other"), "type").distinct()
 
 
+#: Fronts, and what was found so far, of at most so many rows are broadcast, once they have been counted.
+SMALL = 50_000
+
+
 def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = True, max_hops: int | None = None) -> DataFrame:
     """(seed, node, hops): every node from which a seed is reached (or that it reaches), without the seed itself.
 
     Semi-naive: only nodes found in the last round are extended, each (seed, node) once; it goes on until a round finds
-    nothing (or max_hops are made, if given). A round writes its own front only; what was found is the fronts' union.
+    nothing (or max_hops are made, if given). A round writes its own front only; what was found is the fronts' union. A
+    front of few rows goes to the edges, which then are not shuffled for it.
     """
     here, there = ("target", "source") if upstream else ("source", "target")
     step = cut(edges.select(F.col(here).alias("node"), F.col(there).alias("_next")).where(F.col(here) != F.col(there)).distinct())
     found = front = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
+    known = n = front.count()
+    held = lambda df, rows: F.broadcast(df) if rows <= SMALL else df
     k = 0
     while k != max_hops:
         k += 1
-        new = front.join(step, "node").select("seed", F.col("_next").alias("node")).distinct().join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k))
+        new = step.join(held(front, n), "node").select("seed", F.col("_next").alias("node")).distinct().join(held(found.select("seed", "node"), known), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k))
         front = cut(new)
-        if not front.take(1):
+        n = front.count()
+        if not n:
             break
+        known += n
         found = found.unionByName(front)
     return found.where(F.col("node") != F.col("seed"))
 
